@@ -9,6 +9,7 @@ import sys
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -126,16 +127,16 @@ def _over_rows(function, *columns):
     return pd.Series(values, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def pearson_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return _over_rows(pearson_p_value, r, n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def anova_p(f: pd.Series, groups: pd.Series, n: pd.Series) -> pd.Series:
     return _over_rows(anova_p_value, f, groups, n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_p(x: pd.Series, dof: pd.Series) -> pd.Series:
     return _over_rows(chi_square_p_value, x, dof)

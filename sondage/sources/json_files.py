@@ -1,12 +1,15 @@
 """JSON tables: lines, arrays of records, and the column-oriented layout."""
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.functions.columns import column
 from sondage.sources.delimited import with_inferred_types
 
-LAYOUTS = ("lines", "records", "columns")
+# Characters of the first line that tell the layout.
+HEAD = 400
 
 
 def read_json(spark: SparkSession, path: str, layout: str | None = None, **options) -> DataFrame:
@@ -26,22 +29,18 @@ def read_json(spark: SparkSession, path: str, layout: str | None = None, **optio
 
 
 def guess_layout(spark: SparkSession, path: str) -> str:
-    """An array starts records; an object of objects is column-oriented; else lines."""
-    first = spark.read.text(path).where(F.trim("value") != "").take(1)
-    start = "".join(first[0]["value"].split()) if first else ""
-    if start.startswith("["):
+    """An array starts records; an object whose first member is an object with row 0 is
+    column-oriented; else lines. Only the head of the first line is looked at."""
+    head = (
+        spark.read.text(path)
+        .where(F.trim("value") != "")
+        .select(F.regexp_replace(F.substring("value", 1, HEAD), r"\s", "").alias("head"))
+        .take(1)
+    )
+    start = head[0]["head"] if head else ""
+    if start.startswith("[") or start == "{":
         return "records"
-    if start in ("{", "") or start.startswith('{"') and ':{"' in start[: start.find(",") + 1 or None]:
-        nested = spark.range(1).select(
-            F.try_parse_json(F.lit(first[0]["value"] if first else "{}")).alias("v")
-        )
-        kinds = nested.select(F.schema_of_variant("v")).first()[0] or ""
-        # All members are objects keyed by row number.
-        if kinds.startswith("OBJECT<") and "OBJECT<0:" in kinds.replace("`", ""):
-            return "columns"
-        if start == "{":
-            return "records"
-    return "lines"
+    return "columns" if re.match(r'\{"[^"]*":\{"0":', start) else "lines"
 
 
 def _column_oriented(spark: SparkSession, path: str) -> DataFrame:
@@ -54,14 +53,10 @@ def _column_oriented(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"),
         F.from_json("value", "map<string, map<string, string>>").alias("columns"),
     )
-    names = [
-        r["name"]
-        for r in documents.select(F.explode(F.map_keys("columns")).alias("name"))
-        .distinct()
-        .collect()
-    ]
+    found = documents.select(F.map_keys("columns").alias("names")).distinct().collect()
+    names = list(dict.fromkeys(name for row in found for name in row["names"]))
     cells = documents.select("file", F.explode("columns").alias("name", "cells")).select(
         "file", "name", F.explode("cells").alias("row", "value")
     )
-    pivoted = cells.groupBy("file", "row").pivot("name", sorted(names)).agg(F.first("value"))
-    return with_inferred_types(pivoted.select(*[column(n) for n in sorted(names)]))
+    pivoted = cells.groupBy("file", "row").pivot("name", names).agg(F.first("value"))
+    return with_inferred_types(pivoted.select(*[column(n) for n in names]))
