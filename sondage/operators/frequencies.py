@@ -55,8 +55,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         counted = (
             clean.select(*values)
             .unpivot([], [column(n) for n in names], "column_name", "value")
-            .groupBy("column_name", "value")
-            .agg()
+            .distinct()
             .groupBy("column_name")
             .agg(F.count("value").alias("unique_values"))
         )

@@ -48,7 +48,7 @@ TYPES = [("boolean", TRUTH), ("bigint", INTEGER), ("double", NUMBER), ("date", D
 
 
 def _has_type(c: Column, name: str, pattern: str) -> Column:
-    return c.rlike(pattern) & c.try_cast(name).isNotNull()
+    return F.when(c.isNotNull(), c.rlike(pattern) & c.try_cast(name).isNotNull())
 
 
 def infer_types(df: DataFrame) -> dict[str, str]:
