@@ -222,7 +222,8 @@ def heatmap(
             for c in columns
         ]
     )
-    return nan_as_null(df).select(at.cast("string").alias("column1"), F.inline(cells))
+    numbered = nan_as_null(df).withColumn("_at", at.cast("string"))
+    return numbered.select(F.col("_at").alias("column1"), F.inline(cells))
 
 
 def _constant_or_one(df: DataFrame, name: str) -> DataFrame:

@@ -198,7 +198,7 @@ def data_bytes(df: DataFrame) -> DataFrame:
         )
         for f in df.schema.fields
     ]
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return nan_as_null(df).agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def score(df: DataFrame) -> DataFrame:

@@ -468,7 +468,8 @@ def schema_sample_values_any(spark, folder):
 
 @query
 def sample_rows(spark, folder):
-    return schema.sample_rows(table(spark, folder, "lineitem"), 500, ["l_orderkey", "l_linenumber"])
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return schema.sample_rows(table(spark, folder, "lineitem"), 500, key)
 
 
 @query
@@ -607,31 +608,29 @@ def chart_pairplot(spark, folder):
 
 @query
 def analyze_descriptive(spark, folder):
-    return as_facts(analysis.analyze(table(spark, folder, "part"), "descriptive")).withColumn(
-        "number", positive_zero(F.round("number", 4))
-    )
+    return to_digits(as_facts(analysis.analyze(table(spark, folder, "part"), "descriptive")))
 
 
 @query
 def analyze_statistical(spark, folder):
-    return as_facts(analysis.analyze(table(spark, folder, "part"), "statistical"))
+    return to_digits(as_facts(analysis.analyze(table(spark, folder, "part"), "statistical")))
 
 
 @query
 def analyze_comprehensive(spark, folder):
     found = analysis.analyze(table(spark, folder, "orders"), group_by="o_orderstatus")
-    return as_facts(found)
+    return to_digits(as_facts(found))
 
 
 @query
 def report_sections(spark, folder):
     sections, _ = report.collect_report(table(spark, folder, "orders"), key=["o_orderkey"])
-    return report.report_facts(sections)
+    return to_digits(report.report_facts(sections))
 
 
 @query
 def report_charts(spark, folder):
-    return report.report_charts(table(spark, folder, "orders"))
+    return to_digits(report.report_charts(table(spark, folder, "orders")))
 
 
 @query
