@@ -29,9 +29,12 @@ CORRELATION_THRESHOLD = 0.7
 MIN_CRAMERS_V = 0.3
 MIN_ETA_SQUARED = 0.06
 SIGNIFICANCE = 0.05
-# A pass over numeric pairs reads two blocks of columns, one over categorical pairs
-# makes this many copies of two keys per row.
-BLOCK = 10
+# A pass over numeric pairs reads two blocks of this many columns. Larger blocks make an
+# aggregation the JVM no longer compiles, which costs more than reading columns again;
+# only tables with very many columns get larger ones, to keep the number of passes low.
+BLOCK = 3
+MAX_BLOCKS = 20
+# A pass over categorical pairs makes this many copies of two keys per row.
 PAIRS_PER_PASS = 45
 
 
@@ -40,10 +43,11 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def _blocks_of_pairs(columns: Sequence[str]) -> list[list[tuple[int, int]]]:
-    """All index pairs i < j, cut so that one block touches at most 2 * BLOCK columns."""
+    """All index pairs i < j, cut so that one block touches few columns."""
+    size = max(BLOCK, -(-len(columns) // MAX_BLOCKS))
     blocks: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for i, j in combinations(range(len(columns)), 2):
-        blocks.setdefault((i // BLOCK, j // BLOCK), []).append((i, j))
+        blocks.setdefault((i // size, j // size), []).append((i, j))
     return list(blocks.values())
 
 
