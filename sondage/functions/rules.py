@@ -41,10 +41,16 @@ def semantic_type(
 
 
 def quality_score(missing_pct: Column, duplicate_pct: Column) -> Column:
-    """100, less the missing % (at most 30) and half the duplicate % (at most 20)."""
+    """100, less the missing % (at most 30) and half the duplicate % (at most 20).
+
+    NULL for an empty table, which has no percentages.
+    """
     penalty = F.least(missing_pct, F.lit(30.0)) + F.least(duplicate_pct * 0.5, F.lit(20.0))
-    return F.round(F.greatest(F.lit(100.0) - penalty, F.lit(0.0)), 2)
+    score = F.round(F.greatest(F.lit(100.0) - penalty, F.lit(0.0)), 2)
+    return F.when(missing_pct.isNotNull() & duplicate_pct.isNotNull(), score)
 
 
 def quality_band(score: Column) -> Column:
-    return F.when(score >= 90, "good").when(score >= 70, "fair").otherwise("poor")
+    return (
+        F.when(score >= 90, "good").when(score >= 70, "fair").when(score < 70, "poor")
+    )

@@ -47,7 +47,8 @@ def _chosen(df: DataFrame, columns: Sequence[str] | None, first: int | None) ->
 
 def _bin(value: Column, lo: Column, width: Column, bins: Column) -> Column:
     """Equal-width bin from 0; the last bin includes its upper edge."""
-    return F.least(F.floor((value - lo) / width), bins - 1).cast("int")
+    at = F.least(F.floor((value - lo) / width), bins - 1)
+    return F.when(value.isNotNull(), at).cast("int")
 
 
 def _bounds(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -80,7 +80,8 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
             )
         parts.append(values.agg(F.array(*rows).alias("rows")).select(F.inline("rows")))
     # Rounding errors must not carry r past 1.
-    return _union(parts).withColumn("r", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r"))))
+    r = F.col("r")
+    return _union(parts).withColumn("r", F.when(F.abs(r) > 1, F.signum(r)).otherwise(r))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -288,6 +289,8 @@ def variance_by_category(
             *[(F.var_pop(v) * F.count(v)).alias(f"s{v}") for v in names],
         )
     )
+    groups = groups.withColumn("_whole", whole)
+    whole = F.col("_whole")
     rows = []
     for i, v in enumerate(names):
         n, shift = F.col(f"n{v}"), F.col(f"m{v}") - whole[f"mean{v}"]

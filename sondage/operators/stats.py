@@ -74,8 +74,9 @@ def column_stats(
         rows = []
         for name in part:
             c = F.col(named[name])
-            fields = [F.lit(name).alias("column_name")]
+            fields = [F.lit(columns.index(name)).alias("_id"), F.lit(name).alias("column_name")]
             fields += [MOMENTS[s](c).alias(s) for s in wanted]
+            fields.append(F.count(c).alias("_total"))
             rows.append(F.struct(*fields))
         grouped = values.groupBy(*[column(k) for k in keys])
         return grouped.agg(F.array(*rows).alias("_rows")).select(
@@ -86,8 +87,9 @@ def column_stats(
     result = described(parts[0])
     for part in parts[1:]:
         result = result.unionByName(described(part))
+    order = [*keys, "column_name", *wanted, *quantiles, *(["mode"] if mode else [])]
     if not (quantiles or mode):
-        return result
+        return result.select(*[column(c) for c in order])
 
     long = values.select(
         *[column(k) for k in keys],
@@ -101,24 +103,29 @@ def column_stats(
         ),
     ).where(F.col("_v").isNotNull())
     on = [*keys, "_id"]
-    if fits_one_task(values) if one_task is None else one_task:
-        extra = _from_sorted_counts(long, quantiles, mode, on)
-    else:
-        extra = quantiles_by_counting(long, quantiles, on) if quantiles else None
-        if mode:
-            modes = _modes_by_counting(long, on)
-            extra = extra.join(modes, on, "left") if extra is not None else modes
-    names = F.array(*[F.lit(c) for c in columns])
-    extra = extra.withColumn("column_name", F.get(names, F.col("_id"))).drop("_id")
-    order = [*keys, "column_name", *wanted, *quantiles, *(["mode"] if mode else [])]
+    extra = []
+    if quantiles:
+        if fits_one_task(values) if one_task is None else one_task:
+            totals = result.select(*[column(c) for c in on], "_total")
+            extra.append(_from_sorted_counts(long, quantiles, on, totals))
+        else:
+            extra.append(quantiles_by_counting(long, quantiles, on))
+    if mode:
+        extra.append(_modes(long, on))
     # Groups without any value of a column have no row in ``extra``; keys are never NULL.
-    joined = result.join(extra, [*keys, "column_name"], "left")
-    return joined.select(*[column(c) for c in order])
+    for found in extra:
+        result = result.join(found, on, "left")
+    return result.select(*[column(c) for c in order])
+
+
+def _counts(long: DataFrame, on: Sequence[str]) -> DataFrame:
+    return long.groupBy(*[column(c) for c in on], "_v").agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _mode() -> Column:
+def _modes(long: DataFrame, on: Sequence[str]) -> DataFrame:
     """The smallest of the most frequent values."""
-    return F.max_by("_v", F.struct(F.col("_n"), -F.col("_v"))).alias("mode")
+    best = F.max_by("_v", F.struct(F.col("_n"), -F.col("_v")))
+    return _counts(long, on).groupBy(*[column(c) for c in on]).agg(best.alias("mode"))
 
 
 def _positions(quantiles: dict[str, float]) -> dict[str, Column]:
@@ -134,29 +141,33 @@ def _interpolated(position: Column, low: Column, high: Column) -> Column:
 
 
 def _from_sorted_counts(
-    long: DataFrame, quantiles: dict[str, float], mode: bool, on: Sequence[str]
+    long: DataFrame, quantiles: dict[str, float], on: Sequence[str], totals: DataFrame
 ) -> DataFrame:
-    """Quantiles and mode; the distinct values of a group and column pass through one task."""
-    group = [column(c) for c in on]
-    counts = long.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    if not quantiles:
-        return counts.groupBy(*group).agg(_mode())
-    totals = counts.groupBy(*group).agg(F.sum("_n").alias("_total"))
-    placed = counts.withColumn(
-        "_upto", F.sum("_n").over(W.partitionBy(*group).orderBy("_v"))
-    ).join(totals, list(on))
-
-    def value_at(rank: Column) -> Column:
-        return F.max(
-            F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n")), F.col("_v"))
-        )
+    """Quantiles; the distinct values of a group and column pass through one task.
 
+    ``totals`` has the number of values of every group and column.
+    """
+    group = [column(c) for c in on]
+    in_order = W.partitionBy(*group).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     positions = _positions(quantiles)
-    picked = placed.groupBy(*group).agg(
-        F.max("_total").alias("_total"),
-        *[value_at(F.floor(p)).alias(f"_low_{q}") for q, p in positions.items()],
-        *[value_at(F.ceil(p)).alias(f"_high_{q}") for q, p in positions.items()],
-        *([_mode()] if mode else []),
+
+    def at(rank: Column) -> Column:
+        return (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n"))
+
+    wanted = F.lit(False)
+    for p in positions.values():
+        wanted = wanted | at(F.floor(p)) | at(F.ceil(p))
+    hits = (
+        _counts(long, on)
+        .withColumn("_upto", F.sum("_n").over(in_order))
+        .join(totals, list(on))
+        .where(wanted)
+    )
+    low = {q: F.max(F.when(at(F.floor(p)), F.col("_v"))) for q, p in positions.items()}
+    high = {q: F.max(F.when(at(F.ceil(p)), F.col("_v"))) for q, p in positions.items()}
+    picked = hits.groupBy(*group, "_total").agg(
+        *[c.alias(f"_low_{q}") for q, c in low.items()],
+        *[c.alias(f"_high_{q}") for q, c in high.items()],
     )
     return picked.select(
         *group,
@@ -164,16 +175,9 @@ def _from_sorted_counts(
             _interpolated(p, column(f"_low_{q}"), column(f"_high_{q}")).alias(q)
             for q, p in positions.items()
         ],
-        *(["mode"] if mode else []),
     )
 
 
-def _modes_by_counting(long: DataFrame, on: Sequence[str]) -> DataFrame:
-    group = [column(c) for c in on]
-    counts = long.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    return counts.groupBy(*group).agg(_mode())
-
-
 def _marks(long: DataFrame, quantiles: dict[str, float], on: Sequence[str]) -> DataFrame:
     """Per group and column, sorted values bracketing the wanted quantiles.
 
