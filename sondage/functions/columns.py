@@ -9,6 +9,8 @@ FRACTIONAL = (T.FloatType, T.DoubleType)
 NUMERIC = INTEGRAL + FRACTIONAL + (T.DecimalType,)
 TEXT = (T.StringType, T.CharType, T.VarcharType)
 DATETIME = (T.DateType, T.TimestampType, T.TimestampNTZType)
+# Hexadecimal digits of a SHA-256.
+DIGEST_LENGTH = 64
 NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
@@ -78,7 +80,7 @@ def identity_key(name: str, data_type: T.DataType) -> Column:
     """
     c = column(name)
     if isinstance(data_type, TEXT):
-        return F.when(F.char_length(c) >= 64, F.sha2(c, 256)).otherwise(c)
+        return F.when(F.char_length(c) >= DIGEST_LENGTH, F.sha2(c, 256)).otherwise(c)
     if isinstance(data_type, T.BinaryType):
         return F.sha2(c, 256)
     if isinstance(data_type, T.MapType):

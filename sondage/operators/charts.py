@@ -213,7 +213,7 @@ def heatmap(
     columns = _chosen(df, columns, None)
     if not columns:
         raise ValueError("No numeric columns found for heatmap")
-    if df.limit(RAW_HEATMAP_ROWS + 1).count() > RAW_HEATMAP_ROWS:
+    if len(df.select(F.lit(1)).take(RAW_HEATMAP_ROWS + 1)) > RAW_HEATMAP_ROWS:
         return correlation(df, columns) if len(columns) > 1 else _constant_or_one(df, columns[0])
     order = [order_by] if order_by else columns
     at = F.row_number().over(W.orderBy(*[column(c) for c in order])) - 1  # at most 100 rows

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sondage.functions.columns import (
+    DIGEST_LENGTH,
     FRACTIONAL,
     INTEGRAL,
     NESTED,
@@ -66,16 +67,42 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:
     """Rows (column_name, value, n, rank): the k most frequent values, ties by value.
 
-    The rank filter is pushed below the shuffle, so a task passes on k rows per column.
+    Values are counted, ranked and shuffled by their identity_key, so long texts travel
+    as digests (and their ties are in digest order); the rank filter is pushed below the
+    shuffle. Only the texts of the few long values that made it are then looked up, in a
+    second scan that Spark leaves out when there are none.
     """
     columns = list(columns) if columns is not None else categorical_columns(df)
     require(df, columns)
+    keys = df.select(*[identity_key(n, df.schema[n].dataType).alias(n) for n in columns])
     counted = (
-        df.select(*[column(n).cast("string").alias(n) for n in columns])
-        .unpivot([], [column(n) for n in columns], "column_name", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
+        keys.unpivot([], [column(n) for n in columns], "column_name", "key")
+        .where(F.col("key").isNotNull())
+        .groupBy("column_name", "key")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    by_count = W.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
-    return counted.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= k)
+    by_count = W.partitionBy("column_name").orderBy(F.desc("n"), F.asc("key"))
+    top = counted.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= k)
+
+    is_digest = F.char_length("key") == DIGEST_LENGTH
+    texts = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("column_name"),
+                identity_key(n, df.schema[n].dataType).alias("key"),
+                column(n).cast("string").alias("text"),
+            )
+            for n in columns
+        ]
+    )
+    wanted = top.where(is_digest).select("column_name", "key")  # at most k per column
+    found = (
+        df.select(F.inline(texts))
+        .where(is_digest)
+        .join(F.broadcast(wanted), ["column_name", "key"])
+        .groupBy("column_name", "key")
+        .agg(F.any_value("text").alias("text"))
+    )
+    return top.join(F.broadcast(found), ["column_name", "key"], "left").select(
+        "column_name", F.coalesce("text", "key").alias("value"), "n", "rank"
+    )

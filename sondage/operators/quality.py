@@ -201,16 +201,23 @@ def data_bytes(df: DataFrame) -> DataFrame:
     return nan_as_null(df).agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
-def score(df: DataFrame) -> DataFrame:
-    """One row (missing_pct, duplicate_pct, score, band)."""
-    missed = missing_total(df).select("missing_pct")
-    doubled = duplicates(df).select("duplicate_pct")
+def score(
+    df: DataFrame, missed: DataFrame | None = None, doubled: DataFrame | None = None
+) -> DataFrame:
+    """One row (missing_pct, duplicate_pct, score, band).
+
+    ``missed`` and ``doubled`` are missing_total and duplicates, if they are at hand.
+    """
+    missed = (missing_total(df) if missed is None else missed).select("missing_pct")
+    doubled = (duplicates(df) if doubled is None else doubled).select("duplicate_pct")
     both = missed.withColumn("duplicate_pct", doubled.scalar())
     scored = quality_score(F.col("missing_pct"), F.col("duplicate_pct"))
     return both.withColumn("score", scored).withColumn("band", quality_band(F.col("score")))
 
 
-def report(df: DataFrame) -> DataFrame:
+def report(
+    df: DataFrame, missed: DataFrame | None = None, doubled: DataFrame | None = None
+) -> DataFrame:
     """Shape, missing values, duplicates, types and size as rows (section, key, value)."""
 
     def section(name: str, key: Column, value: Column) -> list[Column]:
@@ -225,13 +232,15 @@ def report(df: DataFrame) -> DataFrame:
         )
         return table.select(F.lit(name).alias("section"), F.inline(pairs))
 
+    missed = missing_total(df) if missed is None else missed
+    doubled = duplicates(df) if doubled is None else doubled
     nulls = null_counts(df)
     shape = nulls.agg(F.max("n_rows").alias("rows"), F.count(F.lit(1)).alias("columns"))
     parts = [
         one_row("shape", shape, ["rows", "columns"]),
-        one_row("missing_values", missing_total(df), ["total_cells", "missing_cells", "missing_pct"]),
+        one_row("missing_values", missed, ["total_cells", "missing_cells", "missing_pct"]),
         missing(df).select(*section("missing_by_column", F.col("column_name"), F.col("missing"))),
-        one_row("duplicates", duplicates(df), ["duplicate_rows", "duplicate_pct"]),
+        one_row("duplicates", doubled, ["duplicate_rows", "duplicate_pct"]),
         type_distribution(df).select(
             *section("data_types", F.col("data_type"), F.col("n_columns"))
         ),

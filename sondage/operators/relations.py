@@ -84,10 +84,15 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return _union(parts).withColumn("r", F.when(F.abs(r) > 1, F.signum(r)).otherwise(r))
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows (column1, column2, correlation) of the full square matrix, to 4 dp."""
+def correlation_matrix(
+    df: DataFrame, columns: Sequence[str] | None = None, pairs: DataFrame | None = None
+) -> DataFrame:
+    """Rows (column1, column2, correlation) of the full square matrix, to 4 dp.
+
+    ``pairs`` are the correlations of the same columns, if they are at hand.
+    """
     columns = list(columns or numeric_columns(df))
-    pairs = correlations(df, columns)
+    pairs = correlations(df, columns) if pairs is None else pairs
     value = rounded(F.col("r"), 4).alias("correlation")
     diagonal = [
         F.struct(
@@ -107,19 +112,22 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
 
 def strong_correlations(
-    df: DataFrame, threshold: float = CORRELATION_THRESHOLD, columns: Sequence[str] | None = None
+    df: DataFrame, threshold: float = CORRELATION_THRESHOLD, pairs: DataFrame | None = None
 ) -> DataFrame:
     """Rows (column1, column2, correlation) with |r| at or above the threshold."""
-    return correlations(df, columns).where(F.abs("r") >= threshold).select(
+    pairs = correlations(df) if pairs is None else pairs
+    return pairs.where(F.abs("r") >= threshold).select(
         "column1", "column2", rounded(F.col("r"), 4).alias("correlation")
     )
 
 
-def numeric_relations(df: DataFrame, threshold: float | None = None) -> DataFrame:
+def numeric_relations(
+    df: DataFrame, threshold: float | None = None, pairs: DataFrame | None = None
+) -> DataFrame:
     """Correlated numeric pairs with label and p-value. None means the default threshold."""
     threshold = CORRELATION_THRESHOLD if threshold is None else threshold
     return (
-        correlations(df)
+        (correlations(df) if pairs is None else pairs)
         .where(F.abs("r") >= threshold)
         .withColumn("p", pearson_p(F.col("r"), F.col("n").cast("double")))
         .select(
@@ -373,7 +381,10 @@ def _capitalised(text: Column) -> Column:
 
 
 def relationships(
-    df: DataFrame, threshold: float | None = None, limit: int | None = 50
+    df: DataFrame,
+    threshold: float | None = None,
+    limit: int | None = 50,
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
     """All relationships found, strongest first, at most ``limit`` (None for all).
 
@@ -384,7 +395,7 @@ def relationships(
     numeric, categorical = numeric_columns(df), categorical_columns(df)
     parts = []
     if len(numeric) >= 2:
-        found = numeric_relations(df, threshold)
+        found = numeric_relations(df, threshold, pairs)
         r = rounded(F.col("r"), 4)
         kind = F.col("relationship_type")
         text = F.format_string(

@@ -3,12 +3,12 @@
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sondage.functions.columns import (
     INTEGRAL,
+    NESTED,
     categorical_columns,
     column,
     nan_as_null,
@@ -22,6 +22,8 @@ from sondage.operators.frequencies import distinct_counts
 from sondage.operators.stats import column_stats
 
 SEED = 42
+# A sample of up to this many rows is a plain top-k.
+DIRECT_SAMPLE = 10_000
 
 
 def _kind(field: T.StructField) -> str:
@@ -30,11 +32,13 @@ def _kind(field: T.StructField) -> str:
     return role(field.dataType)
 
 
-def column_profile(df: DataFrame) -> DataFrame:
+def column_profile(df: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
     """One row per column: role, counts, distinct count and text shares.
 
-    Two scans: one aggregation for the counts, one value count for the distinct values.
+    Two scans: one aggregation for the counts, one value count for the distinct values,
+    unless ``distinct`` has them already.
     """
+    distinct = distinct_counts(df) if distinct is None else distinct
     rows = []
     for position, field in enumerate(df.schema.fields):
         c = column(field.name)
@@ -61,7 +65,7 @@ def column_profile(df: DataFrame) -> DataFrame:
     # Nested columns have no distinct count; an empty table has no value rows.
     countable = F.col("kind") != "other"
     unique = F.when(countable, F.coalesce("unique_values", F.lit(0)))
-    return counted.join(distinct_counts(df), "column_name", "left").withColumn(
+    return counted.join(distinct, "column_name", "left").withColumn(
         "unique_values", unique
     )
 
@@ -131,7 +135,7 @@ def text_constraints(df: DataFrame) -> DataFrame:
 
 
 def _draw(key: Sequence[str], seed: int, salt: str = "") -> Column:
-    """A number that orders rows at random, the same on every run.
+    """A number that orders rows at random, the same on every run: 32 hex digits.
 
     Made from the named key columns, which should identify a row.
     """
@@ -144,20 +148,36 @@ def sample_rows(
 ) -> DataFrame:
     """Exactly n rows at random, or all if the table has no more.
 
-    A top-k over a hash of the key columns (all columns by default): every task keeps n
-    rows, no row is shuffled beyond those, and a second run draws the same rows.
+    A top-k over a hash of the key columns (all columns by default): a second run draws
+    the same rows. The result comes together in one task, every task passing on at most
+    n rows. For large n, rows whose hash is too large to be among the first n are
+    dropped before, provided enough remain.
     """
     if not n:
         return df
     if key:
         require(df, list(key))
-        return df.orderBy(_draw(key, seed)).limit(n)
-    whole = F.xxhash64(*[column(c) for c in _hashable(df)], F.lit(seed))
-    return df.orderBy(whole).limit(n)
+        draw = _draw(key, seed)
+    else:
+        draw = F.md5(
+            F.concat_ws(
+                "|", *[column(f.name).cast("string") for f in _plain(df)], F.lit(str(seed))
+            )
+        )
+    drawn = df.withColumn("_draw", draw)
+    if n > DIRECT_SAMPLE:
+        rows = df.count()
+        # Ten standard deviations above the expected share; in 13 hex digits.
+        share = (n + 10 * n**0.5) / max(rows, 1)
+        if share < 1:
+            likely = drawn.where(F.col("_draw") < f"{int(share * 16**13):013x}")
+            if likely.count() >= n:
+                drawn = likely
+    return drawn.orderBy("_draw").limit(n).drop("_draw")
 
 
-def _hashable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+def _plain(df: DataFrame) -> list[T.StructField]:
+    return [f for f in df.schema.fields if not isinstance(f.dataType, NESTED)]
 
 
 def sample_values(
@@ -166,34 +186,26 @@ def sample_values(
     """Rows (column_name, sample_values): up to n values of rows drawn at random among
     those where the column is present, as strings in drawing order.
 
-    The rank filter is applied before the shuffle: a task passes on n rows per column.
+    One top-k per column, reading that column and the key only; without a key a seeded
+    random number orders the rows, which repeats for the same files.
     """
     if key:
         require(df, list(key))
-    rows = []
     clean = nan_as_null(df)
+    result = None
     for field in df.schema.fields:
         c = column(field.name)
-        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        if isinstance(field.dataType, NESTED):
             c = F.to_json(c)
-        draw = (
-            _draw(key, seed, f"{field.name}:")
-            if key
-            else F.xxhash64(F.lit(field.name), *[column(h) for h in _hashable(df)], F.lit(seed))
+        draw = _draw(key, seed, f"{field.name}:") if key else F.rand(seed)
+        drawn = (
+            clean.where(column(field.name).isNotNull())
+            .select(c.cast("string").alias("value"), draw.alias("draw"))
+            .orderBy("draw", "value")
+            .limit(n)
+            .agg(F.array_sort(F.collect_list(F.struct("draw", "value")))["value"].alias("values"))
+            .where(F.size("values") > 0)
+            .select(F.lit(field.name).alias("column_name"), F.col("values").alias("sample_values"))
         )
-        rows.append(
-            F.struct(
-                F.lit(field.name).alias("column_name"),
-                c.cast("string").alias("value"),
-                draw.cast("string").alias("draw"),
-            )
-        )
-    by_draw = W.partitionBy("column_name").orderBy("draw", "value")
-    drawn = (
-        clean.select(F.inline(F.array(*rows)))
-        .where(F.col("value").isNotNull())
-        .withColumn("rank", F.row_number().over(by_draw))
-        .where(F.col("rank") <= n)
-    )
-    in_order = F.array_sort(F.collect_list(F.struct("rank", "value")))
-    return drawn.groupBy("column_name").agg(in_order["value"].alias("sample_values"))
+        result = drawn if result is None else result.unionByName(drawn)
+    return result

@@ -27,7 +27,7 @@ Aggregate = Callable[[Column], Column]
 COLUMNS_PER_PASS = 40
 SKETCH_K = 800
 MARK_MARGIN = 0.01
-CELL_PARTS = 4096
+CELL_PARTS = 1024
 SALTS = 256
 
 MOMENTS: dict[str, Aggregate] = {

@@ -6,39 +6,40 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondage.functions.columns import categorical_columns, numeric_columns
-from sondage.operators import describe, findings, frequencies, groups, quality, relations
-from sondage.operators.stats import column_stats
+from sondage.operators import describe, findings, groups, quality, relations
+from sondage.plans.shared import Shared
 
 TIERS = ("descriptive", "statistical", "comprehensive")
 
 
-def insights(df: DataFrame, tier: str = "comprehensive") -> DataFrame:
-    numeric, categorical = numeric_columns(df), categorical_columns(df)
+def insights(df: DataFrame, tier: str = "comprehensive", shared: Shared | None = None) -> DataFrame:
+    shared = shared or Shared(df)
     strong = None
-    if tier == "comprehensive" and len(numeric) > 1:
-        strong = relations.strong_correlations(df)
-    return findings.insights(describe.shape(df), len(numeric), len(categorical), strong)
+    if tier == "comprehensive" and shared.correlations is not None:
+        strong = relations.strong_correlations(df, pairs=shared.correlations)
+    return findings.insights(shared.shape, len(shared.numeric), len(shared.categorical), strong)
 
 
-def warnings(df: DataFrame) -> DataFrame:
-    numeric = numeric_columns(df)
-    spread = column_stats(df, numeric, ["std"]) if numeric else None
-    return findings.warnings(quality.missing_total(df), quality.duplicates(df), spread)
+def warnings(df: DataFrame, shared: Shared | None = None) -> DataFrame:
+    shared = shared or Shared(df)
+    return findings.warnings(shared.missing_total, shared.duplicates, shared.spread)
 
 
-def recommendations(df: DataFrame, tier: str = "comprehensive") -> DataFrame:
-    numeric, categorical = numeric_columns(df), categorical_columns(df)
+def recommendations(
+    df: DataFrame, tier: str = "comprehensive", shared: Shared | None = None
+) -> DataFrame:
+    shared = shared or Shared(df)
     shares = None
-    if categorical:
-        rows = describe.shape(df).select("n_rows").scalar()
+    if shared.categorical:
+        rows = shared.shape.select("n_rows").scalar()
         share = F.try_divide(F.col("unique_values").cast("double"), rows.cast("double"))
-        shares = frequencies.distinct_counts(df, categorical).withColumn("unique_share", share)
+        shares = shared.distinct.where(F.col("column_name").isin(shared.categorical))
+        shares = shares.withColumn("unique_share", share)
     return findings.recommendations(
         df.sparkSession,
-        quality.missing_total(df) if tier == "comprehensive" else None,
+        shared.missing_total if tier == "comprehensive" else None,
         shares,
-        describe.moments(df) if numeric and tier != "descriptive" else None,
+        shared.skewness if tier != "descriptive" else None,
     )
 
 
@@ -47,6 +48,7 @@ def analyze(
     tier: str = "comprehensive",
     columns: Sequence[str] | None = None,
     group_by: str | None = None,
+    shared: Shared | None = None,
 ) -> dict[str, DataFrame]:
     """The tables of one analysis, by name; each is lazy.
 
@@ -54,30 +56,35 @@ def analyze(
     """
     if tier not in TIERS:
         raise ValueError(f"Unknown analysis type: {tier}")
-    df = describe.project(df, columns)
-    numeric, categorical = numeric_columns(df), categorical_columns(df)
-    tables = {"shape": describe.shape(df), "column_types": quality.column_types(df)}
+    if shared is None or columns:
+        shared = Shared(describe.project(df, columns))
+    df = shared.df
+    numeric, categorical = shared.numeric, shared.categorical
+    tables = {"shape": shared.shape, "column_types": quality.column_types(df)}
     if numeric:
         tables["numeric_summary"] = describe.numeric_summary(df)
     if categorical:
-        tables["categorical_unique"] = describe.categorical_unique(df)
+        tables["categorical_unique"] = shared.distinct.where(
+            F.col("column_name").isin(categorical)
+        )
         tables["categorical_top"] = describe.categorical_top(df)
     if tier != "descriptive" and numeric:
-        tables["statistical_tests"] = describe.statistical_tests(df)
+        tables["statistical_tests"] = shared.tests
     if tier == "comprehensive":
-        tables["data_quality"] = quality.report(df)
+        tables["data_quality"] = quality.report(df, shared.missing_total, shared.duplicates)
         if len(numeric) > 1:
-            tables["correlation_matrix"] = relations.correlation_matrix(df)
-            tables["strong_correlations"] = relations.strong_correlations(df)
+            pairs = shared.correlations
+            tables["correlation_matrix"] = relations.correlation_matrix(df, pairs=pairs)
+            tables["strong_correlations"] = relations.strong_correlations(df, pairs=pairs)
         if group_by in df.columns and numeric:
             tables["group_sizes"] = groups.group_sizes(df, group_by)
             tables["group_count"] = groups.group_count(df, group_by)
             tables["group_stats"] = groups.group_stats(df, group_by)
         if numeric:
             tables["distributions"] = describe.distributions(df)
-    tables["insights"] = insights(df, tier)
-    tables["warnings"] = warnings(df)
-    tables["recommendations"] = recommendations(df, tier)
+    tables["insights"] = insights(df, tier, shared)
+    tables["warnings"] = warnings(df, shared)
+    tables["recommendations"] = recommendations(df, tier, shared)
     return tables
 
 

@@ -4,8 +4,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
-from sondage.functions.columns import numeric_columns
 from sondage.operators import findings, relations
+from sondage.plans.shared import Shared
 
 
 class RelationshipResult(NamedTuple):
@@ -15,17 +15,22 @@ class RelationshipResult(NamedTuple):
 
 
 def find_relationships(
-    df: DataFrame, threshold: float | None = None, limit: int | None = 50
+    df: DataFrame,
+    threshold: float | None = None,
+    limit: int | None = 50,
+    shared: Shared | None = None,
 ) -> RelationshipResult:
     """Insights are about the relationships kept by ``limit``.
 
     The relationships, one row per column pair at most, are cached: they are read again
     for the insights.
     """
-    found = relations.relationships(df, threshold, limit).cache()
-    several = len(numeric_columns(df)) > 1
+    pairs = (shared or Shared(df)).correlations
+    found = relations.relationships(df, threshold, limit, pairs).cache()
     return RelationshipResult(
         relationships=found,
-        correlation_matrix=relations.correlation_matrix(df) if several else None,
+        correlation_matrix=(
+            relations.correlation_matrix(df, pairs=pairs) if pairs is not None else None
+        ),
         insights=findings.relationship_insights(found),
     )

@@ -20,6 +20,7 @@ from sondage.operators import charts
 from sondage.plans.analysis import analyze, facts
 from sondage.plans.relationships import find_relationships
 from sondage.plans.schema_discovery import discover_schema
+from sondage.plans.shared import Shared
 from sondage.sources.files import file_info
 
 RAW_ROWS = 100
@@ -58,13 +59,14 @@ def collect_report(
     key: Sequence[str] | None = None,
 ) -> tuple[dict[str, dict[str, DataFrame]], list[str]]:
     """The report's tables by section and name, and the titles of the sections."""
-    found = discover_schema(df, key=key)
+    shared = Shared(df)
+    found = discover_schema(df, key=key, shared=shared)
     sections = {"schema": {k: t for k, t in found._asdict().items() if t is not None}}
     titles = ["Schema Discovery"]
-    sections["analysis"] = analyze(df, report_type)
+    sections["analysis"] = analyze(df, report_type, shared=shared)
     titles.append("Data Analysis")
     if report_type == "comprehensive":
-        related = find_relationships(df)
+        related = find_relationships(df, shared=shared)
         sections["relationships"] = {
             "relationships": related.relationships.limit(TOP_RELATIONSHIPS),
             "total": related.relationships.agg(F.count(F.lit(1)).alias("total_relationships")),
@@ -109,8 +111,9 @@ def markdown_lines(
     place costs nothing.
     """
     spark = df.sparkSession
-    found = discover_schema(df)
-    analysis = analyze(df, report_type)
+    shared = Shared(df)
+    found = discover_schema(df, shared=shared)
+    analysis = analyze(df, report_type, shared=shared)
     generated_at = generated_at or datetime.now().strftime("%Y-%m-%d %H:%M:%S")
 
     def fixed(part: int, lines: list[str]) -> DataFrame:
@@ -176,7 +179,7 @@ def markdown_lines(
         within = F.concat_ws(":", "rule", F.element_at(positions, F.col("subject")))
         parts.append(_texts(5 + 2 * order, messages, bullet, within))
     if report_type == "comprehensive":
-        related = find_relationships(df).relationships.agg(F.count(F.lit(1)).alias("n"))
+        related = find_relationships(df, shared=shared).relationships.agg(F.count(F.lit(1)).alias("n"))
         total = F.format_string("Found **%d** significant relationships.", F.col("n"))
         lines = F.array(F.lit(""), F.lit("## Relationship Discovery"), F.lit(""), total, F.lit(""))
         parts.append(

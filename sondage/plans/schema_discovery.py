@@ -6,8 +6,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondage.functions.columns import categorical_columns, numeric_columns
 from sondage.operators import findings, quality, schema
+from sondage.plans.shared import Shared
 
 
 class SchemaResult(NamedTuple):
@@ -22,25 +22,32 @@ class SchemaResult(NamedTuple):
 
 
 def discover_schema(
-    df: DataFrame, sample_size: int | None = None, key: Sequence[str] | None = None
+    df: DataFrame,
+    sample_size: int | None = None,
+    key: Sequence[str] | None = None,
+    shared: Shared | None = None,
 ) -> SchemaResult:
     """Column types, counts, constraints and samples, the quality score, recommendations.
 
     With ``sample_size`` everything is about that many rows drawn at random; ``key``
     names the columns that identify a row, for a repeatable draw.
     """
-    df = schema.sample_rows(df, sample_size, key)
-    shape = df.agg(F.count(F.lit(1)).alias("total_rows"))
-    score = quality.score(df).withColumn("total_columns", F.lit(len(df.columns)))
+    if shared is None or sample_size:
+        shared = Shared(schema.sample_rows(df, sample_size, key))
+    df = shared.df
+    score = quality.score(df, shared.missing_total, shared.duplicates)
     return SchemaResult(
-        overview=score.withColumn("total_rows", shape.scalar()).select(
-            "total_rows", "total_columns", F.col("score").alias("data_quality_score"), "band"
+        overview=score.select(
+            shared.shape.select("n_rows").scalar().alias("total_rows"),
+            F.lit(len(df.columns)).alias("total_columns"),
+            F.col("score").alias("data_quality_score"),
+            "band",
         ),
-        columns=schema.schema_columns(schema.column_profile(df)),
-        numeric_constraints=schema.numeric_constraints(df) if numeric_columns(df) else None,
-        text_constraints=schema.text_constraints(df) if categorical_columns(df) else None,
+        columns=schema.schema_columns(shared.profile),
+        numeric_constraints=schema.numeric_constraints(df) if shared.numeric else None,
+        text_constraints=schema.text_constraints(df) if shared.categorical else None,
         samples=schema.sample_values(df, key),
         recommendations=findings.schema_recommendations(
-            quality.missing_total(df), quality.duplicates(df), len(numeric_columns(df))
+            shared.missing_total, shared.duplicates, len(shared.numeric)
         ),
     )
