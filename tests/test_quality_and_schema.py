@@ -154,6 +154,26 @@ def test_top_values_break_ties_by_value(spark):
     assert [(r["value"], r["n"], r["rank"]) for r in rows] == [("c", 2, 1), ("a", 1, 2)]
 
 
+def test_top_values_give_back_whole_long_texts(spark):
+    long, other = "long " * 300, "z" * 64
+    df = spark.createDataFrame([(v, "x") for v in [long, long, other, "s", "s", "s"]], "v string, w string")
+    rows = {(r["column_name"], r["rank"]): (r["value"], r["n"]) for r in frequencies.top_values(df).collect()}
+    assert rows == {("v", 1): ("s", 3), ("v", 2): (long, 2), ("v", 3): (other, 1), ("w", 1): ("x", 6)}
+
+
+@pytest.mark.parametrize("keys", [1, 2, 4000])
+def test_large_samples_are_the_same_rows(spark, monkeypatch, keys):
+    """Also where the key does not identify rows, so that few hashes are likely ones."""
+    df = spark.range(4000).withColumn("k", F.col("id") % keys)
+    direct = schema.sample_rows(df, 1000, ["k"])
+    monkeypatch.setattr(schema, "DIRECT_SAMPLE", 10)
+    large = schema.sample_rows(df, 1000, ["k"])
+    assert large.count() == 1000
+    assert {r["k"] for r in direct.collect()} == {r["k"] for r in large.collect()}
+    if keys == 4000:
+        assert sorted(direct.collect()) == sorted(large.collect())
+
+
 def test_duplicates_equal_pandas(spark):
     pdf = pd.DataFrame(
         {
