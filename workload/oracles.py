@@ -339,9 +339,9 @@ def outliers_z(f, columns):
 
 
 def pairs_r(f):
-    """Rows (i, j, column1, column2, r, n) from sums of products around the means."""
+    """Rows (i, j, column1, column2, r, n); rounding must not carry r past 1."""
     names = f.numeric
-    return union(
+    pairs = union(
         f"""SELECT {names.index(a)} AS i, {names.index(b)} AS j, '{a}' AS column1,
         '{b}' AS column2, covar_pop({a}, {b}) / nullif(
             sqrt(var_pop(CASE WHEN {b} IS NOT NULL THEN {a} END))
@@ -349,6 +349,8 @@ def pairs_r(f):
         count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n FROM {f.sql}"""
         for a, b in combinations(names, 2)
     )
+    return f"""SELECT * REPLACE (CASE WHEN abs(r) > 1 THEN sign(r)::DOUBLE ELSE r END AS r)
+        FROM ({pairs})"""
 
 
 def matrix(f, digits=4, value="correlation"):
