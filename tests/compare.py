@@ -12,11 +12,11 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 KINDS = {
-    "bigint": "int", "int": "int", "smallint": "int", "double": "float", "float": "float",
+    "bigint": "long", "int": "int", "smallint": "short", "double": "float", "float": "single",
     "string": "text", "boolean": "bool", "date": "date", "timestamp": "time",
-    "timestamp_ntz": "time", "BIGINT": "int", "INTEGER": "int", "HUGEINT": "huge",
-    "DOUBLE": "float", "FLOAT": "float", "VARCHAR": "text", "BOOLEAN": "bool", "DATE": "date",
-    "TIMESTAMP": "time", '"NULL"': "text",
+    "timestamp_ntz": "time", "BIGINT": "long", "INTEGER": "int", "HUGEINT": "huge",
+    "DOUBLE": "float", "FLOAT": "single", "VARCHAR": "text", "BOOLEAN": "bool", "DATE": "date",
+    "TIMESTAMP": "time",
 }
 
 
@@ -69,6 +69,7 @@ def main():
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
