@@ -2,47 +2,62 @@
 
 D'Agostino, Belanger, D'Agostino (1990), "A suggestion for using powerful and
 informative tests of normality"; Anscombe, Glynn (1983) for the kurtosis part.
-Everything is arithmetic over one already aggregated row per column.
+Everything is arithmetic over one already aggregated row per column, in steps: one long
+expression would repeat its parts many times over.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The test is not defined for fewer values.
+FEWEST = 8
 
-def skewness_z(n: Column, g1: Column) -> Column:
-    n = n.cast("double")
-    y = g1 * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
-    y = F.when(y == 0, 1.0).otherwise(y)
-    beta2 = (
-        3.0 * (n * n + 27.0 * n - 70.0) * (n + 1) * (n + 3)
-        / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
-    )
-    w2 = F.sqrt(2.0 * (beta2 - 1.0)) - 1.0
-    delta = 1.0 / F.sqrt(0.5 * F.log(w2))
-    alpha = F.sqrt(2.0 / (w2 - 1.0))
-    return delta * F.log(y / alpha + F.sqrt((y / alpha) * (y / alpha) + 1.0))
-
-
-def kurtosis_z(n: Column, g2: Column) -> Column:
-    n = n.cast("double")
-    expected = 3.0 * (n - 1) / (n + 1)
-    variance = 24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
-    x = (g2 + 3.0 - expected) / F.sqrt(variance)
-    root_beta1 = (
-        6.0 * (n * n - 5.0 * n + 2.0) / ((n + 7) * (n + 9))
-        * F.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
-    )
-    a = 6.0 + 8.0 / root_beta1 * (2.0 / root_beta1 + F.sqrt(1.0 + 4.0 / (root_beta1 * root_beta1)))
-    d = 1.0 + x * F.sqrt(2.0 / (a - 4.0))
-    cube_root = F.signum(d) * F.cbrt(F.try_divide(1.0 - 2.0 / a, F.abs(d)))
-    return (1.0 - 2.0 / (9.0 * a) - cube_root) / F.sqrt(2.0 / (9.0 * a))
-
-
-def k_squared(n: Column, g1: Column, g2: Column) -> Column:
-    """K^2; NULL below 8 values or for a constant column (whose g1, g2 are NULL)."""
-    enough = F.when(n >= 8, n)
-    zs, zk = skewness_z(enough, g1), kurtosis_z(enough, g2)
-    return zs * zs + zk * zk
+
+def with_k_squared(df: DataFrame) -> DataFrame:
+    """Add skewness_z, kurtosis_z and k2 to rows with n, skewness and kurtosis.
+
+    They are NULL below 8 values and for a constant column, whose skewness and kurtosis
+    are NULL. A skewness of exactly 0 counts as y = 1.
+    """
+    n, y, w2, a, d = (F.col(f"_{c}") for c in ("n", "y", "w2", "a", "d"))
+    steps = [
+        {"_n": F.when(F.col("n") >= FEWEST, F.col("n")).cast("double")},
+        {
+            "_y": F.col("skewness") * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2))),
+            "_beta2": 3.0 * (n * n + 27.0 * n - 70.0) * (n + 1) * (n + 3)
+            / ((n - 2) * (n + 5) * (n + 7) * (n + 9)),
+            "_x": (F.col("kurtosis") + 3.0 - 3.0 * (n - 1) / (n + 1))
+            / F.sqrt(24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))),
+            "_s": 6.0 * (n * n - 5.0 * n + 2.0) / ((n + 7) * (n + 9))
+            * F.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))),
+        },
+        {
+            "_y": F.when(y == 0, 1.0).otherwise(y),
+            "_w2": F.sqrt(2.0 * (F.col("_beta2") - 1.0)) - 1.0,
+            "_a": 6.0
+            + 8.0 / F.col("_s") * (2.0 / F.col("_s") + F.sqrt(1.0 + 4.0 / (F.col("_s") * F.col("_s")))),
+        },
+        {
+            "_y": y / F.sqrt(2.0 / (w2 - 1.0)),
+            "_d": 1.0 + F.col("_x") * F.sqrt(2.0 / (a - 4.0)),
+        },
+        {
+            "skewness_z": F.log(y + F.sqrt(y * y + 1.0)) / F.sqrt(0.5 * F.log(w2)),
+            "kurtosis_z": (
+                1.0 - 2.0 / (9.0 * a)
+                - F.signum(d) * F.cbrt(F.try_divide(1.0 - 2.0 / a, F.abs(d)))
+            )
+            / F.sqrt(2.0 / (9.0 * a)),
+        },
+        {
+            "k2": F.col("skewness_z") * F.col("skewness_z")
+            + F.col("kurtosis_z") * F.col("kurtosis_z")
+        },
+    ]
+    result = df
+    for step in steps:
+        result = result.withColumns(step)
+    return result.drop(*[c for c in result.columns if c.startswith("_")])
 
 
 def k_squared_p(k2: Column) -> Column:

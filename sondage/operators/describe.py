@@ -12,7 +12,7 @@ from sondage.functions.columns import (
     require,
     rounded,
 )
-from sondage.functions.normality import k_squared, k_squared_p
+from sondage.functions.normality import k_squared_p, with_k_squared
 from sondage.operators.frequencies import distinct_counts, top_values
 from sondage.operators.stats import column_stats
 
@@ -66,9 +66,7 @@ def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def normality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows (column_name, n, k2, p_value, is_normal)."""
     columns = list(columns or numeric_columns(df))
-    tested = column_stats(df, columns, ["n", "skewness", "kurtosis"]).withColumn(
-        "k2", k_squared(F.col("n"), F.col("skewness"), F.col("kurtosis"))
-    )
+    tested = with_k_squared(column_stats(df, columns, ["n", "skewness", "kurtosis"]))
     p = k_squared_p(F.col("k2"))
     return tested.select(
         "column_name",
@@ -103,11 +101,8 @@ def statistical_tests(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     """moments, normality, value_range and percentiles together, from the same passes."""
     columns = list(columns or numeric_columns(df))
     wanted = ["n", "skewness", "kurtosis", "min", "max"]
-    tested = (
-        column_stats(df, columns, wanted, PERCENTILES)
-        .where(F.col("n") > FEW)
-        .withColumn("k2", k_squared(F.col("n"), F.col("skewness"), F.col("kurtosis")))
-    )
+    found = column_stats(df, columns, wanted, PERCENTILES).where(F.col("n") > FEW)
+    tested = with_k_squared(found)
     p = k_squared_p(F.col("k2"))
     return tested.select(
         "column_name",

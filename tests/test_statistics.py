@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sondage.functions import pvalues
-from sondage.functions.normality import k_squared, k_squared_p, kurtosis_z, skewness_z
+from sondage.functions.normality import k_squared_p, with_k_squared
 from sondage.operators import relations
 
 ANOVA = [
@@ -20,7 +20,7 @@ ANOVA = [
 
 def one_column(spark, values):
     return spark.createDataFrame([(float(v),) for v in values], "x double").agg(
-        F.count("x").alias("n"), F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2")
+        F.count("x").alias("n"), F.skewness("x").alias("skewness"), F.kurtosis("x").alias("kurtosis")
     )
 
 
@@ -28,20 +28,19 @@ def one_column(spark, values):
     "values, z", [([1, 2, 3, 4, 5, 6, 7, 8], 1.0108048609), ([2, 8, 0, 4, 1, 9, 9, 0], 0.4462638537)]
 )
 def test_skewness_z(spark, values, z):
-    found = one_column(spark, values).select(skewness_z(F.col("n"), F.col("g1"))).first()[0]
+    found = with_k_squared(one_column(spark, values)).first()["skewness_z"]
     assert found == pytest.approx(z, abs=1e-9)
 
 
 def test_kurtosis_z(spark):
-    found = one_column(spark, range(20)).select(kurtosis_z(F.col("n"), F.col("g2"))).first()[0]
+    found = with_k_squared(one_column(spark, range(20))).first()["kurtosis_z"]
     assert found == pytest.approx(-1.7058104152, abs=1e-9)
 
 
 def test_normality_needs_eight_values_and_spread(spark):
     for values in ([1, 2, 3, 4, 5, 6, 7], [3] * 20):
-        stats = one_column(spark, values)
-        k2 = k_squared(F.col("n"), F.col("g1"), F.col("g2"))
-        assert stats.select(k2, k_squared_p(k2)).first()[:] == (None, None)
+        tested = with_k_squared(one_column(spark, values))
+        assert tested.select("k2", k_squared_p(F.col("k2"))).first()[:] == (None, None)
 
 
 def test_chi_square_without_correction(spark):
