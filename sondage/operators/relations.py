@@ -34,6 +34,8 @@ SIGNIFICANCE = 0.05
 # only tables with very many columns get larger ones, to keep the number of passes low.
 BLOCK = 3
 MAX_BLOCKS = 20
+# The numeric columns of one analysis of variance pass, for the same reason.
+NUMERIC_PER_PASS = 10
 # A pass over categorical pairs makes this many copies of two keys per row.
 PAIRS_PER_PASS = 45
 
@@ -265,6 +267,15 @@ def variance_by_category(
     require(df, [*numeric, *categorical])
     if not numeric or not categorical:
         raise ValueError("A numeric and a categorical column are needed")
+    if len(numeric) > NUMERIC_PER_PASS:
+        starts = range(0, len(numeric), NUMERIC_PER_PASS)
+        return _union(
+            [
+                variance_by_category(df, numeric[s : s + NUMERIC_PER_PASS], categorical)
+                .withColumn("i", F.col("i") + s)
+                for s in starts
+            ]
+        )
     clean = nan_as_null(df)
     values = [column(c).cast("double").alias(f"_v{i}") for i, c in enumerate(numeric)]
     names = [f"_v{i}" for i in range(len(numeric))]

@@ -24,7 +24,8 @@ from sondage.session import checkpointed, fits_one_task
 
 Aggregate = Callable[[Column], Column]
 
-COLUMNS_PER_PASS = 40
+# Aggregations over more columns outgrow what the JVM compiles.
+COLUMNS_PER_PASS = 10
 SKETCH_K = 800
 MARK_MARGIN = 0.01
 CELL_PARTS = 1024

@@ -5,9 +5,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Inputs estimated below this may be held by one task: an exact percentile or mode
-# keeps a map of the distinct values, which such an input bounds.
-ONE_TASK_BYTES = 64 * 1024 * 1024
+# In inputs estimated below this, the distinct values of a column may pass through one
+# task. Sorting them there is faster than counting in passes only for small inputs: with
+# 20 million rows (320 MB) counting took a sixth of the time.
+ONE_TASK_BYTES = 16 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:

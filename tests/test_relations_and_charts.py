@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import sondage
-from sondage.operators import charts, findings, relations
+from sondage.operators import charts, describe, findings, relations
 
 
 @pytest.fixture(scope="module")
@@ -85,6 +85,18 @@ def test_hot_value_and_unique_value_columns(spark):
     assert eta["a"] == pytest.approx(between / ((pdf["x"] - pdf["x"].mean()) ** 2).sum())
 
 
+def test_many_numeric_columns_take_several_passes(spark):
+    df = spark.range(60).select(
+        (F.col("id") % 3).cast("string").alias("s"), *[(F.col("id") % (c + 2)).alias(f"c{c}") for c in range(12)]
+    )
+    rows = relations.variance_by_category(df).collect()
+    alone = {c: relations.variance_by_category(df, [c]).first()["eta_squared"] for c in ("c1", "c11")}
+    assert sorted((r["i"], r["column1"]) for r in rows) == [(i, f"c{i}") for i in range(12)]
+    assert {r["column1"]: r["eta_squared"] for r in rows if r["column1"] in alone} == pytest.approx(alone)
+    assert relations.correlations(df).count() == 66
+    assert len(describe.moments(df).collect()) == 12
+
+
 def test_a_category_per_row_explains_nothing(spark):
     df = spark.range(50).select(F.col("id").cast("string").alias("s"), F.rand(3).alias("x"))
     row = relations.variance_by_category(df).first()
