@@ -2,9 +2,15 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sondage.llm.packing import harmonic_packing
 from sondage.llm.repetition import repetition_quality
+from sondage.llm.secrets import secret_report
+from sondage.llm.simhash import near_duplicates
+from sondage.llm.toxicity import fit_toxicity, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,6 +25,36 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def remainder(key, divisor: int):
+    """crc32 of an id as text, modulo ``divisor``; a null id has remainder 0."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % divisor, F.lit(0))
+
+
+@query
+def op2_harmonic_packing(spark, folder):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return harmonic_packing(table(spark, folder, "documents"), path)
+
+
+@query
+def op3_covering_simhash(spark, folder):
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op4_trigram_secrets(spark, folder):
+    return secret_report(table(spark, folder, "documents"))
+
+
+@query
+def op8_deobfuscated_toxicity(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = fit_toxicity(docs, labels, lambda key: remainder(key, 3) != 1)
+    scored = score_toxicity(docs, model)
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query
 def op9_repetition_quality(spark, folder):
     return repetition_quality(table(spark, folder, "documents"))
