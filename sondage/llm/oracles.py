@@ -1,3 +1,116 @@
-"""SQL for the queries of this subpackage that SQL can express."""
+"""SQL for the queries of this subpackage that SQL can express.
 
-ORACLES: dict[str, str] = {}
+Without SQL: op1 (sampling), op2 (a tokenizer's ids), op3 and op5 (XXH64, which the SQL
+engine lacks), op6 and op8 (fitted models), op10 (Feistel networks) and the pipeline; they
+are tested against brute-force versions in tests/llm.
+"""
+
+from sondage.llm.secrets import BASE_KINDS, RULES
+
+SPACE = r"[\x20\x09-\x0D]"
+
+
+def repetition() -> str:
+    widths = range(5, 11)
+
+    def gram(n: int) -> str:
+        words = " || ' ' || ".join(f"lead(word, {k}) OVER by_place" for k in range(n))
+        return f"{words} AS g{n}"
+
+    def covered(flag: str, n: int) -> str:
+        return f"max({flag}) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+    again = ", ".join(
+        f"(g{n} IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, g{n} ORDER BY place) > 1)::INT AS again{n}"
+        for n in widths
+    )
+    shares = ", ".join(f"sum(size * {f'in{n}'})::BIGINT AS dup_chars_{n}" for n in widths)
+    inside = ", ".join(f"{covered(f'again{n}', n)} AS in{n}" for n in widths)
+    empty = ", ".join(f"coalesce(dup_chars_{n}, 0) AS dup_chars_{n}" for n in widths)
+    over = " OR ".join(f"coalesce(dup_chars_{n}, 0) > 0.20::DOUBLE * coalesce(word_chars, 0)" for n in widths)
+    return f"""
+    WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    split AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '{SPACE}+'), lambda x: x <> '') AS words FROM texts),
+    words AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place FROM split),
+    grams AS (SELECT doc_id, place, length(word) AS size, {gram(3)}, {', '.join(map(gram, widths))}
+        FROM words WINDOW by_place AS (PARTITION BY doc_id ORDER BY place)),
+    marked AS (SELECT doc_id, place, size,
+        (g3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g3) > 1)::INT AS many3, {again} FROM grams),
+    spread AS (SELECT doc_id, size, {covered('many3', 3)} AS in3, {inside} FROM marked),
+    counts AS (SELECT doc_id, count(*) AS n_words, sum(size)::BIGINT AS word_chars,
+        sum(in3)::BIGINT AS n_repeat_words, {shares} FROM spread GROUP BY doc_id),
+    lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+        unnest(range(len(string_split(text, chr(10))))) AS place FROM texts),
+    seen AS (SELECT doc_id, length(line) AS size,
+        row_number() OVER (PARTITION BY doc_id, line ORDER BY place) > 1 AS again
+        FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+    per_line AS (SELECT doc_id, count(*) AS n_lines, sum(size)::BIGINT AS line_chars,
+        count(*) FILTER (again) AS n_dup_lines,
+        coalesce(sum(size) FILTER (again), 0)::BIGINT AS dup_line_chars FROM seen GROUP BY doc_id),
+    found AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+        coalesce(n_lines, 0) AS n_lines, coalesce(line_chars, 0) AS line_chars,
+        coalesce(dup_line_chars, 0) AS dup_line_chars, {empty},
+        coalesce(n_words, 0) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * coalesce(n_words, 0) AS base_failed,
+        coalesce(dup_line_chars, 0) > 0.20::DOUBLE * coalesce(line_chars, 0) OR {over} AS over
+        FROM texts LEFT JOIN counts USING (doc_id) LEFT JOIN per_line USING (doc_id))
+    SELECT * EXCLUDE (over), NOT base_failed AND NOT over AS kept FROM found"""
+
+
+ASSIGN = (
+    "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|"
+    "[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    "[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+)
+EXPRESSIONS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
+
+
+def secrets() -> str:
+    def spans(order: int, rule) -> str:
+        rx = EXPRESSIONS.get(rule.kind) or rule.expression().replace("'", "''")
+        return f"""SELECT doc_id, {order} AS kind_order, '{rule.kind}' AS kind, place AS start, place + length(m) AS stop, length(g) AS size
+            FROM (SELECT doc_id, unnest(found) AS m, unnest(judged) AS g, unnest(list_transform(range(len(found)), lambda i:
+                list_sum(list_transform(gaps[1:i + 1], lambda x: length(x)))
+                + coalesce(list_sum(list_transform(found[1:i], lambda x: length(x))), 0)))::BIGINT AS place
+            FROM (SELECT doc_id, regexp_extract_all(text, '{rx}') AS found,
+                regexp_extract_all(text, '{rx}', {rule.group}) AS judged,
+                string_split_regex(text, '{rx}') AS gaps FROM texts)) WHERE length(g) >= {rule.least}"""
+
+    every = " UNION ALL ".join(spans(i, r) for i, r in enumerate(RULES))
+    text = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_order){}, '')"
+    base = f"kind_order < {len(BASE_KINDS)}"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)
+    return f"""
+    WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), spans AS ({every})
+    SELECT doc_id, {counts}, sha256({text.format(f" FILTER ({base})")}) AS base_sha256, {text.format("")} AS spans
+    FROM texts LEFT JOIN spans USING (doc_id) GROUP BY doc_id"""
+
+
+def archive() -> str:
+    def digits(part: int) -> str:
+        number = " + ".join(
+            f"((strpos('0123456789abcdef', substr(sha1(data), {10 * part + k + 1}, 1)) - 1)::BIGINT << {36 - 4 * k})"
+            for k in range(10)
+        )
+        return " || ".join(
+            f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n{part} >> {35 - 5 * j}) & 31)::INT + 1, 1)" for j in range(8)
+        ), f"{number} AS n{part}"
+
+    letters = " || ".join(digits(p)[0] for p in range(4))
+    numbers = ", ".join(digits(p)[1] for p in range(4))
+    return f"""
+    WITH rows AS (SELECT page_id, coalesce(html, '') AS data FROM pages),
+    numbered AS (SELECT page_id, strlen(data) AS payload_bytes, max(page_id) OVER (PARTITION BY data) AS keeper, {numbers}
+        FROM rows)
+    SELECT page_id, payload_bytes, {letters} AS payload_digest,
+        CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+    FROM numbered"""
+
+
+ORACLES: dict[str, str] = {
+    "op4_trigram_secrets": secrets(),
+    "op7_warc_archive": archive(),
+    "op9_repetition_quality": repetition(),
+}

@@ -2,15 +2,22 @@
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sondage.llm.mixing import document_rates, fit_domains
 from sondage.llm.packing import harmonic_packing
+from sondage.llm.pitman_yor import fit_pitman_yor, score_texts
+from sondage.llm.pseudonyms import PATTERN, pseudonymise
 from sondage.llm.repetition import repetition_quality
 from sondage.llm.secrets import secret_report
 from sondage.llm.simhash import near_duplicates
+from sondage.llm.sketches import edited_fingerprints
 from sondage.llm.toxicity import fit_toxicity, score_toxicity
+from sondage.llm.warc import read_archive, write_archive
+from sondage.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +37,14 @@ def remainder(key, divisor: int):
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % divisor, F.lit(0))
 
 
+@query
+def op1_pitman_yor(spark, folder):
+    docs = table(spark, folder, "documents")
+    held_out = remainder(docs["doc_id"], 7) == 2
+    scored = score_texts(docs, fit_pitman_yor(docs, ~held_out))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), *scored.columns[1:])
+
+
 @query
 def op2_harmonic_packing(spark, folder):
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +61,33 @@ def op4_trigram_secrets(spark, folder):
     return secret_report(table(spark, folder, "documents"))
 
 
+@query
+def op5_invertible_sketches(spark, folder):
+    return edited_fingerprints(table(spark, folder, "documents"))
+
+
+@query
+def op6_soft_mixing(spark, folder):
+    """Rates that bring poor and toxic documents to a small share of as many tokens."""
+    labels = table(spark, folder, "labels")
+    domain = F.when(F.col("quality") == 0, "poor").when(F.col("toxic") == 1, "toxic").otherwise("good")
+    docs = table(spark, folder, "documents")
+    model = fit_domains(docs, labels.select("doc_id", domain.alias("domain")), ("poor", "good", "toxic"))
+    rates = document_rates(docs, model, {"poor": 0.03, "good": 0.95, "toxic": 0.02})
+    return rates.select(F.col("key").alias("doc_id"), "n_copies", "n_tokens", "p_poor", "p_good", "p_toxic", "rate", "copies")
+
+
+@query
+def op7_warc_archive(spark, folder):
+    archive = new_path(spark, "warc")
+    write_archive(table(spark, folder, "pages"), archive)
+    records = read_archive(spark, archive)
+    return records.select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest",
+        "record_type", "refers_to",
+    )
+
+
 @query
 def op8_deobfuscated_toxicity(spark, folder):
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -58,3 +100,14 @@ def op8_deobfuscated_toxicity(spark, folder):
 @query
 def op9_repetition_quality(spark, folder):
     return repetition_quality(table(spark, folder, "documents"))
+
+
+@query
+def op10_feistel_pseudonyms(spark, folder):
+    docs = table(spark, folder, "documents")
+    n = F.size(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    found = docs.select("doc_id", "text", F.when(F.rlike("text", F.lit("@|[0-9]")), n).otherwise(0).cast("long").alias("n_values"))
+    return pseudonymise(found, "a secret of the corpus")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run

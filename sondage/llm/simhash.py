@@ -59,17 +59,19 @@ def fingerprint(text: bytes, shingle: int) -> int:
 def with_fingerprints(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4
 ) -> DataFrame:
-    """(key, fp): the fingerprint of every row as a signed 64-bit number."""
+    """(key, text_hash, fp): the fingerprint of every row as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").fill_null("").cast(pa.large_binary()).to_pylist()
             fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fps)], ["key", "fp"])
+            columns = [batch.column("key"), batch.column("text_hash"), pa.array(fps)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "text_hash", "fp"])
 
-    source = docs.select(docs[id_column].alias("key"), docs[text_column].alias("text"))
+    key, text = docs[id_column], docs[text_column]
+    source = docs.select(key.alias("key"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     kind = source.schema["key"].dataType.simpleString()
-    return source.mapInArrow(run, f"key {kind}, fp bigint")
+    return source.mapInArrow(run, f"key {kind}, text_hash bigint, fp bigint")
 
 
 def signed(x: int) -> int:
@@ -170,7 +172,9 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, bucket_rows: int = 2048)
     finer = {
         len(masks) + t * parts + i: m for t, mask in masks.items() for i, m in enumerate(finer_masks(mask, radius))
     }
-    rows = _in_tables(fps, masks)
+    # A fingerprint becomes a row per table: small input partitions, not coalesced ones.
+    parts_of = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _in_tables(fps.repartition(parts_of, "fp"), masks)
     hot, n_hot = _hot(rows, bucket_rows)
     if not n_hot:
         return _links(rows, ["t", "k"], radius)
@@ -202,6 +206,16 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, bucket_rows: int = 2048)
     return links.union(_links(rows, ["t", "k", "x", "y"], radius))
 
 
+def _classes(rows: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
+    """(fp, low, root): each distinct fingerprint, the first document that has it (by id,
+    nulls last), and the smallest fingerprint it reaches."""
+    first = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "text_hash"))
+    classes = rows.groupBy("fp").agg(first.alias("low"))
+    links = fingerprint_links(classes.select("fp"), radius, bucket_rows)
+    roots = connected_components(links).withColumnRenamed("node", "fp")
+    return classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -213,14 +227,35 @@ def near_duplicates(
     """One row per row of ``docs``: its id, ``fingerprint`` (16 lower-case hex digits) and
     ``component_id``, the smallest id reachable over links, its own included."""
     rows = checkpointed(with_fingerprints(docs, id_column, text_column, shingle))
-    classes = rows.groupBy("fp").agg(F.min("key").alias("low"))
-    links = fingerprint_links(classes.select("fp"), radius, bucket_rows)
-    roots = connected_components(links).withColumnRenamed("node", "fp")
-    linked = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
+    linked = _classes(rows, radius, bucket_rows)
+    lowest = linked.groupBy("root").agg(F.min("low.key").alias("component_id"))
     named = linked.join(lowest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(
         F.col("key").alias(id_column),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def without_near_duplicates(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    shingle: int = 4,
+    radius: int = 4,
+    bucket_rows: int = 2048,
+) -> DataFrame:
+    """One row of ``docs`` for each component: that with the smallest id (nulls last, then
+    by a hash of the text; of rows that repeat both, any)."""
+    rows = checkpointed(with_fingerprints(docs, id_column, text_column, shingle))
+    linked = _classes(rows, radius, bucket_rows)
+    kept = linked.groupBy("root").agg(F.min("low").alias("low")).select(
+        F.col("low.key").alias("_key"), F.col("low.text_hash").alias("_text_hash")
+    )
+    marked = docs.select(
+        *[docs[c] for c in docs.columns],
+        docs[id_column].alias("_key"), F.xxhash64(docs[text_column]).alias("_text_hash"),
+    )
+    same = marked["_key"].eqNullSafe(kept["_key"]) & (marked["_text_hash"] == kept["_text_hash"])
+    found = marked.join(kept, same, "left_semi")
+    return found.dropDuplicates(["_key", "_text_hash"]).drop("_key", "_text_hash")
