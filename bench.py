@@ -27,6 +27,7 @@ HEADLINE = [
 def main() -> None:
     from pyspark.sql import SparkSession
 
+    from sondage.session import use_folder_below_warehouse
     from workload.queries import QUERIES
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -46,6 +47,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    use_folder_below_warehouse(spark)
     seconds = {}
     for name in chosen:
         taken = []

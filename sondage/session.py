@@ -1,30 +1,34 @@
-"""Where intermediate results go, and how large an input is thought to be."""
+"""Where intermediate results go."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# In inputs estimated below this, the distinct values of a column may pass through one
-# task. Sorting them there is faster than counting in passes only for small inputs: with
-# 20 million rows (320 MB) counting took a sixth of the time.
-ONE_TASK_BYTES = 16 * 1024 * 1024
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, from ``spark.checkpoint.dir``.
 
-    Only where neither the session nor the context names one (a local test) is a
-    temporary folder made.
+    There is no other choice that is right on a cluster, so its absence is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="sondage-")
+        raise RuntimeError(
+            "Set spark.checkpoint.dir to a folder that all executors share, or call "
+            "sondage.session.use_folder_below_warehouse(spark)"
+        )
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def use_folder_below_warehouse(spark: SparkSession) -> None:
+    """Where neither session nor context names a folder: one below the warehouse, which
+    holds the session's tables and so is shared as well."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        spark.sparkContext.setCheckpointDir(f"{warehouse}/_shared")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -35,16 +39,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     also one recomputed after the loss of an executor, sees the same rows."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df``, or None where the session gives none."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    size = estimated_bytes(df)
-    return size is not None and size <= ONE_TASK_BYTES

@@ -63,6 +63,7 @@ def main():
     from pyspark.sql import SparkSession
 
     from __spark_entry__ import oracle_sql, queries
+    from sondage.session import use_folder_below_warehouse
 
     folder, chosen = sys.argv[1], sys.argv[2:]
     spark = (
@@ -73,6 +74,7 @@ def main():
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    use_folder_below_warehouse(spark)
     con, sql = database(folder), oracle_sql()
     for name, run in queries().items():
         if chosen and name not in chosen:
