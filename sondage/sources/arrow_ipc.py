@@ -1,7 +1,7 @@
 """Arrow IPC (Feather version 2) files as a Spark data source.
 
-Reading makes one partition of every group of record batches of every file; only the
-file footers are opened while planning. Writing gives one file per task, renamed into
+Reading makes partitions of the files' sizes; footers are opened, and schemas compared, in
+the tasks. Only the first file's schema is read while planning. Writing gives one file per task, renamed into
 place when the job commits, so that lost or repeated tasks leave nothing behind.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql.datasource import (
     InputPartition,
     WriterCommitMessage,
 )
-from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 # Executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -59,8 +59,8 @@ def _files(path: str) -> list[str]:
 @dataclass
 class Batches(InputPartition):
     path: str
-    first: int
-    last: int
+    share: int
+    shares: int
 
 
 @dataclass
@@ -89,38 +89,42 @@ class ArrowFiles(DataSource):
         return ArrowReader(self._path(), schema)
 
     def writer(self, schema, overwrite):
-        return ArrowWriter(self._path(), overwrite)
+        return ArrowWriter(self._path(), schema, overwrite)
 
 
 class ArrowReader(DataSourceReader):
-    batches_per_partition = 16
+    bytes_per_partition = 64 * 1024 * 1024
 
     def __init__(self, path, schema):
         self.path = path
-        self.names = schema.fieldNames()
+        self.fields = {f.name: f.dataType for f in schema.fields}
 
     def partitions(self):
+        """From the listing alone: each file in shares of about the same size."""
         system, _ = _filesystem(self.path)
         parts = []
-        for path in _files(self.path):
-            with system.open_input_file(path) as source, pa.ipc.open_file(source) as reader:
-                count = reader.num_record_batches
-            step = self.batches_per_partition
-            parts += [
-                Batches(path, i, min(i + step, count)) for i in range(0, max(count, 1), step)
-            ]
+        for info in system.get_file_info(_files(self.path)):
+            shares = max(1, -(-info.size // self.bytes_per_partition))
+            parts += [Batches(info.path, i, shares) for i in range(shares)]
         return parts
 
     def read(self, partition):
         system, _ = _filesystem(self.path)
         with system.open_input_file(partition.path) as source, pa.ipc.open_file(source) as reader:
-            for i in range(partition.first, partition.last):
-                yield reader.get_batch(i).select(self.names)
+            found = from_arrow_schema(reader.schema, prefer_timestamp_ntz=True)
+            types = {f.name: f.dataType for f in found.fields}
+            for name, kind in self.fields.items():
+                if types.get(name) != kind:
+                    raise ValueError(f"{partition.path} has {name} as {types.get(name)}, not {kind}")
+            count = reader.num_record_batches
+            for i in range(count * partition.share // partition.shares, count * (partition.share + 1) // partition.shares):
+                yield reader.get_batch(i).select(list(self.fields))
 
 
 class ArrowWriter(DataSourceArrowWriter):
-    def __init__(self, path, overwrite):
+    def __init__(self, path, schema, overwrite):
         self.path = path
+        self.schema = schema
         self.overwrite = overwrite
         self.job = uuid.uuid4().hex
 
@@ -145,9 +149,13 @@ class ArrowWriter(DataSourceArrowWriter):
     def commit(self, messages):
         system, root = _filesystem(self.path)
         old = _files(self.path) if self.overwrite else []
-        for message in messages:
-            if message is not None and message.final:
-                system.move(message.temporary, message.final)
+        written = [m for m in messages if m is not None and m.final]
+        for message in written:
+            system.move(message.temporary, message.final)
+        if not written:  # an empty table still has a schema
+            system.create_dir(root, recursive=True)
+            with system.open_output_stream(f"{root}/part-{self.job}.arrow") as sink:
+                pa.ipc.new_file(sink, to_arrow_schema(self.schema)).close()
         for path in old:
             if "/_temporary-" not in path:
                 system.delete_file(path)

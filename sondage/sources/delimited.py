@@ -18,7 +18,7 @@ NA_TOKENS = [
 # Candidate delimiters in order of preference.
 DELIMITERS = [",", ";", "\t", "|"]
 
-INTEGER = r"^\s*[+-]?\d{1,18}\s*$"
+INTEGER = r"^\s*[+-]?\d+\s*$"
 NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|Inf|infinity|Infinity)\s*$"
 DAY = r"^\d{4}-\d{2}-\d{2}$"
 MOMENT = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?$"
@@ -29,7 +29,8 @@ def _csv_options(encoding: str, delimiter: str, options: dict) -> dict:
     """Quotes are doubled inside quoted text, as RFC 4180 has it."""
     return {
         "header": "true", "sep": delimiter, "encoding": encoding,
-        "quote": '"', "escape": '"', **options,
+        "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false", **options,
     }
 
 
@@ -39,12 +40,17 @@ def missing_tokens_as_null(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) ->
     if not texts:
         return df
     return df.withColumns(
-        {n: F.when(~F.trim(column(n)).isin(list(tokens)), column(n)) for n in texts}
+        {n: F.when(~column(n).isin(list(tokens)), column(n)) for n in texts}
     )
 
 
-# Narrowest first: a column gets the first type all its values have.
-TYPES = [("boolean", TRUTH), ("bigint", INTEGER), ("double", NUMBER), ("date", DAY), ("timestamp", MOMENT)]
+# Narrowest first: a column gets the first type all its values have. Integers never become
+# doubles, in which different ones would fall together: beyond bigint they are decimals,
+# beyond these text.
+TYPES = [
+    ("boolean", TRUTH), ("bigint", INTEGER), ("decimal(38,0)", INTEGER), ("string", INTEGER),
+    ("double", NUMBER), ("date", DAY), ("timestamp", MOMENT),
+]
 
 
 def _has_type(c: Column, name: str, pattern: str) -> Column:
@@ -73,7 +79,9 @@ def with_inferred_types(df: DataFrame) -> DataFrame:
     types = infer_types(df)
     if not types:
         return df
-    return df.withColumns({n: F.trim(column(n)).try_cast(kind) for n, kind in types.items()})
+    return df.withColumns(
+        {n: F.trim(column(n)).try_cast(kind) for n, kind in types.items() if kind != "string"}
+    )
 
 
 def read_csv(
@@ -82,7 +90,7 @@ def read_csv(
     encoding: str = "utf-8",
     delimiter: str = ",",
     schema: T.StructType | str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     na_tokens: Sequence[str] = NA_TOKENS,
     **options,
 ) -> DataFrame:
@@ -90,9 +98,12 @@ def read_csv(
 
     Missing-value tokens become NULL and types are inferred from all rows, unless a
     ``schema`` is given. Files are read in splits, so there is no chunk size to choose.
-    ``multi_line`` is needed where quoted text holds line breaks; such files are not split.
+    Where quoted text holds line breaks, files are not split (``multi_line``); by default
+    that is found out by a pass over all lines.
     """
     paths = [path] if isinstance(path, str) else list(path)
+    if multi_line is None:
+        multi_line = has_open_quotes(spark, paths)
     settings = _csv_options(encoding, delimiter, {"multiLine": str(multi_line).lower(), **options})
     reader = spark.read.options(**settings)
     if schema is not None:
@@ -105,6 +116,13 @@ def read_csv(
     return with_inferred_types(missing_tokens_as_null(reader.csv(paths), na_tokens))
 
 
+def has_open_quotes(spark: SparkSession, paths: Sequence[str]) -> bool:
+    """Whether some line has an odd number of quotes, so that a value goes on in the next.
+    Bytes of other encodings that hold ASCII as it is can be counted as well."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(list(paths)).where(quotes % 2 == 1).isEmpty()
+
+
 def write_csv(
     df: DataFrame,
     path: str,

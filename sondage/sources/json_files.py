@@ -1,19 +1,14 @@
 """JSON tables: lines, arrays of records, and the column-oriented layout."""
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.functions.columns import column
 from sondage.sources.delimited import with_inferred_types
 
-# Characters of the first line that tell the layout.
-HEAD = 400
-
 
 def read_json(spark: SparkSession, path: str, layout: str | None = None, **options) -> DataFrame:
-    """Read JSON of a given layout, or of the one the first line suggests.
+    """Read JSON of a given layout, or of the one the files have.
 
     lines: one object per line, split freely. records: an array of objects per file,
     streamed by one task per file. columns: {"column": {"row": value}} per file.
@@ -29,18 +24,40 @@ def read_json(spark: SparkSession, path: str, layout: str | None = None, **optio
 
 
 def guess_layout(spark: SparkSession, path: str) -> str:
-    """An array starts records; an object whose first member is an object with row 0 is
-    column-oriented; else lines. Only the head of the first line is looked at."""
-    head = (
-        spark.read.text(path)
-        .where(F.trim("value") != "")
-        .select(F.regexp_replace(F.substring("value", 1, HEAD), r"\s", "").alias("head"))
-        .take(1)
+    """Lines if every line that is not blank is an object by itself (column-oriented, if
+    the only line of each file is one); else the whole files are parsed: arrays hold
+    records, objects whose members are all objects are column-oriented. Anything else is
+    an error."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    kind = F.when(_is_object(F.col("value")), 0).otherwise(1)
+    file = F.col("_metadata.file_path")
+    seen = lines.agg(F.max(kind).alias("broken"), F.count("value").alias("n"), F.count_distinct(file).alias("files")).first()
+    if seen["n"] == 0:
+        return "lines"
+    if seen["broken"] == 0 and seen["n"] > seen["files"]:
+        return "lines"
+    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value")).where("value <> ''")
+    layout = (
+        F.when(F.col("value").startswith("["), "records")
+        .when(F.col("value") == "{}", "records")
+        .when(_members_are_objects(F.col("value")), "columns")
+        .when(_is_object(F.col("value")), "lines")
     )
-    start = head[0]["head"] if head else ""
-    if start.startswith("[") or start == "{":
-        return "records"
-    return "columns" if re.match(r'\{"[^"]*":\{"0":', start) else "lines"
+    layouts = {r[0] for r in whole.select(layout.alias("layout")).distinct().collect()}
+    if len(layouts) != 1 or None in layouts:
+        raise ValueError(f"The layout of {path} is unclear: name one of lines, records, columns")
+    return layouts.pop()
+
+
+def _is_object(text: Column) -> Column:
+    members = F.from_json(text, "map<string, string>")
+    return text.rlike(r"^\s*\{") & text.rlike(r"\}\s*$") & members.isNotNull()
+
+
+def _members_are_objects(text: Column) -> Column:
+    """A document of at least one member, each an object of plain values."""
+    members = F.map_values(F.from_json(text, "map<string, string>"))
+    return (F.size(members) > 0) & F.forall(members, lambda m: m.startswith("{") & m.endswith("}"))
 
 
 def _column_oriented(spark: SparkSession, path: str) -> DataFrame:
