@@ -19,12 +19,13 @@ def with_k_squared(df: DataFrame) -> DataFrame:
     They are NULL below 8 values and for a constant column, whose skewness and kurtosis
     are NULL. A skewness of exactly 0 counts as y = 1.
     """
-    n, y, w2, a, d = (F.col(f"_{c}") for c in ("n", "y", "w2", "a", "d"))
+    n, y, w, a, d = (F.col(f"_{c}") for c in ("n", "y", "w", "a", "d"))
     steps = [
         {"_n": F.when(F.col("n") >= FEWEST, F.col("n")).cast("double")},
         {
             "_y": F.col("skewness") * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2))),
-            "_beta2": 3.0 * (n * n + 27.0 * n - 70.0) * (n + 1) * (n + 3)
+            # What the expected kurtosis exceeds 3 by, its 3 cancelled beforehand.
+            "_e": 36.0 * (n * n * n - 5.0 * n * n - 19.0 * n + 35.0)
             / ((n - 2) * (n + 5) * (n + 7) * (n + 9)),
             "_x": (F.col("kurtosis") + 3.0 - 3.0 * (n - 1) / (n + 1))
             / F.sqrt(24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))),
@@ -33,16 +34,17 @@ def with_k_squared(df: DataFrame) -> DataFrame:
         },
         {
             "_y": F.when(y == 0, 1.0).otherwise(y),
-            "_w2": F.sqrt(2.0 * (F.col("_beta2") - 1.0)) - 1.0,
+            # sqrt(2 (e + 2)) - 2
+            "_w": 2.0 * F.col("_e") / (F.sqrt(4.0 + 2.0 * F.col("_e")) + 2.0),
             "_a": 6.0
             + 8.0 / F.col("_s") * (2.0 / F.col("_s") + F.sqrt(1.0 + 4.0 / (F.col("_s") * F.col("_s")))),
         },
         {
-            "_y": y / F.sqrt(2.0 / (w2 - 1.0)),
+            "_y": y / F.sqrt(2.0 / w),
             "_d": 1.0 + F.col("_x") * F.sqrt(2.0 / (a - 4.0)),
         },
         {
-            "skewness_z": F.log(y + F.sqrt(y * y + 1.0)) / F.sqrt(0.5 * F.log(w2)),
+            "skewness_z": F.asinh(y) / F.sqrt(0.5 * F.log1p(w)),
             "kurtosis_z": (
                 1.0 - 2.0 / (9.0 * a)
                 - F.signum(d) * F.cbrt(F.try_divide(1.0 - 2.0 / a, F.abs(d)))

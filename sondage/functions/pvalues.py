@@ -1,10 +1,13 @@
 """Tail probabilities Spark SQL lacks, for rows that are already reduced.
 
-The UDFs see one row per column pair, never table rows.
+The UDFs see one row per column pair, never table rows. Nothing cancels and nothing is cut
+off: products of large powers are taken by log1p(u) - u around their largest value, and
+continued fractions go on until they have converged.
 """
 
 import math
 import sys
+from itertools import count
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -16,10 +19,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TINY = 1e-300
 EPSILON = 1e-15
-STEPS = 20_000
-# Above this many degrees of freedom the cube-root normal approximations of Wilson and
-# Hilferty (chi-square) and Paulson (F) are exact to the six decimals reported.
-MANY = 1e6
+LARGE = 1e5
 
 
 def _continued_fraction(terms, first):
@@ -33,59 +33,88 @@ def _continued_fraction(terms, first):
         c = c if c != 0 else TINY
         value *= c * d
         if abs(c * d - 1.0) < EPSILON:
-            break
+            return value
     return value
 
 
 def _beta_terms(a, b, x):
     yield 1.0, 1.0
-    for m in range(STEPS):
+    for m in count():
         if m > 0:
             yield m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), 1.0
         yield -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)), 1.0
 
 
-def _log_gamma_step(a: float, b: float) -> float:
-    """log(gamma(a + b) / gamma(a)) without cancelling two huge logarithms."""
-    if a > 1e5 and b < 1e3:
-        return b * math.log(a) + b * (b - 1.0) / (2.0 * a)
-    return math.lgamma(a + b) - math.lgamma(a)
+def _log1p_less(u: float) -> float:
+    """log(1 + u) - u."""
+    if abs(u) > 0.01:
+        return math.log1p(u) - u
+    total, power = 0.0, -u * u
+    for k in range(2, 12):
+        total += power / k
+        power *= -u
+    return total
 
 
-def _normal_tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2.0))
+def _stirling_rest(a: float) -> float:
+    """log(gamma(a)) less (a - 1/2) log(a) - a + log(2 pi) / 2."""
+    if a < 10.0:
+        return math.lgamma(a) - (a - 0.5) * math.log(a) + a - 0.5 * math.log(2 * math.pi)
+    s = 1.0 / (a * a)
+    return (1 / 12 - s * (1 / 360 - s * (1 / 1260 - s / 1680))) / a
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
+def _log_beta_front(a: float, b: float, x: float, y: float) -> float:
+    """log(x^a y^b / B(a, b)) where x + y = 1."""
+    at_peak = 0.5 * (math.log(a) + math.log(b) - math.log(a + b) - math.log(2 * math.pi))
+    rest = _stirling_rest(a + b) - _stirling_rest(a) - _stirling_rest(b)
+    off = x * b - a * y
+    return a * _log1p_less(off / a) + b * _log1p_less(-off / b) + at_peak + rest
+
+
+def beta_tails(a: float, b: float, x: float, y: float) -> tuple[float, float]:
+    """I_x(a, b) and 1 - I_x(a, b), the regularised incomplete beta; y is 1 - x, given
+    because it may be known to more digits."""
     if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
+        return 0.0, 1.0
+    if y <= 0.0:
+        return 1.0, 0.0
+    if b > LARGE * max(a, 1.0):
+        high, low = beta_tails(b, a, y, x)
+        return low, high
+    if a > LARGE * max(b, 1.0):
+        # -log of such a variable follows a gamma distribution, up to terms of (b / a)^2;
+        # the fraction below would creep towards its value in steps too small to notice.
+        upper = upper_gamma(b, -(a + (b - 1.0) / 2.0) * math.log1p(-y))
+        return upper, 1.0 - upper
     if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - incomplete_beta(b, a, 1.0 - x)
-    large, small = max(a, b), min(a, b)
-    log_front = (
-        _log_gamma_step(large, small) - math.lgamma(small)
-        + a * math.log(x) + b * math.log1p(-x)
-    )
-    return math.exp(log_front) / a * _continued_fraction(_beta_terms(a, b, x), 0.0)
+        high, low = beta_tails(b, a, y, x)
+        return low, high
+    tail = math.exp(_log_beta_front(a, b, x, y)) / a * _continued_fraction(_beta_terms(a, b, x), 0.0)
+    return tail, 1.0 - tail
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta I_x(a, b)."""
+    return beta_tails(a, b, x, 1.0 - x)[0]
 
 
 def upper_gamma(a: float, x: float) -> float:
     """Regularised upper incomplete gamma Q(a, x)."""
     if x <= 0.0:
         return 1.0
-    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    front = math.exp(
+        a * _log1p_less((x - a) / a) + 0.5 * math.log(a / (2 * math.pi)) - _stirling_rest(a)
+    )
     if x < a + 1.0:
         term = total = 1.0 / a
         step = a
-        while abs(term) > EPSILON * abs(total):
+        while term > EPSILON * total:
             step += 1.0
             term *= x / step
             total += term
         return max(0.0, 1.0 - front * total)
-    terms = ((1.0 if k == 0 else k * (a - k), x + 2 * k + 1 - a) for k in range(STEPS))
+    terms = ((1.0 if k == 0 else k * (a - k), x + 2 * k + 1 - a) for k in count())
     return front * _continued_fraction(terms, 0.0)
 
 
@@ -94,7 +123,8 @@ def pearson_p_value(r: float, n: float) -> float | None:
         return None
     if n == 2:
         return 1.0
-    return incomplete_beta(n / 2.0 - 1.0, 0.5, max(0.0, 1.0 - r * r))
+    square = min(1.0, r * r)
+    return beta_tails(0.5, n / 2.0 - 1.0, square, 1.0 - square)[1]
 
 
 def anova_p_value(f: float, groups: float, n: float) -> float | None:
@@ -103,20 +133,13 @@ def anova_p_value(f: float, groups: float, n: float) -> float | None:
         return None
     if math.isinf(f):
         return 0.0
-    if min(between, within) > MANY:
-        spread_b, spread_w = 2.0 / (9.0 * between), 2.0 / (9.0 * within)
-        root = f ** (1.0 / 3.0)
-        z = (1.0 - spread_w) * root - (1.0 - spread_b)
-        return _normal_tail(z / math.sqrt(spread_w * root * root + spread_b))
-    return incomplete_beta(within / 2.0, between / 2.0, within / (within + between * f))
+    whole = within + between * f
+    return beta_tails(within / 2.0, between / 2.0, within / whole, between * f / whole)[0]
 
 
 def chi_square_p_value(x: float, dof: float) -> float | None:
     if dof <= 0:
         return None
-    if dof > MANY:
-        spread = 2.0 / (9.0 * dof)
-        return _normal_tail(((x / dof) ** (1.0 / 3.0) - (1.0 - spread)) / math.sqrt(spread))
     return upper_gamma(dof / 2.0, x / 2.0)
 
 

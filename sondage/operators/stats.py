@@ -1,9 +1,8 @@
 """Statistics of many columns at once, one output row per (group and) column.
 
-Counts, means, deviations and extremes of all columns come from one aggregation.
-Exact quantiles and modes come from the counts of the distinct values. Where Catalyst
-estimates the input small enough, one task sorts the distinct values of one column.
-Otherwise quantiles are found by counting, with no task ever holding a column or a group:
+Counts, means, deviations and extremes of all columns come from one aggregation. Modes
+come from the counts of the distinct values, of the column's own type. Exact quantiles are
+found by counting, at every size, with no task ever holding a column or a group:
 
 1. a KLL sketch per column proposes marks near the wanted quantiles;
 2. one pass counts the rows of every cell between marks (and of equal-width parts of
@@ -14,13 +13,14 @@ A poor sketch only makes the kept cells larger. It never changes the result.
 """
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sondage.functions.columns import column, nan_as_null, require
-from sondage.session import checkpointed, fits_one_task
+from sondage.session import checkpointed
 
 Aggregate = Callable[[Column], Column]
 
@@ -30,6 +30,7 @@ SKETCH_K = 800
 MARK_MARGIN = 0.01
 CELL_PARTS = 1024
 SALTS = 256
+JOIN_SALTS = 16
 
 MOMENTS: dict[str, Aggregate] = {
     "n": F.count,
@@ -50,14 +51,13 @@ def column_stats(
     quantiles: dict[str, float] | None = None,
     mode: bool = False,
     keys: Sequence[str] = (),
-    one_task: bool | None = None,
 ) -> DataFrame:
     """Rows (keys..., column_name, wanted..., quantiles..., mode), all over non-missing
     values as doubles. Undefined statistics are NULL.
 
     ``wanted`` names entries of MOMENTS, ``quantiles`` maps an output name to a
-    probability (linear interpolation); rows with a NULL key are left out, ``mode`` adds the smallest most frequent value.
-    ``one_task`` overrides the size check.
+    probability (linear interpolation); rows with a NULL key are left out, ``mode`` adds
+    the smallest most frequent value.
     """
     require(df, [*columns, *keys])
     quantiles = quantiles or {}
@@ -106,27 +106,35 @@ def column_stats(
     on = [*keys, "_id"]
     extra = []
     if quantiles:
-        if fits_one_task(values) if one_task is None else one_task:
-            totals = result.select(*[column(c) for c in on], "_total")
-            extra.append(_from_sorted_counts(long, quantiles, on, totals))
-        else:
-            extra.append(quantiles_by_counting(long, quantiles, on))
+        extra.append(quantiles_by_counting(long, quantiles, on))
     if mode:
-        extra.append(_modes(long, on))
+        extra.append(_modes(clean, named, on))
     # Groups without any value of a column have no row in ``extra``; keys are never NULL.
     for found in extra:
         result = result.join(found, on, "left")
     return result.select(*[column(c) for c in order])
 
 
-def _counts(long: DataFrame, on: Sequence[str]) -> DataFrame:
-    return long.groupBy(*[column(c) for c in on], "_v").agg(F.count(F.lit(1)).alias("_n"))
-
-
-def _modes(long: DataFrame, on: Sequence[str]) -> DataFrame:
-    """The smallest of the most frequent values."""
-    best = F.max_by("_v", F.struct(F.col("_n"), -F.col("_v")))
-    return _counts(long, on).groupBy(*[column(c) for c in on]).agg(best.alias("mode"))
+def _modes(clean: DataFrame, named: dict[str, str], on: Sequence[str]) -> DataFrame:
+    """The smallest of the most frequent values, compared in the column's own type:
+    as doubles, large integers would fall together. One pass for the columns of a type."""
+    by_type: dict[str, list[tuple[int, str]]] = {}
+    for i, name in enumerate(named):
+        kind = clean.schema[name].dataType
+        by_type.setdefault(kind.simpleString(), []).append((i, name))
+    keys, parts = [column(c) for c in on[:-1]], []
+    for found in by_type.values():
+        cells = F.array(*[F.struct(F.lit(i).alias("_id"), column(n).alias("_v")) for i, n in found])
+        counts = (
+            clean.select(*keys, F.inline(cells))
+            .where(F.col("_v").isNotNull())
+            .groupBy(*keys, "_id", "_v")
+            .agg(F.count(F.lit(1)).alias("_n"))
+        )
+        # Of equal counts the smallest value: the first by (-count, value).
+        best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_v").alias("v")))["v"]
+        parts.append(counts.groupBy(*keys, "_id").agg(best.cast("double").alias("mode")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _positions(quantiles: dict[str, float]) -> dict[str, Column]:
@@ -141,44 +149,6 @@ def _interpolated(position: Column, low: Column, high: Column) -> Column:
     return F.when(low == high, low).otherwise(weighted)
 
 
-def _from_sorted_counts(
-    long: DataFrame, quantiles: dict[str, float], on: Sequence[str], totals: DataFrame
-) -> DataFrame:
-    """Quantiles; the distinct values of a group and column pass through one task.
-
-    ``totals`` has the number of values of every group and column.
-    """
-    group = [column(c) for c in on]
-    in_order = W.partitionBy(*group).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    positions = _positions(quantiles)
-
-    def at(rank: Column) -> Column:
-        return (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n"))
-
-    wanted = F.lit(False)
-    for p in positions.values():
-        wanted = wanted | at(F.floor(p)) | at(F.ceil(p))
-    hits = (
-        _counts(long, on)
-        .withColumn("_upto", F.sum("_n").over(in_order))
-        .join(totals, list(on))
-        .where(wanted)
-    )
-    low = {q: F.max(F.when(at(F.floor(p)), F.col("_v"))) for q, p in positions.items()}
-    high = {q: F.max(F.when(at(F.ceil(p)), F.col("_v"))) for q, p in positions.items()}
-    picked = hits.groupBy(*group, "_total").agg(
-        *[c.alias(f"_low_{q}") for q, c in low.items()],
-        *[c.alias(f"_high_{q}") for q, c in high.items()],
-    )
-    return picked.select(
-        *group,
-        *[
-            _interpolated(p, column(f"_low_{q}"), column(f"_high_{q}")).alias(q)
-            for q, p in positions.items()
-        ],
-    )
-
-
 def _marks(long: DataFrame, quantiles: dict[str, float], on: Sequence[str]) -> DataFrame:
     """Per group and column, sorted values bracketing the wanted quantiles.
 
@@ -204,16 +174,24 @@ def quantiles_by_counting(
 ) -> DataFrame:
     """Exact quantiles of rows (on..., _v) by the three passes above.
 
-    ``on`` ends with the column's number; what comes before are group keys.
+    ``on`` ends with the column's number; what comes before are group keys. Their small
+    tables are joined on the key and a salt of the row, so that the rows of a hot group are
+    spread over JOIN_SALTS tasks.
     """
     grouped = len(on) > 1
     group = [column(c) for c in on]
+    salts = F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))
+    by = [*on, "_spread"] if grouped else list(on)
+    if grouped:
+        long = long.withColumn("_spread", F.pmod(F.monotonically_increasing_id(), F.lit(JOIN_SALTS)).cast("int"))
+
+    def side(table: DataFrame) -> DataFrame:
+        # Without groups: one row per column, or two per column and quantile.
+        return table.withColumn("_spread", F.explode(salts)) if grouped else F.broadcast(table)
 
     # Both small tables are computed once and kept: later passes must see the same
     # marks and cells even if an executor is lost in between.
-    marks = checkpointed(_marks(long, quantiles, on))
-    if not grouped:
-        marks = F.broadcast(marks)  # one row per column
+    marks = side(checkpointed(_marks(long, quantiles, on)))
 
     v, m = F.col("_v"), F.col("_marks")
     count_of_marks = 2 * len(set(quantiles.values()))
@@ -226,7 +204,7 @@ def quantiles_by_counting(
         F.lit(0),
     )
     placed = (
-        long.join(marks, on)
+        long.join(marks, by)
         .withColumn("_above", above)
         .withColumn("_cell", F.col("_above") + reached)
         .withColumn("_lo", F.get(m, F.col("_above") - 1))
@@ -272,11 +250,9 @@ def quantiles_by_counting(
         .where(F.size("_ranks") > 0)
         .select(*group, "_first", "_last", "_before", "_total", "_ranks")
     )
-    targets = checkpointed(targets)
-    if not grouped:
-        targets = F.broadcast(targets)  # at most two rows per column and quantile
+    targets = side(checkpointed(targets))
 
-    kept = long.join(targets, on).where(v.between(F.col("_first"), F.col("_last")))
+    kept = long.join(targets, by).where(v.between(F.col("_first"), F.col("_last")))
     distinct = kept.groupBy(*group, "_first", "_v").agg(
         F.count(F.lit(1)).alias("_n"),
         F.any_value("_before").alias("_before"),

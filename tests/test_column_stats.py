@@ -50,11 +50,10 @@ def close(found, wanted):
     return found is wanted if wanted is None else found == pytest.approx(wanted, rel=1e-12)
 
 
-@pytest.mark.parametrize("one_task", [True, False])
-def test_quantiles_and_mode(table, one_task):
+def test_quantiles_and_mode(table):
     pdf, df = table
     columns = [*DATA, "gap", "none"]
-    found = column_stats(df, columns, ["n"], PROBS, mode=True, one_task=one_task).collect()
+    found = column_stats(df, columns, ["n"], PROBS, mode=True).collect()
     assert sorted(r["column_name"] for r in found) == sorted(columns)
     for row in found:
         values = pdf[row["column_name"]].to_numpy()
@@ -65,11 +64,10 @@ def test_quantiles_and_mode(table, one_task):
         assert row["n"] == (~np.isnan(values)).sum()
 
 
-@pytest.mark.parametrize("one_task", [True, False])
-def test_quantiles_by_group(table, one_task):
+def test_quantiles_by_group(table):
     pdf, df = table
     columns = ["unique", "hot", "tail", "gap"]
-    found = column_stats(df, columns, ["n"], PROBS, mode=True, keys=["key"], one_task=one_task)
+    found = column_stats(df, columns, ["n"], PROBS, mode=True, keys=["key"])
     rows = found.collect()
     assert len(rows) == len(columns) * pdf["key"].nunique()
     for row in rows:
@@ -85,15 +83,14 @@ def test_a_poor_sketch_changes_nothing(table, monkeypatch):
     monkeypatch.setattr(stats, "SKETCH_K", 8)
     monkeypatch.setattr(stats, "MARK_MARGIN", 0.0)
     monkeypatch.setattr(stats, "CELL_PARTS", 2)
-    for row in column_stats(df, ["unique", "tail"], ["n"], PROBS, one_task=False).collect():
+    for row in column_stats(df, ["unique", "tail"], ["n"], PROBS).collect():
         for q, p in PROBS.items():
             assert row[q] == pytest.approx(expected(pdf[row["column_name"]].to_numpy(), p))
 
 
-@pytest.mark.parametrize("one_task", [True, False])
-def test_empty_table(spark, one_task):
+def test_empty_table(spark):
     df = spark.createDataFrame([], "a int, b double")
-    rows = column_stats(df, ["a", "b"], ["n", "mean", "std"], {"m": 0.5}, True, one_task=one_task)
+    rows = column_stats(df, ["a", "b"], ["n", "mean", "std"], {"m": 0.5}, True)
     assert [r[1:] for r in rows.collect()] == [(0, None, None, None, None)] * 2
 
 

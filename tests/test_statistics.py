@@ -135,3 +135,46 @@ def test_labels(spark):
         "positive_very_strong", "positive_very_strong", "negative_very_strong", "positive_strong",
         "negative_moderate", "positive_moderate", "positive_weak", "negative_weak", "negative_weak",
     ]
+
+
+def test_tails_at_a_trillion_rows():
+    """Against the normal distribution, which they have reached there."""
+    import math
+
+    def two_sided(z):
+        return math.erfc(z / math.sqrt(2))
+
+    for z in (0.01, 0.5, 1.0, 2.5, 4.0):
+        n = 1e12
+        assert pvalues.pearson_p_value(z / math.sqrt(n), n) == pytest.approx(two_sided(z), rel=1e-6)
+        assert pvalues.anova_p_value(z * z, 2, n) == pytest.approx(two_sided(z), rel=1e-6)
+        assert pvalues.chi_square_p_value(z * z, 1) == pytest.approx(two_sided(z), rel=1e-9)
+        dof = 1e12
+        x = dof * (1 - 2 / (9 * dof) + z * math.sqrt(2 / (9 * dof))) ** 3
+        assert pvalues.chi_square_p_value(x, dof) == pytest.approx(two_sided(z) / 2, rel=1e-3)
+
+
+def test_normality_at_a_trillion_rows(spark):
+    from sondage.functions.normality import with_k_squared
+
+    n = 1e12
+    df = spark.createDataFrame([(n, 3 * (6 / n) ** 0.5, 2 * (24 / n) ** 0.5)], "n double, skewness double, kurtosis double")
+    row = with_k_squared(df).first()
+    assert row["skewness_z"] == pytest.approx(3, rel=1e-4)
+    assert row["kurtosis_z"] == pytest.approx(2, rel=1e-4)
+
+
+def test_chi_square_of_many_rows(spark):
+    """A table of 4e12 rows as counts: the differences from the expected counts decide."""
+    from sondage.operators import relations
+
+    df = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "x"), ("a", "y"), ("b", "x")] * 7, "u string, v string")
+    row = relations.associations(df).first()
+    counts = {}
+    for u, v in [("a", "x"), ("b", "y"), ("c", "x"), ("a", "y"), ("b", "x")] * 7:
+        counts[u, v] = counts.get((u, v), 0) + 1
+    n = sum(counts.values())
+    rows = {u: sum(c for (a, _), c in counts.items() if a == u) for u in "abc"}
+    cols = {v: sum(c for (_, b), c in counts.items() if b == v) for v in "xy"}
+    expected = sum((counts.get((u, v), 0) - rows[u] * cols[v] / n) ** 2 / (rows[u] * cols[v] / n) for u in rows for v in cols)
+    assert row["chi_square"] == pytest.approx(expected)
