@@ -28,6 +28,8 @@ HISTOGRAM_BINS = 30
 GRID = 200
 CELLS_PER_BANDWIDTH = 64
 RAW_HEATMAP_ROWS = 100
+# exp(-u^2 / 2) is 0 from here on.
+REACH = 39.0
 
 
 def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -92,7 +94,7 @@ def scatter(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows (x, y) of two numeric columns, one per row where both are present."""
     columns = _chosen(df, columns, 2)
     if len(columns) < 2:
-        raise ValueError("Scatter plot requires at least 2 numeric columns")
+        raise ValueError("A scatter chart shows two numeric columns")
     x, y = (column(c).cast("double") for c in columns[:2])
     return nan_as_null(df).select(x.alias("x"), y.alias("y")).dropna()
 
@@ -142,10 +144,10 @@ def bar(df: DataFrame, columns: Sequence[str] | None = None, first: int = 20) ->
     if not columns:
         categories, numbers = categorical_columns(df), numeric_columns(df)
         if not categories or not numbers:
-            raise ValueError("Bar chart requires categorical and numeric columns")
+            raise ValueError("A bar chart shows a numeric column by a categorical one")
         columns = [categories[0], numbers[0]]
     if len(columns) < 2:
-        raise ValueError("Bar chart requires at least 2 columns (categorical, numeric)")
+        raise ValueError("A bar chart shows two columns: a categorical and a numeric one")
     category, number = columns[:2]
     require(df, [category])
     require_numeric(df, [number])
@@ -196,34 +198,42 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     """Rows (column1, column2, value): the correlation matrix to 2 dp."""
     columns = _chosen(df, columns, None)
     if len(columns) < 2:
-        raise ValueError("Correlation matrix requires at least 2 numeric columns")
+        raise ValueError("Correlations are between two numeric columns or more")
     return correlation_matrix(df, columns).select(
         "column1", "column2", (F.round("correlation", 2) + F.lit(0.0)).alias("value")
     )
 
 
 def heatmap(
-    df: DataFrame, columns: Sequence[str] | None = None, order_by: str | None = None
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    order_by: str | None = None,
+    values: str = "correlation",
+    rows: int = RAW_HEATMAP_ROWS,
 ) -> DataFrame:
-    """The correlation matrix of a table of more than 100 rows, else its values.
+    """The correlation matrix, or with ``values="raw"`` the values of the first ``rows``.
 
     Both come as rows (column1, column2, value); for raw values column1 is the row's
     position by ``order_by`` (by all shown columns if not given).
     """
+    if values not in ("correlation", "raw"):
+        raise ValueError(f"A heatmap shows correlation or raw values, not {values}")
     columns = _chosen(df, columns, None)
     if not columns:
-        raise ValueError("No numeric columns found for heatmap")
-    if len(df.select(F.lit(1)).take(RAW_HEATMAP_ROWS + 1)) > RAW_HEATMAP_ROWS:
+        raise ValueError("A heatmap shows numeric columns, of which there are none")
+    if values == "correlation":
         return correlation(df, columns) if len(columns) > 1 else _constant_or_one(df, columns[0])
     order = [order_by] if order_by else columns
-    at = F.row_number().over(W.orderBy(*[column(c) for c in order])) - 1  # at most 100 rows
+    by = [column(c) for c in order]
+    at = F.row_number().over(W.orderBy(*by)) - 1  # of the rows shown
     cells = F.array(
         *[
             F.struct(F.lit(c).alias("column2"), column(c).cast("double").alias("value"))
             for c in columns
         ]
     )
-    numbered = nan_as_null(df).withColumn("_at", at.cast("string"))
+    shown = nan_as_null(df).select(*[column(c) for c in dict.fromkeys([*order, *columns])])
+    numbered = shown.orderBy(*by).limit(rows).withColumn("_at", at.cast("string"))
     return numbered.select(F.col("_at").alias("column1"), F.inline(cells))
 
 
@@ -292,8 +302,8 @@ def density(
 
     Values are first counted in cells of 1/64 bandwidth, each represented by its mean,
     which changes a density by less than 1e-4 of its peak; with ``exact`` the cells are
-    the distinct values themselves. Only cells meet the grid points. Constant columns
-    have no density.
+    the distinct values themselves. A cell meets the grid points at which its kernel is
+    not 0 in double precision. Constant columns have no density.
     """
     columns = _chosen(df, columns, 3)
     spread = column_stats(df, columns, ["n", "min", "max", "std"]).where(F.col("std") > 0)
@@ -313,19 +323,27 @@ def density(
     x = F.col("min") + F.col("point") * F.col("step")
     u = (F.col("x") - F.col("centre")) / F.col("h")
     total = F.sum(F.col("weight") * F.exp(-u * u / 2.0))
-    points = F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
-    return (
-        counted.join(F.broadcast(spread.withColumn("step", step)), "column_name")
-        .withColumn("point", points)
+    spread = spread.withColumn("step", step)
+    middle = F.col("centre") - F.col("min")
+    first = F.greatest(F.floor((middle - REACH * F.col("h")) / F.col("step")), F.lit(0))
+    last = F.least(F.ceil((middle + REACH * F.col("h")) / F.col("step")), F.lit(grid - 1))
+    sums = (
+        counted.join(F.broadcast(spread), "column_name")
+        .withColumn("point", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
         .withColumn("x", x)
-        .groupBy("column_name", "point", "x", "n", "h")
+        .groupBy("column_name", "point")
         .agg(total.alias("total"))
+    )
+    every = spread.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    return (
+        every.withColumn("x", x)
+        .join(F.broadcast(sums), ["column_name", "point"], "left")
         .select(
             "column_name",
             "point",
             "x",
             (
-                F.col("total")
+                F.coalesce("total", F.lit(0.0))
                 / (F.col("n") * F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))
             ).alias("density"),
         )
@@ -336,10 +354,11 @@ def pairplot(
     df: DataFrame, columns: Sequence[str] | None = None, bins: int = HISTOGRAM_BINS
 ) -> DataFrame:
     """Rows (column1, column2, bx, by, n): points of every pair of the first 4 columns,
-    counted on a grid. ``density`` gives the diagonal, ``scatter`` the single points."""
+    counted on a grid. ``density`` of these columns gives the diagonal, ``scatter`` the
+    single points."""
     columns = _chosen(df, columns, 4)
     if len(columns) < 2:
-        raise ValueError("Pairplot requires at least 2 numeric columns")
+        raise ValueError("A pair plot shows two numeric columns or more")
     bounds = _bounds(df, columns)
     edges = F.struct(
         *[
@@ -394,6 +413,7 @@ CHARTS = {
     "heatmap": heatmap,
     "correlation": correlation,
     "distribution": distribution,
+    "density": density,
     "pairplot": pairplot,
 }
 
@@ -403,5 +423,5 @@ def chart_data(
 ) -> DataFrame:
     """The rows behind a chart of the given kind."""
     if kind not in CHARTS:
-        raise ValueError(f"Unsupported visualization type: {kind}")
+        raise ValueError(f"No such chart: {kind}")
     return CHARTS[kind](df, columns=columns, **options)

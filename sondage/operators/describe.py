@@ -14,7 +14,7 @@ from sondage.functions.columns import (
 )
 from sondage.functions.normality import k_squared_p, with_k_squared
 from sondage.operators.frequencies import distinct_counts, top_values
-from sondage.operators.stats import column_stats
+from sondage.operators.stats import MOMENTS, column_stats
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 PERCENTILES = {**QUARTILES, "p95": 0.95}
@@ -36,10 +36,20 @@ def shape(df: DataFrame) -> DataFrame:
     )
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def whole_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Every moment and percentile: the functions below take it as ``stats`` where several
+    of them are wanted of the same columns."""
+    return column_stats(df, list(columns or numeric_columns(df)), list(MOMENTS), PERCENTILES)
+
+
+def numeric_summary(
+    df: DataFrame, columns: Sequence[str] | None = None, stats: DataFrame | None = None
+) -> DataFrame:
     """Rows (column_name, n, mean, std, min, p25, p50, p75, max)."""
     columns = list(columns or numeric_columns(df))
-    return column_stats(df, columns, ["n", "mean", "std", "min", "max"], QUARTILES).select(
+    if stats is None:
+        stats = column_stats(df, columns, ["n", "mean", "std", "min", "max"], QUARTILES)
+    return stats.select(
         "column_name", "n", "mean", "std", "min", "p25", "p50", "p75", "max"
     )
 
@@ -52,11 +62,15 @@ def categorical_top(df: DataFrame, columns: Sequence[str] | None = None, k: int
     return top_values(df, columns, k)
 
 
-def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def moments(
+    df: DataFrame, columns: Sequence[str] | None = None, stats: DataFrame | None = None
+) -> DataFrame:
     """Biased skewness and excess kurtosis, NULL for three values or fewer."""
     columns = list(columns or numeric_columns(df))
     enough = F.col("n") > FEW
-    return column_stats(df, columns, ["n", "skewness", "kurtosis"]).select(
+    if stats is None:
+        stats = column_stats(df, columns, ["n", "skewness", "kurtosis"])
+    return stats.select(
         "column_name",
         "n",
         *[F.when(enough, rounded(F.col(s), 4)).alias(s) for s in ("skewness", "kurtosis")],
@@ -97,12 +111,15 @@ def percentiles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     )
 
 
-def statistical_tests(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def statistical_tests(
+    df: DataFrame, columns: Sequence[str] | None = None, stats: DataFrame | None = None
+) -> DataFrame:
     """moments, normality, value_range and percentiles together, from the same passes."""
     columns = list(columns or numeric_columns(df))
     wanted = ["n", "skewness", "kurtosis", "min", "max"]
-    found = column_stats(df, columns, wanted, PERCENTILES).where(F.col("n") > FEW)
-    tested = with_k_squared(found)
+    if stats is None:
+        stats = column_stats(df, columns, wanted, PERCENTILES)
+    tested = with_k_squared(stats.where(F.col("n") > FEW))
     p = k_squared_p(F.col("k2"))
     return tested.select(
         "column_name",
@@ -118,13 +135,17 @@ def statistical_tests(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     )
 
 
-def distributions(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def distributions(
+    df: DataFrame, columns: Sequence[str] | None = None, stats: DataFrame | None = None
+) -> DataFrame:
     """Rows (column_name, mean, median, mode, std, variance, cv); cv NULL at mean 0."""
     columns = list(columns or numeric_columns(df))
-    found = column_stats(
-        df, columns, ["n", "mean", "std", "variance"], {"median": 0.5}, mode=True
-    ).where(F.col("n") > 0)
-    return found.select(
+    if stats is None:
+        found = column_stats(df, columns, ["n", "mean", "std", "variance"], {"median": 0.5}, mode=True)
+    else:
+        modes = column_stats(df, columns, [], mode=True)
+        found = stats.withColumnRenamed("p50", "median").join(modes, "column_name")
+    return found.where(F.col("n") > 0).select(
         "column_name",
         rounded(F.col("mean"), 4).alias("mean"),
         rounded(F.col("median"), 4).alias("median"),

@@ -43,24 +43,24 @@ def insights(
         finding(
             shape, "insight", "size", always,
             F.format_string(
-                "Dataset contains %s rows and %d columns",
+                "%s rows in %d columns",
                 F.format_number("n_rows", 0), F.col("n_columns"),
             ),
         )
     ]
     for rule, count, use in [
-        ("numeric_columns", numeric, "numeric columns for quantitative analysis"),
-        ("categorical_columns", categorical, "categorical columns for qualitative analysis"),
+        ("numeric_columns", numeric, "columns hold numbers"),
+        ("categorical_columns", categorical, "columns hold categories"),
     ]:
         if count > 0:
-            parts.append(finding(shape, "insight", rule, always, F.lit(f"Found {count} {use}")))
+            parts.append(finding(shape, "insight", rule, always, F.lit(f"{count} {use}")))
     if strong is not None:
         counted = strong.agg(F.count(F.lit(1)).alias("n"))
         parts.append(
             finding(
                 counted, "insight", "strong_correlations", F.col("n") > 0,
                 F.format_string(
-                    "Identified %d strong correlations between variables", F.col("n")
+                    "%d pairs of columns correlate strongly", F.col("n")
                 ),
             )
         )
@@ -76,14 +76,14 @@ def warnings(missing_total: DataFrame, duplicates: DataFrame, spread: DataFrame
         finding(
             missing_total, "warning", "missing_values", F.col("missing_pct") > 10,
             F.concat(
-                F.lit("High percentage of missing values: "), number(F.col("missing_pct")), F.lit("%")
+                F.lit("Missing cells: "), number(F.col("missing_pct")), F.lit("%")
             ),
         ),
         finding(
             duplicates, "warning", "duplicates", F.col("duplicate_pct") > 5,
             F.concat(
-                F.lit("Found "), F.col("duplicate_rows").cast("string"),
-                F.lit(" duplicate rows ("), number(F.col("duplicate_pct")), F.lit("%)"),
+                F.lit("Repeated rows: "), F.col("duplicate_rows").cast("string"),
+                F.lit(" ("), number(F.col("duplicate_pct")), F.lit("%)"),
             ),
         ),
     ]
@@ -91,7 +91,7 @@ def warnings(missing_total: DataFrame, duplicates: DataFrame, spread: DataFrame
         parts.append(
             finding(
                 spread, "warning", "low_variance", F.col("std") < 0.01,
-                F.concat(F.lit("Column '"), F.col("column_name"), F.lit("' has very low variance")),
+                F.concat(F.col("column_name"), F.lit(" hardly varies")),
                 F.col("column_name"),
             )
         )
@@ -114,7 +114,7 @@ def recommendations(
         parts.append(
             finding(
                 missing_total, "recommendation", "missing_values", F.col("missing_pct") > 5,
-                F.lit("Consider handling missing values through imputation or removal"),
+                F.lit("Fill or drop the missing cells"),
             )
         )
     if unique_shares is not None:
@@ -122,8 +122,7 @@ def recommendations(
             finding(
                 unique_shares, "recommendation", "high_cardinality", F.col("unique_share") > 0.5,
                 F.concat(
-                    F.lit("Column '"), F.col("column_name"),
-                    F.lit("' has high cardinality. Consider feature engineering or encoding"),
+                    F.col("column_name"), F.lit(" is mostly unique: encode it before use"),
                 ),
                 F.col("column_name"),
             )
@@ -133,8 +132,7 @@ def recommendations(
             finding(
                 skewness, "recommendation", "skewed", F.abs("skewness") > 2,
                 F.concat(
-                    F.lit("Column '"), F.col("column_name"),
-                    F.lit("' is highly skewed. Consider transformation"),
+                    F.col("column_name"), F.lit(" is very skewed: a transformation may help"),
                 ),
                 F.col("column_name"),
             )
@@ -150,30 +148,25 @@ def schema_recommendations(
         finding(
             missing_total, "recommendation", "missing_values", F.col("missing_pct") > 30,
             F.concat(
-                F.lit("High percentage of missing values ("), number(F.col("missing_pct")),
-                F.lit("%). Consider imputation or removal strategies."),
+                number(F.col("missing_pct")), F.lit("% of the cells are missing: fill or drop them"),
             ),
         ),
         finding(
             duplicates, "recommendation", "duplicates", F.col("duplicate_pct") > 5,
             F.concat(
-                F.lit("Found "), number(F.col("duplicate_pct")),
-                F.lit("% duplicate rows. Consider deduplication."),
+                number(F.col("duplicate_pct")), F.lit("% of the rows are repeated: remove the repetitions"),
             ),
         ),
         finding(
             missing_total, "recommendation", "many_numeric_columns", F.lit(numeric > 10),
-            F.lit(
-                "Large number of numeric columns. "
-                "Consider dimensionality reduction or feature selection."
-            ),
+            F.lit("More than ten numeric columns: select or combine some"),
         ),
     ]
     return together(parts)
 
 
 def relationship_insights(found: DataFrame) -> DataFrame:
-    """What the kept relationships say; ``found`` is already limited."""
+    """What all relationships found say."""
     kind = F.col("relationship_type")
     counts = found.agg(
         F.count(F.lit(1)).alias("every"),
@@ -189,19 +182,16 @@ def relationship_insights(found: DataFrame) -> DataFrame:
             )
             for rule, when, message in [
                 ("none", F.col("every") == 0,
-                 F.lit("No significant relationships found in the data.")),
+                 F.lit("No relationship passed the thresholds")),
                 ("strong", F.col("strong") > 0,
                  F.format_string(
-                     "Found %d strong relationships that may indicate "
-                     "redundant features or important dependencies.", F.col("strong"))),
+                     "%d strong relationships: columns may be redundant", F.col("strong"))),
                 ("categorical", F.col("categorical") > 0,
                  F.format_string(
-                     "Identified %d significant associations between categorical variables.",
-                     F.col("categorical"))),
+                     "%d associations between categories", F.col("categorical"))),
                 ("mixed", F.col("mixed") > 0,
                  F.format_string(
-                     "Found %d relationships where categorical variables "
-                     "significantly influence numeric variables.", F.col("mixed"))),
+                     "%d pairs in which a number differs by category", F.col("mixed"))),
             ]
         ]
     )

@@ -65,11 +65,11 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:
-    """Rows (column_name, value, n, rank): the k most frequent values, ties by value.
+    """Rows (column_name, value, n, rank): the k most frequent values, ties by the SHA-256
+    of the value.
 
     Values are counted, ranked and shuffled by their identity_key, so long texts travel
-    as digests (and their ties are in digest order); the rank filter is pushed below the
-    shuffle. Only the texts of the few long values that made it are then looked up, in a
+    as digests; the rank filter is pushed below the shuffle. Only the texts of the few long values that made it are then looked up, in a
     second scan that Spark leaves out when there are none.
     """
     columns = list(columns) if columns is not None else categorical_columns(df)
@@ -81,10 +81,11 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10)
         .groupBy("column_name", "key")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    by_count = W.partitionBy("column_name").orderBy(F.desc("n"), F.asc("key"))
+    is_digest = F.char_length("key") == DIGEST_LENGTH
+    digest = F.when(is_digest, F.col("key")).otherwise(F.sha2("key", 256))
+    by_count = W.partitionBy("column_name").orderBy(F.desc("n"), digest)
     top = counted.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= k)
 
-    is_digest = F.char_length("key") == DIGEST_LENGTH
     texts = F.array(
         *[
             F.struct(

@@ -9,13 +9,13 @@ from pyspark.sql import types as T
 from sondage.functions.columns import (
     TEXT,
     column,
-    identity_key,
     nan_as_null,
     numeric_columns,
     percent,
     require,
     require_numeric,
     role,
+    row_digest,
 )
 from sondage.functions.rules import quality_band, quality_score
 from sondage.operators.stats import column_stats
@@ -30,23 +30,31 @@ FIXED_WIDTHS = {
 
 
 def null_counts(df: DataFrame) -> DataFrame:
-    """Rows (column_name, n_rows, missing) for every column, from one aggregation."""
+    """Rows (column_name, n_rows, missing, bytes) for every column, from one aggregation.
+
+    ``bytes`` is the uncompressed size of the non-missing values; if it is not used, the
+    columns are read for their nulls only.
+    """
     clean = nan_as_null(df)
     rows = [
         F.struct(
-            F.lit(name).alias("column_name"),
+            F.lit(f.name).alias("column_name"),
             F.count(F.lit(1)).alias("n_rows"),
-            F.count_if(column(name).isNull()).alias("missing"),
+            F.count_if(column(f.name).isNull()).alias("missing"),
+            _bytes_of(f).alias("bytes"),
         )
-        for name in df.columns
+        for f in df.schema.fields
     ]
     return clean.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
-def missing(df: DataFrame) -> DataFrame:
-    """Rows (column_name, missing, missing_pct) of the columns that miss any value."""
+def missing(df: DataFrame, nulls: DataFrame | None = None) -> DataFrame:
+    """Rows (column_name, missing, missing_pct) of the columns that miss any value.
+
+    ``nulls``, here and below, are the null_counts if they are at hand.
+    """
     return (
-        null_counts(df)
+        (null_counts(df) if nulls is None else nulls)
         .where(F.col("missing") > 0)
         .select(
             "column_name", "missing", percent(F.col("missing"), F.col("n_rows")).alias("missing_pct")
@@ -54,10 +62,10 @@ def missing(df: DataFrame) -> DataFrame:
     )
 
 
-def missing_total(df: DataFrame) -> DataFrame:
+def missing_total(df: DataFrame, nulls: DataFrame | None = None) -> DataFrame:
     """One row (total_cells, missing_cells, missing_pct)."""
     return (
-        null_counts(df)
+        (null_counts(df) if nulls is None else nulls)
         .agg(F.sum("n_rows").alias("total_cells"), F.sum("missing").alias("missing_cells"))
         .withColumn("missing_pct", percent(F.col("missing_cells"), F.col("total_cells")))
     )
@@ -67,17 +75,12 @@ def duplicates(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """One row (n_rows, duplicate_rows, duplicate_pct).
 
     Every member of a set of equal rows counts. Missing values are equal to each other.
-    Long text takes part as its SHA-256, so the shuffle stays narrow.
+    Rows are counted by a digest of 32 bytes, so the shuffle stays narrow.
     """
     names = list(subset) if subset else df.columns
     require(df, names)
-    keys = [
-        identity_key(n, df.schema[n].dataType).alias(f"_k{i}") for i, n in enumerate(names)
-    ]
-    counted = (
-        nan_as_null(df).select(*keys).groupBy(*[f"_k{i}" for i in range(len(keys))])
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    digest = row_digest(df, names)
+    counted = nan_as_null(df).groupBy(digest.alias("row")).agg(F.count(F.lit(1)).alias("n"))
     return counted.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_rows"),
@@ -150,7 +153,7 @@ def outlier_values(
     )
 
 
-def column_types(df: DataFrame) -> DataFrame:
+def column_types(df: DataFrame, nulls: DataFrame | None = None) -> DataFrame:
     """Rows (column_name, data_type, role, present): present counts non-missing values."""
     kinds = F.create_map(
         *[F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())]
@@ -158,7 +161,7 @@ def column_types(df: DataFrame) -> DataFrame:
     roles = F.create_map(
         *[F.lit(x) for f in df.schema.fields for x in (f.name, role(f.dataType))]
     )
-    return null_counts(df).select(
+    return (null_counts(df) if nulls is None else nulls).select(
         "column_name",
         F.element_at(kinds, F.col("column_name")).alias("data_type"),
         F.element_at(roles, F.col("column_name")).alias("role"),
@@ -166,9 +169,9 @@ def column_types(df: DataFrame) -> DataFrame:
     )
 
 
-def type_distribution(df: DataFrame) -> DataFrame:
+def type_distribution(df: DataFrame, nulls: DataFrame | None = None) -> DataFrame:
     """Rows (data_type, n_columns)."""
-    return column_types(df).groupBy("data_type").agg(F.count(F.lit(1)).alias("n_columns"))
+    return column_types(df, nulls).groupBy("data_type").agg(F.count(F.lit(1)).alias("n_columns"))
 
 
 def _value_bytes(field: T.StructField) -> Column:
@@ -188,17 +191,12 @@ def _value_bytes(field: T.StructField) -> Column:
 
 def data_bytes(df: DataFrame) -> DataFrame:
     """Rows (column_name, bytes): uncompressed size of the non-missing values."""
-    rows = [
-        F.struct(
-            F.lit(f.name).alias("column_name"),
-            F.coalesce(
-                F.sum(F.when(column(f.name).isNotNull(), _value_bytes(f).cast("bigint"))),
-                F.lit(0).cast("bigint"),
-            ).alias("bytes"),
-        )
-        for f in df.schema.fields
-    ]
-    return nan_as_null(df).agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return null_counts(df).select("column_name", "bytes")
+
+
+def _bytes_of(field: T.StructField) -> Column:
+    size = F.sum(F.when(column(field.name).isNotNull(), _value_bytes(field).cast("bigint")))
+    return F.coalesce(size, F.lit(0).cast("bigint"))
 
 
 def score(
@@ -216,7 +214,10 @@ def score(
 
 
 def report(
-    df: DataFrame, missed: DataFrame | None = None, doubled: DataFrame | None = None
+    df: DataFrame,
+    missed: DataFrame | None = None,
+    doubled: DataFrame | None = None,
+    nulls: DataFrame | None = None,
 ) -> DataFrame:
     """Shape, missing values, duplicates, types and size as rows (section, key, value)."""
 
@@ -232,19 +233,20 @@ def report(
         )
         return table.select(F.lit(name).alias("section"), F.inline(pairs))
 
-    missed = missing_total(df) if missed is None else missed
+    # One scan for counts and bytes; everything but the duplicates follows from it.
+    nulls = null_counts(df) if nulls is None else nulls
+    missed = missing_total(df, nulls) if missed is None else missed
     doubled = duplicates(df) if doubled is None else doubled
-    nulls = null_counts(df)
     shape = nulls.agg(F.max("n_rows").alias("rows"), F.count(F.lit(1)).alias("columns"))
     parts = [
         one_row("shape", shape, ["rows", "columns"]),
         one_row("missing_values", missed, ["total_cells", "missing_cells", "missing_pct"]),
-        missing(df).select(*section("missing_by_column", F.col("column_name"), F.col("missing"))),
+        missing(df, nulls).select(*section("missing_by_column", F.col("column_name"), F.col("missing"))),
         one_row("duplicates", doubled, ["duplicate_rows", "duplicate_pct"]),
-        type_distribution(df).select(
+        type_distribution(df, nulls).select(
             *section("data_types", F.col("data_type"), F.col("n_columns"))
         ),
-        data_bytes(df)
+        (nulls if "bytes" in nulls.columns else data_bytes(df))
         .agg(F.sum("bytes").alias("bytes"))
         .select(*section("size", F.lit("data_mb"), F.round(F.col("bytes") / 1048576.0, 2))),
     ]

@@ -1,15 +1,17 @@
 """Relations between columns: correlation, chi-square association, analysis of variance.
 
 Column pairs come from the schema; rows are never joined with each other. All numeric
-pairs of a block share one aggregation, all categorical pairs one counted pass, and all
+pairs come from one scan, all categorical pairs one counted pass, and all
 numeric-by-categorical pairs one grouped pass. Tail probabilities are computed on the
 resulting rows, one per pair.
 """
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +31,8 @@ CORRELATION_THRESHOLD = 0.7
 MIN_CRAMERS_V = 0.3
 MIN_ETA_SQUARED = 0.06
 SIGNIFICANCE = 0.05
-# A pass over numeric pairs reads two blocks of this many columns. Larger blocks make an
-# aggregation the JVM no longer compiles, which costs more than reading columns again;
-# only tables with very many columns get larger ones, to keep the number of passes low.
-BLOCK = 3
-MAX_BLOCKS = 20
-# The numeric columns of one analysis of variance pass, for the same reason.
+# The numeric columns of one analysis of variance pass: larger aggregations are no longer
+# compiled by the JVM.
 NUMERIC_PER_PASS = 10
 # A pass over categorical pairs makes this many copies of two keys per row.
 PAIRS_PER_PASS = 45
@@ -44,17 +42,83 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _blocks_of_pairs(columns: Sequence[str]) -> list[list[tuple[int, int]]]:
-    """All index pairs i < j, cut so that one block touches few columns."""
-    size = max(BLOCK, -(-len(columns) // MAX_BLOCKS))
-    blocks: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for i, j in combinations(range(len(columns)), 2):
-        blocks.setdefault((i // size, j // size), []).append((i, j))
-    return list(blocks.values())
-
-
-def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows (i, j, column1, column2, r, n) for i < j, over rows where both are present.
+MOMENTS = ("n", "mx", "my", "sxx", "syy", "sxy")
+
+
+def _moments_of(x: np.ndarray) -> np.ndarray:
+    """n, means, sums of squares and products around them of all column pairs of a batch,
+    over the rows where both are present: an array (6, columns, columns)."""
+    present = ~np.isnan(x)
+    shift = np.where(present.any(0), np.nan_to_num(x).sum(0) / np.maximum(present.sum(0), 1), 0.0)
+    x = np.where(present, x - shift, 0.0)
+    there = present.astype(float)
+    n = there.T @ there
+    many = np.maximum(n, 1.0)
+    sx, sxx = x.T @ there, (x * x).T @ there
+    mean = sx / many
+    around = sxx - sx * mean
+    return np.stack([
+        n, mean + shift[:, None], mean.T + shift, np.maximum(around, 0.0),
+        np.maximum(around.T, 0.0), x.T @ x - sx * mean.T,
+    ])
+
+
+def _together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The moments of two sets of rows as those of all."""
+    n = a[0] + b[0]
+    share = a[0] * b[0] / np.maximum(n, 1.0)
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    part = b[0] / np.maximum(n, 1.0)
+    return np.stack([
+        n, a[1] + dx * part, a[2] + dy * part, a[3] + b[3] + dx * dx * share,
+        a[4] + b[4] + dy * dy * share, a[5] + b[5] + dx * dy * share,
+    ])
+
+
+def pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows (i, j, n, mx, my, sxx, syy, sxy) for i <= j, from one scan for all pairs.
+
+    Every task multiplies the matrices of its batches and passes on one row per pair;
+    these are put together around their own means, so that no digits cancel.
+    """
+    values = nan_as_null(df).select(
+        *[column(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)]
+    )
+    at = np.triu_indices(len(columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1)
+            found = _moments_of(x)
+            total = found if total is None else _together(total, found)
+        if total is not None:
+            arrays = [at[0], at[1], *[m[at] for m in total]]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["i", "j", *MOMENTS])
+
+    rows = values.mapInArrow(run, "i bigint, j bigint, " + ", ".join(f"{m} double" for m in MOMENTS))
+    none = F.struct(*[F.lit(0.0).alias(m) for m in MOMENTS])
+
+    def add(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        part = F.coalesce(F.try_divide(b["n"], n), F.lit(0.0))
+        dx, dy = b["mx"] - a["mx"], b["my"] - a["my"]
+        share = a["n"] * part
+        return F.struct(
+            n.alias("n"), (a["mx"] + dx * part).alias("mx"), (a["my"] + dy * part).alias("my"),
+            (a["sxx"] + b["sxx"] + dx * dx * share).alias("sxx"),
+            (a["syy"] + b["syy"] + dy * dy * share).alias("syy"),
+            (a["sxy"] + b["sxy"] + dx * dy * share).alias("sxy"),
+        )
+
+    # One row per task and pair; in a fixed order, so that sums do not vary.
+    lists = rows.groupBy("i", "j").agg(F.array_sort(F.collect_list(F.struct(*MOMENTS))).alias("parts"))
+    merged = lists.select("i", "j", F.aggregate("parts", none, add).alias("m"))
+    return merged.select(F.col("i").cast("int"), F.col("j").cast("int"), "m.*")
+
+
+def pair_correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows (i, j, column1, column2, r, n) for i <= j, over rows where both are present.
 
     r is Pearson's; NULL if either column is constant there.
     """
@@ -62,28 +126,22 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     require(df, columns)
     if len(columns) < 2:
         raise ValueError("At least 2 numeric columns are needed")
-    clean = nan_as_null(df)
-    values = clean.select(*[column(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
-    parts = []
-    for block in _blocks_of_pairs(columns):
-        rows = []
-        for i, j in block:
-            x, y = F.col(f"_v{i}"), F.col(f"_v{j}")
-            spread = F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x))
-            rows.append(
-                F.struct(
-                    F.lit(i).alias("i"),
-                    F.lit(j).alias("j"),
-                    F.lit(columns[i]).alias("column1"),
-                    F.lit(columns[j]).alias("column2"),
-                    F.try_divide(F.regr_sxy(y, x), spread).alias("r"),
-                    F.regr_count(y, x).alias("n"),
-                )
-            )
-        parts.append(values.agg(F.array(*rows).alias("rows")).select(F.inline("rows")))
-    # Rounding errors must not carry r past 1.
-    r = F.col("r")
-    return _union(parts).withColumn("r", F.when(F.abs(r) > 1, F.signum(r)).otherwise(r))
+    r = F.try_divide(F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy"))
+    # Rounding errors must not carry r past 1; a column goes with itself exactly.
+    r = F.when(F.abs(r) > 1, F.signum(r)).otherwise(r)
+    r = F.when((F.col("i") == F.col("j")) & r.isNotNull(), 1.0).otherwise(r)
+    pairs = pair_moments(df, columns).where(F.col("n") > 0)
+    every = df.sparkSession.createDataFrame(
+        [(i, j) for j in range(len(columns)) for i in range(j + 1)], "i int, j int"
+    )
+    pairs = F.broadcast(every).join(pairs, ["i", "j"], "left").withColumn("r", r)
+    n = F.coalesce("n", F.lit(0.0)).cast("bigint").alias("n")
+    return _named(pairs, columns, columns).select("i", "j", "column1", "column2", "r", n)
+
+
+def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``pair_correlations`` of different columns: i < j."""
+    return pair_correlations(df, columns).where("i < j")
 
 
 def correlation_matrix(
@@ -91,34 +149,22 @@ def correlation_matrix(
 ) -> DataFrame:
     """Rows (column1, column2, correlation) of the full square matrix, to 4 dp.
 
-    ``pairs`` are the correlations of the same columns, if they are at hand.
+    ``pairs`` are the ``pair_correlations`` of the same columns, if they are at hand.
     """
-    columns = list(columns or numeric_columns(df))
-    pairs = correlations(df, columns) if pairs is None else pairs
+    pairs = pair_correlations(df, columns) if pairs is None else pairs
     value = rounded(F.col("r"), 4).alias("correlation")
-    diagonal = [
-        F.struct(
-            F.lit(c).alias("column1"),
-            F.lit(c).alias("column2"),
-            F.when(F.var_pop(column(c).cast("double")) > 0, 1.0).alias("correlation"),
-        )
-        for c in columns
-    ]
-    clean = nan_as_null(df)
-    ones = clean.agg(F.array(*diagonal).alias("rows")).select(F.inline("rows"))
-    both_ways = F.array(
-        F.struct(F.col("column1"), F.col("column2"), value),
-        F.struct(F.col("column2").alias("column1"), F.col("column1").alias("column2"), value),
-    )
-    return pairs.select(F.inline(both_ways)).unionByName(ones)
+    one = F.struct(F.col("column1"), F.col("column2"), value)
+    other = F.struct(F.col("column2").alias("column1"), F.col("column1").alias("column2"), value)
+    ways = F.when(F.col("i") < F.col("j"), F.array(one, other)).otherwise(F.array(one))
+    return pairs.select(F.inline(ways))
 
 
 def strong_correlations(
     df: DataFrame, threshold: float = CORRELATION_THRESHOLD, pairs: DataFrame | None = None
 ) -> DataFrame:
     """Rows (column1, column2, correlation) with |r| at or above the threshold."""
-    pairs = correlations(df) if pairs is None else pairs
-    return pairs.where(F.abs("r") >= threshold).select(
+    pairs = pair_correlations(df) if pairs is None else pairs
+    return pairs.where((F.col("i") < F.col("j")) & (F.abs("r") >= threshold)).select(
         "column1", "column2", rounded(F.col("r"), 4).alias("correlation")
     )
 
@@ -129,8 +175,8 @@ def numeric_relations(
     """Correlated numeric pairs with label and p-value. None means the default threshold."""
     threshold = CORRELATION_THRESHOLD if threshold is None else threshold
     return (
-        (correlations(df) if pairs is None else pairs)
-        .where(F.abs("r") >= threshold)
+        (pair_correlations(df) if pairs is None else pairs)
+        .where((F.col("i") < F.col("j")) & (F.abs("r") >= threshold))
         .withColumn("p", pearson_p(F.col("r"), F.col("n").cast("double")))
         .select(
             "i", "j", "column1", "column2",
@@ -176,8 +222,7 @@ def _cells(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[int, int
 def associations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows (i, j, column1, column2, chi_square, dof, cramers_v, n) for i < j.
 
-    chi-square is n (sum O^2 / (R C) - 1) over observed cells, so cells that never occur
-    need no row. With one degree of freedom it is Yates-corrected. Pairs in which a
+    Cells that never occur need no row. With one degree of freedom it is Yates-corrected. Pairs in which a
     column has a single value are left out.
 
     Marginals are aggregates of the counted cells, joined back on the value. A value
@@ -201,6 +246,7 @@ def associations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         widths = second.groupBy("i", "j").agg(F.count(F.lit(1)).alias("cols"))
         sizes = totals.join(widths, ["i", "j"]).where((F.col("rows") > 1) & (F.col("cols") > 1))
         o, r, c, total = (F.col(x) for x in ("n", "r", "c", "total"))
+        e = r * c / total
         sums = (
             cells.join(F.broadcast(sizes), ["i", "j"])
             .join(first, ["i", "j", "v1"])
@@ -210,7 +256,9 @@ def associations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
                 F.max("total").alias("n"),
                 F.max("rows").alias("rows"),
                 F.max("cols").alias("cols"),
-                F.sum(o * o / (r * c)).alias("fit"),
+                # (o - e)^2 / e of the observed cells, and e of the others: what their
+                # e leaves of the total.
+                F.sum((o - e) * (o - e) / e + (o - e)).alias("fit"),
                 # In a 2x2 table every cell gives the same |ad - bc| and margin product.
                 F.max(F.abs(o * total - r * c)).alias("cross"),
                 F.max(r * (total - r) * c * (total - c)).alias("margins"),
@@ -221,7 +269,7 @@ def associations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     dof = (F.col("rows") - 1) * (F.col("cols") - 1)
     shrunk = F.greatest(F.col("cross") - n / 2.0, F.lit(0.0))
     yates = F.try_divide(n * shrunk * shrunk, F.col("margins"))
-    plain = F.greatest(n * (F.col("fit") - 1.0), F.lit(0.0))
+    plain = F.greatest(F.col("fit"), F.lit(0.0))
     smaller = F.least("rows", "cols") - 1
     return (
         _named(_union(parts), columns, columns)
@@ -397,7 +445,17 @@ def relationships(
     limit: int | None = 50,
     pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """All relationships found, strongest first, at most ``limit`` (None for all).
+    """The relationships found, strongest first, at most ``limit`` (None for all).
+
+    Rows as of ``all_relationships``, without the columns that order them.
+    """
+    return strongest(all_relationships(df, threshold, pairs), limit)
+
+
+def all_relationships(
+    df: DataFrame, threshold: float | None = None, pairs: DataFrame | None = None
+) -> DataFrame:
+    """All relationships found, in no order; kind_order, i and j order equal strengths.
 
     Rows (column1, column2, relationship_type, strength, description, the metrics of
     each kind or NULL). Equal strengths keep the order numeric, categorical, mixed, and
@@ -461,6 +519,11 @@ def relationships(
             "kind_order int, i int, j int, column1 string, column2 string, "
             f"relationship_type string, strength double, description string, {fields}",
         )
+    return every
+
+
+def strongest(every: DataFrame, limit: int | None) -> DataFrame:
+    """``all_relationships``, strongest first, at most ``limit``."""
     ranked = every.orderBy(F.abs("strength").desc(), "kind_order", "i", "j")
     if limit is not None:
         ranked = ranked.limit(limit)

@@ -3,6 +3,7 @@
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,14 +17,13 @@ from sondage.functions.columns import (
     percent,
     require,
     role,
+    row_digest,
 )
 from sondage.functions.rules import semantic_type
 from sondage.operators.frequencies import distinct_counts
 from sondage.operators.stats import column_stats
 
 SEED = 42
-# A sample of up to this many rows is a plain top-k.
-DIRECT_SAMPLE = 10_000
 
 
 def _kind(field: T.StructField) -> str:
@@ -101,11 +101,17 @@ def semantic_types(df: DataFrame) -> DataFrame:
     return profile.select("column_name", inferred_type(profile).alias("inferred_type"))
 
 
-def numeric_constraints(df: DataFrame) -> DataFrame:
-    """Rows (column_name, min, max, mean, median, std) of numeric columns with values."""
+def numeric_constraints(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Rows (column_name, min, max, mean, median, std) of numeric columns with values.
+
+    ``stats`` are describe.whole_stats, if they are at hand.
+    """
     columns = numeric_columns(df)
-    found = column_stats(df, columns, ["n", "min", "max", "mean", "std"], {"median": 0.5})
-    return found.where(F.col("n") > 0).select(
+    if stats is None:
+        stats = column_stats(df, columns, ["n", "min", "max", "mean", "std"], {"median": 0.5})
+    else:
+        stats = stats.withColumnRenamed("p50", "median")
+    return stats.where(F.col("n") > 0).select(
         "column_name", "min", "max", "mean", "median", "std"
     )
 
@@ -146,38 +152,46 @@ def _draw(key: Sequence[str], seed: int, salt: str = "") -> Column:
 def sample_rows(
     df: DataFrame, n: int | None, key: Sequence[str] | None = None, seed: int = SEED
 ) -> DataFrame:
-    """Exactly n rows at random, or all if the table has no more.
+    """Exactly n rows at random, or all if the table has no more; ties by a digest of the
+    whole row.
 
-    A top-k over a hash of the key columns (all columns by default): a second run draws
-    the same rows. The result comes together in one task, every task passing on at most
-    n rows. For large n, rows whose hash is too large to be among the first n are
-    dropped before, provided enough remain.
+    The rows with the smallest hashes of the key columns (all columns by default): a
+    second run draws the same rows. Where the n-th hash lies is found by counting hashes
+    by their first four digits, then by the next four; only the rows that share all eight
+    with it, one in four billion and those equal to them, are ranked in one place.
     """
     if not n:
         return df
     if key:
         require(df, list(key))
-        draw = _draw(key, seed)
-    else:
-        draw = F.md5(
-            F.concat_ws(
-                "|", *[column(f.name).cast("string") for f in _plain(df)], F.lit(str(seed))
-            )
-        )
-    drawn = df.withColumn("_draw", draw)
-    if n > DIRECT_SAMPLE:
-        rows = df.count()
-        # Ten standard deviations above the expected share; in 13 hex digits.
-        share = (n + 10 * n**0.5) / max(rows, 1)
-        if share < 1:
-            likely = drawn.where(F.col("_draw") < f"{int(share * 16**13):013x}")
-            if likely.count() >= n:
-                drawn = likely
-    return drawn.orderBy("_draw").limit(n).drop("_draw")
-
-
-def _plain(df: DataFrame) -> list[T.StructField]:
-    return [f for f in df.schema.fields if not isinstance(f.dataType, NESTED)]
+    digest = F.hex(row_digest(df, df.columns))
+    named = _draw(key, seed) if key else F.md5(F.concat(digest, F.lit(f"|{seed}")))
+    drawn = df.select("*", named.alias("_draw"), digest.alias("_row"))
+
+    def cell(rows: DataFrame, start: int, before: Column) -> Column:
+        """(part, before) of the cell of four digits in which the n-th row lies."""
+        counts = rows.groupBy(F.substring("_draw", start, 4).alias("part")).agg(
+            F.count(F.lit(1)).alias("n")
+        )  # at most 65,536 rows
+        upto = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) + before
+        found = counts.select("part", (upto - F.col("n")).alias("before"), upto.alias("upto"))
+        found = found.where((F.col("before") < n) & (F.col("upto") >= n))
+        return found.agg(F.first(F.struct("part", "before")).alias("cell")).scalar()
+
+    first = cell(drawn, 1, F.lit(0))
+    drawn = drawn.withColumn("_first", first)
+    part = F.substring("_draw", 1, 4)
+    inside = drawn.where(part == F.col("_first.part"))
+    second = cell(inside, 5, F.coalesce(first["before"], F.lit(0)))
+    drawn = drawn.withColumn("_second", second)
+    head, last = F.col("_draw"), F.concat("_first.part", "_second.part")
+    # Without a cell the table has no more than n rows.
+    whole = drawn.where(F.col("_first").isNull() | (F.substring(head, 1, 8) < last))
+    edge = drawn.where(F.substring(head, 1, 8) == last)
+    rank = F.row_number().over(W.orderBy("_draw", "_row"))
+    edge = edge.withColumn("_rank", rank).where(F.col("_rank") + F.col("_second.before") <= n)
+    names = [column(c) for c in df.columns]
+    return whole.select(*names).union(edge.select(*names))
 
 
 def sample_values(
@@ -186,8 +200,8 @@ def sample_values(
     """Rows (column_name, sample_values): up to n values of rows drawn at random among
     those where the column is present, as strings in drawing order.
 
-    One top-k per column, reading that column and the key only; without a key a seeded
-    random number orders the rows, which repeats for the same files.
+    One top-k per column, reading that column and the key only. Without a key a hash of
+    the whole row orders the rows, then the value.
     """
     if key:
         require(df, list(key))
@@ -197,7 +211,11 @@ def sample_values(
         c = column(field.name)
         if isinstance(field.dataType, NESTED):
             c = F.to_json(c)
-        draw = _draw(key, seed, f"{field.name}:") if key else F.rand(seed)
+        if key:
+            draw = _draw(key, seed, f"{field.name}:")
+        else:
+            row = F.hex(row_digest(df, df.columns))
+            draw = F.md5(F.concat_ws("|", row, F.lit(f"{field.name}:{seed}")))
         drawn = (
             clean.where(column(field.name).isNotNull())
             .select(c.cast("string").alias("value"), draw.alias("draw"))

@@ -50,7 +50,10 @@ def analyze(
     group_by: str | None = None,
     shared: Shared | None = None,
 ) -> dict[str, DataFrame]:
-    """The tables of one analysis, by name; each is lazy.
+    """The tables of one analysis, by name.
+
+    They share one table of counts and one of moments and percentiles, cached until
+    ``shared.release()``; to name the tables, quantiles are looked for already.
 
     An unknown ``group_by`` is ignored, an unknown name in ``columns`` is an error.
     """
@@ -60,9 +63,9 @@ def analyze(
         shared = Shared(describe.project(df, columns))
     df = shared.df
     numeric, categorical = shared.numeric, shared.categorical
-    tables = {"shape": shared.shape, "column_types": quality.column_types(df)}
+    tables = {"shape": shared.shape, "column_types": quality.column_types(df, shared.nulls)}
     if numeric:
-        tables["numeric_summary"] = describe.numeric_summary(df)
+        tables["numeric_summary"] = describe.numeric_summary(df, stats=shared.stats)
     if categorical:
         tables["categorical_unique"] = shared.distinct.where(
             F.col("column_name").isin(categorical)
@@ -71,7 +74,9 @@ def analyze(
     if tier != "descriptive" and numeric:
         tables["statistical_tests"] = shared.tests
     if tier == "comprehensive":
-        tables["data_quality"] = quality.report(df, shared.missing_total, shared.duplicates)
+        tables["data_quality"] = quality.report(
+            df, shared.missing_total, shared.duplicates, shared.nulls
+        )
         if len(numeric) > 1:
             pairs = shared.correlations
             tables["correlation_matrix"] = relations.correlation_matrix(df, pairs=pairs)
@@ -81,7 +86,7 @@ def analyze(
             tables["group_count"] = groups.group_count(df, group_by)
             tables["group_stats"] = groups.group_stats(df, group_by)
         if numeric:
-            tables["distributions"] = describe.distributions(df)
+            tables["distributions"] = describe.distributions(df, stats=shared.stats)
     tables["insights"] = insights(df, tier, shared)
     tables["warnings"] = warnings(df, shared)
     tables["recommendations"] = recommendations(df, tier, shared)

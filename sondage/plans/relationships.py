@@ -3,6 +3,7 @@
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sondage.operators import findings, relations
 from sondage.plans.shared import Shared
@@ -12,6 +13,7 @@ class RelationshipResult(NamedTuple):
     relationships: DataFrame
     correlation_matrix: DataFrame | None
     insights: DataFrame
+    total: DataFrame
 
 
 def find_relationships(
@@ -20,17 +22,19 @@ def find_relationships(
     limit: int | None = 50,
     shared: Shared | None = None,
 ) -> RelationshipResult:
-    """Insights are about the relationships kept by ``limit``.
+    """``limit`` cuts the relationships listed; insights and total are about all.
 
     The relationships, one row per column pair at most, are cached: they are read again
-    for the insights.
+    for insights and total. ``shared.release()`` lets go of them.
     """
-    pairs = (shared or Shared(df)).correlations
-    found = relations.relationships(df, threshold, limit, pairs).cache()
+    shared = shared or Shared(df)
+    pairs = shared.correlations
+    found = shared.kept(relations.all_relationships(df, threshold, pairs))
     return RelationshipResult(
-        relationships=found,
+        relationships=relations.strongest(found, limit),
         correlation_matrix=(
             relations.correlation_matrix(df, pairs=pairs) if pairs is not None else None
         ),
         insights=findings.relationship_insights(found),
+        total=found.agg(F.count(F.lit(1)).alias("total_relationships")),
     )

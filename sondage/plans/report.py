@@ -24,7 +24,6 @@ from sondage.plans.shared import Shared
 from sondage.sources.files import file_info
 
 RAW_ROWS = 100
-TOP_RELATIONSHIPS = 20
 
 
 def raw_sample(df: DataFrame, order_by: Sequence[str], n: int = RAW_ROWS) -> DataFrame:
@@ -33,15 +32,17 @@ def raw_sample(df: DataFrame, order_by: Sequence[str], n: int = RAW_ROWS) -> Dat
     return df.orderBy(*[column(c) for c in order_by]).limit(n)
 
 
-def standard_charts(df: DataFrame) -> dict[str, DataFrame]:
-    """Correlations of the first 10 numeric columns, distributions of 3, boxes of 5."""
+def standard_charts(
+    df: DataFrame, correlations: int = 10, distributions: int = 3, boxes: int = 5
+) -> dict[str, DataFrame]:
+    """Correlations, distributions and boxes of the first so many numeric columns."""
     numeric = numeric_columns(df)
     tables = {}
     if len(numeric) > 1:
-        tables["correlation"] = charts.correlation(df, numeric[:10])
+        tables["correlation"] = charts.correlation(df, numeric[:correlations])
     if numeric:
-        tables["distribution"] = charts.distribution(df, numeric[:3])
-        tables["box"] = charts.box(df, numeric[:5])
+        tables["distribution"] = charts.distribution(df, numeric[:distributions])
+        tables["box"] = charts.box(df, numeric[:boxes])
     return tables
 
 
@@ -57,28 +58,34 @@ def collect_report(
     include_charts: bool = True,
     raw_order: Sequence[str] | None = None,
     key: Sequence[str] | None = None,
+    limit: int | None = None,
+    raw_rows: int = RAW_ROWS,
 ) -> tuple[dict[str, dict[str, DataFrame]], list[str]]:
-    """The report's tables by section and name, and the titles of the sections."""
+    """The report's tables by section and name, and the titles of the sections.
+
+    ``limit`` cuts the relationships listed, ``raw_rows`` the raw sample; totals and
+    findings are about everything found.
+    """
     shared = Shared(df)
     found = discover_schema(df, key=key, shared=shared)
     sections = {"schema": {k: t for k, t in found._asdict().items() if t is not None}}
-    titles = ["Schema Discovery"]
+    titles = ["Columns"]
     sections["analysis"] = analyze(df, report_type, shared=shared)
-    titles.append("Data Analysis")
+    titles.append("Analysis")
     if report_type == "comprehensive":
-        related = find_relationships(df, shared=shared)
+        related = find_relationships(df, limit=limit, shared=shared)
         sections["relationships"] = {
-            "relationships": related.relationships.limit(TOP_RELATIONSHIPS),
-            "total": related.relationships.agg(F.count(F.lit(1)).alias("total_relationships")),
+            "relationships": related.relationships,
+            "total": related.total,
             "insights": related.insights,
         }
-        titles.append("Relationship Discovery")
+        titles.append("Relationships")
     if include_charts:
         sections["charts"] = standard_charts(df)
-        titles.append("Visualizations")
+        titles.append("Charts")
     if raw_order:
-        sections["raw"] = {"raw_sample": raw_sample(df, raw_order)}
-        titles.append("Raw Data Sample")
+        sections["raw"] = {"raw_sample": raw_sample(df, raw_order, raw_rows)}
+        titles.append("Raw rows")
     return sections, titles
 
 
@@ -124,9 +131,9 @@ def markdown_lines(
         return F.concat(F.col(c).cast("string"), F.lit("%"))
 
     overview = F.array(
-        F.concat(F.lit("- **Total Rows:** "), F.format_number("total_rows", 0)),
-        F.concat(F.lit("- **Total Columns:** "), F.col("total_columns").cast("string")),
-        F.concat(F.lit("- **Data Quality Score:** "), pct("data_quality_score")),
+        F.concat(F.lit("- Rows: "), F.format_number("total_rows", 0)),
+        F.concat(F.lit("- Columns: "), F.col("total_columns").cast("string")),
+        F.concat(F.lit("- Quality: "), pct("data_quality_score")),
     )
     positions = F.create_map(
         *[F.lit(x) for i, c in enumerate(df.columns) for x in (c, f"{i:09d}")]
@@ -140,9 +147,8 @@ def markdown_lines(
         fixed(
             0,
             [
-                "# Data Analysis Report", "", f"**File:** {name}  ",
-                f"**Generated:** {generated_at}  ", f"**Report Type:** {report_type}",
-                "", "---", "", "## Dataset Overview", "",
+                "# Profile", "", f"Source: {name}  ", f"Made: {generated_at}  ",
+                f"Depth: {report_type}", "", "## Size and quality", "",
             ],
         ),
         found.overview.select(F.posexplode(overview).alias("at", "line")).select(
@@ -151,18 +157,17 @@ def markdown_lines(
         fixed(
             2,
             [
-                "", "---", "", "## Schema Discovery", "",
-                "| Column Name | Data Type | Inferred Type | Null % | Unique % |",
-                "|-------------|-----------|---------------|--------|----------|",
+                "", "## Columns", "", "| Column | Stored as | Holds | Missing | Distinct |",
+                "| --- | --- | --- | --- | --- |",
             ],
         ),
         _texts(3, found.columns, row, F.element_at(positions, F.col("column_name"))),
     ]
     for order, (table, title) in enumerate(
         [
-            ("insights", "## Key Insights"),
-            ("warnings", "## ⚠️ Warnings"),
-            ("recommendations", "## ✅ Recommendations"),
+            ("insights", "## Observations"),
+            ("warnings", "## Cautions"),
+            ("recommendations", "## Advice"),
         ]
     ):
         messages = analysis[table]
@@ -179,9 +184,9 @@ def markdown_lines(
         within = F.concat_ws(":", "rule", F.element_at(positions, F.col("subject")))
         parts.append(_texts(5 + 2 * order, messages, bullet, within))
     if report_type == "comprehensive":
-        related = find_relationships(df, shared=shared).relationships.agg(F.count(F.lit(1)).alias("n"))
-        total = F.format_string("Found **%d** significant relationships.", F.col("n"))
-        lines = F.array(F.lit(""), F.lit("## Relationship Discovery"), F.lit(""), total, F.lit(""))
+        related = find_relationships(df, shared=shared).total.withColumnRenamed("total_relationships", "n")
+        total = F.format_string("%d found.", F.col("n"))
+        lines = F.array(F.lit(""), F.lit("## Relationships"), F.lit(""), total, F.lit(""))
         parts.append(
             related.select(F.posexplode(lines).alias("at", "line")).select(
                 F.lit(20).alias("part"), F.format_string("%09d", "at").alias("within"), "line"
@@ -192,6 +197,15 @@ def markdown_lines(
     return every.select(number.alias("line_no"), "line")
 
 
+def metadata(
+    df: DataFrame, name: str, generated_at: str, report_type: str, titles: list[str], n_charts: int
+) -> DataFrame:
+    """One row about the report itself."""
+    row = (name, generated_at, report_type, titles, n_charts)
+    fields = "file string, generated_at string, report_type string, sections array<string>, charts int"
+    return df.sparkSession.createDataFrame([row], fields)
+
+
 class ReportResult(NamedTuple):
     report_path: str
     report_format: str
@@ -209,24 +223,31 @@ def generate_report(
     output_format: str = "json",
     include_charts: bool = True,
     raw_order: Sequence[str] | None = None,
+    path: str | None = None,
 ) -> ReportResult:
-    """Write a report below ``folder`` and say what it holds.
+    """Write a report and say what it holds: to ``path``, or below ``folder`` under a name
+    with the time.
 
-    ``json`` writes the facts as JSON lines (and the raw sample beside them),
+    ``json`` writes the facts as JSON lines (metadata and raw sample beside them),
     ``markdown`` the text lines in order, ``parquet`` the facts as a table.
     """
     if output_format not in ("json", "markdown", "parquet"):
         raise ValueError(f"Unsupported output format: {output_format}")
     started = time.time()
     stamp = datetime.now().strftime("%Y%m%d_%H%M%S")
-    path = f"{folder.rstrip('/')}/report_{name}_{stamp}.{output_format}"
-    sections, titles = collect_report(df, report_type, include_charts, raw_order)
+    path = path or f"{folder.rstrip('/')}/report_{name}_{stamp}.{output_format}"
     if output_format == "markdown":
+        sections, titles = {}, ["Columns", "Analysis"]
+        if report_type == "comprehensive":
+            titles.append("Relationships")
         lines = markdown_lines(df, name, report_type)
         # A report has as many lines as columns and findings: one ordered file.
         lines.coalesce(1).sortWithinPartitions("line_no").select("line").write.text(path)
     else:
-        report_facts(sections).coalesce(1).write.format(output_format).save(f"{path}/facts")
+        sections, titles = collect_report(df, report_type, include_charts, raw_order)
+        about = metadata(df, name, stamp, report_type, titles, len(sections.get("charts", {})))
+        about.coalesce(1).write.format(output_format).save(f"{path}/metadata")
+        report_facts(sections).write.format(output_format).save(f"{path}/facts")
         if raw_order:
             raw = sections["raw"]["raw_sample"]
             raw.coalesce(1).write.format(output_format).save(f"{path}/raw_sample")

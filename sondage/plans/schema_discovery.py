@@ -44,7 +44,7 @@ def discover_schema(
             "band",
         ),
         columns=schema.schema_columns(shared.profile),
-        numeric_constraints=schema.numeric_constraints(df) if shared.numeric else None,
+        numeric_constraints=schema.numeric_constraints(df, shared.stats) if shared.numeric else None,
         text_constraints=schema.text_constraints(df) if shared.categorical else None,
         samples=schema.sample_values(df, key),
         recommendations=findings.schema_recommendations(

@@ -3,10 +3,10 @@
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sondage.functions.columns import categorical_columns, numeric_columns
 from sondage.operators import describe, frequencies, quality, relations, schema
-from sondage.operators.stats import column_stats
 
 
 class Shared:
@@ -18,46 +18,63 @@ class Shared:
 
     def __init__(self, df: DataFrame):
         self.df = df
+        self._kept: list[DataFrame] = []
         self.numeric = numeric_columns(df)
         self.categorical = categorical_columns(df)
 
+    def kept(self, table: DataFrame) -> DataFrame:
+        self._kept.append(table.cache())
+        return table
+
+    def release(self) -> None:
+        """Lets go of the cached tables; what was derived from them computes them again."""
+        while self._kept:
+            self._kept.pop().unpersist()
+
+    @cached_property
+    def nulls(self) -> DataFrame:
+        return self.kept(quality.null_counts(self.df))
+
+    @cached_property
+    def stats(self) -> DataFrame | None:
+        return self.kept(describe.whole_stats(self.df)) if self.numeric else None
+
     @cached_property
     def shape(self) -> DataFrame:
-        return describe.shape(self.df).cache()
+        rows = self.nulls.agg(F.coalesce(F.max("n_rows"), F.lit(0)).alias("n_rows"))
+        return rows.withColumn("n_columns", F.lit(len(self.df.columns)))
 
     @cached_property
     def missing_total(self) -> DataFrame:
-        return quality.missing_total(self.df).cache()
+        return quality.missing_total(self.df, self.nulls)
 
     @cached_property
     def duplicates(self) -> DataFrame:
-        return quality.duplicates(self.df).cache()
+        return self.kept(quality.duplicates(self.df))
 
     @cached_property
     def distinct(self) -> DataFrame:
-        return frequencies.distinct_counts(self.df).cache()
+        return self.kept(frequencies.distinct_counts(self.df))
 
     @cached_property
     def profile(self) -> DataFrame:
-        return schema.column_profile(self.df, self.distinct).cache()
+        return self.kept(schema.column_profile(self.df, self.distinct))
 
     @cached_property
     def spread(self) -> DataFrame | None:
-        if not self.numeric:
-            return None
-        return column_stats(self.df, self.numeric, ["std"]).cache()
+        return self.stats.select("column_name", "std") if self.numeric else None
 
     @cached_property
     def tests(self) -> DataFrame | None:
-        return describe.statistical_tests(self.df).cache() if self.numeric else None
+        return describe.statistical_tests(self.df, stats=self.stats) if self.numeric else None
 
     @cached_property
     def skewness(self) -> DataFrame | None:
         """From the tests if they are made anyway, else on its own."""
         if "tests" in self.__dict__:
             return self.tests
-        return describe.moments(self.df) if self.numeric else None
+        return describe.moments(self.df, stats=self.stats) if self.numeric else None
 
     @cached_property
     def correlations(self) -> DataFrame | None:
-        return relations.correlations(self.df).cache() if len(self.numeric) > 1 else None
+        return self.kept(relations.pair_correlations(self.df)) if len(self.numeric) > 1 else None

@@ -51,11 +51,12 @@ def test_relationships_are_ranked_and_cut(mixed):
     assert len(every) == 6
 
 
-def test_insights_follow_the_limit(mixed):
+def test_insights_and_total_are_about_all(mixed):
     _, df = mixed
-    found = sondage.find_relationships(df, limit=1)
-    rules = [r["rule"] for r in found.insights.collect()]
-    assert rules == ["strong"]
+    found, every = sondage.find_relationships(df, limit=1), sondage.find_relationships(df, limit=None)
+    assert found.relationships.count() == 1 < every.relationships.count()
+    assert found.total.first()[0] == every.relationships.count()
+    assert sorted(found.insights.collect()) == sorted(every.insights.collect())
     assert found.correlation_matrix.count() == 25
 
 
@@ -115,7 +116,7 @@ def test_thresholds_of_findings(spark):
     assert findings.warnings(missing, doubled, None).count() == 0
     more = missing.withColumn("missing_pct", F.lit(10.01))
     assert [r["message"] for r in findings.warnings(more, doubled, None).collect()] == [
-        "High percentage of missing values: 10.01%"
+        "Missing cells: 10.01%"
     ]
 
 
@@ -185,7 +186,7 @@ def test_pairplot_counts_every_point(mixed):
 
 def test_heatmap_of_a_small_table_shows_values(spark):
     df = spark.createDataFrame([(2, 5.0), (1, 7.0)], "k int, v double")
-    rows = charts.heatmap(df, ["v"], order_by="k").collect()
+    rows = charts.heatmap(df, ["v"], order_by="k", values="raw").collect()
     assert [(r["column1"], r["column2"], r["value"]) for r in sorted(rows)] == [
         ("0", "v", 7.0), ("1", "v", 5.0)
     ]

@@ -125,7 +125,7 @@ def unique(f, columns=None):
 def top(f):
     return union(
         f"""SELECT * FROM (SELECT '{c}' AS column_name, {c} AS value, count(*) AS n,
-            (row_number() OVER (ORDER BY count(*) DESC, {c}))::INTEGER AS rank
+            (row_number() OVER (ORDER BY count(*) DESC, sha256({c})))::INTEGER AS rank
             FROM {f.sql} WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 10"""
         for c in f.text
     )
@@ -522,19 +522,18 @@ def relationships(f, threshold=0.7):
     return f"SELECT * FROM ({union(parts)}) ORDER BY abs(strength) DESC, kind_order, i, j"
 
 
-def relationship_insights(f, threshold=0.7, limit=50):
-    found = f"(SELECT * FROM ({relationships(f, threshold)}) LIMIT {limit})"
+def relationship_insights(f, threshold=0.7):
+    found = f"({relationships(f, threshold)})"
     rules = [
-        ("none", "count(*) = 0", "'No significant relationships found in the data.'"),
+        ("none", "count(*) = 0", "'No relationship passed the thresholds'"),
         ("strong", "count(*) FILTER (abs(strength) >= 0.8) > 0",
-         "'Found ' || count(*) FILTER (abs(strength) >= 0.8) || ' strong relationships that may "
-         "indicate redundant features or important dependencies.'"),
+         "count(*) FILTER (abs(strength) >= 0.8) || ' strong relationships: columns may be redundant'"),
         ("categorical", "count(*) FILTER (relationship_type = 'categorical_association') > 0",
-         "'Identified ' || count(*) FILTER (relationship_type = 'categorical_association') || "
-         "' significant associations between categorical variables.'"),
+         "count(*) FILTER (relationship_type = 'categorical_association') || "
+         "' associations between categories'"),
         ("mixed", "count(*) FILTER (relationship_type = 'numeric_categorical') > 0",
-         "'Found ' || count(*) FILTER (relationship_type = 'numeric_categorical') || "
-         "' relationships where categorical variables significantly influence numeric variables.'"),
+         "count(*) FILTER (relationship_type = 'numeric_categorical') || "
+         "' pairs in which a number differs by category'"),
     ]
     return union(finding(found, "insight", r, m, having=w) for r, w, m in rules)
 
@@ -610,17 +609,17 @@ def finding(source, kind, rule, message, where="true", subject="NULL::VARCHAR",
 def insights(f, tier="comprehensive"):
     parts = [finding(
         f"({shape(f)})", "insight", "size",
-        "'Dataset contains ' || format('{:,}', n_rows) || ' rows and ' || n_columns || ' columns'")]
+        "format('{:,}', n_rows) || ' rows in ' || n_columns || ' columns'")]
     for rule, n, use in [
-        ("numeric_columns", len(f.numeric), "numeric columns for quantitative analysis"),
-        ("categorical_columns", len(f.text), "categorical columns for qualitative analysis"),
+        ("numeric_columns", len(f.numeric), "columns hold numbers"),
+        ("categorical_columns", len(f.text), "columns hold categories"),
     ]:
         if n:
-            parts.append(finding("(SELECT 1)", "insight", rule, f"'Found {n} {use}'"))
+            parts.append(finding("(SELECT 1)", "insight", rule, f"'{n} {use}'"))
     if tier == "comprehensive" and len(f.numeric) > 1:
         parts.append(finding(
             f"({strong(f)})", "insight", "strong_correlations",
-            "'Identified ' || count(*) || ' strong correlations between variables'",
+            "count(*) || ' pairs of columns correlate strongly'",
             having="count(*) > 0"))
     return union(parts)
 
@@ -628,15 +627,15 @@ def insights(f, tier="comprehensive"):
 def warnings(f):
     parts = [
         finding(f"({missing_total(f)})", "warning", "missing_values",
-                "'High percentage of missing values: ' || missing_pct || '%'", "missing_pct > 10"),
+                "'Missing cells: ' || missing_pct || '%'", "missing_pct > 10"),
         finding(f"({duplicates(f)})", "warning", "duplicates",
-                "'Found ' || duplicate_rows || ' duplicate rows (' || duplicate_pct || '%)'",
+                "'Repeated rows: ' || duplicate_rows || ' (' || duplicate_pct || '%)'",
                 "duplicate_pct > 5"),
     ]
     if f.numeric:
         parts.append(finding(
             f"({per_column(f, f.numeric, 'stddev_samp({c}) AS std')})", "warning", "low_variance",
-            "'Column ''' || column_name || ''' has very low variance'", "std < 0.01",
+            "column_name || ' hardly varies'", "std < 0.01",
             "column_name"))
     return union(parts)
 
@@ -646,30 +645,27 @@ def recommendations(f, tier="comprehensive"):
     if tier == "comprehensive":
         parts.append(finding(
             f"({missing_total(f)})", "recommendation", "missing_values",
-            "'Consider handling missing values through imputation or removal'", "missing_pct > 5"))
+            "'Fill or drop the missing cells'", "missing_pct > 5"))
     if f.text:
         parts.append(finding(
             f"({per_column(f, f.text, 'count(DISTINCT {c}) / count(*)::DOUBLE AS share')})",
             "recommendation", "high_cardinality",
-            "'Column ''' || column_name || ''' has high cardinality. "
-            "Consider feature engineering or encoding'", "share > 0.5", "column_name"))
+            "column_name || ' is mostly unique: encode it before use'", "share > 0.5", "column_name"))
     if tier != "descriptive" and f.numeric:
         parts.append(finding(
             f"({moments(f)})", "recommendation", "skewed",
-            "'Column ''' || column_name || ''' is highly skewed. Consider transformation'",
+            "column_name || ' is very skewed: a transformation may help'",
             "abs(skewness) > 2", "column_name"))
     return union(parts)
 
 
 def schema_recommendations(f):
-    many = ("Large number of numeric columns. "
-            "Consider dimensionality reduction or feature selection.")
+    many = "More than ten numeric columns: select or combine some"
     return union([
         finding(f"({missing_total(f)})", "recommendation", "missing_values",
-                "'High percentage of missing values (' || missing_pct || '%). "
-                "Consider imputation or removal strategies.'", "missing_pct > 30"),
+                "missing_pct || '% of the cells are missing: fill or drop them'", "missing_pct > 30"),
         finding(f"({duplicates(f)})", "recommendation", "duplicates",
-                "'Found ' || duplicate_pct || '% duplicate rows. Consider deduplication.'",
+                "duplicate_pct || '% of the rows are repeated: remove the repetitions'",
                 "duplicate_pct > 5"),
         finding("(SELECT 1)", "recommendation", "many_numeric_columns", f"'{many}'",
                 str(len(f.numeric) > 10)),
@@ -846,12 +842,12 @@ def report_sections(f, key):
         facts("schema.samples", samples, ["column_name"], (), ["sample_values"]),
         finding_facts("schema.recommendations", schema_recommendations(f)),
         analysis(f, "comprehensive", prefix="analysis."),
-        facts("relationships.relationships", f"SELECT * FROM ({found}) LIMIT 20",
+        facts("relationships.relationships", found,
               ["column1", "column2"],
               ["strength", *[m for m in RELATION_METRICS if m != "significance"]],
               ["relationship_type", "description", "significance"]),
         facts("relationships.total",
-              f"SELECT least(count(*), 50) AS total_relationships FROM ({found})", (),
+              f"SELECT count(*) AS total_relationships FROM ({found})", (),
               ["total_relationships"]),
         finding_facts("relationships.insights", relationship_insights(f)),
         report_charts(f, "charts."),
@@ -868,31 +864,29 @@ def markdown(f, name, generated):
         f"WHEN '{c}' THEN '{i:09d}'" for i, c in enumerate(f.names)) + " END"
     subject = place.replace("column_name", "subject")
     parts = [
-        fixed(0, ["# Data Analysis Report", "", f"**File:** {name}  ",
-                  f"**Generated:** {generated}  ", "**Report Type:** comprehensive", "", "---", "",
-                  "## Dataset Overview", ""]),
+        fixed(0, ["# Profile", "", f"Source: {name}  ", f"Made: {generated}  ", "Depth: comprehensive", "",
+                  "## Size and quality", ""]),
         f"""SELECT 1 AS part, unnest(['0', '1', '2']) AS within, unnest([
-            '- **Total Rows:** ' || format('{{:,}}', total_rows),
-            '- **Total Columns:** ' || total_columns,
-            '- **Data Quality Score:** ' || data_quality_score || '%']) AS line
+            '- Rows: ' || format('{{:,}}', total_rows),
+            '- Columns: ' || total_columns,
+            '- Quality: ' || data_quality_score || '%']) AS line
             FROM ({overview(f)})""",
-        fixed(2, ["", "---", "", "## Schema Discovery", "",
-                  "| Column Name | Data Type | Inferred Type | Null % | Unique % |",
-                  "|-------------|-----------|---------------|--------|----------|"]),
+        fixed(2, ["", "## Columns", "", "| Column | Stored as | Holds | Missing | Distinct |",
+                  "| --- | --- | --- | --- | --- |"]),
         f"""SELECT 3, {place}, '| ' || column_name || ' | ' || data_type || ' | ' || inferred_type
             || ' | ' || null_pct || '% | ' || unique_pct || '% |' FROM ({schema_columns(f)})""",
     ]
     for i, (sql, title) in enumerate([
-        (insights(f), "## Key Insights"), (warnings(f), "## ⚠️ Warnings"),
-        (recommendations(f), "## ✅ Recommendations"),
+        (insights(f), "## Observations"), (warnings(f), "## Cautions"),
+        (recommendations(f), "## Advice"),
     ]):
         parts.append(f"SELECT * FROM ({fixed(4 + 2 * i, ['', title, ''])}) "
                      f"WHERE (SELECT count(*) FROM ({sql})) > 0")
         parts.append(f"SELECT {5 + 2 * i}, concat_ws(':', rule, {subject}), '- ' || message "
                      f"FROM ({sql})")
     parts.append(f"""SELECT 20, unnest(['0', '1', '2', '3', '4']), unnest(['',
-        '## Relationship Discovery', '', 'Found **' || n || '** significant relationships.', ''])
-        FROM (SELECT least(count(*), 50) AS n FROM ({relationships(f)}))""")
+        '## Relationships', '', n || ' found.', ''])
+        FROM (SELECT count(*) AS n FROM ({relationships(f)}))""")
     return f"""SELECT (row_number() OVER (ORDER BY part, within, line))::INTEGER AS line_no, line
         FROM ({union(parts)})"""
 
@@ -937,11 +931,21 @@ CUSTOMER_SAMPLE = Frame(
     "(SELECT * FROM customer ORDER BY md5(c_custkey::VARCHAR || '|42') LIMIT 300)",
     CUSTOMER.columns)
 
+LARGE = Frame(
+    """(SELECT CASE WHEN o_orderkey % 7 < 2 THEN 9007199254740993 WHEN o_orderkey % 7 < 4
+        THEN 9007199254740992 ELSE 5 END AS k FROM orders)""", [("k", "bigint")])
+DERIVED = Frame(
+    f"(SELECT l_returnflag, {', '.join(f'l_quantity * {i + 1} AS q{i}' for i in range(12))} FROM lineitem)",
+    [("l_returnflag", "string"), *[(f"q{i}", "double") for i in range(12)]])
+
+PAGE_ROW = " || ".join(
+    f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in PAGES.names)
+
 ORACLES = {
     "desc_numeric": numeric_summary(LINEITEM),
     "desc_shape": shape(ORDERS),
     "desc_categorical_unique": union([unique(ORDERS), unique(PART), unique(DOCUMENTS)]),
-    "desc_top_values": union([top(PART), top(ORDERS), top(EVENTS)]),
+    "desc_top_values": union([top(PART), top(ORDERS), top(EVENTS), top(DOCUMENTS)]),
     "proj_columns": "SELECT l_orderkey, l_linenumber, l_tax FROM lineitem",
     "stat_moments": union(moments(f) for f in THREE),
     "stat_normality": union(normality(f) for f in THREE),
@@ -950,6 +954,7 @@ ORACLES = {
     "stat_percentiles": union(percentiles(f) for f in THREE),
     "stat_tests": union(tests(f) for f in (ORDERS, PART)),
     "dist_summary": union(dists(f) for f in THREE),
+    "dist_large_ints": f"SELECT column_name, mode FROM ({dists(LARGE)})",
     "group_count": group_count(ORDERS, "o_custkey"),
     "group_sizes": group_sizes(LINEITEM, "l_returnflag"),
     "group_stats": group_stats(LINEITEM, "l_returnflag"),
@@ -962,7 +967,7 @@ ORACLES = {
     "quality_type_roles": column_types(ORDERS),
     "quality_data_bytes": data_bytes(DOCUMENTS),
     "quality_report": quality_report(GAPS),
-    "quality_score": score(GAPS.only("event_type", "props", "value")),
+    "quality_score": score(GAPS),
     "outliers_iqr": union([outliers_iqr(EVENTS, ["value", "user_id"]),
                            outliers_iqr(DOCUMENTS, ["n_chars"])]),
     "outliers_zscore": union([outliers_z(EVENTS, ["value", "user_id"]),
@@ -996,6 +1001,7 @@ ORACLES = {
         FROM ({relationships(FLAGS, 0.0)}) LIMIT 3""",
     "rel_insights": relationship_insights(DOCUMENTS),
     "rel_insights_none": relationship_insights(EVENTS.only("event_type", "value")),
+    "rel_total_uncut": f"SELECT count(*) AS total_relationships FROM ({relationships(DERIVED)})",
     "schema_columns": union(schema_columns(f) for f in (CUSTOMER, PAGES, ORDERS)),
     "schema_columns_gaps": schema_columns(
         GAPS.only("event_id", "user_id", "event_type", "value", "props")),
@@ -1005,10 +1011,16 @@ ORACLES = {
         text_constraints(f) for f in (CUSTOMER, ORDERS, PAGES, DOCUMENTS)),
     "schema_sample_values": sample_values(
         CUSTOMER.only("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "c_custkey"),
+    "schema_sample_values_any": union(
+        f"""SELECT '{c}' AS column_name, string_agg(v, '|' ORDER BY draw) AS sample_values FROM (
+        SELECT {c}::VARCHAR AS v, md5(upper(sha256({PAGE_ROW})) || '|{c}:42') AS draw FROM pages
+        WHERE {c} IS NOT NULL ORDER BY draw, v LIMIT 5)"""
+        for c in PAGES.names
+    ),
     "sample_rows": """SELECT * FROM lineitem ORDER BY md5(concat_ws('|', l_orderkey, l_linenumber,
         l_partkey, l_suppkey, '42')) LIMIT 500""",
     "schema_of_sample": schema_columns(CUSTOMER_SAMPLE),
-    "schema_overview": overview(GAPS.only("user_id", "event_type", "value", "props")),
+    "schema_overview": overview(GAPS),
     "schema_recommendations": union([schema_recommendations(HALF), schema_recommendations(WIDE)]),
     "insights": union([insights(NET), insights(DOCUMENTS)]),
     "warnings": union([warnings(DOCUMENTS), warnings(GAPS.only("event_type", "value")),
@@ -1057,6 +1069,16 @@ ORACLES = {
     "src_csv_chunks": CUSTOMER_BACK,
     "src_multi_file_union": CUSTOMER_BACK,
     "src_json_roundtrip": CUSTOMER_BACK,
+    "src_csv_wide_ids": """SELECT o_orderkey + 1234567890123456789 AS id,
+        (o_orderkey::HUGEINT * 10000000000000000000 + 7)::VARCHAR AS wide FROM orders""",
+    "src_csv_spaces": """SELECT c_custkey, '  ' || c_name || ' ' AS padded, ' NA ' AS mark
+        FROM customer""",
+    "src_csv_line_breaks": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
+    "src_json_records": CUSTOMER_BACK,
+    "src_json_columns": """SELECT c_custkey, c_name, c_acctbal FROM customer""",
+    "src_arrow_empty": "SELECT * FROM orders WHERE o_orderkey < 0",
+    "sample_rows_many": """SELECT * FROM lineitem ORDER BY md5(concat_ws('|', l_orderkey, l_linenumber,
+        l_partkey, l_suppkey, '42')), l_orderkey LIMIT 20000""",
     "src_arrow_ipc": "SELECT * FROM orders",
     "src_sql_query": """SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total
         FROM orders GROUP BY o_orderstatus""",

@@ -106,7 +106,7 @@ def desc_categorical_unique(spark, folder):
 @query
 def desc_top_values(spark, folder):
     return tables(
-        spark, folder, ["part", "orders", "events"], lambda df: describe.categorical_top(df)
+        spark, folder, ["part", "orders", "events", "documents"], lambda df: describe.categorical_top(df)
     )
 
 
@@ -167,6 +167,16 @@ def dist_summary(spark, folder):
     )
 
 
+@query
+def dist_large_ints(spark, folder):
+    """Integers that doubles cannot tell apart keep their own mode."""
+    keys = table(spark, folder, "orders").selectExpr(
+        "CASE WHEN o_orderkey % 7 < 2 THEN 9007199254740993 WHEN o_orderkey % 7 < 4 "
+        "THEN 9007199254740992 ELSE 5 END AS k"
+    )
+    return describe.distributions(keys).select("column_name", "mode")
+
+
 # --- groups ------------------------------------------------------------------------
 
 
@@ -232,9 +242,7 @@ def quality_report(spark, folder):
 
 @query
 def quality_score(spark, folder):
-    return quality.score(
-        events_with_gaps(spark, folder).select("event_type", "props", "value")
-    )
+    return quality.score(events_with_gaps(spark, folder))
 
 
 @query
@@ -407,6 +415,15 @@ def rel_insights_none(spark, folder):
     ).insights
 
 
+@query
+def rel_total_uncut(spark, folder):
+    """More relationships than are listed: the total counts all."""
+    lines = table(spark, folder, "lineitem").selectExpr(
+        "l_returnflag", *[f"l_quantity * {i + 1} AS q{i}" for i in range(12)]
+    )
+    return find_relationships(lines, limit=10).total
+
+
 # --- schema ------------------------------------------------------------------------
 
 
@@ -463,7 +480,8 @@ def schema_sample_values(spark, folder):
 @query
 def schema_sample_values_any(spark, folder):
     """Without a key the draw is over a hash of the whole row."""
-    return schema.sample_values(table(spark, folder, "pages"))
+    found = schema.sample_values(table(spark, folder, "pages"))
+    return found.select("column_name", F.array_join("sample_values", "|").alias("sample_values"))
 
 
 @query
@@ -472,6 +490,13 @@ def sample_rows(spark, folder):
     return schema.sample_rows(table(spark, folder, "lineitem"), 500, key)
 
 
+@query
+def sample_rows_many(spark, folder):
+    """More rows than one task would rank."""
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return schema.sample_rows(table(spark, folder, "lineitem"), 20_000, key)
+
+
 @query
 def schema_of_sample(spark, folder):
     """All figures are those of the sampled rows."""
@@ -480,7 +505,7 @@ def schema_of_sample(spark, folder):
 
 @query
 def schema_overview(spark, folder):
-    return discover_schema(events_with_gaps(spark, folder).drop("ts", "event_id")).overview
+    return discover_schema(events_with_gaps(spark, folder)).overview
 
 
 @query
@@ -562,12 +587,14 @@ def chart_heatmap(spark, folder):
 
 @query
 def chart_heatmap_raw(spark, folder):
-    """A table of at most 100 rows is shown itself: here the means per return flag."""
+    """The values themselves: here the means per line number."""
     means = table(spark, folder, "lineitem").groupBy("l_linenumber").agg(
         F.round(F.avg("l_quantity"), 6).alias("quantity"), F.count(F.lit(1)).alias("lines")
     )
     return to_digits(
-        charts.chart_data(means, "heatmap", ["quantity", "lines"], order_by="l_linenumber")
+        charts.chart_data(
+            means, "heatmap", ["quantity", "lines"], order_by="l_linenumber", values="raw"
+        )
     )
 
 
@@ -747,9 +774,79 @@ def src_arrow_ipc(spark, folder):
     return files.load(spark, path)
 
 
+@query
+def src_csv_wide_ids(spark, folder):
+    """Integers of 19 digits stay bigint; wider ones become decimals, never doubles."""
+    path = new_path(spark, "ids") + ".csv"
+    ids = table(spark, folder, "orders").selectExpr(
+        "o_orderkey + 1234567890123456789 AS id",
+        "CAST(o_orderkey AS DECIMAL(38,0)) * 10000000000000000000BD + 7 AS wide",
+    )
+    files.save(ids, path)
+    return files.load(spark, path).select("id", F.col("wide").cast("string"))
+
+
+@query
+def src_csv_spaces(spark, folder):
+    path = new_path(spark, "spaces") + ".csv"
+    padded = table(spark, folder, "customer").selectExpr(
+        "c_custkey", "concat('  ', c_name, ' ') AS padded", "' NA ' AS mark"
+    )
+    files.save(padded, path)
+    return files.load(spark, path)
+
+
+@query
+def src_csv_line_breaks(spark, folder):
+    """Quoted line breaks are found by a plain load."""
+    path = new_path(spark, "breaks") + ".csv"
+    files.save(table(spark, folder, "documents").select("doc_id", "text"), path)
+    return files.load(spark, path).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def _json_document(spark, rows, name):
+    """All rows (text) of a frame as one JSON document."""
+    path = new_path(spark, name) + ".json"
+    rows.coalesce(1).write.text(path)
+    return path
+
+
+@query
+def src_json_records(spark, folder):
+    """An indented array of objects in one file."""
+    customer = table(spark, folder, "customer")
+    one = customer.agg(F.collect_list(F.struct(*customer.columns)).alias("all"))
+    text = one.select(F.to_json("all", {"pretty": "true"}).alias("value"))
+    loaded = files.load(spark, _json_document(spark, text, "records"))
+    return loaded.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+@query
+def src_json_columns(spark, folder):
+    """An indented document of columns with row labels that are no numbers."""
+    customer = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
+    label = F.concat(F.lit("r"), "c_custkey")
+    columns = [
+        F.map_from_entries(F.collect_list(F.struct(label, F.col(c)))).alias(c) for c in customer.columns
+    ]
+    one = customer.agg(*columns)
+    text = one.select(F.to_json(F.struct(*one.columns), {"pretty": "true"}).alias("value"))
+    loaded = files.load(spark, _json_document(spark, text, "columns"))
+    return loaded.select("c_custkey", "c_name", "c_acctbal")
+
+
+@query
+def src_arrow_empty(spark, folder):
+    path = new_path(spark, "none") + ".arrow"
+    files.save(table(spark, folder, "orders").where("o_orderkey < 0"), path)
+    return files.load(spark, path)
+
+
 @query
 def src_file_info(spark, folder):
-    return files.file_info(spark, folder)
+    """Facts about the files of a table of many rows, beside the table's own count."""
+    rows = table(spark, folder, "lineitem").agg(F.count(F.lit(1)).alias("n_rows")).scalar()
+    return files.file_info(spark, folder).withColumn("lineitem_rows", rows)
 
 
 @query
