@@ -65,8 +65,8 @@ def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse, at least ``length`` of each."""
-    size = max(PIECE_BYTES, 1 << max(0, length - 1).bit_length())
-    if size > 4 * PIECE_BYTES:  # for one very long text only: not kept
+    size = max(1 << 21, 1 << max(0, length - 1).bit_length())
+    if size > 1 << 21:  # for one very long text only: not kept
         return _powers.__wrapped__(size)
     return _powers(size)
 

@@ -42,7 +42,7 @@ LOG_SUBSTITUTED = math.log(0.05)
 LOG_DELETED = math.log(0.2)
 LOG_RUN = {1: (0.0, None), 2: (math.log(0.1), math.log(0.9)), 3: (math.log(0.6), math.log(0.4))}
 PREFIXES = (4, 5, 6)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 DISGUISED = re.compile(r"[0-9@$!|+(*]|([^\W\d_])\1\1")
 SEPARATED = re.compile(r"[.\-_*~/\\]+")
 SPACED = re.compile(
