@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from sondage.session import checkpointed
 
-# A Python worker remembers the ids of so many words, then starts afresh.
-CACHE_WORDS = 700_000
+# A Python worker remembers the ids of so many words, and of so many without the marks
+# behind them (some 200 bytes each), then starts afresh.
+CACHE_WORDS = 150_000
+CACHE_LETTERS = 400_000
 
 
 def cut(length: int, capacity: int, waste: float) -> list[int]:
@@ -54,26 +56,82 @@ def _tokenizer(path: str) -> Any:
     return Tokenizer.from_file(path)
 
 
+# A word of letters and one of these behind it are split there by the tokenizer's pattern.
+MARKS = b".,;:!?"
+
+
+class _Words:
+    """Ids of the words met by a Python worker, as little-endian 32-bit numbers.
+
+    Letters and the marks behind them are encoded apart: each is one piece to the
+    tokenizer, whose last token carries the end of a word, so that many are encoded as one
+    text. A word that is not letters and marks is encoded by itself.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
+        self.known: dict[bytes, bytes] = {}
+        self.letters: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {b"": b""}
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _encode_letters(self, words: list[bytes]) -> None:
+        if not words:
+            return
+        joined = b" ".join(words).decode()
+        ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) != len(words):  # a tokenizer without ends of words
+            self.letters.update(zip(words, self._encode(words), strict=True))
+            return
+        held, start = ids.tobytes(), 0
+        for word, end in zip(words, ends.tolist(), strict=True):
+            self.letters[word] = held[start:end]
+            start = end
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.known) + len(words) > CACHE_WORDS:
+            self.known.clear()
+            self.marks = {b"": b""}
+        if len(self.letters) + len(words) > CACHE_LETTERS:
+            self.letters.clear()
+        split, others = [], []
+        for word in words.difference(self.known):
+            core = word.rstrip(MARKS)
+            if core.isalpha():  # ASCII; the tokenizer ignores case
+                split.append((word, core.lower(), word[len(core) :]))
+            elif (text := core.decode()) and text.lower().isalpha():
+                split.append((word, core, word[len(core) :]))
+            else:
+                others.append(word)
+        self._encode_letters(list({core for _, core, _ in split}.difference(self.letters)))
+        marks = list({tail for *_, tail in split}.difference(self.marks))
+        self.marks.update(zip(marks, self._encode(marks), strict=True))
+        for word, core, tail in split:
+            self.known[word] = self.letters[core] + self.marks[tail]
+        self.known.update(zip(others, self._encode(others), strict=True))
+
+
 @cache
-def _known(path: str) -> dict[bytes, bytes]:
-    return {}
+def _words(path: str) -> _Words:
+    return _Words(path)
 
 
 def word_ids(path: str, texts: list[bytes]) -> Iterator[bytes]:
     """Ids of each text as little-endian 32-bit numbers, for a tokenizer that drops white
     space and so treats every word by itself."""
-    known = _known(path)
+    words = _words(path)
     split = [t.split() for t in texts]
-    missing = set().union(*split).difference(known)
-    if len(known) + len(missing) > CACHE_WORDS:
-        known.clear()
-        missing = set().union(*split)
-    words = list(missing)
-    encoded = _tokenizer(path).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-    for w, e in zip(words, encoded, strict=True):
-        known[w] = np.array(e.ids, "<u4").tobytes()
-    for words in split:
-        yield b"".join(map(known.__getitem__, words))
+    words.learn(set().union(*split))
+    for one in split:
+        yield b"".join(map(words.known.__getitem__, one))
 
 
 def pieces_of(
