@@ -13,8 +13,9 @@ Paragraphs end at line breaks, and inside a line where a sentence that begins wi
 follows another (a cut that depends on the text around it alone, so that an edit moves no
 other cut). The n-th repetition of a paragraph in a text has a digest of its own.
 
-Everything is SQL functions inside a row; a text and what it is compared with are brought
-together by one shuffle of the texts and one of the parts that the comparison needs.
+Everything is SQL. A text and what it is compared with are brought together by one shuffle
+of the texts and one of the parts that the comparison needs; cells are rows, which are
+built, subtracted and peeled inside the partition of their document, without a shuffle.
 
 Defined cases: a null text counts as empty, which is one empty paragraph; documents
 follow each other by id, nulls first, then by a digest of their text; rows that repeat id
@@ -29,12 +30,11 @@ from pyspark.sql import functions as F
 
 from sondage.session import checkpointed
 
-CELLS = 48
+CELLS = 96
 GROWTH = 4
-ROUNDS = 16
+ROUNDS = 4
 TABLES = 3
 CUT = "\n|(?<=[.!?]) (?=[A-E])"
-CELL = "struct<n:int,key:bigint,check:bigint>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -58,103 +58,96 @@ def paragraph_digests(text: Column) -> Column:
     return let(F.transform(F.split(text, CUT, -1), lambda p: F.xxhash64(p)), numbered)
 
 
-def _place(key: Column, table: int, size: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(table)), F.lit(size).cast("long"))
+def _check(key: Column) -> Column:
+    return F.xxhash64(key)
 
 
-def _add(cell: Column, key: Column, n: Column) -> Column:
-    return F.struct(
-        (cell["n"] + n).alias("n"),
-        cell["key"].bitwiseXOR(key).alias("key"),
-        cell["check"].bitwiseXOR(F.xxhash64(key)).alias("check"),
-    )
-
-
-def sketch(keys: Column, cells: int = CELLS) -> Column:
-    """The cells of an array of digests."""
-    size = cells // TABLES
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
-
-    def table(t: int) -> Column:
-        placed = F.transform(keys, lambda k: F.struct(_place(k, t, size).alias("at"), k.alias("key")))
-        return let(placed, lambda p: F.transform(
-            F.sequence(F.lit(0), F.lit(size - 1)),
-            lambda at: F.aggregate(
-                F.filter(p, lambda x: x["at"] == at), zero, lambda cell, x: _add(cell, x["key"], F.lit(1))
-            ),
-        ))
-
-    return F.concat(*[table(t) for t in range(TABLES)])
-
-
-def difference(left: Column, right: Column) -> Column:
-    """Cell-wise ``left`` - ``right``."""
-    return F.zip_with(left, right, lambda x, y: F.struct(
-        (x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"),
-        x["check"].bitwiseXOR(y["check"]).alias("check"),
-    ))
-
-
-def peeled(cells: Column, size: int) -> Column:
-    """(cells, keys): the digests recovered, each with its side (1 left, -1 right), and
-    what remains."""
-
-    def single(cell: Column) -> Column:
-        return (F.abs(cell["n"]) == 1) & (cell["check"] == F.xxhash64(cell["key"]))
+def _cell(key: Column, table: int, size: int) -> Column:
+    place = F.pmod(F.xxhash64(key, F.lit(table)), F.lit(size).cast("long"))
+    return (place + table * size).cast("int")
 
-    def places(cell: Column) -> Column:
-        at = [_place(cell["key"], t, size) + t * size for t in range(TABLES)]
-        return F.struct(cell["n"].alias("n"), cell["key"].alias("key"), F.array(*at).alias("at"))
 
-    def turn(state: Column, _: Column) -> Column:
-        found = F.array_distinct(F.transform(F.filter(state["cells"], single), places))
+def _held(cell: Column, n: Column, key: Column, check: Column) -> Column:
+    return F.struct(cell.alias("cell"), n.cast("long").alias("n"), key.alias("key"), check.alias("check"))
 
-        def take(found: Column) -> Column:
-            def rest(cell: Column, at: Column) -> Column:
-                here = F.filter(found, lambda f: F.array_contains(f["at"], at.cast("long")))
-                return F.aggregate(here, cell, lambda c, f: _add(c, f["key"], -f["n"]))
-
-            left = F.when(F.size(found) > 0, F.transform(state["cells"], rest)).otherwise(state["cells"])
-            keys = F.transform(found, lambda f: F.struct(f["n"].alias("n"), f["key"].alias("key")))
-            return F.struct(left.alias("cells"), F.concat(state["keys"], keys).alias("keys"))
-
-        return let(found, take)
-
-    none = F.array().cast("array<struct<n:int,key:bigint>>")
-    start = F.struct(cells.cast(f"array<{CELL}>").alias("cells"), none.alias("keys"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
 
+def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Cells put together, those that hold nothing left out. Rows that are partitioned by
+    the first of ``by`` stay where they are."""
+    cells = rows.groupBy(*by, "cell").agg(
+        F.sum("n").alias("n"), F.expr("bit_xor(key)").alias("key"), F.expr("bit_xor(check)").alias("check")
+    )
+    return cells.where("n <> 0 OR key <> 0 OR check <> 0")
 
-def likeness(left: Column, right: Column, cells: int) -> Column:
-    """Of two arrays of digests by their sketches; null where peeling left cells over."""
 
-    def of(both: Column) -> Column:
-        def judge(done: Column) -> Column:
-            empty = ~F.exists(done["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
-            # Every digest is in one cell of the first table.
-            count = F.aggregate(
-                F.slice(F.zip_with(both["a"], both["b"], lambda x, y: x["n"] + y["n"]), 1, cells // TABLES),
-                F.lit(0), lambda total, n: total + n,
-            )
-            return F.when(empty, 1 - F.size(done["keys"]) / count)
+def sketches(keys: DataFrame, by: list[str], cells: int) -> DataFrame:
+    """(by..., cell, n, key, check): the sketches of digests (by..., key, n), where n is 1
+    for one version and -1 for the version to subtract."""
+    size = cells // TABLES
+    key, n = F.col("key"), F.col("n")
+    held = F.array(*[_held(_cell(key, t, size), n, key, _check(key)) for t in range(TABLES)])
+    return _summed(keys.select(*by, F.explode(held).alias("c")).select(*by, "c.*"), by)
+
+
+def peeled(state: DataFrame, by: list[str], cells: int) -> DataFrame:
+    """(by..., differing, left): how many digests were recovered from a difference of
+    sketches, and how many cells could not be resolved. What has no difference is absent.
+
+    Each turn looks at one table, in which a digest has one cell: a cell that holds a
+    single digest gives it, and it is taken from its cells in the other tables.
+    """
+    size, count = cells // TABLES, -1
+    cell, n, key, check = (F.col(c) for c in ("cell", "n", "key", "check"))
+    for turn in range(TABLES * ROUNDS):
+        own = turn % TABLES
+        single = (F.floor(cell / size) == own) & (F.abs(n) == 1) & (check == _check(key))
+        nothing = F.lit(0).cast("long")
+        taken = [_held(_cell(key, t, size), -n, key, check) for t in range(TABLES) if t != own]
+        # Cell -1 counts what was recovered.
+        after = F.when(single, F.array(*taken, _held(F.lit(count), F.lit(1), nothing, nothing)))
+        after = after.otherwise(F.array(_held(cell, n, key, check)))
+        state = _summed(state.select(*by, F.explode(after).alias("c")).select(*by, "c.*"), by)
+    return state.groupBy(*by).agg(
+        F.max(F.when(cell == count, n)).alias("differing"), F.count_if(cell != count).alias("left")
+    )
 
-        return let(peeled(difference(both["a"], both["b"]), cells // TABLES), judge)
 
-    return let(F.struct(sketch(left, cells).alias("a"), sketch(right, cells).alias("b")), of)
+def _tagged(keys: Column, name: str, number: int, n: int) -> Column:
+    return F.transform(keys, lambda k: F.struct(F.lit(number).alias(name), F.lit(n).alias("n"), k.alias("key")))
 
 
 def compared(pairs: DataFrame, columns: dict[str, tuple[str, str]], cells: int = CELLS) -> DataFrame:
-    """``pairs`` with the likeness of the digest arrays named by ``columns`` (name -> left,
-    right), larger sketches being tried for what the smaller ones did not resolve."""
-    done, rest = [], pairs
+    """``pairs`` (own, unique, and arrays of digests) with the likeness of the arrays named
+    by ``columns`` (name -> left, right); larger sketches are tried for what the smaller
+    ones did not resolve. All cells of a document stay in its partition."""
+    done, names = [], list(columns)
+    rest = pairs
     while True:
-        tried = rest.withColumns({c: likeness(F.col(x), F.col(y), cells) for c, (x, y) in columns.items()})
-        tried = checkpointed(tried)
+        rest = rest.repartition("own")
+        signed = F.concat(*[
+            _tagged(F.col(c), "pair", i, n)
+            for i, name in enumerate(names) for c, n in zip(columns[name], (1, -1), strict=True)
+        ])
+        keys = rest.select("own", F.explode(signed).alias("k")).select("own", "k.*")
+        by = ["own", "pair"]
+        found = peeled(sketches(keys, by, cells), by, cells)
+        differing, left = (
+            [F.max(F.when(F.col("pair") == i, F.col(c))).alias(f"_{c}{i}") for i in range(len(names))]
+            for c in ("differing", "left")
+        )
+        found = found.groupBy("own").agg(*differing, *left)
+        tried = rest.join(found, "own", "left")
+        for i, name in enumerate(names):
+            total = sum((F.size(c) for c in columns[name]), F.lit(0))
+            likeness = 1 - F.coalesce(f"_differing{i}", F.lit(0)) / total
+            resolved = F.coalesce(f"_left{i}", F.lit(0)) == 0
+            tried = tried.withColumn(name, F.when(resolved, likeness))
+        tried = checkpointed(tried.drop(*[f"_{c}{i}" for c in ("differing", "left") for i in range(len(names))]))
         failed = F.lit(False)
-        for c in columns:
-            failed |= F.col(c).isNull()
+        for name in names:
+            failed |= F.col(name).isNull()
         done.append(tried.where(~failed))
-        rest = tried.where(failed).drop(*columns)
+        rest = tried.where(failed).drop(*names)
         if rest.isEmpty():
             break
         cells *= GROWTH
@@ -164,14 +157,26 @@ def compared(pairs: DataFrame, columns: dict[str, tuple[str, str]], cells: int =
     return out
 
 
-def written(keys: Column, cells: int = CELLS) -> Column:
-    """The sketch of digests in writing: count, key and check of every cell in hex."""
-    return F.array_join(
-        F.transform(sketch(keys, cells), lambda c: F.concat(
-            F.lpad(F.hex(c["n"].cast("long")), 4, "0"), F.lpad(F.hex(c["key"]), 16, "0"),
-            F.lpad(F.hex(c["check"]), 16, "0"),
-        )), "",
+def written(pairs: DataFrame, columns: dict[str, str], cells: int = CELLS) -> DataFrame:
+    """``pairs`` (own, unique) with the sketches of the digest arrays named by ``columns``
+    (name -> array) in writing: number, count, key and check of every cell in use, in hex."""
+    names = list(columns)
+    pairs = pairs.repartition("own")
+    keys = F.concat(*[
+        _tagged(F.col(columns[name]), "text", i, 1)
+        for i, name in enumerate(names)
+    ])
+    rows = pairs.select("own", F.explode(keys).alias("k")).select("own", "k.*")
+    cell = F.concat(
+        F.lpad(F.hex(F.col("cell").cast("long")), 2, "0"), F.lpad(F.hex("n"), 2, "0"),
+        F.lpad(F.hex("key"), 16, "0"), F.lpad(F.hex("check"), 16, "0"),
     )
+    found = sketches(rows, ["own", "text"], cells).select("own", "text", cell.alias("cell"))
+    found = found.groupBy("own").agg(*[
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("text") == i, F.col("cell")))), "").alias(name)
+        for i, name in enumerate(names)
+    ])
+    return pairs.join(found, "own", "left")
 
 
 def in_order(rows: DataFrame) -> DataFrame:
@@ -198,32 +203,33 @@ def edited_fingerprints(
     key, text = docs[id_column], F.coalesce(docs[text_column], F.lit(""))
     own = F.sha2(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), text), 256)
     sizes = docs.select(key.alias("key"), own.alias("own"), F.char_length(text).cast("long").alias("n_chars"))
-    sizes = checkpointed(sizes.distinct())
+    sizes = checkpointed(sizes.groupBy("key", "own", "n_chars").agg(F.count(F.lit(1)).alias("copies")))
     ordered = in_order(sizes).join(sizes, "own")
     # What each text gives to the one before it. Both joins read the texts by ``own``
     # alone, so that one shuffle of them serves both.
     texts = docs.select(own.alias("own"), text.alias("text"))
     wanted = ordered.select(
-        F.col("next").alias("own"), F.col("own").alias("before"), "key", "n_chars",
+        F.col("next").alias("own"), F.col("own").alias("before"), "key", "n_chars", "copies",
         F.floor(F.col("n_chars") / 4).alias("k"),
     )
     given = texts.join(wanted, "own").select(
-        F.col("before").alias("own"), "key", "n_chars", "k",
+        F.col("before").alias("own"), "key", "n_chars", "copies", "k",
         F.substr("text", F.lit(1), F.col("k").cast("int")).alias("beginning"),
         paragraph_digests(F.col("text")).alias("next_keys"),
     ).dropDuplicates(["own"])
     head = F.substr("text", F.lit(1), (F.col("n_chars") - F.col("k")).cast("int"))
     both = texts.join(given, "own").select(
-        "key", "text", "n_chars", F.concat(head, "beginning").alias("edited"), "next_keys"
+        "own", "key", "text", "n_chars", "copies", F.concat(head, "beginning").alias("edited"), "next_keys"
     )
     pairs = both.select(
-        "key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        "own", "key", "n_chars", "copies", F.sha2("edited", 256).alias("edited_sha256"),
         paragraph_digests(F.col("text")).alias("keys"), paragraph_digests(F.col("edited")).alias("edited_keys"),
         "next_keys",
-    )
+    ).dropDuplicates(["own"])
     near = {"near_edited": ("keys", "edited_keys"), "near_next": ("keys", "next_keys")}
-    return compared(pairs, near, cells).select(
-        F.col("key").alias(id_column), "n_chars", "edited_sha256",
-        written(F.col("keys"), cells).alias("fingerprint"),
-        written(F.col("edited_keys"), cells).alias("edited_fingerprint"), *near,
-    )
+    found = compared(checkpointed(pairs), near, cells).drop("next_keys")
+    found = written(found, {"fingerprint": "keys", "edited_fingerprint": "edited_keys"}, cells)
+    found = found.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+    return found.select(
+        F.col("key").alias(id_column), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near
+    )

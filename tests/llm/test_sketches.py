@@ -76,12 +76,15 @@ def test_one_and_none(spark):
 
 
 def test_peeling_recovers_the_difference(spark):
-    left, right = list(range(0, 60)), list(range(10, 64))
-    df = spark.createDataFrame([(left, right)], "a array<bigint>, b array<bigint>")
-    cells = sketches.difference(sketches.sketch(F.col("a"), 96), sketches.sketch(F.col("b"), 96))
-    done = df.select(sketches.peeled(cells, 32).alias("d")).select("d.*").first()
-    assert {(k["n"], k["key"]) for k in done["keys"]} == {(1, x) for x in range(10)} | {(-1, x) for x in range(60, 64)}
-    assert all(c["n"] == c["key"] == c["check"] == 0 for c in done["cells"])
+    """Of 60 and 54 digests 14 differ, on both sides, whatever they share."""
+    rows = [("x", k, 1) for k in range(60)] + [("x", k, -1) for k in range(10, 64)]
+    rows += [("same", k, n) for k in range(30) for n in (1, -1)] + [("many", k, 1) for k in range(400)]
+    keys = spark.createDataFrame(rows, "own string, key long, n int")
+    found = {r["own"]: r for r in sketches.peeled(sketches.sketches(keys, ["own"], 96), ["own"], 96).collect()}
+    assert (found["x"]["differing"], found["x"]["left"]) == (14, 0)
+    assert "same" not in found and found["many"]["left"] > 0
+    found = sketches.peeled(sketches.sketches(keys, ["own"], 960), ["own"], 960).where("own = 'many'").first()
+    assert (found["differing"], found["left"]) == (400, 0)
 
 
 def test_order_over_partitions(spark):
