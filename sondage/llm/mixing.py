@@ -9,8 +9,8 @@ depends on the posterior alone, so documents whose (rounded) posteriors agree sh
 each step aggregates one row per distinct posterior, not per document.
 
 Everything is DataFrame functions. What reaches the driver or is broadcast has a fixed
-size: 2^16 word buckets and some 500 shape features with a weight per domain, and one
-number per domain and step. Classifier rows are the ``max_training`` labelled ids with the
+size: 2^18 buckets of features with a weight per domain, of which few are significant, and
+one number per domain and step. Classifier rows are the ``max_training`` labelled ids with the
 smallest hashes; tokens, posteriors and totals cover all documents.
 
 Defined cases: a null or empty text has no words, no tokens, and the rate of its shape; of
@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 
 from sondage.session import checkpointed
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 BINS = 64
-FEATURES = BUCKETS + 6 * BINS
 SPACE = "[\\x20\\x09-\\x0D]+"
 PRIOR = 10.0
 TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
@@ -40,7 +39,7 @@ TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 @dataclass(frozen=True)
 class DomainModel:
     """``weights`` (feature, w: per domain, log of how much likelier the feature is there
-    than overall), at most FEATURES rows; others weigh 0. ``prior``: log shares.
+    than overall), at most BUCKETS + 1 rows; others weigh 0. ``prior``: log shares.
     ``informed``: whether every domain had labelled rows."""
 
     domains: tuple[str, ...]
@@ -58,46 +57,56 @@ def row_key(docs: DataFrame, id_column: str, text_column: str) -> list[Column]:
 
 
 def _features(texts: DataFrame) -> DataFrame:
-    """``texts`` (with ``text``) with n_tokens and the array ``features`` instead."""
+    """``texts`` (with ``text``) with n_tokens and ``tokens`` instead: its different words
+    and its shape. The first token is every document's, so that none is lost where only
+    features with a weight go on."""
     words = F.filter(F.split(F.lower("text"), SPACE, -1), lambda w: w != "")
     rows = texts.withColumn("words", words).withColumn("kinds", F.array_distinct("words"))
     n, size = F.size("words"), F.greatest(F.char_length("text"), F.lit(1))
 
-    def left(marks: str) -> Column:
-        return F.char_length(F.translate("text", marks, ""))
+    def share(marks: str) -> Column:
+        return (size - F.char_length(F.regexp_replace("text", f"[{marks}]+", ""))) / size
 
     def binned(x: Column, kind: int) -> Column:
+        # No word has a space in it.
         at = F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(BINS - 1))
-        return (BUCKETS + kind * BINS + at).cast("int")
+        return F.concat(F.lit(f" {kind} "), at.cast("string"))
 
     some = F.greatest(n, F.lit(1))
     length = F.floor(F.log2(n + 1.0))
     shape = [
-        binned(40 * F.sqrt((size - left("#*$%&|<>!")) / size), 0),
-        binned(40 * F.sqrt((size - left("ABCDEFGHIJKLMNOPQRSTUVWXYZ")) / size), 1),
-        binned(40 * F.sqrt((size - left("0123456789")) / size), 2),
+        binned(40 * F.sqrt(share("#*$%&|<>!")), 0),
+        binned(40 * F.sqrt(share("A-Z")), 1),
+        binned(40 * F.sqrt(share("0-9")), 2),
         # How many words repeat depends on the length.
         binned(8 * F.least(F.floor(length / 2), F.lit(7)) + 7 * F.size("kinds") / some, 3),
-        binned(2 * left(" \t\n\x0b\x0c\r") / some, 4),
+        binned(2 * (size - n) / some, 4),
         binned(length, 5),
     ]
-    hashed = F.transform("kinds", lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
-    features = F.concat(F.array_distinct(hashed), F.array(*shape))
+    tokens = F.concat(F.array(F.lit(" "), *shape), F.col("kinds"))
     return rows.select(
-        *[c for c in texts.columns if c != "text"], n.cast("long").alias("n_tokens"), features.alias("features")
+        *[c for c in texts.columns if c != "text"], n.cast("long").alias("n_tokens"), tokens.alias("tokens")
     )
 
 
+def _exploded(featured: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, ``at`` and ``feature``: a row per token."""
+    rows = featured.select(*keep, F.posexplode("tokens").alias("at", "token"))
+    hashed = F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int")
+    return rows.select(*keep, "at", F.when(F.col("at") == 0, BUCKETS).otherwise(hashed).alias("feature"))
+
+
 def _scores(featured: DataFrame, model: DomainModel, keep: list[str]) -> DataFrame:
-    """``keep`` columns with ``s0``, ``s1``, ...: log score of each domain. ``keep`` names
-    a document."""
-    rows = featured.select(*keep, F.explode("features").alias("feature"))
-    # At most FEATURES rows.
-    rows = rows.join(F.broadcast(model.weights), "feature", "left")
-    return rows.groupBy(*keep).agg(*[
-        (F.sum(F.coalesce(F.col("w")[k], F.lit(0.0))) + model.prior[k]).alias(f"s{k}")
-        for k in range(len(model.domains))
-    ])
+    """``keep`` columns with ``s0``, ``s1``, ...: log score of each domain, and n_copies.
+    ``keep`` names a document; rows that repeat it have equal features, so that scores are
+    means over copies."""
+    # At most BUCKETS + 1 rows.
+    rows = _exploded(featured, [*keep, "n_tokens"]).join(F.broadcast(model.weights), "feature")
+    copies = F.sum(F.when(F.col("at") == 0, 1).otherwise(0))
+    return rows.groupBy(*keep).agg(
+        F.max("n_tokens").alias("n_tokens"), copies.alias("n_copies"),
+        *[(F.sum(F.col("w")[k]) / copies + model.prior[k]).alias(f"s{k}") for k in range(len(model.domains))],
+    )
 
 
 def _posterior(k: int, n: int, temperature: float) -> Column:
@@ -135,11 +144,11 @@ def fit_domains(
 
     def counted(rows: DataFrame) -> DomainModel:
         sizes = {r["k"]: (r["docs"], r["held"]) for r in rows.groupBy("k").agg(
-            F.count("key").alias("docs"), F.sum(F.size("features")).alias("held")).collect()}
+            F.count("key").alias("docs"), F.sum(F.size("tokens") - 1).alias("held")).collect()}
         docs_of = np.array([sizes.get(k, (0, 0))[0] + 0.5 for k in range(n)])
         held = np.array([sizes.get(k, (0, 0))[1] + 0.5 for k in range(n)])
         share = (held / held.sum()).tolist()
-        counts = rows.select("k", F.explode("features").alias("feature")).groupBy("feature").agg(
+        counts = _exploded(rows, ["k"]).where("at > 0").groupBy("feature").agg(
             *[F.sum(F.when(F.col("k") == k, 1).otherwise(0)).alias(f"c{k}") for k in range(n)]
         )
         # How much likelier than overall: a domain's part of a feature's occurrences, as
@@ -151,9 +160,11 @@ def fit_domains(
             F.when(F.col(f"c{k}") > 0, 2 * F.col(f"c{k}") * F.log(F.col(f"c{k}") / every / share[k])).otherwise(0.0)
             for k in range(n)
         ), F.lit(0.0))
-        weights = counts.where(test >= 2 * float(np.log(2 * FEATURES))).select("feature", F.array(*[
+        weights = counts.where(test >= 2 * float(np.log(2 * BUCKETS))).select("feature", F.array(*[
             F.log((F.col(f"c{k}") + PRIOR * share[k]) / (every + PRIOR) / share[k]) for k in range(n)
         ]).alias("w"))
+        always = rows.sparkSession.createDataFrame([(BUCKETS, [0.0] * n)], "feature int, w array<double>")
+        weights = weights.union(always)
         prior = tuple(np.log(docs_of / docs_of.sum()).tolist())
         return DomainModel(domains, checkpointed(weights), prior, informed=len(sizes) == n)
 
@@ -178,17 +189,8 @@ def posteriors(
         docs[id_column].alias("key"), F.coalesce(docs[text_column], F.lit("")).alias("text"),
         *row_key(docs, id_column, text_column),
     )
-    featured = _features(texts)
     n = len(model.domains)
-    # Rows that repeat a document are counted in n_copies and not in the scores: each
-    # copy's features are the same, so that scores are means over copies.
-    rows = featured.select("key", "row1", "row2", "n_tokens", F.posexplode("features").alias("at", "feature"))
-    rows = rows.join(F.broadcast(model.weights), "feature", "left")
-    copies = F.sum(F.when(F.col("at") == 0, 1).otherwise(0))
-    scored = rows.groupBy("row1", "row2").agg(
-        F.min("key").alias("key"), F.max("n_tokens").alias("n_tokens"), copies.alias("n_copies"),
-        *[(F.sum(F.coalesce(F.col("w")[k], F.lit(0.0))) / copies + model.prior[k]).alias(f"s{k}") for k in range(n)],
-    )
+    scored = _scores(_features(texts), model, ["key", "row1", "row2"])
     return scored.select("key", "row1", "row2", "n_tokens", "n_copies", *[
         F.round(_posterior(k, n, model.temperature), digits).alias(f"p{k}") for k in range(n)
     ])
@@ -202,7 +204,7 @@ def fit_rates(
     most: float | None = None,
     pull: float = 1e-3,
     steps: int = 200,
-    tolerance: float = 1e-5,
+    tolerance: float = 1e-4,
 ) -> DataFrame:
     """(p0, p1, ..., rate): a row for each distinct posterior of ``known``.
 

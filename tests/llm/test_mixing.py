@@ -33,10 +33,11 @@ def test_held_out_posteriors(spark, model):
 def test_scores_against_plain_sums(spark, model):
     """A document's score is the sum of its features' weights."""
     texts = [(1, "The of thing ### idiot"), (2, ""), (3, None), (3, None), (4, "A A a É")]
-    df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 AS row1", "2 AS words", "3 AS rate")
+    df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 AS row1", "2 AS words", "3 AS tokens", "3 AS rate")
     weights = {r["feature"]: r["w"] for r in model.weights.collect()}
     source = df.dropDuplicates(["doc_id"]).select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    for row in mixing._features(source).collect():
+    rows = mixing._exploded(mixing._features(source), ["doc_id"])
+    for row in rows.groupBy("doc_id").agg(F.collect_list("feature").alias("features")).collect():
         scores = np.array(model.prior) + sum(np.array(weights.get(f, (0.0,) * 3)) for f in row["features"])
         p = np.exp((scores - scores.max()) / model.temperature)
         found = mixing.posteriors(df, model).where(F.col("key") == row["doc_id"]).collect()
