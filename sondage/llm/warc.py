@@ -35,8 +35,12 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), CONV_DIGITS, BASE32_DIGITS)
 
 
+def _name(key: Column) -> Column:
+    return F.coalesce(key.cast("string"), F.lit("none"))
+
+
 def _urn(key: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(key.cast("string"), F.lit("none")), F.lit(">"))
+    return F.concat(F.lit("<urn:page:"), _name(key), F.lit(">"))
 
 
 def _header(date: str) -> Column:
@@ -74,10 +78,14 @@ def write_archive(
         pages[id_column].alias("key"), pages[address_column].alias("address"), payload.alias("payload")
     ).withColumn("digest", F.sha2("payload", 256))
     keepers = rows.groupBy("digest").agg(F.max("key").alias("keeper"))
-    kept = rows.join(
-        keepers, rows["key"].eqNullSafe(keepers["keeper"]) & (rows["digest"] == keepers["digest"]), "left_semi"
+    # A digest has one keeper, so that rows of its id, which the join has brought together,
+    # are all that could store the payload twice.
+    name = _name(F.col("key")).alias("name")
+    kept = rows.select(name, "digest", "payload").join(
+        keepers.select(_name(F.col("keeper")).alias("name"), "digest"), ["name", "digest"], "left_semi"
     )
-    kept.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{folder}/payloads")
+    kept = kept.dropDuplicates(["name", "digest"])
+    kept.select("digest", "payload").write.parquet(f"{folder}/payloads")
     named = rows.select(
         "key", "address", "digest", F.octet_length("payload").cast("long").alias("bytes"),
         base32_sha1(F.col("payload")).alias("sha1"),
