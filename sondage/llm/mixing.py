@@ -49,6 +49,16 @@ class DomainModel:
     informed: bool = True
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores before them as make them no columns of ``docs``."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def row_key(docs: DataFrame, id_column: str, text_column: str) -> list[Column]:
     """Two 64-bit hashes that together name a document."""
     key = F.coalesce(docs[id_column].cast("string"), F.lit(""))
@@ -279,8 +289,11 @@ def mixed(
 ) -> DataFrame:
     """The rows of ``docs`` as often as their rates say."""
     rates = document_rates(docs, model, weights, id_column, text_column, **options)
-    some = rates.where("copies > 0").select("row1", "row2", F.col("copies").alias("_copies"))
-    named = docs.select(*[docs[c] for c in docs.columns], *row_key(docs, id_column, text_column))
-    found = named.join(some, ["row1", "row2"])
-    found = found.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)")))
-    return found.drop("row1", "row2", "_copies", "_copy")
+    row1, row2, copies, copy = free_names(docs, "row1", "row2", "copies", "copy")
+    some = rates.where("copies > 0").select(
+        F.col("row1").alias(row1), F.col("row2").alias(row2), F.col("copies").alias(copies)
+    )
+    keys = [k.alias(c) for k, c in zip(row_key(docs, id_column, text_column), (row1, row2), strict=True)]
+    found = docs.select(*[docs[c] for c in docs.columns], *keys).join(some, [row1, row2])
+    found = found.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    return found.drop(row1, row2, copies, copy)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondage.llm.components import connected_components
+from sondage.llm.mixing import free_names
 from sondage.session import checkpointed
 
 SEED = 42
@@ -249,13 +250,14 @@ def without_near_duplicates(
     by a hash of the text; of rows that repeat both, any)."""
     rows = checkpointed(with_fingerprints(docs, id_column, text_column, shingle))
     linked = _classes(rows, radius, bucket_rows)
+    key, text_hash = free_names(docs, "_key", "_text_hash")
     kept = linked.groupBy("root").agg(F.min("low").alias("low")).select(
-        F.col("low.key").alias("_key"), F.col("low.text_hash").alias("_text_hash")
+        F.col("low.key").alias(key), F.col("low.text_hash").alias(text_hash)
     )
     marked = docs.select(
         *[docs[c] for c in docs.columns],
-        docs[id_column].alias("_key"), F.xxhash64(docs[text_column]).alias("_text_hash"),
+        docs[id_column].alias(key), F.xxhash64(docs[text_column]).alias(text_hash),
     )
-    same = marked["_key"].eqNullSafe(kept["_key"]) & (marked["_text_hash"] == kept["_text_hash"])
+    same = marked[key].eqNullSafe(kept[key]) & (marked[text_hash] == kept[text_hash])
     found = marked.join(kept, same, "left_semi")
-    return found.dropDuplicates(["_key", "_text_hash"]).drop("_key", "_text_hash")
+    return found.dropDuplicates([key, text_hash]).drop(key, text_hash)
