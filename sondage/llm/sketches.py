@@ -9,9 +9,12 @@ its other cells, and so on. If cells remain, the two are compared again with fou
 as many cells, until all differences are recovered. The likeness of two sketches with a
 and b paragraphs that differ in d is 1 - d / (a + b).
 
-Paragraphs end at line breaks, and inside a line where a sentence that begins with A to E
-follows another (a cut that depends on the text around it alone, so that an edit moves no
-other cut). The n-th repetition of a paragraph in a text has a digest of its own.
+Paragraphs end at line breaks and after every sentence. Where a stretch is still long, they
+end between two words whose touching letters have certain codes, in scripts without spaces
+between two letters; after every word where none is chosen for long (one word over and over)
+and in a text of less than ``SHORT`` characters. Such a cut depends on the text around it
+alone, so that an edit moves no cut far away. What has no cut even so is cut into lengths of
+``LONGEST``. The n-th repetition of a paragraph in a text has a digest of its own.
 
 Everything is SQL. A text and what it is compared with are brought together by one shuffle
 of the texts and one of the parts that the comparison needs; cells are rows, which are
@@ -34,7 +37,41 @@ CELLS = 96
 GROWTH = 4
 ROUNDS = 4
 TABLES = 3
-CUT = "\n|(?<=[.!?]) (?=[A-E])"
+SHORT = 200
+LONGEST = 512
+
+
+def _every(first: int, last: int, width: int) -> str:
+    """Ranges of a quarter of the characters from ``first`` on: ``width`` of each 4 * width."""
+    return "".join(f"{chr(c)}-{chr(c + width - 1)}" for c in range(first, last, 4 * width))
+
+
+def _cut() -> str:
+    """Where paragraphs end, as an expression that Java and Python read alike. What is
+    looked at first is what fails most often."""
+    ends, closing = ".!?\u2026\u0589\u061f\u06d4\u0964\u0965\u1362", "\"')\\]\u00bb\u2019\u201d"
+    unspaced = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]"
+    # A quarter of the characters, by two bits of their codes.
+    chosen = "(?:[#$'(+,/048<?@DHLPTX`dhlptx|]|(?=[^\\x00-\\x7f])(?:" + "|".join(
+        f"(?=[{chr(a)}-{chr(b - 1)}])[{_every(a, b, width)}]"
+        for a, b, width in [
+            (0x80, 0x800, 4), (0x800, 0x1800, 4), (0x1800, 0x3000, 64), (0x3000, 0x3100, 4), (0x3100, 0xD800, 64),
+            (0xE000, 0x10000, 64), (0x10000, 0x20000, 256), (0x20000, 0x32400, 256),
+        ]
+    ) + "))"
+    short = f"(?<![\\s\\S]{{{SHORT}}})(?![\\s\\S]{{{SHORT}}})"
+    sentence, hashed = f"[{ends}][{closing}]? ", f"{chosen} {chosen}"
+    far = f"(?<=(?:(?!{sentence})[^\n]){{60}} )"
+    # Nothing was chosen for long: after every word.
+    plain = f"(?<=[^\n.!?]{{120}} )(?<=(?:(?!{hashed})[^\n]){{120}} )"
+    return (
+        f"\n| (?:(?<=[{ends}] )|(?<=[{ends}][{closing}] )|(?={chosen})(?<={chosen} ){far}|{plain}|{short})"
+        f"|(?<=[\u3002\uff01\uff1f])(?=[^\n])|(?={unspaced})(?<={unspaced}){short}"
+        f"|(?={chosen})(?<={chosen}{chosen})(?<=[^ \n]{{40}})"
+    )
+
+
+CUT = _cut()
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,20 +79,43 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def paragraphs(text: Column) -> Column:
+    def shortened(parts: Column) -> Column:
+        def lengths(p: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.char_length(p), F.lit(LONGEST))
+            whole = F.char_length(p) <= LONGEST
+            return F.when(whole, F.array(p)).otherwise(F.transform(starts, lambda i: F.substr(p, i, F.lit(LONGEST))))
+
+        long = F.exists(parts, lambda p: F.char_length(p) > LONGEST)
+        return F.when(long, F.flatten(F.transform(parts, lengths))).otherwise(parts)
+
+    return let(F.split(text, CUT, -1), shortened)
+
+
 def paragraph_digests(text: Column) -> Column:
     """A distinct 64-bit digest for every paragraph and repetition of it."""
 
     def numbered(parts: Column) -> Column:
-        def place(x: Column, i: Column) -> Column:
-            earlier = F.filter(F.slice(parts, F.lit(1), i.cast("int")), lambda y: y == x)
-            return F.xxhash64(x, F.size(earlier))
+        # Equal ones lie together; each group is numbered from 0.
+        def counted(ordered: Column) -> Column:
+            n = F.size(ordered)
+            starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+
+            def group(at: Column) -> Column:
+                def digests(i: Column, j: Column) -> Column:
+                    last = F.coalesce(F.get(at, j + 1), n) - i - 1
+                    return F.transform(F.sequence(F.lit(0), last), lambda k: F.xxhash64(F.get(ordered, i), k))
+
+                return F.flatten(F.transform(at, digests))
+
+            return let(starts, group)
 
         # Without repetitions, as mostly, nothing has to be counted.
         single = F.size(F.array_distinct(parts)) == F.size(parts)
         plain = F.transform(parts, lambda x: F.xxhash64(x, F.lit(0)))
-        return F.when(single, plain).otherwise(F.transform(parts, place))
+        return F.when(single, plain).otherwise(let(F.sort_array(parts), counted))
 
-    return let(F.transform(F.split(text, CUT, -1), lambda p: F.xxhash64(p)), numbered)
+    return let(F.transform(paragraphs(text), lambda p: F.xxhash64(p)), numbered)
 
 
 def _check(key: Column) -> Column:

@@ -1,7 +1,9 @@
 """Sketches against exact differences of paragraph digests."""
 
 import hashlib
+import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +93,31 @@ def test_order_over_partitions(spark):
     rows = spark.range(1000).selectExpr("id * 7 % 1000 AS key", "concat('o', id * 7 % 1000) AS own").repartition(13)
     found = dict(sketches.in_order(rows).collect())
     assert found == {f"o{i}": f"o{(i + 1) % 1000}" for i in range(1000)}
+
+
+def test_every_text_has_many_paragraphs(spark):
+    """Texts on one line, in several scripts: the edited text is clearly nearer than another."""
+    rng = random.Random(5)
+
+    def words(letters, n):
+        return ["".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(n)]
+
+    latin, cyrillic, han = string.ascii_lowercase, "абвгдежзийклмнопрстуфхцчшщыьэюя", [chr(0x4E00 + i) for i in range(3000)]
+    texts = []
+    for n in (12, 40, 150, 1000, 5000):
+        texts += [" ".join(words(latin, n)), " ".join(words(cyrillic, n)), "".join(rng.choices(han, k=2 * n))]
+        texts += [" ".join(w.capitalize() + "." for w in words("fghmnstuvw", n)), "".join(words(latin + "0123456789", n))] * (n > 40)
+    texts += ["the " * 3000, "zz" * 5000, " ".join(f"{i}.{i * i % 97}" for i in range(2000))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in sketches.edited_fingerprints(df).collect():
+        if r["n_chars"] > 60:
+            assert r["near_edited"] > r["near_next"] + 0.2, (r["doc_id"], r["n_chars"], r["near_edited"], r["near_next"])
+
+
+def test_repeated_paragraphs_are_numbered(spark):
+    text = "b\na\nb\nc\nb\na"
+    df = spark.createDataFrame([(text + "\n" * 205,)], "text string")
+    found = df.select(sketches.paragraph_digests(F.col("text"))).first()[0]
+    wanted = [("a", 2), ("b", 3), ("c", 1), ("", 205)]
+    rows = spark.createDataFrame([(p, k) for p, n in wanted for k in range(n)], "p string, k int")
+    assert sorted(found) == sorted(r[0] for r in rows.select(F.xxhash64(F.xxhash64("p"), "k")).collect())
