@@ -219,7 +219,8 @@ def compared(pairs: DataFrame, columns: dict[str, tuple[str, str]], cells: int =
 
 def written(pairs: DataFrame, columns: dict[str, str], cells: int = CELLS) -> DataFrame:
     """``pairs`` (own, unique) with the sketches of the digest arrays named by ``columns``
-    (name -> array) in writing: number, count, key and check of every cell in use, in hex."""
+    (name -> array) in writing: number, count, key and check of every cell in use, by number,
+    in hex, with a colon between them and a comma between cells. Numbers have any width."""
     names = list(columns)
     pairs = pairs.repartition("own")
     keys = F.concat(*[
@@ -227,15 +228,15 @@ def written(pairs: DataFrame, columns: dict[str, str], cells: int = CELLS) -> Da
         for i, name in enumerate(names)
     ])
     rows = pairs.select("own", F.explode(keys).alias("k")).select("own", "k.*")
-    cell = F.concat(
-        F.lpad(F.hex(F.col("cell").cast("long")), 2, "0"), F.lpad(F.hex("n"), 2, "0"),
-        F.lpad(F.hex("key"), 16, "0"), F.lpad(F.hex("check"), 16, "0"),
-    )
-    found = sketches(rows, ["own", "text"], cells).select("own", "text", cell.alias("cell"))
-    found = found.groupBy("own").agg(*[
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("text") == i, F.col("cell")))), "").alias(name)
-        for i, name in enumerate(names)
-    ])
+    cell = F.concat_ws(
+        ":", F.hex(F.col("cell").cast("long")), F.hex("n"), F.lpad(F.hex("key"), 16, "0"), F.lpad(F.hex("check"), 16, "0")
+    )
+    found = sketches(rows, ["own", "text"], cells).select("own", "text", F.struct("cell", cell.alias("written")).alias("c"))
+
+    def of(i: int) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("text") == i, F.col("c"))))["written"]
+
+    found = found.groupBy("own").agg(*[F.array_join(of(i), ",").alias(name) for i, name in enumerate(names)])
     return pairs.join(found, "own", "left")
 
 

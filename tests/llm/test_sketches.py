@@ -121,3 +121,28 @@ def test_repeated_paragraphs_are_numbered(spark):
     wanted = [("a", 2), ("b", 3), ("c", 1), ("", 205)]
     rows = spark.createDataFrame([(p, k) for p, n in wanted for k in range(n)], "p string, k int")
     assert sorted(found) == sorted(r[0] for r in rows.select(F.xxhash64(F.xxhash64("p"), "k")).collect())
+
+
+def cells_of(fingerprint):
+    out = {}
+    for cell in fingerprint.split(","):
+        number, n, key, check = (int(x, 16) for x in cell.split(":"))
+        out[number] = (n, key, check)
+    return out
+
+
+@pytest.mark.parametrize("cells", [96, 960])
+def test_fingerprint_is_read_back(spark, cells):
+    """Of 10,000 lines: all cells with their counts, as from the digests."""
+    text = "\n".join(f"line{i % 9000}" for i in range(10_000))
+    df = spark.createDataFrame([(1, text), (2, "x\ny")], "doc_id long, text string")
+    row = sketches.edited_fingerprints(df, cells=cells).where("doc_id = 1").first()
+    edited = text[: len(text) - len(text) // 4] + "x\ny"[: len(text) // 4]
+    for name, whole in (("fingerprint", text), ("edited_fingerprint", edited)):
+        keys = spark.createDataFrame([(whole,)], "text string").select(
+            F.lit(1).alias("own"), F.explode(sketches.paragraph_digests(F.col("text"))).alias("key"), F.lit(1).alias("n")
+        )
+        wanted = {r["cell"]: tuple(x % 2**64 for x in (r["n"], r["key"], r["check"])) for r in sketches.sketches(keys, ["own"], cells).collect()}
+        found = cells_of(row[name])
+        assert found == wanted
+        assert sum(n for n, _, _ in found.values()) == 3 * len(paragraphs(whole))
