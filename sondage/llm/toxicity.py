@@ -1,9 +1,12 @@
 """Toxicity after noisy-channel deobfuscation.
 
 A hidden word passes a channel that writes letters as look-alikes (1d1ot), repeats them
-(idiooot) or spaces them out (i d i o t, i.d.i.o.t). Each disguised token becomes a lattice
-of letters; Viterbi decoding under a character trigram model, counted over all documents,
-restores the likeliest word. The restored text is scored by words and word beginnings that
+(idiiot, idiooot) or spaces them out (i d i o t, i.d.i.o.t, idi-ot). Each disguised token
+becomes a lattice of letters, in which a gap between spaced letters may end a word; Viterbi
+decoding under a character trigram model, counted over all documents, restores the likeliest
+words. Spaced letters count with every word that lies on a path at most ``MARGIN`` below the
+best one, a token with separators with its parts and its joined form, a token whose only
+disguise is a doubled letter also as it stands. The restored text is scored by words and word beginnings that
 mark labelled toxic documents, with a logistic curve fitted on the training rows.
 
 The model is small whatever the corpus: 28^3 letter counts, and a lexicon of significant
@@ -20,6 +23,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +44,15 @@ LOOKALIKES = {
 EDGE_MARKS = ".,;:!?|\"'()[]{}<>#%&*$+-_=/~`^\\"
 LOG_SUBSTITUTED = math.log(0.05)
 LOG_DELETED = math.log(0.2)
+# How far below the likeliest path, in logs, a word among spaced letters may lie.
+MARGIN = math.log(1000)
 LOG_RUN = {1: (0.0, None), 2: (math.log(0.1), math.log(0.9)), 3: (math.log(0.6), math.log(0.4))}
 PREFIXES = (4, 5, 6)
+# Longest word looked for among some of the parts of a token; all parts are joined at any length.
+JOINED = 40
 CACHE_WORDS = 150_000
-DISGUISED = re.compile(r"[0-9@$!|+(*]|([^\W\d_])\1\1")
+HIDDEN = re.compile(r"[0-9@$!|+(*]|([^\W\d_])\1\1")
+DISGUISED = re.compile(r"[0-9@$!|+(*]|([^\W\d_])\1")
 SEPARATED = re.compile(r"[.\-_*~/\\]+")
 SPACED = re.compile(
     rb"(?<![^\x20\x09-\x0D])[a-z0-9@$!|+(][.\-_*]?"
@@ -125,38 +134,149 @@ def _choices(run: str) -> list[tuple[str, float]]:
     return out
 
 
-def restore(token: str, letters: np.ndarray) -> str:
+def restore(token: str, letters: np.ndarray, gaps: frozenset[int] = frozenset()) -> str:
     """The likeliest word behind ``token``: Viterbi over the lattice of its runs, where a
-    state is the last two letters."""
-    states = {(EDGE, EDGE): (0.0, "")}
+    state is the last two letters. At ``gaps``, places in the token, a word may end; a space
+    in the result says where one does."""
+    # A reading is a chain (earlier reading, piece).
+    states = {(EDGE, EDGE): (0.0, None)}
     for run in re.finditer(r"(.)\1*", token, re.DOTALL):
-        reached: dict[tuple[int, int], tuple[float, str]] = {}
+        if len(states) == 1 and not gaps and (z := CODES.get(run[0])) is not None:
+            # One way on, which costs all readings the same.
+            (((_, b), (score, before)),) = states.items()
+            states = {(b, z): (score, (before, run[0]))}
+            continue
+        reached: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         choices = _choices(run[0])
-        for (a, b), (score, word) in states.items():
+        if gaps:
+            if any(i in gaps for i in range(run.start() + 1, run.end())):
+                split = LOG_RUN[1][0] if len(run[0]) == 2 else LOG_RUN[3][1]
+                choices += [(f"{x} {x}", p - LOG_RUN[min(len(run[0]), 3)][0] + split) for x, p in choices if len(x) == 1]
+            if run.end() in gaps:
+                choices += [(f"{x} ", p) for x, p in choices if x]
+        for (a, b), (score, before) in states.items():
             for piece, p in choices:
                 x, y, total = a, b, score + p
                 for c in piece:
-                    z = CODES.get(c, OTHER)
-                    total += letters[x, y, z]
+                    z = EDGE if c == " " else CODES.get(c, OTHER)
+                    total += letters[x][y][z]
                     x, y = y, z
                 if (x, y) not in reached or total > reached[x, y][0]:
-                    reached[x, y] = (total, word + piece)
+                    reached[x, y] = (total, (before, piece))
         states = reached
-    return max((s + letters[a, b, EDGE], w) for (a, b), (s, w) in states.items())[1]
+    _, chain = max(((s + letters[a][b][EDGE], c) for (a, b), (s, c) in states.items()), key=lambda x: x[0])
+    pieces = []
+    while chain:
+        chain, piece = chain
+        pieces.append(piece)
+    return "".join(reversed(pieces))
+
+
+def _gaps(parts: list[str]) -> frozenset[int]:
+    return frozenset(accumulate(len(p) for p in parts[:-1]))
+
+
+def _plain(token: str, letters: np.ndarray) -> str:
+    return restore(token, letters) if DISGUISED.search(token) else token
+
+
+def spaced(parts: list[str], letters: np.ndarray) -> list[list[str]]:
+    """The words that may lie behind ``parts``, between any of which a word may end: a list
+    for every place where some begin. The likeliest spelling is split in all ways that are
+    at most MARGIN less likely than the best."""
+    token = "".join(parts)
+    whole, split = _plain(token, letters), restore(token, letters, _gaps(parts))
+    out = _spans(split.replace(" ", ""), letters)
+    if whole not in out[0]:
+        out[0].append(whole)
+    if whole != split.replace(" ", ""):
+        out += _spans(whole, letters)
+    return [words for words in out if words]
+
+
+def _spans(text: str, letters: np.ndarray) -> list[list[str]]:
+    """Of each place of ``text``, the words that begin there on paths within MARGIN."""
+    n, codes = len(text), [CODES.get(c, OTHER) for c in text]
+    if not n:
+        return [[]]
+    last = lambda i: codes[i - 1] if i else EDGE
+    begin = [letters[last(i)][EDGE][codes[i]] for i in range(n)]
+    second = [letters[EDGE][codes[i]][codes[i + 1]] for i in range(n - 1)]
+    later = [0.0, 0.0, *(letters[codes[i - 2]][codes[i - 1]][codes[i]] for i in range(2, n))]
+    one = [letters[EDGE][c][EDGE] for c in codes]  # the end of a word of one letter
+    end = [0.0, *(letters[codes[i - 1]][codes[i]][EDGE] for i in range(1, n))]
+    # Best way on from the end of a word before i; from inside a word of several letters before i.
+    after, inside = [0.0] * (n + 1), [0.0] * (n + 1)
+    inside[n] = end[n - 1]
+    for i in range(n - 1, -1, -1):
+        following = second[i] + inside[i + 2] if i + 1 < n else -math.inf
+        after[i] = begin[i] + max(one[i] + after[i + 1], following)
+        if i:
+            inside[i] = max(end[i - 1] + after[i], later[i] + inside[i + 1])
+    # Best way to a word that begins at i, and the words from there.
+    before, out = [0.0] + [-math.inf] * n, []
+    least = after[0] - MARGIN
+    for i in range(n):
+        words, score = [], before[i] + begin[i]
+        for j in range(i, n):
+            if j > i:
+                score += second[i] if j == i + 1 else later[j]
+                if score + inside[j + 1] < least:
+                    break
+            stop = score + (one[i] if j == i else end[j])
+            before[j + 1] = max(before[j + 1], stop)
+            if stop + after[j + 1] >= least:
+                words.append(text[i : j + 1])
+        out.append(words)
+    return out
 
 
-def restored(token: str, letters: np.ndarray) -> list[str]:
-    """The words behind one lower-case token, without marks at its edges."""
+def _parts(token: str) -> list[str]:
+    """The parts of a token between separators, without marks at its edges."""
     core = token.strip(EDGE_MARKS)
     at = token.find(core) if core else 0
     if not core or not any(c.isalpha() for c in core):
         return []
     if at == 1 and token[0] in "$@" and core[0].isalpha():
         core = token[0] + core  # $tupid
-    parts = [p for p in SEPARATED.split(core) if p]
-    if len(parts) >= 3 and all(len(p) <= 2 for p in parts):
-        parts = ["".join(parts)]
-    return [restore(p, letters) if DISGUISED.search(p) else p for p in parts]
+    return [p for p in SEPARATED.split(core) if p]
+
+
+def _letter_by_letter(parts: list[str]) -> bool:
+    return len(parts) >= 3 and all(len(p) <= 2 for p in parts)
+
+
+def _neighbours(parts: list[str]) -> list[str]:
+    """Parts joined with those after them, as long as ``JOINED`` letters suffice."""
+    return [
+        w for i in range(len(parts)) for w in takewhile(lambda w: len(w) <= JOINED, accumulate(parts[i:])) if w != parts[i]
+    ]
+
+
+def restored(token: str, letters: np.ndarray) -> list[str]:
+    """The words behind one lower-case token, without marks at its edges."""
+    parts = _parts(token)
+    if not parts:
+        return []
+    whole = "".join(parts)
+    if _letter_by_letter(parts):
+        found = [_plain(whole, letters), *restore(whole, letters, _gaps(parts)).split()]
+    elif len(parts) > 1:
+        found = [*(_plain(p, letters) for p in parts), _plain(whole, letters)]
+        if len(parts) > 2:
+            found += [_plain(w, letters) for w in _neighbours(parts)]
+    else:
+        found = [_plain(whole, letters)]
+    found += [p for p in parts if len(p) > 2 and DISGUISED.search(p) and not HIDDEN.search(p)]
+    return list(dict.fromkeys(found))
+
+
+def readings(token: str, letters: np.ndarray) -> list[str]:
+    """All words that may lie behind one lower-case token."""
+    parts, found = _parts(token), restored(token, letters)
+    if _letter_by_letter(parts):
+        found += [w for words in spaced(parts, letters) for w in words]
+    return list(dict.fromkeys(found))
 
 
 def features(word: str) -> list[str]:
@@ -168,7 +288,8 @@ class Reader:
     """Restored words of texts; remembers what a word becomes, in bounded memory."""
 
     def __init__(self, letters: np.ndarray, use):
-        self.letters, self.use, self.known = letters, use, {}
+        # Lists are read faster, one value at a time.
+        self.letters, self.use, self.known = letters.tolist(), use, {}
 
     def __call__(self, text: bytes) -> list:
         text = text.lower()
@@ -177,12 +298,12 @@ class Reader:
         if len(self.known) + len(missing) > CACHE_WORDS:
             self.known, missing = {}, words
         for w in missing:
-            self.known[w] = self.use(restored(w.decode().lower(), self.letters))
+            self.known[w] = self.use(readings(w.decode().lower(), self.letters))
         out = [x for w in words if (x := self.known[w])]
         for m in SPACED.finditer(text):
-            joined = re.sub(r"[\s.\-_]+", "", m[0].decode())
-            if any(c.isalpha() for c in joined):
-                out.append(self.use([restore(joined, self.letters)]))
+            run = [re.sub(r"[.\-_]+", "", w) for w in m[0].decode().split()]
+            if any(c.isalpha() for w in run for c in w):
+                out += [x for words in spaced(run, self.letters) if (x := self.use(words))]
         return out
 
 

@@ -70,3 +70,44 @@ def test_without_labels(spark):
         assert [r["predicted"] for r in toxicity.score_toxicity(docs, model).collect()] == [0, 0]
     empty = docs.limit(0)
     assert toxicity.score_toxicity(empty, toxicity.fit_toxicity(empty, labels)).count() == 0
+
+
+@pytest.mark.parametrize("token", ["stuupid", "idiiot", "stu-pid", "s.tupid", "st-up-id", "you.stu.pid", "a.i.d.i.o.t", "m-o-r-o-o-n"])
+def test_words_behind_a_token(model, token):
+    assert {"stupid", "idiot", "moron"} & set(toxicity.readings(token, model.letters))
+
+
+@pytest.mark.parametrize(("run", "words"), [("a i d i o t", ["idiot"]), ("a s t u p i d", ["stupid"]), ("s t u p i d m o r o n", ["stupid", "moron"]),
+                                            ("1 d 1 0 t", ["idiot"]), ("l o s e r", ["loser"]), ("y o u i d i o t", ["idiot"])])
+def test_words_behind_spaced_letters(model, run, words):
+    found = [w for group in toxicity.spaced(run.split(), model.letters) for w in group]
+    assert set(words) <= set(found)
+
+
+def test_words_that_begin_anywhere_are_the_near_paths(model):
+    """All splits of a short text against those within the margin."""
+    from itertools import combinations
+
+    text, paths = "anidioton", {}
+    for k in range(len(text)):
+        for cuts in combinations(range(1, len(text)), k):
+            at = (0, *cuts, len(text))
+            words = [text[i:j] for i, j in zip(at, at[1:])]
+            x, y, total = toxicity.EDGE, toxicity.EDGE, 0.0
+            for c in " ".join(words) + " ":
+                z = toxicity.EDGE if c == " " else toxicity.CODES[c]
+                total += model.letters[x, y, z]
+                x, y = y, z
+            paths[at] = total
+    best = max(paths.values())
+    near = {(i, j) for at, p in paths.items() if p >= best - toxicity.MARGIN for i, j in zip(at, at[1:])}
+    found = {(i, i + len(w)) for i, words in enumerate(toxicity._spans(text, model.letters)) for w in words}
+    assert found == near
+
+
+def test_lost_disguises_are_found(spark, model):
+    texts = ["the stuupid of", "an idiiot the", "the a i d i o t of", "you are a s t u p i d the", "s t u p i d m o r o n",
+             "the stu-pid of", "the s.tupid of", "the a.i.d.i.o.t of"]
+    df = spark.createDataFrame([*enumerate(texts), (99, "the a b c d of well-known three"), (100, "e " * 20_000)], "doc_id long, text string")
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(df, model).collect()}
+    assert found == {**dict.fromkeys(range(len(texts)), 1), 99: 0, 100: 0}
