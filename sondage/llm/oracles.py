@@ -109,8 +109,33 @@ def archive() -> str:
     FROM numbered"""
 
 
+def infilling() -> str:
+    def number(group: int) -> str:
+        return f"('0x' || substr(digest, {8 * group + 1}, 8))::BIGINT"
+
+    def joined(part: str) -> str:
+        return f"array_to_string({part}, '')"
+
+    return f"""
+    WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS digest FROM documents),
+    split AS (SELECT *, regexp_extract_all(text, '{SPACE}*[^\\x20\\x09-\\x0D]+|{SPACE}+') AS tokens FROM texts),
+    drawn AS (SELECT *, len(tokens) AS n, {number(0)} % (len(tokens) + 1) AS one, {number(1)} % (len(tokens) + 1) AS two,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+            OR {number(2)} % 100 >= 50 THEN 'plain' WHEN {number(3)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM split),
+    cut AS (SELECT doc_id, n, form, text, {joined('tokens[1:least(one, two)]')} AS prefix,
+        {joined('tokens[least(one, two) + 1:greatest(one, two)]')} AS middle,
+        {joined('tokens[greatest(one, two) + 1:]')} AS suffix FROM drawn)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+            ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+        sha256(text) AS restored_sha256
+    FROM cut"""
+
+
 ORACLES: dict[str, str] = {
     "op4_trigram_secrets": secrets(),
     "op7_warc_archive": archive(),
     "op9_repetition_quality": repetition(),
+    "op13_rank_index_infilling": infilling(),
 }

@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sondage.llm.infilling import fill_in_middle, restored
 from sondage.llm.mixing import document_rates, fit_domains
 from sondage.llm.packing import harmonic_packing
 from sondage.llm.pitman_yor import fit_pitman_yor, score_texts
@@ -110,4 +111,14 @@ def op10_feistel_pseudonyms(spark, folder):
     return pseudonymise(found, "a secret of the corpus")
 
 
+@query
+def op13_rank_index_infilling(spark, folder):
+    found = fill_in_middle(table(spark, folder, "documents"))
+    back = restored(F.col("output"), F.col("form"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
 QUERIES["pipeline"] = corpus_pipeline.run

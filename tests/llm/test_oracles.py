@@ -15,4 +15,4 @@ def test_query_equals_sql(spark, name, scale):
 
 
 def test_each_operator_has_one_query():
-    assert sorted(n.partition("_")[0] for n in QUERIES if n != "pipeline") == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(n.partition("_")[0] for n in QUERIES if n != "pipeline") == sorted(f"op{i}" for i in range(1, 14))
