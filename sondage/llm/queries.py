@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sondage.llm.grouping import grouped_packing
 from sondage.llm.infilling import fill_in_middle, restored
 from sondage.llm.mixing import document_rates, fit_domains
 from sondage.llm.packing import harmonic_packing
@@ -111,6 +112,12 @@ def op10_feistel_pseudonyms(spark, folder):
     return pseudonymise(found, "a secret of the corpus")
 
 
+@query
+def op12_linear_grouping(spark, folder):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return grouped_packing(table(spark, folder, "documents"), path)
+
+
 @query
 def op13_rank_index_infilling(spark, folder):
     found = fill_in_middle(table(spark, folder, "documents"))
