@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sondage.llm.conversations import Repair, conversation_key, damaged
 from sondage.llm.grouping import grouped_packing
 from sondage.llm.infilling import fill_in_middle, restored
 from sondage.llm.mixing import document_rates, fit_domains
@@ -112,6 +113,20 @@ def op10_feistel_pseudonyms(spark, folder):
     return pseudonymise(found, "a secret of the corpus")
 
 
+@query
+def op11_hirschberg_repair(spark, folder):
+    turns = table(spark, folder, "conversations")
+    repair = Repair(damaged(turns))
+    every = turns.select(conversation_key("conv_id").alias("key"), "conv_id").groupBy("key").agg(F.any_value("conv_id").alias("conv_id"))
+    found = every.join(repair.report, "key", "left").join(repair.digests(), "key", "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    empty = F.sha2(F.lit(""), 256)
+    return found.select(
+        "conv_id", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256"),
+    )
+
+
 @query
 def op12_linear_grouping(spark, folder):
     path = public_tokenizers.path("byte_bpe_50k.json")
