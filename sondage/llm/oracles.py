@@ -1,8 +1,8 @@
 """SQL for the queries of this subpackage that SQL can express.
 
 Without SQL: op1 (sampling), op2 (a tokenizer's ids), op3 and op5 (XXH64, which the SQL
-engine lacks), op6 and op8 (fitted models), op10 (Feistel networks) and the pipeline; they
-are tested against brute-force versions in tests/llm.
+engine lacks), op6 and op8 (fitted models), op10 (Feistel networks), op12 (a tokenizer's ids) and the
+pipeline; they are tested against brute-force versions in tests/llm.
 """
 
 from sondage.llm.secrets import BASE_KINDS, RULES
@@ -109,6 +109,64 @@ def archive() -> str:
     FROM numbered"""
 
 
+def repair() -> str:
+    crc = (
+        "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(place) + 1), "
+        "lambda k: ascii(substr(place, k, 1))::BIGINT)), lambda c, b: xor(crcs[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+    )
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return f"""
+    WITH RECURSIVE bytes AS MATERIALIZED (SELECT list(crc ORDER BY i) AS crcs FROM (SELECT i, list_reduce(
+        list_prepend(i, range(8)), lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) AS crc FROM range(256) AS b(i))),
+    turns AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+    drawn AS (SELECT turns.*, {crc} % 20 AS kind FROM turns, bytes),
+    damaged AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN ''
+        WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM drawn WHERE kind <> 0),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id
+        ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS i FROM damaged),
+    seen AS (SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+        NOT regexp_matches(text, '[.!?]{SPACE}*\\z') AS open, substr(role, 1, 1) AS initial,
+        lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS earlier FROM placed),
+    faults AS (SELECT *, blank OR again AS gone, NOT blank AND NOT again AND open AS truncated FROM seen),
+    inserts(state, n, between, added) AS (VALUES (0, 0, 0, []::VARCHAR[]), (0, 1, 2, ['user:']),
+        (0, 2, 3, ['user:', 'assistant:']), (1, 0, 1, []), (1, 1, 2, ['user:']), (1, 2, 3, ['user:', 'assistant:']),
+        (2, 0, 2, []), (2, 1, 3, ['assistant:']), (2, 2, 2, ['assistant:', 'user:']),
+        (3, 0, 3, []), (3, 1, 2, ['user:']), (3, 2, 3, ['user:', 'assistant:'])),
+    edits(between, letter, initial, after, price, given) AS (VALUES (0, 'D', NULL, 0, 2, NULL), (1, 'D', NULL, 1, 2, NULL),
+        (2, 'D', NULL, 2, 2, NULL), (3, 'D', NULL, 3, 2, NULL), (0, 'K', 's', 1, 0, NULL), (0, 'K', 'u', 2, 0, NULL),
+        (1, 'K', 'u', 2, 0, NULL), (2, 'K', 'a', 3, 0, NULL), (3, 'K', 'u', 2, 0, NULL), (0, 'R', NULL, 2, 1, 'user'),
+        (1, 'R', NULL, 2, 1, 'user'), (2, 'R', NULL, 3, 1, 'assistant'), (3, 'R', NULL, 2, 1, 'user')),
+    moves AS (SELECT * FROM inserts JOIN edits USING (between)),
+    paths AS (
+        SELECT conv_id, 0::BIGINT AS i, 0 AS state, 0 AS cost, '' AS audit, []::VARCHAR[] AS turns FROM faults GROUP BY conv_id
+        UNION ALL
+        SELECT conv_id, i, state, cost, audit, turns FROM (
+            SELECT *, row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) AS place FROM (
+                SELECT p.conv_id, r.i, m.after AS state,
+                    p.cost + 5 * m.n + m.price + CASE WHEN r.truncated AND m.letter <> 'D' THEN 5 ELSE 0 END AS cost,
+                    p.audit || repeat('I', m.n) || m.letter AS audit, list_concat(list_concat(p.turns, m.added),
+                        CASE m.letter WHEN 'D' THEN []::VARCHAR[] ELSE [coalesce(m.given, r.role) || ':' || r.text] END) AS turns
+                FROM paths p JOIN faults r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1
+                JOIN moves m ON m.state = p.state AND (m.initial IS NULL OR m.initial = r.initial)
+                WHERE m.letter = 'D' OR NOT r.gone)) WHERE place = 1),
+    counted AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+        count(*) FILTER (truncated) AS truncated,
+        count(*) FILTER (i > 1 AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id),
+    ends AS (SELECT p.conv_id, p.cost + 5 * e.n AS cost, p.audit || repeat('I', e.n) AS audit, list_concat(turns, added) AS turns
+        FROM paths p JOIN counted c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.rows = p.i
+        JOIN inserts e ON e.state = p.state AND e.between IN (0, 3)),
+    chosen AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) AS place FROM ends)
+    SELECT every.conv_id, {', '.join(f'coalesce({c}, 0)::BIGINT AS {c}' for c in counts)}, coalesce(audit, '') AS audit,
+        sha256(coalesce(array_to_string(turns, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) every
+    LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM every.conv_id
+    LEFT JOIN chosen b ON b.conv_id IS NOT DISTINCT FROM every.conv_id AND b.place = 1"""
+
+
 def infilling() -> str:
     def number(group: int) -> str:
         return f"('0x' || substr(digest, {8 * group + 1}, 8))::BIGINT"
@@ -137,5 +195,6 @@ ORACLES: dict[str, str] = {
     "op4_trigram_secrets": secrets(),
     "op7_warc_archive": archive(),
     "op9_repetition_quality": repetition(),
+    "op11_hirschberg_repair": repair(),
     "op13_rank_index_infilling": infilling(),
 }
