@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sondage.functions.columns import column
+from sondage.session import checkpointed
+from sondage.sources import records
 
 # Texts that mean "missing" in delimited files.
 NA_TOKENS = [
@@ -97,30 +99,38 @@ def read_csv(
     """Read delimited text with a header.
 
     Missing-value tokens become NULL and types are inferred from all rows, unless a
-    ``schema`` is given. Files are read in splits, so there is no chunk size to choose.
-    Where quoted text holds line breaks, files are not split (``multi_line``); by default
-    that is found out by a pass over all lines.
+    ``schema`` is given, whose columns are found by the names in the header; a name that is
+    not there is an error. Files are read in splits, so there is no chunk size to choose.
+
+    Files whose quoted values hold line breaks are found by a pass over all lines and cut
+    into records in splits as well, the others are left to Spark's reader.
+    ``multi_line=True`` skips the pass and reads every file by one task (as do encodings of
+    more than one byte per ASCII letter); False takes every line for a record.
     """
     paths = [path] if isinstance(path, str) else list(path)
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if multi_line is None and encoding.lower().startswith(("utf-16", "utf16", "utf-32", "utf32")):
+        multi_line = True
+    broken, settings = None, _csv_options(encoding, delimiter, options)
     if multi_line is None:
-        multi_line = has_open_quotes(spark, paths)
-    settings = _csv_options(encoding, delimiter, {"multiLine": str(multi_line).lower(), **options})
-    reader = spark.read.options(**settings)
-    if schema is not None:
-        wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])
-        texts = missing_tokens_as_null(reader.schema(as_text).csv(paths), na_tokens)
-        return texts.select(
-            *[column(f.name).try_cast(f.dataType).alias(f.name) for f in wanted.fields]
-        )
-    return with_inferred_types(missing_tokens_as_null(reader.csv(paths), na_tokens))
-
-
-def has_open_quotes(spark: SparkSession, paths: Sequence[str]) -> bool:
-    """Whether some line has an odd number of quotes, so that a value goes on in the next.
-    Bytes of other encodings that hold ASCII as it is can be counted as well."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(list(paths)).where(quotes % 2 == 1).isEmpty()
+        lines = records.lines_of(spark, paths, encoding)
+        broken = records.files_with_line_breaks(lines, delimiter)
+    reader = spark.read.options(**settings | {"multiLine": str(bool(multi_line or broken)).lower()})
+    names = reader.csv(paths).columns
+    if wanted is not None and (unknown := [f.name for f in wanted.fields if f.name not in names]):
+        raise ValueError(f"No such columns in the header: {unknown}; it has {names}")
+    as_text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    texts = reader.option("multiLine", str(bool(multi_line)).lower()).schema(as_text).csv(paths)
+    if broken:
+        plain = texts.where(~F.col("_metadata.file_path").isin(broken))
+        lines = lines.where(F.col("file").isin(broken))
+        cut = records.records(lines, checkpointed(records.ranges(lines, delimiter)), delimiter)
+        fields = F.from_csv("record", as_text.toDDL(), settings | {"header": "false"})
+        texts = plain.unionByName(cut.where(~F.col("first")).select(fields.alias("fields")).select("fields.*"))
+    texts = missing_tokens_as_null(texts, na_tokens)
+    if wanted is None:
+        return with_inferred_types(texts)
+    return texts.select(*[column(f.name).try_cast(f.dataType).alias(f.name) for f in wanted.fields])
 
 
 def write_csv(

@@ -1058,7 +1058,7 @@ ORACLES = {
     "report_markdown_lines": markdown(ORDERS, "orders.parquet", "2024-01-01 00:00:00"),
     "src_load_auto": "SELECT * FROM lineitem",
     "src_csv_roundtrip": CUSTOMER_BACK,
-    "src_csv_text": "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents",
+    "src_csv_text": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
     "src_csv_delim": union(
         f"""SELECT {d} AS written, {d} AS guessed, count(*) AS n_rows,
         count(DISTINCT c_name) AS names, round(sum(c_acctbal), 2) AS balance FROM customer"""
@@ -1073,7 +1073,11 @@ ORACLES = {
         (o_orderkey::HUGEINT * 10000000000000000000 + 7)::VARCHAR AS wide FROM orders""",
     "src_csv_spaces": """SELECT c_custkey, '  ' || c_name || ' ' AS padded, ' NA ' AS mark
         FROM customer""",
-    "src_csv_line_breaks": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
+    "src_csv_line_breaks": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
+    "src_csv_chunks_text": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
+    "src_csv_schema_order": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
+    "src_csv_stray_quote": """SELECT p_partkey AS key, p_size || '" ' || p_brand AS label FROM part
+        UNION ALL SELECT -1 - doc_id, md5(text) || chr(10) || lang FROM documents""",
     "src_json_records": CUSTOMER_BACK,
     "src_json_columns": """SELECT c_custkey, c_name, c_acctbal FROM customer""",
     "src_arrow_empty": "SELECT * FROM orders WHERE o_orderkey < 0",

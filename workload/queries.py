@@ -23,6 +23,8 @@ from sondage.session import new_path
 from sondage.sources import delimited, files, sql
 from sondage.streaming.chunks import read_csv_in_chunks
 
+DOCUMENTS_DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -45,6 +47,11 @@ def tables(spark: SparkSession, folder: str, names: list[str], operator) -> Data
     return reduce(DataFrame.unionByName, [operator(table(spark, folder, n)) for n in names])
 
 
+def with_text_digest(documents: DataFrame) -> DataFrame:
+    """All columns, the text as its digest."""
+    return documents.select(*[c for c in documents.columns if c != "text"], F.md5("text").alias("text_md5"))
+
+
 def to_digits(df: DataFrame, digits: int = 4) -> DataFrame:
     """Double columns rounded for comparison."""
     return df.select(
@@ -701,11 +708,9 @@ def src_csv_roundtrip(spark, folder):
 def src_csv_text(spark, folder):
     """Text with quotes, delimiters and line breaks survives the way there and back."""
     path = new_path(spark, "documents") + ".csv"
-    files.save(table(spark, folder, "documents").select("doc_id", "lang", "text"), path)
-    back = files.load(
-        spark, path, schema="doc_id bigint, lang string, text string", multi_line=True
-    )
-    return back.select("doc_id", "lang", F.md5("text").alias("text_md5"))
+    files.save(table(spark, folder, "documents"), path)
+    back = files.load(spark, path, schema=DOCUMENTS_DDL, multi_line=True)
+    return with_text_digest(back)
 
 
 @query
@@ -798,10 +803,42 @@ def src_csv_spaces(spark, folder):
 
 @query
 def src_csv_line_breaks(spark, folder):
-    """Quoted line breaks are found by a plain load."""
+    """Quoted line breaks are found by a plain load, and their file is read in splits."""
     path = new_path(spark, "breaks") + ".csv"
-    files.save(table(spark, folder, "documents").select("doc_id", "text"), path)
-    return files.load(spark, path).select("doc_id", F.md5("text").alias("text_md5"))
+    files.save(table(spark, folder, "documents").coalesce(1), path)
+    return with_text_digest(files.load(spark, path))
+
+
+@query
+def src_csv_chunks_text(spark, folder):
+    """Chunks hold quoted line breaks as a plain read does."""
+    source, target = new_path(spark, "documents") + ".csv", new_path(spark, "documents")
+    files.save(table(spark, folder, "documents").repartition(4, "doc_id"), source)
+    return with_text_digest(read_csv_in_chunks(spark, source, DOCUMENTS_DDL, target, files_per_chunk=2))
+
+
+@query
+def src_csv_schema_order(spark, folder):
+    """A schema names columns; their order in the file is another one."""
+    path = new_path(spark, "orders") + ".csv"
+    orders = table(spark, folder, "orders")
+    files.save(orders.select(*reversed(orders.columns)), path)
+    wanted = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    return files.load(spark, path, schema=wanted)
+
+
+@query
+def src_csv_stray_quote(spark, folder):
+    """Quotes in the middle of values are text: sizes in inches, written without quoting,
+    beside another file with quoted line breaks."""
+    path = new_path(spark, "sizes") + ".csv"
+    sizes = table(spark, folder, "part").selectExpr("p_partkey AS key", """concat(p_size, '" ', p_brand) AS label""")
+    lines = sizes.select(F.concat_ws(",", "key", "label").alias("value"))
+    header = spark.range(1).select(F.lit("key,label").alias("value"))
+    header.unionByName(lines).coalesce(1).write.text(f"{path}/inches")
+    quoted = table(spark, folder, "documents").selectExpr("-1 - doc_id AS key", "md5(text) || chr(10) || lang AS label")
+    files.save(quoted, f"{path}/quoted", "csv")
+    return delimited.read_csv(spark, [f"{path}/inches", f"{path}/quoted"])
 
 
 def _json_document(spark, rows, name):
