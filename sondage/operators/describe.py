@@ -36,10 +36,19 @@ def shape(df: DataFrame) -> DataFrame:
     )
 
 
-def whole_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def whole_moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Every moment, from one aggregation."""
+    return column_stats(df, list(columns or numeric_columns(df)), list(MOMENTS))
+
+
+def whole_stats(
+    df: DataFrame, columns: Sequence[str] | None = None, moments: DataFrame | None = None
+) -> DataFrame:
     """Every moment and percentile: the functions below take it as ``stats`` where several
-    of them are wanted of the same columns."""
-    return column_stats(df, list(columns or numeric_columns(df)), list(MOMENTS), PERCENTILES)
+    of them are wanted of the same columns. ``moments`` are those of ``whole_moments``."""
+    return column_stats(
+        df, list(columns or numeric_columns(df)), list(MOMENTS), PERCENTILES, base=moments
+    )
 
 
 def numeric_summary(
@@ -143,8 +152,10 @@ def distributions(
     if stats is None:
         found = column_stats(df, columns, ["n", "mean", "std", "variance"], {"median": 0.5}, mode=True)
     else:
-        modes = column_stats(df, columns, [], mode=True)
-        found = stats.withColumnRenamed("p50", "median").join(modes, "column_name")
+        named = stats.withColumnRenamed("p50", "median")
+        found = column_stats(
+            df, columns, ["n", "mean", "std", "variance", "median"], mode=True, base=named
+        )
     return found.where(F.col("n") > 0).select(
         "column_name",
         rounded(F.col("mean"), 4).alias("mean"),

@@ -2,14 +2,16 @@
 
 Counts, means, deviations and extremes of all columns come from one aggregation. Modes
 come from the counts of the distinct values, of the column's own type. Exact quantiles are
-found by counting, at every size, with no task ever holding a column or a group:
+found by radix refinement, at every size, with no task ever holding a column or a group:
 
-1. a KLL sketch per column proposes marks near the wanted quantiles;
-2. one pass counts the rows of every cell between marks (and of equal-width parts of
-   it), so the cell holding each wanted rank is known exactly;
-3. one pass keeps only those cells, counts their distinct values and picks the ranks.
+1. one pass counts the values by a prefix that keeps their order, sign and the logarithm
+   in steps of 1/64, so the cell holding each wanted rank is known exactly, however the
+   values are spread;
+2. while one of those cells is large, a pass counts its values by 16 further bits of
+   their place between the cell's least and greatest value;
+3. one pass counts the distinct values of what is left, small by now, and picks the ranks.
 
-A poor sketch only makes the kept cells larger. It never changes the result.
+A cell of one value needs no further pass. After a few refinements every cell is one.
 """
 
 from collections.abc import Callable, Sequence
@@ -26,10 +28,11 @@ Aggregate = Callable[[Column], Column]
 
 # Aggregations over more columns outgrow what the JVM compiles.
 COLUMNS_PER_PASS = 10
-SKETCH_K = 800
-MARK_MARGIN = 0.01
-CELL_PARTS = 1024
-SALTS = 256
+# Steps of the first prefix in each doubling of a value, and parts of a cell that is refined.
+OCTAVE_PARTS = 64
+CELL_PARTS = 65_536
+# A cell of so many rows is not refined further; its distinct values meet in one task.
+CELL_ROWS = 100_000
 JOIN_SALTS = 16
 
 MOMENTS: dict[str, Aggregate] = {
@@ -51,9 +54,11 @@ def column_stats(
     quantiles: dict[str, float] | None = None,
     mode: bool = False,
     keys: Sequence[str] = (),
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Rows (keys..., column_name, wanted..., quantiles..., mode), all over non-missing
-    values as doubles. Undefined statistics are NULL.
+    values as doubles. Undefined statistics are NULL. Without keys, ``base`` may hold rows
+    (column_name, wanted...) found before, which are then not computed again.
 
     ``wanted`` names entries of MOMENTS, ``quantiles`` maps an output name to a
     probability (linear interpolation); rows with a NULL key are left out, ``mode`` adds
@@ -84,10 +89,12 @@ def column_stats(
             *[column(k) for k in keys], F.inline("_rows")
         )
 
-    parts = [columns[i : i + COLUMNS_PER_PASS] for i in range(0, len(columns), COLUMNS_PER_PASS)]
-    result = described(parts[0])
-    for part in parts[1:]:
-        result = result.unionByName(described(part))
+    if base is not None:
+        names = F.array(*[F.lit(c) for c in columns])
+        result = base.withColumn("_id", F.array_position(names, F.col("column_name")).cast("int") - 1)
+    else:
+        parts = [columns[i : i + COLUMNS_PER_PASS] for i in range(0, len(columns), COLUMNS_PER_PASS)]
+        result = reduce(DataFrame.unionByName, map(described, parts))
     order = [*keys, "column_name", *wanted, *quantiles, *(["mode"] if mode else [])]
     if not (quantiles or mode):
         return result.select(*[column(c) for c in order])
@@ -149,34 +156,42 @@ def _interpolated(position: Column, low: Column, high: Column) -> Column:
     return F.when(low == high, low).otherwise(weighted)
 
 
-def _marks(long: DataFrame, quantiles: dict[str, float], on: Sequence[str]) -> DataFrame:
-    """Per group and column, sorted values bracketing the wanted quantiles.
+# Prefixes of finite values other than 0 are above 0 from 2^-1100 on.
+LEAST_OCTAVE, INFINITE = -1100, 1 << 20
 
-    The sketches are merged in two steps, so that neither one column nor one hot group
-    sends the sketches of all tasks to one reducer.
-    """
-    group = [column(c) for c in on]
-    around = sorted(
-        {min(1.0, max(0.0, p + d)) for p in quantiles.values() for d in (-MARK_MARGIN, MARK_MARGIN)}
-    )
-    salted = (
-        long.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-        .groupBy(*group, "_salt")
-        .agg(F.kll_sketch_agg_double("_v", F.lit(SKETCH_K)).alias("_sketch"))
+
+def _prefix(v: Column) -> Column:
+    """A whole number that never falls as ``v`` grows: 0 for 0, else by logarithm and sign."""
+    size = F.floor(F.log2(F.abs(v)) * OCTAVE_PARTS) - LEAST_OCTAVE * OCTAVE_PARTS
+    infinite = F.abs(v) == float("inf")
+    return (F.signum(v) * F.when(v == 0, 0).when(infinite, INFINITE).otherwise(size)).cast("int")
+
+
+def _ends(prefix: Column) -> tuple[Column, Column]:
+    """About the least and greatest value with the prefix; equal where it has only one."""
+    size, sign = F.abs(prefix), F.signum(prefix.cast("double"))
+    near, far = (F.pow(F.lit(2.0), (size + n) / OCTAVE_PARTS + LEAST_OCTAVE) for n in (0, 1))
+    one = F.when(prefix == 0, 0.0).when(size == INFINITE, sign * float("inf"))
+    return tuple(
+        F.coalesce(one, F.when(sign > 0, low).otherwise(-high)) for low, high in ((near, far), (far, near))
     )
-    merged = salted.groupBy(*group).agg(F.kll_merge_agg_double("_sketch").alias("_sketch"))
-    marks = F.kll_sketch_get_quantile_double("_sketch", F.array(*[F.lit(p) for p in around]))
-    return merged.select(*group, F.array_sort(marks).alias("_marks"))
+
+
+def _part(v: Column, first: Column, last: Column) -> Column:
+    """The place of ``v`` in its cell. Subtraction, division and floor keep order; between
+    values that occur, the cell's ends fall into different parts."""
+    share = F.floor((v - first) / (last - first) * CELL_PARTS)
+    return F.greatest(F.lit(0), F.least(share, F.lit(CELL_PARTS - 1))).cast("int")
 
 
 def quantiles_by_counting(
     long: DataFrame, quantiles: dict[str, float], on: Sequence[str]
 ) -> DataFrame:
-    """Exact quantiles of rows (on..., _v) by the three passes above.
+    """Exact quantiles of rows (on..., _v) by the passes above.
 
-    ``on`` ends with the column's number; what comes before are group keys. Their small
-    tables are joined on the key and a salt of the row, so that the rows of a hot group are
-    spread over JOIN_SALTS tasks.
+    ``on`` ends with the column's number; what comes before are group keys. The cells that
+    hold a wanted rank, at most two per quantile, are joined on the key and a salt of the
+    row, so that the rows of a hot group are spread over JOIN_SALTS tasks.
     """
     grouped = len(on) > 1
     group = [column(c) for c in on]
@@ -185,91 +200,75 @@ def quantiles_by_counting(
     if grouped:
         long = long.withColumn("_spread", F.pmod(F.monotonically_increasing_id(), F.lit(JOIN_SALTS)).cast("int"))
 
-    def side(table: DataFrame) -> DataFrame:
-        # Without groups: one row per column, or two per column and quantile.
-        return table.withColumn("_spread", F.explode(salts)) if grouped else F.broadcast(table)
-
-    # Both small tables are computed once and kept: later passes must see the same
-    # marks and cells even if an executor is lost in between.
-    marks = side(checkpointed(_marks(long, quantiles, on)))
+    def side(cells: DataFrame) -> DataFrame:
+        # Without groups: at most two rows per column and quantile.
+        return cells.withColumn("_spread", F.explode(salts)) if grouped else F.broadcast(cells)
 
-    v, m = F.col("_v"), F.col("_marks")
-    count_of_marks = 2 * len(set(quantiles.values()))
-    above = sum(
-        (F.coalesce((v > F.get(m, F.lit(i))).cast("int"), F.lit(0)) for i in range(count_of_marks)),
-        F.lit(0),
-    )
-    reached = sum(
-        (F.coalesce((v >= F.get(m, F.lit(i))).cast("int"), F.lit(0)) for i in range(count_of_marks)),
-        F.lit(0),
-    )
-    placed = (
-        long.join(marks, by)
-        .withColumn("_above", above)
-        .withColumn("_cell", F.col("_above") + reached)
-        .withColumn("_lo", F.get(m, F.col("_above") - 1))
-        .withColumn("_width", F.get(m, F.col("_above")) - F.col("_lo"))
-    )
-    # Strictly between two finite marks, the cell is cut into parts of equal width.
-    # Subtraction, division and floor are monotone, so parts never overlap.
-    share = (v - F.col("_lo")) / F.col("_width")
-    cuttable = (
-        (F.col("_cell") == 2 * F.col("_above"))
-        & (F.col("_width") > 0)
-        & (F.col("_width") < float("inf"))
-    )
-    part = F.when(
-        cuttable, F.least(F.floor(share * CELL_PARTS), F.lit(CELL_PARTS - 1)).cast("int")
-    ).otherwise(0)
-    cells = (
-        placed.withColumn("_part", part)
-        .groupBy(*group, "_cell", "_part")
-        .agg(
-            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_first"), F.max("_v").alias("_last")
-        )
-    )
-
-    # At most (marks + 1) * CELL_PARTS rows per group and column.
-    in_order = W.partitionBy(*group).orderBy("_cell", "_part")
+    v = F.col("_v")
+    n = F.count(F.lit(1)).alias("_n")
     positions = _positions(quantiles)
     ranks = F.array_distinct(
-        F.array(
-            *[f(p).cast("bigint") for p in positions.values() for f in (F.floor, F.ceil)]
-        )
+        F.array(*[f(p).cast("bigint") for p in positions.values() for f in (F.floor, F.ceil)])
     )
-    targets = (
-        cells.withColumn("_before", F.sum("_n").over(in_order) - F.col("_n"))
-        .withColumn("_total", F.sum("_n").over(W.partitionBy(*group)))
-        .withColumn(
-            "_ranks",
-            F.filter(
-                ranks,
-                lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")),
-            ),
+
+    def holding(cells: DataFrame, within: Sequence[Column]) -> DataFrame:
+        """The cells that hold some of ``_ranks``. What a pass finds is kept: later ones
+        must see the same cells even if an executor is lost in between."""
+        upto = W.partitionBy(*within).orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
+        before = F.col("_base") + F.sum("_n").over(upto) - F.col("_n")
+        inside = F.filter(
+            "_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n"))
         )
-        .where(F.size("_ranks") > 0)
-        .select(*group, "_first", "_last", "_before", "_total", "_ranks")
-    )
-    targets = side(checkpointed(targets))
-
-    kept = long.join(targets, by).where(v.between(F.col("_first"), F.col("_last")))
-    distinct = kept.groupBy(*group, "_first", "_v").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.any_value("_before").alias("_before"),
-        F.any_value("_total").alias("_total"),
-        F.any_value("_ranks").alias("_ranks"),
-    )
-    upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*group, "_first").orderBy("_v"))
-    picked = (
-        distinct.withColumn("_upto", upto)
-        .withColumn(
-            "_rank",
-            F.explode(
-                F.filter(
-                    "_ranks", lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_n"))
-                )
-            ),
+        found = cells.withColumn("_before", before).withColumn("_ranks", inside).where(F.size("_ranks") > 0)
+        return checkpointed(found.select(*group, "_cell", "_first", "_last", "_n", "_before", "_total", "_ranks"))
+
+    def in_cells(cells: DataFrame, refined: bool) -> DataFrame:
+        """The rows of the cells, which are known by their prefix or by their ends."""
+        ends = cells.select(*group, "_cell", "_first", "_last")
+        if refined:
+            return long.join(side(ends), by).where(v.between(F.col("_first"), F.col("_last")))
+        return long.withColumn("_cell", _prefix(v).cast("double")).join(side(ends), [*by, "_cell"])
+
+    def with_cell(counts: DataFrame, cells: DataFrame) -> DataFrame:
+        """Counts within cells, with what else is known of the cell."""
+        known = cells.select(*group, "_cell", F.col("_before").alias("_base"), "_total", "_ranks")
+        return counts.join(known if grouped else F.broadcast(known), [*on, "_cell"])
+
+    # At most 2 * 2,100 * OCTAVE_PARTS rows per group and column, few of which occur.
+    counts = long.groupBy(*group, _prefix(v).alias("_prefix")).agg(n)
+    first, last = _ends(F.col("_prefix"))
+    counts = counts.select(
+        *group, F.col("_prefix").cast("double").alias("_cell"), first.alias("_first"), last.alias("_last"), "_n",
+        F.sum("_n").over(W.partitionBy(*group)).alias("_total"), F.lit(0).cast("bigint").alias("_base"),
+    )
+    cells = holding(counts.withColumn("_ranks", ranks), group)
+    found, refined = [], False
+    while True:
+        single = F.col("_first") == F.col("_last")
+        found.append(
+            cells.where(single).select(
+                *group, "_total", F.explode("_ranks").alias("_rank"), F.col("_first").alias("_v")
+            )
         )
+        cells = cells.where(~single)
+        most = cells.agg(F.max("_n")).first()[0]
+        if most is None:
+            break
+        kept = in_cells(cells, refined)
+        if most <= CELL_ROWS:
+            distinct = with_cell(kept.groupBy(*group, "_cell", "_v").agg(n), cells)
+            upto = F.col("_base") + F.sum("_n").over(W.partitionBy(*group, "_cell").orderBy("_v"))
+            mine = F.filter("_ranks", lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_n")))
+            picked = distinct.withColumn("_upto", upto)
+            found.append(picked.select(*group, "_total", F.explode(mine).alias("_rank"), "_v"))
+            break
+        part = _part(v, F.col("_first"), F.col("_last")).alias("_part")
+        counts = kept.groupBy(*group, "_cell", part).agg(n, F.min("_v").alias("_first"), F.max("_v").alias("_last"))
+        inner = with_cell(counts, cells).withColumn("_outer", F.col("_cell")).withColumn("_cell", F.col("_first"))
+        cells, refined = holding(inner, [*group, F.col("_outer")]), True
+
+    picked = (
+        reduce(DataFrame.unionByName, found)
         .groupBy(*group)
         .agg(
             F.any_value("_total").alias("_total"),

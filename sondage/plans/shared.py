@@ -35,9 +35,16 @@ class Shared:
     def nulls(self) -> DataFrame:
         return self.kept(quality.null_counts(self.df))
 
+    @cached_property
+    def moments(self) -> DataFrame | None:
+        return self.kept(describe.whole_moments(self.df)) if self.numeric else None
+
     @cached_property
     def stats(self) -> DataFrame | None:
-        return self.kept(describe.whole_stats(self.df)) if self.numeric else None
+        """Percentiles as well, which take more passes: for what shows them only."""
+        if not self.numeric:
+            return None
+        return self.kept(describe.whole_stats(self.df, moments=self.moments))
 
     @cached_property
     def shape(self) -> DataFrame:
@@ -62,7 +69,7 @@ class Shared:
 
     @cached_property
     def spread(self) -> DataFrame | None:
-        return self.stats.select("column_name", "std") if self.numeric else None
+        return self.moments.select("column_name", "std") if self.numeric else None
 
     @cached_property
     def tests(self) -> DataFrame | None:
@@ -70,10 +77,7 @@ class Shared:
 
     @cached_property
     def skewness(self) -> DataFrame | None:
-        """From the tests if they are made anyway, else on its own."""
-        if "tests" in self.__dict__:
-            return self.tests
-        return describe.moments(self.df, stats=self.stats) if self.numeric else None
+        return describe.moments(self.df, stats=self.moments) if self.numeric else None
 
     @cached_property
     def correlations(self) -> DataFrame | None:

@@ -76,18 +76,59 @@ def test_quantiles_by_group(table):
             assert close(row[q], expected(values, p)), (row, q)
 
 
-def test_a_poor_sketch_changes_nothing(table, monkeypatch):
+@pytest.mark.parametrize("parts", [2, 16])
+def test_many_refinements_change_nothing(table, monkeypatch, parts):
     from sondage.operators import stats
 
     pdf, df = table
-    monkeypatch.setattr(stats, "SKETCH_K", 8)
-    monkeypatch.setattr(stats, "MARK_MARGIN", 0.0)
-    monkeypatch.setattr(stats, "CELL_PARTS", 2)
-    for row in column_stats(df, ["unique", "tail"], ["n"], PROBS).collect():
+    monkeypatch.setattr(stats, "CELL_ROWS", 4 if parts == 16 else 40)
+    monkeypatch.setattr(stats, "CELL_PARTS", parts)
+    monkeypatch.setattr(stats, "OCTAVE_PARTS", parts)
+    for row in column_stats(df, ["unique", "tail", "signed", "infinite"], ["n"], PROBS).collect():
         for q, p in PROBS.items():
             assert row[q] == pytest.approx(expected(pdf[row["column_name"]].to_numpy(), p))
 
 
+def test_prefix_and_parts_keep_order(spark):
+    from sondage.operators import stats
+
+    edges = [0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 1e-5, 0.1, 1.0, 1.7e308, math.inf]
+    near = [x for e in range(-1074, 1024, 13) for x in (math.ldexp(1.0, e), math.nextafter(math.ldexp(1.0, e), 0))]
+    values = sorted({s * x for x in edges + near for s in (-1, 1)})
+    df = spark.createDataFrame([(x,) for x in values], "v double")
+    got = dict(df.select("v", stats._prefix(F.col("v"))).collect())
+    found = [got[x] for x in values]
+    assert found == sorted(found) and got[0.0] == 0 and len(set(found)) > 300
+
+
+@pytest.mark.parametrize("spread", ["logarithmic", "rarely huge", "clustered"])
+def test_cells_are_small_whatever_the_spread(spark, monkeypatch, spread):
+    """What is gathered for a rank in the end is a small part of the column."""
+    from sondage.operators import stats
+
+    rng = np.random.default_rng(5)
+    n = 60_000
+    values = {
+        "logarithmic": np.exp(rng.normal(0, 40, n)),
+        "rarely huge": np.where(rng.random(n) < 0.001, 1e200, 1.0) * rng.random(n),
+        "clustered": 1e9 + rng.integers(0, 2, n) + rng.random(n) * 1e-3,
+    }[spread]
+    monkeypatch.setattr(stats, "CELL_ROWS", 100)
+    kept = []
+    checkpointed = stats.checkpointed
+    monkeypatch.setattr(stats, "checkpointed", lambda df: kept.append(checkpointed(df)) or kept[-1])
+    row = column_stats(spark.createDataFrame(pd.DataFrame({"v": values})), ["v"], ["n"], PROBS).first()
+    for q, p in PROBS.items():
+        assert row[q] == pytest.approx(expected(values, p), rel=1e-12)
+    assert len(kept) <= 4 and kept[-1].where("_first < _last").agg(F.max("_n")).first()[0] in (None, *range(101))
+
+
+def test_no_sorting_aggregation(table, capsys):
+    _, df = table
+    column_stats(df, ["unique", "tail"], ["n"], PROBS).explain("formatted")
+    assert "SortAggregate" not in capsys.readouterr().out
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "a int, b double")
     rows = column_stats(df, ["a", "b"], ["n", "mean", "std"], {"m": 0.5}, True)
