@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 BYTE = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-# In the order in which they are tried at one place.
+# In the order in which they are tried at one place. A repetition without a bound is
+# possessive: Java repeats it in a loop, not by recursion, however long the text.
 FORMATS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": rf"(?<![0-9.]){BYTE}(?:\.{BYTE}){{3}}(?![0-9])(?!\.[0-9])",
     "date": r"(?<![0-9A-Za-z])(?:(?:19|20)[0-9]{2}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}"
     r"|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2})(?![0-9A-Za-z])",
@@ -59,8 +60,8 @@ def _shift(key: str, tweak: Column, turn: Column, other: Column, at: Column) ->
 def _shifted(half: Column, key: str, tweak: Column, turn: Column, other: Column) -> Column:
     """Every digit and letter of ``half`` moved within its kind."""
 
-    def move(c: Column, at: Column) -> Column:
-        by, code = _shift(key, tweak, turn, other, at), F.ascii(c)
+    def move(c: Column, at: Column, short: Column) -> Column:
+        by, code = _shift(key, tweak, turn, short, at), F.ascii(c)
         moved = [
             F.when(
                 code.between(ord(first), ord(last)),
@@ -70,8 +71,12 @@ def _shifted(half: Column, key: str, tweak: Column, turn: Column, other: Column)
         ]
         return F.coalesce(*moved, c)
 
-    # split of an empty text gives one empty text, which stays.
-    return F.array_join(F.transform(F.split(half, ""), move), "")
+    # The other half is hashed once, as one element, not for every letter again. split of
+    # an empty text gives one empty text, which stays.
+    def moved(short: Column) -> Column:
+        return F.array_join(F.transform(F.split(half, ""), lambda c, at: move(c, at, short)), "")
+
+    return F.transform(F.array(F.sha2(other, 256)), moved)[0]
 
 
 def permuted_text(value: Column, key: str, tweak: Column) -> Column:
