@@ -6,6 +6,7 @@ numeric-by-categorical pairs one grouped pass. Tail probabilities are computed o
 resulting rows, one per pair.
 """
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
@@ -36,6 +37,8 @@ SIGNIFICANCE = 0.05
 NUMERIC_PER_PASS = 10
 # A pass over categorical pairs makes this many copies of two keys per row.
 PAIRS_PER_PASS = 45
+# Categorical columns are counted together while their joint table has so few cells.
+JOINT_CELLS = 100_000
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -195,11 +198,39 @@ def contingency(df: DataFrame, column1: str, column2: str) -> DataFrame:
     )
 
 
-def _cells(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
-    """Rows (i, j, v1, v2, n): the contingency tables of all pairs, in one pass."""
-    keys = df.select(
-        *[identity_key(c, df.schema[c].dataType).alias(f"_k{i}") for i, c in enumerate(columns)]
-    )
+def joint_groups(
+    distinct: Sequence[int], limit: int = JOINT_CELLS
+) -> tuple[list[list[int]], list[tuple[int, int]]]:
+    """Groups of columns, by number, whose joint table has at most ``limit`` cells, so that
+    every pair that can be is in one; and the pairs that are too wide by themselves.
+
+    Each group starts from the narrowest pair left and takes in, one by one, the column
+    that adds most pairs still left (of equal ones the narrowest) while it stays small.
+    """
+    left = set(combinations(range(len(distinct)), 2))
+    wide = sorted((i, j) for i, j in left if distinct[i] * distinct[j] > limit)
+    left -= set(wide)
+    groups = []
+    while left:
+        group = list(min(left, key=lambda p: (distinct[p[0]] * distinct[p[1]], p)))
+        cells = distinct[group[0]] * distinct[group[1]]
+        while True:
+            gains = {
+                c: sum((min(c, g), max(c, g)) in left for g in group)
+                for c, n in enumerate(distinct) if c not in group and cells * n <= limit
+            }
+            best = min(gains, key=lambda c: (-gains[c], distinct[c], c), default=None)
+            if best is None or not gains[best]:
+                break
+            group.append(best)
+            cells *= distinct[best]
+        groups.append(sorted(group))
+        left -= set(combinations(sorted(group), 2))
+    return groups, wide
+
+
+def _pair_cells(rows: DataFrame, pairs: Sequence[tuple[int, int]], n: Column) -> DataFrame:
+    """Rows (i, j, v1, v2, n) from rows of keys that stand for ``n`` rows each."""
     copies = F.array(
         *[
             F.struct(
@@ -212,11 +243,40 @@ def _cells(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[int, int
         ]
     )
     return (
-        keys.select(F.inline(copies))
+        rows.select(n.alias("_n"), F.inline(copies))
         .where(F.col("v1").isNotNull() & F.col("v2").isNotNull())
         .groupBy("i", "j", "v1", "v2")
-        .agg(F.count(F.lit(1)).cast("double").alias("n"))
+        .agg(F.sum("_n").cast("double").alias("n"))
+    )
+
+
+def _cells(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
+    """Rows (i, j, v1, v2, n): the contingency tables of all pairs.
+
+    Narrow columns are counted together, in groups that hold every pair once at least, and
+    each pair is summed from the joint counts of its smallest group: no row of the table is
+    copied. Estimated distinct counts choose the groups and change no result. Only pairs
+    too wide for a joint table copy the rows, in one pass for PAIRS_PER_PASS of them.
+    """
+    keys = df.select(
+        *[identity_key(c, df.schema[c].dataType).alias(f"_k{i}") for i, c in enumerate(columns)]
     )
+    counts = keys.agg(*[F.approx_count_distinct(c) for c in keys.columns]).first()
+    # Missing values are a value of the joint table.
+    groups, wide = joint_groups([n + 1 for n in counts])
+    size = {tuple(g): math.prod(counts[i] + 1 for i in g) for g in groups}
+    mine: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+    for pair in combinations(range(len(columns)), 2):
+        if pair not in wide:
+            home = min((g for g in size if {*pair} <= {*g}), key=lambda g: (size[g], g))
+            mine.setdefault(home, []).append(pair)
+    narrow = [
+        _pair_cells(keys.groupBy(*[f"_k{i}" for i in group]).agg(F.count(F.lit(1)).alias("_all")), pairs, F.col("_all"))
+        for group, pairs in mine.items()
+    ]
+    passes = [wide[i : i + PAIRS_PER_PASS] for i in range(0, len(wide), PAIRS_PER_PASS)]
+    found = [_union(narrow)] if narrow else []
+    return found + [_pair_cells(keys, pairs, F.lit(1)) for pairs in passes]
 
 
 def associations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -233,13 +293,11 @@ def associations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     require(df, columns)
     if len(columns) < 2:
         raise ValueError("At least 2 categorical columns are needed")
-    pairs = list(combinations(range(len(columns)), 2))
     parts = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        cells = _cells(df, columns, pairs[start : start + PAIRS_PER_PASS])
+    for cells in _cells(df, columns):
         first = cells.groupBy("i", "j", "v1").agg(F.sum("n").alias("r"))
         second = cells.groupBy("i", "j", "v2").agg(F.sum("n").alias("c"))
-        # At most PAIRS_PER_PASS rows each.
+        # A row per pair.
         totals = first.groupBy("i", "j").agg(
             F.sum("r").alias("total"), F.count(F.lit(1)).alias("rows")
         )
