@@ -140,3 +140,20 @@ def rounded(c: Column, digits: int) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """100 * part / whole to two decimals; NULL for an empty whole."""
     return F.round(F.try_divide(part.cast("double"), whole.cast("double")) * 100.0, 2)
+
+
+def in_slots(
+    df: DataFrame, values: list[Column], kinds: list[str], *beside: str
+) -> tuple[DataFrame, list[str]]:
+    """Rows (beside..., _id, one column per kind): every value of every row, numbered by ``values``, in
+    the slot of its kind, and the names of the slots. Columns of any types are so counted
+    in one scan, in their own types."""
+    slots = {kind: f"_slot{i}" for i, kind in enumerate(dict.fromkeys(kinds))}
+    rows = [
+        F.struct(
+            F.lit(i).alias("_id"),
+            *[(value if kind == own else F.lit(None)).cast(kind).alias(slot) for kind, slot in slots.items()],
+        )
+        for i, (value, own) in enumerate(zip(values, kinds, strict=True))
+    ]
+    return df.select(*beside, F.inline(F.array(*rows))), list(slots.values())

@@ -1,13 +1,14 @@
 """Distinct counts and most frequent values, from value counts per column.
 
 Several count(DISTINCT ...) in one query make Spark expand every row into one copy per
-column, each as wide as all columns. Here the columns of one type are unpivoted into
-(column, value) rows, counted with map-side combine, and reduced again.
+column, each as wide as all columns. Here the columns become (column, value) rows, with a
+slot for each type, counted with map-side combine in one scan, and reduced again.
 """
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,7 @@ from sondage.functions.columns import (
     categorical_columns,
     column,
     identity_key,
+    in_slots,
     nan_as_null,
     require,
 )
@@ -45,23 +47,18 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """Rows (column_name, unique_values); missing values are not counted."""
     columns = list(columns) if columns is not None else countable_columns(df)
     require(df, columns)
-    by_type: dict[str, list[str]] = {}
-    for name in columns:
-        by_type.setdefault(_common_type(df.schema[name].dataType), []).append(name)
-
-    clean = nan_as_null(df)
-    result = None
-    for common, names in by_type.items():
-        values = [identity_key(n, df.schema[n].dataType).cast(common).alias(n) for n in names]
-        counted = (
-            clean.select(*values)
-            .unpivot([], [column(n) for n in names], "column_name", "value")
-            .distinct()
-            .groupBy("column_name")
-            .agg(F.count("value").alias("unique_values"))
-        )
-        result = counted if result is None else result.unionByName(counted)
-    return result
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column_name string, unique_values bigint")
+    types = [df.schema[n].dataType for n in columns]
+    values = [identity_key(n, t) for n, t in zip(columns, types, strict=True)]
+    rows, slots = in_slots(nan_as_null(df), values, [_common_type(t) for t in types])
+    name = F.get(F.array(*[F.lit(n) for n in columns]), F.col("_id"))
+    return (
+        rows.distinct()
+        .groupBy("_id")
+        .agg(F.count_if(reduce(Column.__or__, [F.col(s).isNotNull() for s in slots])).alias("unique_values"))
+        .select(name.alias("column_name"), "unique_values")
+    )
 
 
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:

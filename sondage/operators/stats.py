@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sondage.functions.columns import column, nan_as_null, require
+from sondage.functions.columns import column, in_slots, nan_as_null, require
 from sondage.session import checkpointed
 
 Aggregate = Callable[[Column], Column]
@@ -124,24 +124,19 @@ def column_stats(
 
 def _modes(clean: DataFrame, named: dict[str, str], on: Sequence[str]) -> DataFrame:
     """The smallest of the most frequent values, compared in the column's own type:
-    as doubles, large integers would fall together. One pass for the columns of a type."""
-    by_type: dict[str, list[tuple[int, str]]] = {}
-    for i, name in enumerate(named):
-        kind = clean.schema[name].dataType
-        by_type.setdefault(kind.simpleString(), []).append((i, name))
-    keys, parts = [column(c) for c in on[:-1]], []
-    for found in by_type.values():
-        cells = F.array(*[F.struct(F.lit(i).alias("_id"), column(n).alias("_v")) for i, n in found])
-        counts = (
-            clean.select(*keys, F.inline(cells))
-            .where(F.col("_v").isNotNull())
-            .groupBy(*keys, "_id", "_v")
-            .agg(F.count(F.lit(1)).alias("_n"))
-        )
-        # Of equal counts the smallest value: the first by (-count, value).
-        best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_v").alias("v")))["v"]
-        parts.append(counts.groupBy(*keys, "_id").agg(best.cast("double").alias("mode")))
-    return reduce(DataFrame.unionByName, parts)
+    as doubles, large integers would fall together. One scan for columns of all types."""
+    keys = [column(c) for c in on[:-1]]
+    held = clean.select(*[column(n) for n in named], F.struct(*keys).alias("_keys")) if keys else clean
+    kinds = [clean.schema[n].dataType.simpleString() for n in named]
+    rows, slots = in_slots(held, [column(n) for n in named], kinds, *(["_keys"] if keys else []))
+    if keys:
+        rows = rows.select(F.col("_keys.*"), "_id", *slots)
+    known = reduce(Column.__or__, [F.col(s).isNotNull() for s in slots])
+    counts = rows.where(known).groupBy(*keys, "_id", *slots).agg(F.count(F.lit(1)).alias("_n"))
+    # Of equal counts the smallest value: the first by (-count, value).
+    best = F.min(F.struct((-F.col("_n")).alias("n"), *slots))
+    mode = F.coalesce(*[best[s].cast("double") for s in slots])
+    return counts.groupBy(*keys, "_id").agg(mode.alias("mode"))
 
 
 def _positions(quantiles: dict[str, float]) -> dict[str, Column]:

@@ -60,13 +60,15 @@ def collect_report(
     key: Sequence[str] | None = None,
     limit: int | None = None,
     raw_rows: int = RAW_ROWS,
+    shared: Shared | None = None,
 ) -> tuple[dict[str, dict[str, DataFrame]], list[str]]:
     """The report's tables by section and name, and the titles of the sections.
 
     ``limit`` cuts the relationships listed, ``raw_rows`` the raw sample; totals and
-    findings are about everything found.
+    findings are about everything found. A caller who gives ``shared`` can release what
+    is cached when the tables are written.
     """
-    shared = Shared(df)
+    shared = shared or Shared(df)
     found = discover_schema(df, key=key, shared=shared)
     sections = {"schema": {k: t for k, t in found._asdict().items() if t is not None}}
     titles = ["Columns"]
@@ -111,6 +113,7 @@ def markdown_lines(
     name: str,
     report_type: str = "comprehensive",
     generated_at: str | None = None,
+    shared: Shared | None = None,
 ) -> DataFrame:
     """The report as text: rows (line_no, line).
 
@@ -118,7 +121,7 @@ def markdown_lines(
     place costs nothing.
     """
     spark = df.sparkSession
-    shared = Shared(df)
+    shared = shared or Shared(df)
     found = discover_schema(df, shared=shared)
     analysis = analyze(df, report_type, shared=shared)
     generated_at = generated_at or datetime.now().strftime("%Y-%m-%d %H:%M:%S")
@@ -236,21 +239,25 @@ def generate_report(
     started = time.time()
     stamp = datetime.now().strftime("%Y%m%d_%H%M%S")
     path = path or f"{folder.rstrip('/')}/report_{name}_{stamp}.{output_format}"
-    if output_format == "markdown":
-        sections, titles = {}, ["Columns", "Analysis"]
-        if report_type == "comprehensive":
-            titles.append("Relationships")
-        lines = markdown_lines(df, name, report_type)
-        # A report has as many lines as columns and findings: one ordered file.
-        lines.coalesce(1).sortWithinPartitions("line_no").select("line").write.text(path)
-    else:
-        sections, titles = collect_report(df, report_type, include_charts, raw_order)
-        about = metadata(df, name, stamp, report_type, titles, len(sections.get("charts", {})))
-        about.coalesce(1).write.format(output_format).save(f"{path}/metadata")
-        report_facts(sections).write.format(output_format).save(f"{path}/facts")
-        if raw_order:
-            raw = sections["raw"]["raw_sample"]
-            raw.coalesce(1).write.format(output_format).save(f"{path}/raw_sample")
+    shared = Shared(df)
+    try:
+        if output_format == "markdown":
+            sections, titles = {}, ["Columns", "Analysis"]
+            if report_type == "comprehensive":
+                titles.append("Relationships")
+            lines = markdown_lines(df, name, report_type, shared=shared)
+            # A report has as many lines as columns and findings: one ordered file.
+            lines.coalesce(1).sortWithinPartitions("line_no").select("line").write.text(path)
+        else:
+            sections, titles = collect_report(df, report_type, include_charts, raw_order, shared=shared)
+            about = metadata(df, name, stamp, report_type, titles, len(sections.get("charts", {})))
+            about.coalesce(1).write.format(output_format).save(f"{path}/metadata")
+            report_facts(sections).write.format(output_format).save(f"{path}/facts")
+            if raw_order:
+                raw = sections["raw"]["raw_sample"]
+                raw.coalesce(1).write.format(output_format).save(f"{path}/raw_sample")
+    finally:
+        shared.release()
     info = file_info(df.sparkSession, path)
     size = info.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0]
     return ReportResult(

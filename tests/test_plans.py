@@ -89,6 +89,36 @@ def test_correlations_read_the_table_once(lineitem):
         assert len(re.findall(r"\(\d+\) Scan parquet", plan(relations.correlation_matrix(lineitem, columns)).partition("\n\n")[2])) == 1
 
 
+def test_columns_of_all_types_are_counted_in_one_scan(lineitem):
+    for table in (frequencies.distinct_counts(lineitem), column_stats(lineitem, ["l_tax", "l_partkey", "l_linenumber"], [], mode=True, base=describe.whole_moments(lineitem))):
+        scans = len(re.findall(r"\(\d+\) Scan parquet", plan(table).partition("\n\n")[2]))
+        assert scans == (2 if "mode" in table.columns else 1)  # the moments are another
+
+
+def test_findings_look_for_no_quantiles(spark, lineitem):
+    from sondage.plans import analysis
+    from sondage.plans.shared import Shared
+
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = store.jobsList(None).size()
+    analysis.warnings(lineitem), analysis.recommendations(lineitem)
+    assert store.jobsList(None).size() == before
+    shared = Shared(lineitem)
+    analysis.warnings(lineitem, shared), analysis.recommendations(lineitem, shared=shared)
+    assert "stats" not in shared.__dict__
+    shared.release()
+
+
+@pytest.mark.parametrize("kind", ["json", "markdown"])
+def test_reports_release_what_they_cached(spark, tmp_path, kind):
+    from sondage.plans.report import generate_report
+
+    spark.catalog.clearCache()
+    df = spark.range(40).selectExpr("id", "id * 2.5 AS x", "CAST(id % 3 AS string) AS s")
+    generate_report(df, str(tmp_path), "cached", output_format=kind, include_charts=False)
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
 def test_a_session_without_folder_fails_clearly(spark, monkeypatch):
     from sondage import session
 
