@@ -143,6 +143,22 @@ def base_moments(f, columns=None):
     )
 
 
+def chunk_profile(f):
+    always = "count(DISTINCT {c}) AS unique_values, true AS estimate_close"
+    some = "count(*) AS n_rows, count(*) - count({c}) AS n_missing"
+    numbers = ", ".join(
+        f"{rnd(e)} AS {n}" for n, e in [
+            ("mean", "avg({c})"), ("std", "stddev_samp({c})"), ("min", "min({c})"), ("max", "max({c})"),
+            ("skewness", SKEW), ("kurtosis", KURT)]
+    )
+    none = ", ".join(f"NULL::DOUBLE AS {n}" for n in ("mean", "std", "min", "max", "skewness", "kurtosis"))
+    others = [c for c in f.names if c not in f.numeric]
+    return union([
+        per_column(f, f.numeric, f"{some}, count({{c}}) AS n, {numbers}, {always}"),
+        per_column(f, others, f"{some}, 0::BIGINT AS n, {none}, {always}"),
+    ])
+
+
 def moments(f):
     return (
         f"SELECT column_name, n, {rnd('g1')} AS skewness, {rnd('g2')} AS kurtosis "
@@ -1068,6 +1084,7 @@ ORACLES = {
         nullif(c_mktsegment, 'BUILDING') AS c_mktsegment, c_name FROM customer""",
     "src_csv_chunks": CUSTOMER_BACK,
     "src_multi_file_union": CUSTOMER_BACK,
+    "profile_of_chunks": chunk_profile(LINEITEM),
     "src_json_roundtrip": CUSTOMER_BACK,
     "src_csv_wide_ids": """SELECT o_orderkey + 1234567890123456789 AS id,
         (o_orderkey::HUGEINT * 10000000000000000000 + 7)::VARCHAR AS wide FROM orders""",

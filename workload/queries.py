@@ -15,6 +15,7 @@ from sondage.operators import (
     relations,
     schema,
 )
+from sondage.operators.frequencies import distinct_counts
 from sondage.plans import analysis, report
 from sondage.plans.analysis import as_facts
 from sondage.plans.relationships import find_relationships
@@ -22,6 +23,7 @@ from sondage.plans.schema_discovery import discover_schema
 from sondage.session import new_path
 from sondage.sources import delimited, files, sql
 from sondage.streaming.chunks import read_csv_in_chunks
+from sondage.streaming.profile import profile_in_chunks
 
 DOCUMENTS_DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -754,6 +756,22 @@ def src_csv_chunks(spark, folder):
     return read_csv_in_chunks(spark, source, CUSTOMER_DDL, target, files_per_chunk=2)
 
 
+@query
+def profile_of_chunks(spark, folder):
+    """Moments merged from the states of a stream's chunks, and whether the estimates of
+    distinct values are within 4 % of the true counts."""
+    lineitem = table(spark, folder, "lineitem")
+    source, state = new_path(spark, "lineitem"), new_path(spark, "profile")
+    lineitem.repartition(6, "l_orderkey").write.parquet(source)
+    merged = profile_in_chunks(spark, source, lineitem.schema, state, files_per_chunk=2)
+    close = F.abs(F.col("approx_distinct") - F.col("unique_values")) <= 0.04 * F.col("unique_values")
+    found = merged.join(distinct_counts(lineitem), "column_name").select(
+        "column_name", "n_rows", "n_missing", "n", "mean", "std", "min", "max", "skewness", "kurtosis",
+        "unique_values", close.alias("estimate_close"),
+    )
+    return to_digits(found)
+
+
 @query
 def src_multi_file_union(spark, folder):
     paths = []
