@@ -32,7 +32,7 @@ def group_stats(df: DataFrame, key: str, columns: Sequence[str] | None = None) -
     """
     columns = list(columns or numeric_columns(df))
     if not columns:
-        raise ValueError("No numeric columns for grouped analysis")
+        raise ValueError("Groups are described by numbers, and the table has none")
     found = column_stats(df, columns, ["mean", "std", "min", "max"], {"median": 0.5}, keys=[key])
     return found.select(
         column(key).alias("group_value"),

@@ -493,10 +493,6 @@ def _relationship(
     )
 
 
-def _capitalised(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.expr("substring(relationship_type, 2)"))
-
-
 def relationships(
     df: DataFrame,
     threshold: float | None = None,
@@ -526,8 +522,7 @@ def all_relationships(
         r = rounded(F.col("r"), 4)
         kind = F.col("relationship_type")
         text = F.format_string(
-            "%s correlation (%.2f) between %s and %s",
-            _capitalised(kind), F.abs("r"), "column1", "column2",
+            "%s and %s: %s, |r| = %.2f", "column1", "column2", kind, F.abs("r")
         )
         parts.append(
             _relationship(
@@ -543,7 +538,7 @@ def all_relationships(
         found = categorical_relations(df)
         v = rounded(F.col("cramers_v"), 4)
         text = F.format_string(
-            "Association between %s and %s (Cramér's V: %.2f)", "column1", "column2", "cramers_v"
+            "%s and %s depend on each other, V = %.2f", "column1", "column2", "cramers_v"
         )
         parts.append(
             _relationship(
@@ -558,7 +553,7 @@ def all_relationships(
         found = mixed_relations(df)
         eta = rounded(F.col("eta_squared"), 4)
         text = F.format_string(
-            "%s influences %s (η²: %.2f)", "column2", "column1", "eta_squared"
+            "%s varies with %s, η² = %.2f", "column1", "column2", "eta_squared"
         )
         parts.append(
             _relationship(

@@ -59,21 +59,27 @@ def load_result(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return reader.json(path)
 
 
-def file_info(spark: SparkSession, path: str) -> DataFrame:
+def file_info(spark: SparkSession, path: str, rows: DataFrame | None = None) -> DataFrame:
     """Rows (name, path, size_bytes, size_mb, extension, modified), one per file.
 
-    Only the file listing is read: the content column is pruned away.
+    Only the file listing is read: the content column is pruned away. With ``rows``, a
+    table read from these files, n_rows says how many of its rows each file holds.
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .select("path", "length", "modificationTime")
+        .select("path", "length", "modificationTime", F.col("_metadata.file_path").alias("_file"))
     )
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(
+    found = files.select(
         name.alias("name"),
         F.col("path"),
         F.col("length").alias("size_bytes"),
         F.round(F.col("length") / 1048576.0, 2).alias("size_mb"),
         F.regexp_extract(name, r"(\.[^.]+)$", 1).alias("extension"),
         F.col("modificationTime").alias("modified"),
+        "_file",
     )
+    if rows is None:
+        return found.drop("_file")
+    held = rows.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return found.join(held, "_file", "left").drop("_file").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))

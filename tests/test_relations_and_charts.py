@@ -41,7 +41,7 @@ def test_relationships_are_ranked_and_cut(mixed):
     top = rows[0]
     assert {top["column1"], top["column2"]} == {"x", "y"}
     assert top["relationship_type"] == "negative_very_strong" and top["p_value"] == 0.0
-    assert top["description"].startswith("Negative_very_strong correlation (1.00) between x and y")
+    assert top["description"].startswith("x and y: negative_very_strong, |r| = 1.00")
     kinds = {r["relationship_type"] for r in rows}
     assert {"categorical_association", "numeric_categorical"} <= kinds
     assert not any("one" in (r["column1"], r["column2"]) for r in rows)

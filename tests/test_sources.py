@@ -128,6 +128,14 @@ def test_file_info(spark, tmp_path):
     )
 
 
+def test_rows_of_files(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"a {i}%.csv").write_text("x\n" + "1\n" * i)
+    rows = spark.read.option("header", "true").csv(str(tmp_path))
+    found = files.file_info(spark, str(tmp_path), rows=rows)
+    assert {r["name"]: r["n_rows"] for r in found.collect()} == {"a 0%.csv": 0, "a 1%.csv": 1, "a 2%.csv": 2}
+
+
 def test_chunks_arrive_once(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

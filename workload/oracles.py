@@ -516,24 +516,23 @@ def relationships(f, threshold=0.7):
 
     parts = []
     if len(f.numeric) > 1:
-        name = f"(upper({LABEL}[1]) || {LABEL}[2:])"
         parts.append(kind(
             0, numeric_p(f), f"abs(r) >= {threshold}", LABEL, rnd("r"),
-            f"printf('%s correlation (%.2f) between %s and %s', {name}, abs(r), column1, column2)",
+            f"printf('%s and %s: %s, |r| = %.2f', column1, column2, {LABEL}, abs(r))",
             correlation=rnd("r"), p_value=rnd("p", 6),
             significance="CASE WHEN p < 0.05 THEN 'significant' ELSE 'not significant' END"))
     if len(f.text) > 1:
         parts.append(kind(
             1, f"SELECT *, {CHI_P} AS p FROM ({chi(f)}) WHERE v >= 0.3", "p < 0.05",
             "'categorical_association'", rnd("v"),
-            "printf('Association between %s and %s (Cramér''s V: %.2f)', column1, column2, v)",
+            "printf('%s and %s depend on each other, V = %.2f', column1, column2, v)",
             cramers_v=rnd("v"), chi_square=rnd("chi"), degrees_of_freedom="dof",
             p_value=rnd("p", 6)))
     if f.numeric and f.text:
         parts.append(kind(
             2, f"SELECT *, {ANOVA_P} AS p FROM ({variance(f)}) WHERE eta >= 0.06", "p < 0.05",
             "'numeric_categorical'", rnd("eta"),
-            "printf('%s influences %s (η²: %.2f)', column2, column1, eta)",
+            "printf('%s varies with %s, η² = %.2f', column1, column2, eta)",
             eta_squared=rnd("eta"), f_statistic=rnd("fstat"), p_value=rnd("p", 6)))
     return f"SELECT * FROM ({union(parts)}) ORDER BY abs(strength) DESC, kind_order, i, j"
 
@@ -1084,6 +1083,8 @@ ORACLES = {
         nullif(c_mktsegment, 'BUILDING') AS c_mktsegment, c_name FROM customer""",
     "src_csv_chunks": CUSTOMER_BACK,
     "src_multi_file_union": CUSTOMER_BACK,
+    "src_file_info": """SELECT l_returnflag AS flag, '.parquet' AS extension, count(*) AS n_rows, true AS has_bytes
+        FROM lineitem GROUP BY l_returnflag""",
     "profile_of_chunks": chunk_profile(LINEITEM),
     "src_json_roundtrip": CUSTOMER_BACK,
     "src_csv_wide_ids": """SELECT o_orderkey + 1234567890123456789 AS id,

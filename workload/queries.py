@@ -899,9 +899,15 @@ def src_arrow_empty(spark, folder):
 
 @query
 def src_file_info(spark, folder):
-    """Facts about the files of a table of many rows, beside the table's own count."""
-    rows = table(spark, folder, "lineitem").agg(F.count(F.lit(1)).alias("n_rows")).scalar()
-    return files.file_info(spark, folder).withColumn("lineitem_rows", rows)
+    """Facts about the files of a table, with the rows that each holds."""
+    path = new_path(spark, "lineitem")
+    lineitem = table(spark, folder, "lineitem")
+    lineitem.repartition("l_returnflag").write.partitionBy("l_returnflag").parquet(path)
+    info = files.file_info(spark, path, rows=spark.read.parquet(path))
+    flag = F.regexp_extract("path", "l_returnflag=([^/]+)/", 1)
+    return info.groupBy(flag.alias("flag"), "extension").agg(
+        F.sum("n_rows").alias("n_rows"), F.bool_and(F.col("size_bytes") > 0).alias("has_bytes")
+    )
 
 
 @query
