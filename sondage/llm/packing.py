@@ -23,6 +23,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -124,14 +125,27 @@ def _words(path: str) -> _Words:
     return _Words(path)
 
 
-def word_ids(path: str, texts: list[bytes]) -> Iterator[bytes]:
+def word_ids(path: str, texts: pa.Array) -> Iterator[bytes]:
     """Ids of each text as little-endian 32-bit numbers, for a tokenizer that drops white
-    space and so treats every word by itself."""
+    space and so treats every word by itself. Only the different words of a batch are looked
+    up; the texts are then gathered from their ids as arrays."""
     words = _words(path)
-    split = [t.split() for t in texts]
-    words.learn(set().union(*split))
-    for one in split:
-        yield b"".join(map(words.known.__getitem__, one))
+    split = pc.ascii_split_whitespace(texts)
+    ends = split.offsets.to_numpy()
+    different = split.flatten().dictionary_encode()
+    kinds = different.dictionary.cast(pa.binary()).to_pylist()
+    words.learn(set(kinds))
+    held = [words.known[w] for w in kinds]
+    pool = np.frombuffer(b"".join(held), "<u4")
+    sizes = np.array([len(x) // 4 for x in held], np.int64)
+    codes = different.indices.to_numpy()
+    upto = np.concatenate([[0], np.cumsum(sizes[codes])])
+    first = np.cumsum(sizes) - sizes
+    places = np.repeat(first[codes] - upto[:-1], sizes[codes]) + np.arange(upto[-1])
+    ids = pool[places].tobytes()
+    edges = (4 * upto[ends - ends[0]]).tolist()
+    for start, end in zip(edges, edges[1:], strict=False):
+        yield ids[start:end]
 
 
 def pieces_of(
@@ -154,7 +168,7 @@ def pieces_of(
         for batch in batches:
             for at in range(0, batch.num_rows, texts_at_once):
                 part = batch.slice(at, texts_at_once)
-                texts = part.column("text").fill_null("").cast(pa.large_binary()).to_pylist()
+                texts = part.column("text").fill_null("").cast(pa.string())
                 owner, rows = [], []
                 for i, ids in enumerate(word_ids(path, texts)):
                     ids += end
