@@ -9,12 +9,14 @@ its other cells, and so on. If cells remain, the two are compared again with fou
 as many cells, until all differences are recovered. The likeness of two sketches with a
 and b paragraphs that differ in d is 1 - d / (a + b).
 
-Paragraphs end at line breaks and after every sentence. Where a stretch is still long, they
-end between two words whose touching letters have certain codes, in scripts without spaces
-between two letters; after every word where none is chosen for long (one word over and over)
-and in a text of less than ``SHORT`` characters. Such a cut depends on the text around it
-alone, so that an edit moves no cut far away. What has no cut even so is cut into lengths of
-``LONGEST``. The n-th repetition of a paragraph in a text has a digest of its own.
+Paragraphs end at line breaks and after every sentence. A piece that is still long is cut
+between two words whose touching letters have certain codes; where that leaves a long piece,
+after words that end in such a letter, then after every word, then between two such letters.
+Texts of less than ``SHORT`` characters are cut after every word and, in scripts without
+spaces, every letter. Such cuts depend on the piece alone, so that an edit moves no cut far
+away. What has no cut even so is cut into lengths of ``LONGEST``. Each step is one pass
+of an expression without back-tracking. The n-th repetition of a paragraph in a text has
+a digest of its own.
 
 Everything is SQL. A text and what it is compared with are brought together by one shuffle
 of the texts and one of the parts that the comparison needs; cells are rows, which are
@@ -46,32 +48,24 @@ def _every(first: int, last: int, width: int) -> str:
     return "".join(f"{chr(c)}-{chr(c + width - 1)}" for c in range(first, last, 4 * width))
 
 
-def _cut() -> str:
-    """Where paragraphs end, as an expression that Java and Python read alike. What is
-    looked at first is what fails most often."""
-    ends, closing = ".!?\u2026\u0589\u061f\u06d4\u0964\u0965\u1362", "\"')\\]\u00bb\u2019\u201d"
-    unspaced = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]"
-    # A quarter of the characters, by two bits of their codes.
-    chosen = "(?:[#$'(+,/048<?@DHLPTX`dhlptx|]|(?=[^\\x00-\\x7f])(?:" + "|".join(
+def _chosen() -> str:
+    """A quarter of the characters, by two bits of their codes."""
+    return "(?:[#$'(+,/048<?@DHLPTX`dhlptx|]|(?=[^\\x00-\\x7f])(?:" + "|".join(
         f"(?=[{chr(a)}-{chr(b - 1)}])[{_every(a, b, width)}]"
         for a, b, width in [
             (0x80, 0x800, 4), (0x800, 0x1800, 4), (0x1800, 0x3000, 64), (0x3000, 0x3100, 4), (0x3100, 0xD800, 64),
             (0xE000, 0x10000, 64), (0x10000, 0x20000, 256), (0x20000, 0x32400, 256),
         ]
     ) + "))"
-    short = f"(?<![\\s\\S]{{{SHORT}}})(?![\\s\\S]{{{SHORT}}})"
-    sentence, hashed = f"[{ends}][{closing}]? ", f"{chosen} {chosen}"
-    far = f"(?<=(?:(?!{sentence})[^\n]){{60}} )"
-    # Nothing was chosen for long: after every word.
-    plain = f"(?<=[^\n.!?]{{120}} )(?<=(?:(?!{hashed})[^\n]){{120}} )"
-    return (
-        f"\n| (?:(?<=[{ends}] )|(?<=[{ends}][{closing}] )|(?={chosen})(?<={chosen} ){far}|{plain}|{short})"
-        f"|(?<=[\u3002\uff01\uff1f])(?=[^\n])|(?={unspaced})(?<={unspaced}){short}"
-        f"|(?={chosen})(?<={chosen}{chosen})(?<=[^ \n]{{40}})"
-    )
 
 
-CUT = _cut()
+# Expressions that Java and Python read alike; a paragraph ends after each match.
+CHOSEN = _chosen()
+UNSPACED = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]"
+SENTENCE = "[.!?\u2026\u0589\u061f\u06d4\u0964\u0965\u1362][\"')\\]\u00bb\u2019\u201d]? |[\u3002\uff01\uff1f](?!\n)"
+WORD = f" |{UNSPACED}(?={UNSPACED})"
+# Pieces of more characters are cut by the expression, in turn.
+LEVELS = ((100, f"{CHOSEN} (?={CHOSEN})"), (160, f"{CHOSEN} "), (200, " "), (200, f"{CHOSEN}(?={CHOSEN})"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -79,17 +73,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def paragraphs(text: Column) -> Column:
-    def shortened(parts: Column) -> Column:
-        def lengths(p: Column) -> Column:
-            starts = F.sequence(F.lit(1), F.char_length(p), F.lit(LONGEST))
-            whole = F.char_length(p) <= LONGEST
-            return F.when(whole, F.array(p)).otherwise(F.transform(starts, lambda i: F.substr(p, i, F.lit(LONGEST))))
+def _after_each(text: Column, expression: str) -> Column:
+    return F.split(F.regexp_replace(text, expression, "$0\n"), "\n", -1)
+
+
+def _pieces(parts: Column, levels: tuple[tuple[int, str], ...]) -> Column:
+    """``parts`` with the long ones cut by the first of ``levels``, and so on."""
+
+    def cut(p: Column) -> Column:
+        if levels:
+            return _pieces(_after_each(p, levels[0][1]), levels[1:])
+        starts = F.sequence(F.lit(1), F.char_length(p), F.lit(LONGEST))
+        return F.transform(starts, lambda i: F.substr(p, i, F.lit(LONGEST)))
+
+    long = levels[0][0] if levels else LONGEST
+    each = lambda p: F.when(F.char_length(p) > long, cut(p)).otherwise(F.array(p))
+    return F.flatten(F.transform(parts, each))
 
-        long = F.exists(parts, lambda p: F.char_length(p) > LONGEST)
-        return F.when(long, F.flatten(F.transform(parts, lengths))).otherwise(parts)
 
-    return let(F.split(text, CUT, -1), shortened)
+def paragraphs(text: Column) -> Column:
+    short = F.char_length(text) < SHORT
+    return F.when(short, _after_each(text, WORD)).otherwise(_pieces(_after_each(text, SENTENCE), LEVELS))
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -172,6 +176,10 @@ def peeled(state: DataFrame, by: list[str], cells: int) -> DataFrame:
     )
 
 
+def _tasks(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _tagged(keys: Column, name: str, number: int, n: int) -> Column:
     return F.transform(keys, lambda k: F.struct(F.lit(number).alias(name), F.lit(n).alias("n"), k.alias("key")))
 
@@ -183,7 +191,7 @@ def compared(pairs: DataFrame, columns: dict[str, tuple[str, str]], cells: int =
     done, names = [], list(columns)
     rest = pairs
     while True:
-        rest = rest.repartition("own")
+        rest = rest.repartition(_tasks(rest), "own")
         signed = F.concat(*[
             _tagged(F.col(c), "pair", i, n)
             for i, name in enumerate(names) for c, n in zip(columns[name], (1, -1), strict=True)
@@ -222,7 +230,7 @@ def written(pairs: DataFrame, columns: dict[str, str], cells: int = CELLS) -> Da
     (name -> array) in writing: number, count, key and check of every cell in use, by number,
     in hex, with a colon between them and a comma between cells. Numbers have any width."""
     names = list(columns)
-    pairs = pairs.repartition("own")
+    pairs = pairs.repartition(_tasks(pairs), "own")
     keys = F.concat(*[
         _tagged(F.col(columns[name]), "text", i, 1)
         for i, name in enumerate(names)
@@ -267,28 +275,30 @@ def edited_fingerprints(
     sizes = checkpointed(sizes.groupBy("key", "own", "n_chars").agg(F.count(F.lit(1)).alias("copies")))
     ordered = in_order(sizes).join(sizes, "own")
     # What each text gives to the one before it. Both joins read the texts by ``own``
-    # alone, so that one shuffle of them serves both.
-    texts = docs.select(own.alias("own"), text.alias("text"))
+    # alone, so that one shuffle of them serves both. The number of tasks is that of the
+    # session: adaptive execution would choose it by bytes, but the work is in the cuts.
+    texts = docs.select(own.alias("own"), text.alias("text")).repartition(_tasks(docs), "own")
     wanted = ordered.select(
         F.col("next").alias("own"), F.col("own").alias("before"), "key", "n_chars", "copies",
         F.floor(F.col("n_chars") / 4).alias("k"),
     )
     given = texts.join(wanted, "own").select(
-        F.col("before").alias("own"), "key", "n_chars", "copies", "k",
+        F.col("before").alias("own"), F.col("own").alias("next"), "key", "n_chars", "copies", "k",
         F.substr("text", F.lit(1), F.col("k").cast("int")).alias("beginning"),
-        paragraph_digests(F.col("text")).alias("next_keys"),
     ).dropDuplicates(["own"])
     head = F.substr("text", F.lit(1), (F.col("n_chars") - F.col("k")).cast("int"))
-    both = texts.join(given, "own").select(
-        "own", "key", "text", "n_chars", "copies", F.concat(head, "beginning").alias("edited"), "next_keys"
-    )
-    pairs = both.select(
-        "own", "key", "n_chars", "copies", F.sha2("edited", 256).alias("edited_sha256"),
+    both = texts.join(given, "own").dropDuplicates(["own"]).select(
+        "own", "next", "key", "text", "n_chars", "copies", F.concat(head, "beginning").alias("edited")
+    )
+    pairs = checkpointed(both.select(
+        "own", "next", "key", "n_chars", "copies", F.sha2("edited", 256).alias("edited_sha256"),
         paragraph_digests(F.col("text")).alias("keys"), paragraph_digests(F.col("edited")).alias("edited_keys"),
-        "next_keys",
-    ).dropDuplicates(["own"])
+    ))
+    # The digests of the next text are those it has as a text of its own.
+    after = pairs.select(F.col("own").alias("next"), F.col("keys").alias("next_keys"))
+    after = pairs.select("own", "next").join(after, "next").drop("next")
     near = {"near_edited": ("keys", "edited_keys"), "near_next": ("keys", "next_keys")}
-    found = compared(checkpointed(pairs), near, cells).drop("next_keys")
+    found = compared(pairs.drop("next").join(after, "own"), near, cells).drop("next_keys")
     found = written(found, {"fingerprint": "keys", "edited_fingerprint": "edited_keys"}, cells)
     found = found.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
     return found.select(

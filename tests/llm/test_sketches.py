@@ -11,13 +11,30 @@ from pyspark.sql import functions as F
 from sondage.llm import sketches
 from sondage.llm.queries import QUERIES
 
-CUT = re.compile(sketches.CUT)
+
+def after_each(text, expression):
+    return re.sub(expression, lambda m: m[0] + "\n", text).split("\n")
+
+
+def cut(text):
+    """The paragraphs of a text, one level after the other."""
+    if len(text) < sketches.SHORT:
+        return after_each(text, sketches.WORD)
+    parts = after_each(text, sketches.SENTENCE)
+    # Only what a level has cut goes on to the next.
+    done = []
+    for longest, expression in sketches.LEVELS:
+        done += [p for p in parts if len(p) <= longest]
+        parts = [q for p in parts if len(p) > longest for q in after_each(p, expression)]
+    for p in parts:
+        done += [p[i : i + sketches.LONGEST] for i in range(0, len(p), sketches.LONGEST)] or [""]
+    return done
 
 
 def paragraphs(text):
     """(paragraph, number of equal ones before it)."""
     seen, out = {}, set()
-    for p in CUT.split(text):
+    for p in cut(text):
         out.add((p, seen.get(p, 0)))
         seen[p] = seen.get(p, 0) + 1
     return out
