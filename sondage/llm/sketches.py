@@ -19,8 +19,9 @@ of an expression without back-tracking. The n-th repetition of a paragraph in a
 a digest of its own.
 
 Everything is SQL. A text and what it is compared with are brought together by one shuffle
-of the texts and one of the parts that the comparison needs; cells are rows, which are
-built, subtracted and peeled inside the partition of their document, without a shuffle.
+of the texts and one of the parts that the comparison needs; the digests are then written
+to the shared folder in buckets, so that cells, which are rows, are built, subtracted and
+peeled inside the bucket of their document, without a shuffle.
 
 Defined cases: a null text counts as empty, which is one empty paragraph; documents
 follow each other by id, nulls first, then by a digest of their text; rows that repeat id
@@ -28,12 +29,13 @@ and text are one document in this order and give equal rows; a single document f
 itself; an empty table gives an empty table; only the named columns are read.
 """
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sondage.session import checkpointed
+from sondage.session import checkpointed, new_path
 
 CELLS = 96
 GROWTH = 4
@@ -65,7 +67,7 @@ UNSPACED = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]"
 SENTENCE = "[.!?\u2026\u0589\u061f\u06d4\u0964\u0965\u1362][\"')\\]\u00bb\u2019\u201d]? |[\u3002\uff01\uff1f](?!\n)"
 WORD = f" |{UNSPACED}(?={UNSPACED})"
 # Pieces of more characters are cut by the expression, in turn.
-LEVELS = ((100, f"{CHOSEN} (?={CHOSEN})"), (160, f"{CHOSEN} "), (200, " "), (200, f"{CHOSEN}(?={CHOSEN})"))
+LEVELS = ((200, f"{CHOSEN} (?={CHOSEN})"), (200, f"{CHOSEN} "), (200, " "), (200, f"{CHOSEN}(?={CHOSEN})"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -184,14 +186,23 @@ def _tagged(keys: Column, name: str, number: int, n: int) -> Column:
     return F.transform(keys, lambda k: F.struct(F.lit(number).alias(name), F.lit(n).alias("n"), k.alias("key")))
 
 
+def in_buckets(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder, by ``own``: what is grouped or joined by it
+    later is not shuffled. Only the files stay, no name in the catalog."""
+    spark, name = rows.sparkSession, f"sketches_{uuid.uuid4().hex}"
+    to = rows.write.bucketBy(_tasks(rows), "own").format("parquet").option("path", new_path(spark, "sketches"))
+    to.saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
 def compared(pairs: DataFrame, columns: dict[str, tuple[str, str]], cells: int = CELLS) -> DataFrame:
-    """``pairs`` (own, unique, and arrays of digests) with the likeness of the arrays named
-    by ``columns`` (name -> left, right); larger sketches are tried for what the smaller
-    ones did not resolve. All cells of a document stay in its partition."""
-    done, names = [], list(columns)
-    rest = pairs
+    """(own, likeness...) of ``pairs`` (own, unique, and arrays of digests; from
+    ``in_buckets``): how alike the arrays named by ``columns`` (name -> left, right) are;
+    larger sketches are tried for what the smaller ones did not resolve."""
+    out, rest, names = None, pairs, list(columns)
     while True:
-        rest = rest.repartition(_tasks(rest), "own")
         signed = F.concat(*[
             _tagged(F.col(c), "pair", i, n)
             for i, name in enumerate(names) for c, n in zip(columns[name], (1, -1), strict=True)
@@ -200,37 +211,35 @@ def compared(pairs: DataFrame, columns: dict[str, tuple[str, str]], cells: int =
         by = ["own", "pair"]
         found = peeled(sketches(keys, by, cells), by, cells)
         differing, left = (
-            [F.max(F.when(F.col("pair") == i, F.col(c))).alias(f"_{c}{i}") for i in range(len(names))]
+            [F.max(F.when(F.col("pair") == i, F.col(c))).alias(f"{c}{i}") for i in range(len(names))]
             for c in ("differing", "left")
         )
         found = found.groupBy("own").agg(*differing, *left)
-        tried = rest.join(found, "own", "left")
-        for i, name in enumerate(names):
-            total = sum((F.size(c) for c in columns[name]), F.lit(0))
-            likeness = 1 - F.coalesce(f"_differing{i}", F.lit(0)) / total
-            resolved = F.coalesce(f"_left{i}", F.lit(0)) == 0
-            tried = tried.withColumn(name, F.when(resolved, likeness))
-        tried = checkpointed(tried.drop(*[f"_{c}{i}" for c in ("differing", "left") for i in range(len(names))]))
+        totals = [sum((F.size(c) for c in columns[name]), F.lit(0)).alias(f"total{i}") for i, name in enumerate(names)]
+        likeness = [
+            F.when(
+                F.coalesce(f"left{i}", F.lit(0)) == 0, 1 - F.coalesce(f"differing{i}", F.lit(0)) / F.col(f"total{i}")
+            ).alias(name)
+            for i, name in enumerate(names)
+        ]
+        tried = checkpointed(rest.select("own", *totals).join(found, "own", "left").select("own", *likeness))
         failed = F.lit(False)
         for name in names:
             failed |= F.col(name).isNull()
-        done.append(tried.where(~failed))
-        rest = tried.where(failed).drop(*names)
-        if rest.isEmpty():
-            break
+        done = tried.where(~failed)
+        out = done if out is None else out.unionByName(done)
+        again = tried.where(failed).select("own")
+        if again.isEmpty():
+            return out
+        rest = pairs.join(again, "own", "left_semi")
         cells *= GROWTH
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
 
 
 def written(pairs: DataFrame, columns: dict[str, str], cells: int = CELLS) -> DataFrame:
-    """``pairs`` (own, unique) with the sketches of the digest arrays named by ``columns``
+    """``pairs`` (own, unique; from ``in_buckets``) with the sketches of the digest arrays named by ``columns``
     (name -> array) in writing: number, count, key and check of every cell in use, by number,
     in hex, with a colon between them and a comma between cells. Numbers have any width."""
     names = list(columns)
-    pairs = pairs.repartition(_tasks(pairs), "own")
     keys = F.concat(*[
         _tagged(F.col(columns[name]), "text", i, 1)
         for i, name in enumerate(names)
@@ -277,28 +286,26 @@ def edited_fingerprints(
     # What each text gives to the one before it. Both joins read the texts by ``own``
     # alone, so that one shuffle of them serves both. The number of tasks is that of the
     # session: adaptive execution would choose it by bytes, but the work is in the cuts.
-    texts = docs.select(own.alias("own"), text.alias("text")).repartition(_tasks(docs), "own")
+    texts = docs.select(own.alias("own"), text.alias("text"), paragraph_digests(text).alias("keys"))
+    texts = texts.repartition(_tasks(docs), "own")
     wanted = ordered.select(
         F.col("next").alias("own"), F.col("own").alias("before"), "key", "n_chars", "copies",
         F.floor(F.col("n_chars") / 4).alias("k"),
     )
     given = texts.join(wanted, "own").select(
-        F.col("before").alias("own"), F.col("own").alias("next"), "key", "n_chars", "copies", "k",
-        F.substr("text", F.lit(1), F.col("k").cast("int")).alias("beginning"),
+        F.col("before").alias("own"), "key", "n_chars", "copies", "k",
+        F.substr("text", F.lit(1), F.col("k").cast("int")).alias("beginning"), F.col("keys").alias("next_keys"),
     ).dropDuplicates(["own"])
     head = F.substr("text", F.lit(1), (F.col("n_chars") - F.col("k")).cast("int"))
     both = texts.join(given, "own").dropDuplicates(["own"]).select(
-        "own", "next", "key", "text", "n_chars", "copies", F.concat(head, "beginning").alias("edited")
+        "own", "key", "n_chars", "copies", "keys", "next_keys", F.concat(head, "beginning").alias("edited")
     )
-    pairs = checkpointed(both.select(
-        "own", "next", "key", "n_chars", "copies", F.sha2("edited", 256).alias("edited_sha256"),
-        paragraph_digests(F.col("text")).alias("keys"), paragraph_digests(F.col("edited")).alias("edited_keys"),
+    pairs = in_buckets(both.select(
+        "own", "key", "n_chars", "copies", F.sha2("edited", 256).alias("edited_sha256"), "keys", "next_keys",
+        paragraph_digests(F.col("edited")).alias("edited_keys"),
     ))
-    # The digests of the next text are those it has as a text of its own.
-    after = pairs.select(F.col("own").alias("next"), F.col("keys").alias("next_keys"))
-    after = pairs.select("own", "next").join(after, "next").drop("next")
     near = {"near_edited": ("keys", "edited_keys"), "near_next": ("keys", "next_keys")}
-    found = compared(pairs.drop("next").join(after, "own"), near, cells).drop("next_keys")
+    found = pairs.join(compared(pairs, near, cells), "own")
     found = written(found, {"fingerprint": "keys", "edited_fingerprint": "edited_keys"}, cells)
     found = found.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
     return found.select(

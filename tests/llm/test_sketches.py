@@ -163,3 +163,13 @@ def test_fingerprint_is_read_back(spark, cells):
         found = cells_of(row[name])
         assert found == wanted
         assert sum(n for n, _, _ in found.values()) == 3 * len(paragraphs(whole))
+
+
+def test_cells_stay_in_their_bucket(spark):
+    pairs = spark.range(20).select(F.col("id").cast("string").alias("own"), F.array("id").alias("keys"))
+    placed = sketches.in_buckets(pairs)
+    keys = placed.select("own", F.explode("keys").alias("key"), F.lit(1).alias("n"))
+    cells = sketches.sketches(keys, ["own"], 96)
+    assert cells.count() == 60
+    assert "Exchange" not in cells._jdf.queryExecution().executedPlan().toString()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("sketches_")]
