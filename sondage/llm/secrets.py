@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Rule:
     """``parts``: each a tuple of literal alternatives, or a string with an expression.
+    ``tail``: the group ends the match and is the span; what is before it only leads there.
     ``any_case``: the literals match in either case. ``least``: what a match needs to
     count, at least so many characters of ``group`` (0: the whole match). ``hint``: an
     expression that every text with a counting match matches, where that is quicker."""
@@ -38,6 +39,7 @@ class Rule:
     group: int = 0
     any_case: bool = False
     hint: str | None = None
+    tail: bool = False
 
     def expression(self) -> str:
         out = ""
@@ -80,7 +82,14 @@ RULES = (
     Rule("github", (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "[A-Za-z0-9]+"), 40),
     Rule("slack", (("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"), "[A-Za-z0-9-]+"), 20),
     Rule("google", (("AIza",), "[A-Za-z0-9_-]+"), 39),
-    Rule("jwt", (("eyJ",), "[A-Za-z0-9_-]+\\.", ("eyJ",), "[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+"), 30),
+    # From the first eyJ of a run of such characters: where that leads to no match, no
+    # later one of the run does, and each run is read once.
+    Rule(
+        "jwt",
+        ("(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(", ("eyJ",), "[A-Za-z0-9_-]++\\.", ("eyJ",),
+         "[A-Za-z0-9_-]++\\.[A-Za-z0-9_-]++)"),
+        30, 1, tail=True,
+    ),
     Rule(
         "private_key",
         (("-----BEGIN ",), "[A-Z ]*", ("PRIVATE KEY-----",)),
@@ -137,6 +146,8 @@ def matches(text: Column, rule: Rule, order: int) -> Column:
     def add(done: Column, part: Column) -> Column:
         start = done["at"] + F.char_length(part["before"])
         end = start + F.char_length(part["found"])
+        if rule.tail:
+            start = end - F.char_length(part["judged"])
         span = F.struct(
             start.alias("start"), F.lit(order).alias("order"), end.alias("end"),
             F.lit(rule.kind).alias("kind"),

@@ -1,7 +1,9 @@
 """Secret spans against Python's regular expressions over every text."""
 
 import hashlib
+import random
 import re
+import time
 
 from sondage.llm.queries import QUERIES
 from sondage.llm.secrets import RULES, Rule, candidates, secret_report, trigram_postings
@@ -15,6 +17,8 @@ BASE = {
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "hex": re.compile(r"[0-9a-f]+"),
 }
+# Tokens in one plain expression; the rule reads every run once.
+JWT = r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
 
 
 def plain(text):
@@ -31,8 +35,9 @@ def plain(text):
             spans.append((m.start(), 2, m.end(), "hex"))
     base = ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(spans))
     for rule in RULES[3:]:
-        for m in re.finditer(rule.expression(), text):
-            if len(m[rule.group]) >= rule.least:
+        jwt = rule.kind == "jwt"
+        for m in re.finditer(JWT if jwt else rule.expression(), text):
+            if len(m[0 if jwt else rule.group]) >= rule.least:
                 spans.append((m.start(), ORDER[rule.kind], m.end(), rule.kind))
     every = ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(spans))
     counts = [sum(s[3] == k for s in spans) for k in BASE]
@@ -81,3 +86,26 @@ def test_candidates_hold_every_match(spark, folder):
 
 def test_empty_table(spark):
     assert secret_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_tokens_of_three_parts_at_random(spark):
+    rng = random.Random(3)
+    pieces = ["eyJ", "eyJ", "a", "-_0Zz", ".", ".", " ", "eyJabcdefghijklm.eyJ", "x" * 25]
+    texts = [(i, "".join(rng.choices(pieces, k=rng.randint(1, 30)))) for i in range(1500)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = secret_report(df).collect()
+    check(rows, texts)
+    assert sum("jwt" in r["spans"] for r in rows) > 100
+
+
+def test_hostile_texts_of_a_megabyte(spark):
+    """Beginnings of matches over and over: each rule reads them in seconds."""
+    n = 1_000_000
+    beginnings = ["eyJ", "eyJa.", "eyJa.eyJ", "AKIA", "secret ", "token=\"", "ghp_", "xoxb-", "AIza", "-----BEGIN ", "PRIVATE KEY-----", "0f", "."]
+    texts = [(i, b * (n // len(b))) for i, b in enumerate(beginnings)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    begun = time.monotonic()
+    rows = {r["doc_id"]: r for r in secret_report(df).collect()}
+    assert time.monotonic() - begun < 60
+    assert len(rows) == len(texts) and rows[0]["spans"] == rows[9]["spans"] == ""
+    assert rows[11]["n_hex"] == 1 and rows[3]["n_access"] == 1
