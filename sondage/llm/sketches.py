@@ -128,9 +128,14 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key)
 
 
-def _cell(key: Column, table: int, size: int) -> Column:
-    place = F.pmod(F.xxhash64(key, F.lit(table)), F.lit(size).cast("long"))
-    return (place + table * size).cast("int")
+def _size(cells: int | Column) -> Column:
+    """Cells of one table; ``cells`` are those of all tables, or a column with them."""
+    return (cells if isinstance(cells, Column) else F.lit(cells)).cast("long") / TABLES
+
+
+def _cell(key: Column, table: int, size: Column) -> Column:
+    size = F.floor(size)
+    return (F.pmod(F.xxhash64(key, F.lit(table)), size) + table * size).cast("int")
 
 
 def _held(cell: Column, n: Column, key: Column, check: Column) -> Column:
@@ -146,27 +151,27 @@ def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
     return cells.where("n <> 0 OR key <> 0 OR check <> 0")
 
 
-def sketches(keys: DataFrame, by: list[str], cells: int) -> DataFrame:
+def sketches(keys: DataFrame, by: list[str], cells: int | Column) -> DataFrame:
     """(by..., cell, n, key, check): the sketches of digests (by..., key, n), where n is 1
     for one version and -1 for the version to subtract."""
-    size = cells // TABLES
+    size = _size(cells)
     key, n = F.col("key"), F.col("n")
     held = F.array(*[_held(_cell(key, t, size), n, key, _check(key)) for t in range(TABLES)])
     return _summed(keys.select(*by, F.explode(held).alias("c")).select(*by, "c.*"), by)
 
 
-def peeled(state: DataFrame, by: list[str], cells: int) -> DataFrame:
+def peeled(state: DataFrame, by: list[str], cells: int | Column) -> DataFrame:
     """(by..., differing, left): how many digests were recovered from a difference of
     sketches, and how many cells could not be resolved. What has no difference is absent.
 
     Each turn looks at one table, in which a digest has one cell: a cell that holds a
     single digest gives it, and it is taken from its cells in the other tables.
     """
-    size, count = cells // TABLES, -1
+    size, count = _size(cells), -1
     cell, n, key, check = (F.col(c) for c in ("cell", "n", "key", "check"))
     for turn in range(TABLES * ROUNDS):
         own = turn % TABLES
-        single = (F.floor(cell / size) == own) & (F.abs(n) == 1) & (check == _check(key))
+        single = (F.floor(cell / F.floor(size)) == own) & (F.abs(n) == 1) & (check == _check(key))
         nothing = F.lit(0).cast("long")
         taken = [_held(_cell(key, t, size), -n, key, check) for t in range(TABLES) if t != own]
         # Cell -1 counts what was recovered.
@@ -199,23 +204,27 @@ def in_buckets(rows: DataFrame) -> DataFrame:
 
 def compared(pairs: DataFrame, columns: dict[str, tuple[str, str]], cells: int = CELLS) -> DataFrame:
     """(own, likeness...) of ``pairs`` (own, unique, and arrays of digests; from
-    ``in_buckets``): how alike the arrays named by ``columns`` (name -> left, right) are;
-    larger sketches are tried for what the smaller ones did not resolve."""
-    out, rest, names = None, pairs, list(columns)
+    ``in_buckets``): how alike the arrays named by ``columns`` (name -> left, right) are.
+    Sketches have ``cells`` cells, or three for each digest if that is more; larger ones are
+    tried for what these did not resolve."""
+    out, rest, names, growth = None, pairs, list(columns), 1
     while True:
         signed = F.concat(*[
             _tagged(F.col(c), "pair", i, n)
             for i, name in enumerate(names) for c, n in zip(columns[name], (1, -1), strict=True)
         ])
-        keys = rest.select("own", F.explode(signed).alias("k")).select("own", "k.*")
-        by = ["own", "pair"]
-        found = peeled(sketches(keys, by, cells), by, cells)
+        totals = [sum((F.size(c) for c in columns[name]), F.lit(0)).alias(f"total{i}") for i, name in enumerate(names)]
+        # Room for all digests of both, since a text and the next differ in nearly all.
+        room = F.get(F.array(*[f"total{i}" for i in range(len(names))]), "pair") * (TABLES * growth)
+        keys = rest.select("own", *totals, F.explode(signed).alias("k"))
+        keys = keys.select("own", "k.*", F.greatest(F.lit(cells * growth), room).alias("cells"))
+        by = ["own", "pair", "cells"]
+        found = peeled(sketches(keys, by, F.col("cells")), by, F.col("cells"))
         differing, left = (
             [F.max(F.when(F.col("pair") == i, F.col(c))).alias(f"{c}{i}") for i in range(len(names))]
             for c in ("differing", "left")
         )
         found = found.groupBy("own").agg(*differing, *left)
-        totals = [sum((F.size(c) for c in columns[name]), F.lit(0)).alias(f"total{i}") for i, name in enumerate(names)]
         likeness = [
             F.when(
                 F.coalesce(f"left{i}", F.lit(0)) == 0, 1 - F.coalesce(f"differing{i}", F.lit(0)) / F.col(f"total{i}")
@@ -232,7 +241,7 @@ def compared(pairs: DataFrame, columns: dict[str, tuple[str, str]], cells: int =
         if again.isEmpty():
             return out
         rest = pairs.join(again, "own", "left_semi")
-        cells *= GROWTH
+        growth *= GROWTH
 
 
 def written(pairs: DataFrame, columns: dict[str, str], cells: int = CELLS) -> DataFrame:
