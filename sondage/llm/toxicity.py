@@ -11,7 +11,8 @@ mark labelled toxic documents, with a logistic curve fitted on the training rows
 
 The model is small whatever the corpus: 28^3 letter counts, and a lexicon of significant
 features from at most ``max_training`` labelled rows, those with the smallest hashes of
-their ids. Scoring is one pass of Arrow batches; nothing is shuffled.
+their ids. Scoring is one pass of Arrow batches; nothing is shuffled. It decodes the tokens
+that can have a feature of the lexicon, whatever path Viterbi takes (``Beginnings``).
 
 Defined cases: a null or empty text has no evidence and gets the curve's value at zero; of
 several labels of an id the largest counts, null labels and ids are left out; without
@@ -42,6 +43,9 @@ LOOKALIKES = {
     "*": "aeiou",
 }
 EDGE_MARKS = ".,;:!?|\"'()[]{}<>#%&*$+-_=/~`^\\"
+# Marks that stand for nothing at the edges of a word ($ may be its first letter).
+OUTER_MARKS = EDGE_MARKS.replace("$", "")
+RUNS = re.compile(r"(?:(.)\1*(?:(.)\2*(?:(.)\3*)?)?)?", re.DOTALL)
 LOG_SUBSTITUTED = math.log(0.05)
 LOG_DELETED = math.log(0.2)
 # How far below the likeliest path, in logs, a word among spaced letters may lie.
@@ -284,12 +288,42 @@ def features(word: str) -> list[str]:
     return [f"{word}$", *[word[:n] for n in PREFIXES if len(word) > n]]
 
 
+def beginning(word: str) -> str:
+    """The first three runs of a word, a letter each."""
+    start = word[:3]
+    if len(start) == 3 and start[0] != start[1] != start[2]:
+        return start
+    return "".join(x for x in RUNS.match(word).groups() if x)
+
+
+class Beginnings:
+    """Which words of letters alone may have a feature of a lexicon. The channel changes the
+    length of such a word's runs and nothing else, so the word, all that it may stand for and
+    their features have the same runs in the same order, as far as they go. Other tokens
+    (look-alikes, separators, digits) may always have one."""
+
+    def __init__(self, lexicon):
+        self.known = {beginning(f.rstrip("$")) for f in lexicon if f.rstrip("$")}
+        self.short = {x for x in self.known if len(x) < 3}
+
+    def may_matter(self, token: str) -> bool:
+        core = token.strip(OUTER_MARKS)
+        if not core.isalpha():
+            return True
+        start = beginning(core)
+        return start in self.known or any(start[:n] in self.short for n in (1, 2))
+
+
 class Reader:
-    """Restored words of texts; remembers what a word becomes, in bounded memory."""
+    """Restored words of texts; remembers what a word becomes, in bounded memory. With
+    ``lexicon``, words that can have none of its features are taken as ``use([])``
+    without being decoded."""
 
-    def __init__(self, letters: np.ndarray, use):
+    def __init__(self, letters: np.ndarray, use, lexicon=None):
         # Lists are read faster, one value at a time.
         self.letters, self.use, self.known = letters.tolist(), use, {}
+        self.may_matter = Beginnings(lexicon).may_matter if lexicon is not None else lambda token: True
+        self.nothing = use([])
 
     def __call__(self, text: bytes) -> list:
         text = text.lower()
@@ -298,7 +332,9 @@ class Reader:
         if len(self.known) + len(missing) > CACHE_WORDS:
             self.known, missing = {}, words
         for w in missing:
-            self.known[w] = self.use(readings(w.decode().lower(), self.letters))
+            token = w.decode().lower()
+            matters = self.may_matter(token)
+            self.known[w] = self.use(readings(token, self.letters)) if matters else self.nothing
         out = [x for w in words if (x := self.known[w])]
         for m in SPACED.finditer(text):
             run = [re.sub(r"[.\-_]+", "", w) for w in m[0].decode().split()]
@@ -355,7 +391,7 @@ def _reader(model: ToxicityModel) -> Reader:
     def best(words: list[str]) -> float:
         return max((weight(f, 0.0) for w in words for f in features(w)), default=0.0)
 
-    return Reader(model.letters, best)
+    return Reader(model.letters, best, model.lexicon)
 
 
 def _lexicon(counts: DataFrame, max_features: int) -> dict[str, float]:

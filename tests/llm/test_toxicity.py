@@ -111,3 +111,22 @@ def test_lost_disguises_are_found(spark, model):
     df = spark.createDataFrame([*enumerate(texts), (99, "the a b c d of well-known three"), (100, "e " * 20_000)], "doc_id long, text string")
     found = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(df, model).collect()}
     assert found == {**dict.fromkeys(range(len(texts)), 1), 99: 0, 100: 0}
+
+
+def test_no_word_left_undecoded_matters(spark, model):
+    """Every word of the table, and words with runs doubled at random, decoded and weighed."""
+    rng = np.random.default_rng(5)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    words = sorted({w for t in texts if t for w in t.lower().split()})[::3]
+    known = [f.rstrip("$") for f in model.lexicon]
+    words += ["".join(c * rng.integers(1, 4) for c in rng.choice(known) + rng.choice(["", "x", "eé", "!"])) for _ in range(20_000)]
+    matters, letters = toxicity.Beginnings(model.lexicon).may_matter, model.letters.tolist()
+    weighed = [any(f in model.lexicon for w in toxicity.readings(t, letters) for f in toxicity.features(w)) for t in words]
+    assert all(matters(t) for t, found in zip(words, weighed, strict=True) if found)
+    assert sum(weighed) > 5_000 and sum(map(matters, words[:-20_000])) < len(words[:-20_000]) // 2
+
+
+def test_beginnings_of_short_and_repeated_features():
+    matters = toxicity.Beginnings({"aaab": 1.0, "zz$": 1.0}).may_matter
+    assert all(map(matters, ["ab", "aabb", "z", "zzz", "(zz),", "$b", "x1", "q-q", ""]))
+    assert not any(map(matters, ["ba", "cab", "yz", "(yzz),"]))
