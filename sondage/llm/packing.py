@@ -16,6 +16,7 @@ Defined cases: a null text counts as empty and holds only the end token; repeate
 packed one by one; an empty table gives an empty table; only the named columns are read.
 """
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -28,14 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from sondage.llm.grouping import _bytes_by_letter
 from sondage.session import checkpointed
 
-# A Python worker remembers the ids of so many words, and of so many without the marks
-# behind them (some 200 bytes each), then starts afresh.
-CACHE_WORDS = 150_000
-CACHE_LETTERS = 400_000
-
-
 def cut(length: int, capacity: int, waste: float) -> list[int]:
     """The lengths of the pieces of a document, in order."""
     pieces, rest = [capacity] * (length // capacity), length % capacity
@@ -57,95 +53,104 @@ def _tokenizer(path: str) -> Any:
     return Tokenizer.from_file(path)
 
 
-# A word of letters and one of these behind it are split there by the tokenizer's pattern.
-MARKS = b".,;:!?"
-
-
-class _Words:
-    """Ids of the words met by a Python worker, as little-endian 32-bit numbers.
-
-    Letters and the marks behind them are encoded apart: each is one piece to the
-    tokenizer, whose last token carries the end of a word, so that many are encoded as one
-    text. A word that is not letters and marks is encoded by itself.
-    """
-
-    def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+# White space of Unicode, and what the tokenizers with ends of words take as one word.
+SPACE = r"\t-\r \x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
+WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^{SPACE}\pL\pN]+"
+# Characters for which lower case and composed form are the same in every library: Latin but
+# for I with a dot, Cyrillic, punctuation, kana, ideographs, Hangul. Texts with others, or
+# with what may be a special token, go to the tokenizer itself.
+OTHER = (
+    r"[^\x{01}-\x{12f}\x{131}-\x{24f}\x{400}-\x{481}\x{2000}-\x{203f}"
+    r"\x{3041}-\x{3093}\x{30a1}-\x{30f6}\x{4e00}-\x{9fa5}\x{ac00}-\x{d7a3}]|<\|"
+)
+# Longer ones go to the tokenizer itself, whose time does not grow with their square.
+LONGEST_WORD = 1_000
+# How a tokenizer with ends of words describes itself.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+
+
+class _WordRanks:
+    """A vocabulary numbered by its merges and with ends of words, encoded by ranks: the end
+    is written as a byte 0, which joins the last letter before anything else is joined."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        import tiktoken
+
+        letters, ranks = _bytes_by_letter(), {}
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
-            self.ends[i] = token.endswith("</w>")
-        self.known: dict[bytes, bytes] = {}
-        self.letters: dict[bytes, bytes] = {}
-        self.marks: dict[bytes, bytes] = {b"": b""}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _encode_letters(self, words: list[bytes]) -> None:
-        if not words:
-            return
-        joined = b" ".join(words).decode()
-        ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
-        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-        if len(ends) != len(words):  # a tokenizer without ends of words
-            self.letters.update(zip(words, self._encode(words), strict=True))
-            return
-        held, start = ids.tobytes(), 0
-        for word, end in zip(words, ends.tolist(), strict=True):
-            self.letters[word] = held[start:end]
-            start = end
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-            self.marks = {b"": b""}
-        if len(self.letters) + len(words) > CACHE_LETTERS:
-            self.letters.clear()
-        split, others = [], []
-        for word in words.difference(self.known):
-            core = word.rstrip(MARKS)
-            if core.isalpha():  # ASCII; the tokenizer ignores case
-                split.append((word, core.lower(), word[len(core) :]))
-            elif (text := core.decode()) and text.lower().isalpha():
-                split.append((word, core, word[len(core) :]))
-            else:
-                others.append(word)
-        self._encode_letters(list({core for _, core, _ in split}.difference(self.letters)))
-        marks = list({tail for *_, tail in split}.difference(self.marks))
-        self.marks.update(zip(marks, self._encode(marks), strict=True))
-        for word, core, tail in split:
-            self.known[word] = self.letters[core] + self.marks[tail]
-        self.known.update(zip(others, self._encode(others), strict=True))
+            core = token.removesuffix("</w>")
+            self.ends[i] = core != token
+            ranks[bytes(map(letters.__getitem__, core)) + b"\0" * (core != token)] = i
+        self.encoding: Any = tiktoken.Encoding(
+            "words", pat_str=r"[^\s\x00]+\x00", mergeable_ranks=ranks, special_tokens={}
+        )
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, edges) of all texts, of which text i has those from edges[i] to edges[i + 1].
+        Each different word is encoded once; texts are gathered from these as arrays."""
+        marked = pc.replace_substring_regex(pc.utf8_lower(texts), WORD, "\\0\0 ")
+        split = pc.ascii_split_whitespace(marked)
+        different = split.flatten().dictionary_encode()
+        words = different.dictionary
+        pool = self.encoding.encode_to_numpy(" ".join(words.to_pylist()), disallowed_special=()).astype("<u4", copy=False)
+        # White space beyond ASCII can stand alone there, and is no word.
+        sizes = np.zeros(len(words), np.int64)
+        counts = np.diff(np.flatnonzero(self.ends[pool]), prepend=-1)
+        sizes[pc.ends_with(words, "\0").to_numpy(zero_copy_only=False)] = counts
+        codes, ends = different.indices.to_numpy(), split.offsets.to_numpy()
+        upto = np.concatenate([[0], np.cumsum(sizes[codes])])
+        first = np.cumsum(sizes) - sizes
+        places = np.repeat(first[codes] - upto[:-1], sizes[codes]) + np.arange(upto[-1])
+        return pool[places], upto[ends - ends[0]]
 
 
 @cache
-def _words(path: str) -> _Words:
-    return _Words(path)
+def _word_ranks(path: str) -> _WordRanks | None:
+    """None if the file describes another kind of tokenizer."""
+    with open(path, encoding="utf-8") as file:
+        described = json.load(file)
+    model, normalizer = described["model"], described.get("normalizer") or {}
+    vocabulary = model.get("vocab")
+    if model["type"] != "BPE" or model.get("end_of_word_suffix") != "</w>":
+        return None
+    named = [n["type"] for n in normalizer.get("normalizers", [])]
+    before = described.get("pre_tokenizer") or {}
+    split = [p.get("pattern", {}).get("Regex") for p in before.get("pretokenizers", [])]
+    joined = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    by_number = sorted(vocabulary, key=vocabulary.__getitem__)
+    # 256 bytes, then these as ends of words, then what the merges make, in their order.
+    if named != NORMALIZERS or split != [SPLIT, None] or by_number[512:] != joined:
+        return None
+    return _WordRanks(vocabulary)
+
+
+def _apart(texts: pa.Array) -> np.ndarray:
+    """Which texts the tokenizer itself must encode."""
+    odd = pc.match_substring_regex(texts, OTHER).to_numpy(zero_copy_only=False).copy()
+    split = pc.ascii_split_whitespace(texts)
+    long = np.flatnonzero(pc.binary_length(split.flatten()).to_numpy() > LONGEST_WORD)
+    ends = split.offsets.to_numpy()
+    odd[np.searchsorted(ends - ends[0], long, "right") - 1] = True
+    return odd
 
 
 def word_ids(path: str, texts: pa.Array) -> Iterator[bytes]:
-    """Ids of each text as little-endian 32-bit numbers, for a tokenizer that drops white
-    space and so treats every word by itself. Only the different words of a batch are looked
-    up; the texts are then gathered from their ids as arrays."""
-    words = _words(path)
-    split = pc.ascii_split_whitespace(texts)
-    ends = split.offsets.to_numpy()
-    different = split.flatten().dictionary_encode()
-    kinds = different.dictionary.cast(pa.binary()).to_pylist()
-    words.learn(set(kinds))
-    held = [words.known[w] for w in kinds]
-    pool = np.frombuffer(b"".join(held), "<u4")
-    sizes = np.array([len(x) // 4 for x in held], np.int64)
-    codes = different.indices.to_numpy()
-    upto = np.concatenate([[0], np.cumsum(sizes[codes])])
-    first = np.cumsum(sizes) - sizes
-    places = np.repeat(first[codes] - upto[:-1], sizes[codes]) + np.arange(upto[-1])
-    ids = pool[places].tobytes()
-    edges = (4 * upto[ends - ends[0]]).tolist()
-    for start, end in zip(edges, edges[1:], strict=False):
-        yield ids[start:end]
+    """Ids of each text as little-endian 32-bit numbers, as the tokenizer gives them."""
+    ranks = _word_ranks(path)
+    apart = np.ones(len(texts), bool) if ranks is None else _apart(texts)
+    others = iter(())
+    if apart.any():
+        taken = texts.filter(pa.array(apart)).to_pylist()
+        found = _tokenizer(path).encode_batch_fast(taken, add_special_tokens=False)
+        others = (np.array(e.ids, "<u4").tobytes() for e in found)
+    if not apart.all():
+        ids, edges = ranks.ids(texts.filter(pa.array(~apart)))
+        held, edges = ids.tobytes(), (4 * edges).tolist()
+        own = (held[a:b] for a, b in zip(edges, edges[1:], strict=False))
+    for other in apart.tolist():
+        yield next(others) if other else next(own)
 
 
 def pieces_of(

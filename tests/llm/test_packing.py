@@ -5,10 +5,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from sondage.llm.packing import cut, harmonic_packing
+from sondage.llm.packing import LONGEST_WORD, _apart, _word_ranks, cut, harmonic_packing, word_ids
 from sondage.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -71,3 +72,28 @@ def test_other_capacities(spark, folder, capacity):
 
 def test_empty_table(spark):
     assert harmonic_packing(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_ids_of_random_texts():
+    """Letters, digits, marks and white space of all kinds, next to one another."""
+    rng = np.random.default_rng(7)
+    alphabet = [*map(chr, range(1, 0x250)), *map(chr, range(0x400, 0x530)), *map(chr, range(0x2000, 0x2070)),
+                *"Σςσΐẞǅʼ\u0301\u0345\u3000かがパ\u3099一龥가힣\u1100\uffff😀", "\0"]
+    plain = [*"abcdefghij ETAOIN '' .,!-  \n\t0123456789", "'s", "'LL ", "the ", "ing ", "'Re", "\u00a0", "\u2009", "é", "ß"]
+    texts = ["".join(rng.choice(plain if rng.random() < 0.7 else alphabet, rng.integers(0, 60))) for _ in range(20_000)]
+    texts += alphabet + [f"a{c}B{c} {c}" for c in alphabet] + ["x" * 2 * LONGEST_WORD, "<|endoftext|>a", "\u00a0", "", " "]
+    tokenizer, array = Tokenizer.from_file(PATH), pa.array(texts)
+    expected = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, word_ids(PATH, array), expected, strict=True) if a != b] == []
+    assert 2_000 < _apart(array).sum() < 18_000  # both ways are tried
+
+
+def test_long_words_and_other_tokenizers():
+    texts = ["ab" * 500_000 + " c", "a." * 500_000, "\u2009" * 100_000 + "x", "e " * 500_000]
+    tokenizer = Tokenizer.from_file(PATH)
+    expected = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [*word_ids(PATH, pa.array(texts))] == expected
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert _word_ranks(other) is None
+    ids = Tokenizer.from_file(other).encode("A small text", add_special_tokens=False).ids
+    assert [*word_ids(other, pa.array(["A small text"]))] == [np.array(ids, "<u4").tobytes()]
