@@ -1,8 +1,8 @@
 """Secret scans with a trigram index.
 
-A rule is a regular expression given as a sequence of parts: literals, alternatives of
-literals, or patterns. From it a Boolean trigram query is derived: an OR of alternatives,
-each the AND of all trigrams of its literals. The inverted index holds a posting
+A rule is a regular expression, written as a sequence of literals, alternatives of literals
+and patterns. From its parse tree a Boolean trigram query is derived (``trigrams``): an OR
+of alternatives, each the AND of its trigrams. The inverted index holds a posting
 (trigram, row) for every trigram that some query names, so its size follows the rules, not
 the alphabet. Postings of a rule's alternative are intersected by counting them per row,
 never by trigram, so a trigram that a third of all texts hold makes no large group; rows
@@ -19,11 +19,12 @@ empty table gives an empty table; only the named columns are read.
 """
 
 from dataclasses import dataclass
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sondage.llm.trigrams import trigram_query
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -53,9 +54,7 @@ class Rule:
 
     def query(self) -> list[list[str]]:
         """The alternatives of the trigram query: one holds if all its trigrams occur."""
-        literal = [p for p in self.parts if not isinstance(p, str)]
-        clauses = [sorted({t for x in chosen for t in trigrams(x)}) for chosen in product(*literal)]
-        return clauses if clauses and all(clauses) else []
+        return trigram_query(self.expression())
 
 
 def _escaped(c: str, any_case: bool) -> str:
@@ -64,11 +63,6 @@ def _escaped(c: str, any_case: bool) -> str:
     return c if c.isalnum() else f"\\x{ord(c):02x}"
 
 
-def trigrams(literal: str) -> set[str]:
-    low = literal.lower()
-    return {low[i : i + 3] for i in range(len(low) - 2)}
-
-
 # The three base kinds, then formats that issuers of keys have published.
 RULES = (
     Rule(

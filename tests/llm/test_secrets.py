@@ -6,7 +6,8 @@ import re
 import time
 
 from sondage.llm.queries import QUERIES
-from sondage.llm.secrets import RULES, Rule, candidates, secret_report, trigram_postings
+from sondage.llm.secrets import RULES, Rule, candidates, find_secrets, secret_report, trigram_postings
+from sondage.llm.trigrams import trigram_query, trigrams
 
 ORDER = {r.kind: i for i, r in enumerate(RULES)}
 BASE = {
@@ -70,7 +71,8 @@ def test_small_cases(spark):
 def test_trigram_queries():
     assert RULES[0].query()[2] == ["cre", "ecr", "ret", "sec"]
     assert RULES[2].query() == []
-    assert Rule("short", (("ab", "abcd"), "x+")).query() == []
+    assert Rule("short", (("ab", "abcd"), ".+")).query() == []
+    assert Rule("joint", (("ab", "abcd"), "x+")).query() == [["abx"], ["abc", "bcd", "cdx"]]
     assert Rule("two", (("abc",), ".*", ("xyz", "xyzw"))).query() == [["abc", "xyz"], ["abc", "xyz", "yzw"]]
 
 
@@ -109,3 +111,43 @@ def test_hostile_texts_of_a_megabyte(spark):
     assert time.monotonic() - begun < 60
     assert len(rows) == len(texts) and rows[0]["spans"] == rows[9]["spans"] == ""
     assert rows[11]["n_hex"] == 1 and rows[3]["n_access"] == 1
+
+
+# Expressions with the alternatives that must at least be found (None: a full scan).
+ODD = {
+    "abc": 1, "ab(c|d)e": 2, "(abc|bcd)+a": 2, "a(bc)?d": None, "(ab){2,3}c": 1, "[ab]cde": 2, "[^a]bcd": 1, "abc|b": None,
+    "(?i)ABcD": 1, "a.*bcd": 1, "(?:ab|ba)(?:cd|dc)": 4, "a++bcd": 1, "(?>abc|ab)cd": 2, "(?=abc)ab": None, "ab(?!c)da": 1,
+    "(?<!a)bcda?": 1, "^abc$|bcda": 2, "(a)\\1bcd": None, "(abc)*": None, "a{3}": 1, "a{2,}b": 1, "é?abc": 1, "[a-d]{3}": None,
+    "(?:a|ab)(?:c|bc)d": 3, "((abc)d?)+": 1, "ab?cd": 2, "(?s)abc": None, "[a&&[b]]cd": None, "[a[bc]]cda": None, "\\p{L}abc": None, "((": None,
+}
+
+
+def test_derived_queries_lose_no_match():
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("aaabbbcccddAe\né", k=rng.randint(1, 14))) for _ in range(20_000)]
+    for expression, least in ODD.items():
+        query = trigram_query(expression)
+        assert (len(query) >= least) if least else query == [], expression
+        if not query:
+            continue
+        found = [t for t in texts if re.search(expression, t)]
+        assert found, expression
+        for text in found:
+            assert any(trigrams(text).issuperset(clause) for clause in query), (expression, text)
+
+
+def test_many_alternatives():
+    names = tuple(f"key{i}_" for i in range(100))
+    assert len(Rule("many", (names, "[a-z]+")).query()) == 100
+
+
+def test_index_of_own_rules(spark):
+    """Rules that are patterns only, with and without mandatory trigrams."""
+    rules = (Rule("order", ("(?:ord|inv)-[0-9]{4}",)), Rule("digits", ("[0-9]{6}",)), Rule("name", ("(?i)MR?S [a-z]+",)))
+    assert [r.query() for r in rules[1:]] == [[], [["ms "], ["mrs", "rs "]]] and rules[0].query()
+    texts = [(1, "ORD-1234 ord-1234, inv-99 inv-9999"), (2, "123456 ms smith"), (3, "ord inv"), (4, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = {r["doc_id"]: r["found"] for r in find_secrets(df, rules=rules).collect()}
+    spans = {i: {k: [tuple(s[x] for x in ("start", "end")) for s in found[k]] for k in ("order", "digits", "name")} for i, found in rows.items()}
+    none = {"order": [], "digits": [], "name": []}
+    assert spans == {1: none | {"order": [(9, 17), (26, 34)]}, 2: none | {"digits": [(0, 6)], "name": [(7, 15)]}, 3: none, 4: none}
