@@ -49,6 +49,8 @@ def _fit(a: tuple, b: tuple) -> bool:
 
 
 def _both(a: tuple, b: tuple) -> tuple:
+    if a == b:
+        return a
     if not _fit(a, b):
         return max(a, b, key=lambda q: min(map(len, q)))
     return _once(tuple(sorted({*x, *y})) for x, y in product(a, b))
