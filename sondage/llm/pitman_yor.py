@@ -1,26 +1,34 @@
 """A hierarchical Pitman-Yor language model, trained and applied as Spark jobs.
 
 Restaurants: a root over all words, whose base is uniform over the known words and one
-more, and one restaurant per kind of preceding word (its ending, or the start of a text),
-all with the root as parent. A word's customers are its occurrences after that kind; each
-table of a restaurant is a customer of the parent. Seating is sampled by Gibbs sweeps: the
+more; below it one restaurant per kind of preceding word (its ending, or the start of a
+text); and below each kind one restaurant per preceding word, so that their number grows
+with the vocabulary. A word's customers are its occurrences after that word; each table of
+a restaurant is a customer of the parent. Seating is sampled by Gibbs sweeps: the
 customers of one word in one restaurant are taken out and seated again, given the parent's
 predictive probability and the restaurant's other tables. Within a step two arrangements
 are drawn customer by customer and one is chosen by its importance weight; after 64
 customers they are seated in growing groups, an eighth of those present at a time.
 
 Distribution: all restaurants' seats of one word lie in one bucket of words, so parent and
-child counts of a word meet locally. What buckets share is a table total per restaurant (a
-dozen numbers), refreshed after every sweep by a sum over all buckets. A sweep keeps no
-state: given the totals so far, a bucket replays it from its own random seed, so that
-lost executors change nothing.
+child counts of a word meet locally. The table total of a preceding word's restaurant is
+kept by the bucket of that preceding word, its owner: after a sweep the buckets send their
+tables to the owners, which answer with the totals. A single customer has one table
+whatever the totals, so only contexts with words seen twice or more are exchanged, as
+numbers in an order that both sides know. The totals of the root and the kinds (some
+numbers) go over the driver. A sweep keeps no state: given the totals so far, a bucket
+replays it from its own random seed, so that lost executors change nothing. Counts are
+written once, in buckets, to the shared folder, and are not shuffled again; these files
+stay there.
 
 Texts are scored in blocks: a block asks the buckets for its different (word, context)
-pairs and gets their probabilities, averaged over the sampled sweeps, and counts. Neither
-vocabulary nor counts are broadcast or collected. A frequent word is one pair per block
+pairs and gets the seats, the parents' probabilities, and the totals of its words as
+contexts, each as a mean over the sampled sweeps, with which probabilities still sum to
+one. Neither vocabulary nor counts are broadcast or collected. A frequent word is one pair per block
 and context, wherever it occurs.
 
-Words are known by 60 bits of a hash of their lower-case (A-Z) bytes.
+Words are known by 60 bits of a hash of their lower-case (A-Z) bytes, as contexts by 40 of
+these and their kind.
 
 Defined cases: a null or empty text is its end token; rows that repeat are trained on and
 scored one by one; without training rows every word is new; an empty table gives an empty
@@ -28,8 +36,9 @@ table; only the named columns are read.
 """
 
 import math
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,114 +46,201 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondage.llm import kernels
-from sondage.session import checkpointed
+from sondage.session import new_path
 
 # Text of a block, and share of the words of a bucket, in bytes of text. Both fit a task.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 8_000_000
 # Entries that a counting task holds before it passes them on.
-HELD_ENTRIES = 4_000_000
+HELD_ENTRIES = 1_500_000
 END = np.uint64(0x5EED_0F_E4D << 4)
 # Kinds of preceding word by its last byte; the start of a text is one more.
 ENDINGS = (b"eE", b"nN", b"sS", b"tT", b"rR", b"aoiuAOIU", bytes(range(0x80, 0x100)))
 START = len(ENDINGS) + 1
 CONTEXTS = START + 1
+# A word's number ends with its kind.
 BITS = np.uint64(4)
+# What stands before the first word of a text.
+BEFORE = np.uint64(START)
+# A context's number: its kind above 40 bits of the word's.
+OWN_BITS = np.uint64(40)
 
 KIND = np.full(256, len(ENDINGS), np.uint64)
 for _i, _bytes in enumerate(ENDINGS):
     KIND[list(_bytes)] = _i
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, owner): for every token, end tokens included, its word and context in one
-    number, and the text it belongs to."""
+def as_context(words: np.ndarray) -> np.ndarray:
+    """The numbers of words as contexts."""
+    return (words & np.uint64(15)) << OWN_BITS | words >> (np.uint64(64) - OWN_BITS)
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, context, owner): for every token, end tokens included, its word, the word
+    before it, and the text it belongs to."""
     data, offsets = kernels.bytes_of(texts)
     n = len(offsets) - 1
     starts, ends, owner = kernels.word_bounds(data, offsets)
     words = kernels.Spans(data, kernels.LOWERED_VALUE).hashes(starts, ends)
+    words = words >> BITS << BITS | (KIND[data[ends - 1]] if len(ends) else np.zeros(0, np.uint64))
     # End tokens stand behind the words of their text.
     owner = np.concatenate([owner, np.arange(n)])
     words = np.concatenate([words, np.full(n, END)])
-    kinds = np.concatenate([KIND[data[ends - 1]] if len(ends) else np.zeros(0, np.uint64), np.zeros(n, np.uint64)])
     order = np.argsort(owner, kind="stable")
-    owner, words, kinds = owner[order], words[order], kinds[order]
-    before = np.empty_like(kinds)
-    before[1:] = kinds[:-1]
+    owner, words = owner[order], words[order]
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
     first = np.ones(len(owner), bool)
     first[1:] = owner[1:] != owner[:-1]
-    before[first] = START
-    return (words >> BITS << BITS) | before, owner
+    before[first] = BEFORE
+    return words, as_context(before), owner
 
 
-def _merged(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each pair once, sorted, with its counts added up."""
-    if not len(pairs):
-        return pairs, counts
-    order = np.argsort(pairs, kind="stable")
-    pairs, counts = pairs[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
-    return pairs[first], np.add.reduceat(counts, first)
+def _pair(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each (word, context)."""
+    return kernels.mixed(words ^ kernels.mixed(contexts))
 
 
-def _by_bucket(pairs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of ``pairs`` (sorted) by bucket, the buckets present, and where each begins."""
-    bucket = (pairs >> BITS) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    present, at = np.unique(bucket[order], return_index=True)
-    return order, present.astype(np.int64), np.append(at, len(pairs))
+def _merged(words: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, with its counts added up."""
+    if not len(words):
+        return words, contexts, counts
+    pairs = _pair(words, contexts)
+    order = np.argsort(pairs)
+    pairs = pairs[order]
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    at = order[first]
+    return words[at], contexts[at], np.add.reduceat(counts[order], first)
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
+def _flat(rows: pa.Table, column: str) -> np.ndarray:
+    found = rows.column(column).combine_chunks()
+    found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+    return found.flatten().to_numpy(zero_copy_only=False)
+
+
+def _halves(contexts: np.ndarray) -> dict[str, np.ndarray]:
+    """Contexts as two columns; in order, the first of them repeats."""
+    lo = (contexts & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+    return {"hi": (contexts >> np.uint64(32)).astype(np.int16), "lo": lo}
+
+
+def _whole(rows: pa.Table, hi: str = "hi", lo: str = "lo") -> np.ndarray:
+    low = np.ascontiguousarray(_flat(rows, lo).astype(np.int32)).view(np.uint32).astype(np.uint64)
+    return _flat(rows, hi).astype(np.uint64) << np.uint64(32) | low
+
+
+@dataclass
+class ByBucket:
+    """Pairs by bucket of the word, word and context (``order``), as a row per bucket:
+    ``words`` are the different words, ``sizes`` how many contexts each has, ``present``
+    the buckets, ``bounds`` and ``ends`` where their words and pairs begin."""
+
+    order: np.ndarray
+    words: np.ndarray
+    sizes: np.ndarray
+    present: np.ndarray
+    bounds: np.ndarray
+    ends: np.ndarray
+
+    def columns(self, contexts: np.ndarray) -> dict[str, pa.Array]:
+        halves = _halves(contexts[self.order])
+        return {
+            "words": _lists(self.words.view(np.int64), self.bounds),
+            "sizes": _lists(self.sizes.astype(np.int32), self.bounds),
+            **{name: _lists(half, self.ends) for name, half in halves.items()},
+        }
+
+
+def _by_bucket(words: np.ndarray, contexts: np.ndarray, buckets: int, more: np.ndarray | None = None) -> ByBucket:
+    """``more``: words without a pair."""
+    n = len(words)
+    every = words if more is None else np.concatenate([words, more])
+    distinct, at = np.unique(every, return_inverse=True)
+    bucket = _owner(as_context(distinct), buckets)
+    by = np.lexsort((distinct, bucket))
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    at = rank[at[:n]]
+    sizes = np.bincount(at, minlength=len(distinct))
+    present, start = np.unique(bucket[by], return_index=True)
+    bounds = np.append(start, len(distinct))
+    ends = np.append(0, np.cumsum(sizes))[bounds]
+    return ByBucket(np.lexsort((contexts, at)), distinct[by], sizes, present, bounds, ends)
+
+
+def _owner(contexts: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a context, which is that of the word itself."""
+    return ((contexts & ((np.uint64(1) << OWN_BITS) - np.uint64(1))) % np.uint64(buckets)).astype(np.int64)
+
+
+def _by_owner(contexts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of ``contexts`` (sorted) by owner, the owners present, and where each begins."""
+    owner = _owner(contexts, buckets)
+    order = np.argsort(owner, kind="stable")
+    present, at = np.unique(owner[order], return_index=True)
+    return order, present, np.append(at, len(contexts))
+
+
+def _tasks(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def in_buckets(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder by ``bucket``, as they are partitioned: what is
+    grouped or joined by it later is not shuffled. No name stays in the catalog."""
+    spark, name = rows.sparkSession, f"pitman_yor_{uuid.uuid4().hex}"
+    to = rows.write.bucketBy(_tasks(rows), "bucket").format("parquet").option("path", new_path(spark, "pitman_yor"))
+    to.saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
+ENTRIES = "words array<bigint>, sizes array<int>, hi array<smallint>, lo array<int>"
+
+
 def pair_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, pairs, counts): the training counts, a row per bucket."""
+    """(bucket, words, sizes, hi, lo, counts): the training counts, a row per bucket."""
 
-    def emit(pairs: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        order, present, at = _by_bucket(pairs, buckets)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(present), _lists(pairs[order].view(np.int64), at), _lists(counts[order], at)],
-            ["bucket", "pairs", "counts"],
-        )
+    def emit(words: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> pa.Table:
+        by = _by_bucket(words, contexts, buckets)
+        return pa.table({
+            "bucket": by.present, **by.columns(contexts), "counts": _lists(counts[by.order], by.ends),
+        })
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for piece in kernels.pieces(batches):
-            pairs, _ = tokens(piece.column("text"))
-            held.append(_merged(pairs, np.ones(len(pairs), np.int64)))
+            words, contexts, _ = tokens(piece.column("text"))
+            held.append(_merged(words, contexts, np.ones(len(words), np.int64)))
             size += len(held[-1][0])
             if size > HELD_ENTRIES:
                 held = [_merged(*map(np.concatenate, zip(*held, strict=True)))]
                 size = len(held[0][0])
                 if size > HELD_ENTRIES // 2:
-                    yield emit(*held[0])
+                    yield from emit(*held[0]).to_batches()
                     held, size = [], 0
         if held:
-            yield emit(*_merged(*map(np.concatenate, zip(*held, strict=True))))
+            yield from emit(*_merged(*map(np.concatenate, zip(*held, strict=True)))).to_batches()
 
     def merge(rows: pa.Table) -> pa.Table:
-        pairs, counts = _merged(_flat(rows, "pairs").view(np.uint64), _flat(rows, "counts"))
-        return pa.table({
-            "bucket": rows.column("bucket").slice(0, 1),
-            "pairs": _lists(pairs.view(np.int64), np.array([0, len(pairs)])),
-            "counts": _lists(counts, np.array([0, len(counts)])),
-        })
+        words = np.repeat(_flat(rows, "words").view(np.uint64), _flat(rows, "sizes"))
+        words, contexts, counts = _merged(words, _whole(rows), _flat(rows, "counts"))
+        return emit(words, contexts, counts)
 
-    kind = "bucket bigint, pairs array<bigint>, counts array<bigint>"
-    return docs.select("text").mapInArrow(count, kind).groupBy("bucket").applyInArrow(merge, kind)
-
-
-def _flat(rows: pa.Table, column: str) -> np.ndarray:
-    found = rows.column(column).combine_chunks()
-    found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
-    return found.flatten().to_numpy(zero_copy_only=False)
+    kind = f"bucket bigint, {ENTRIES}, counts array<bigint>"
+    parts = docs.select("text").mapInArrow(count, kind).repartition(_tasks(docs), F.col("bucket"))
+    return parts.groupBy("bucket").applyInArrow(merge, kind)
 
 
 @dataclass
 class Totals:
-    """What all buckets share. ``customers``, ``tables``: of each context restaurant;
-    ``root_customers``, ``root_tables``; ``words``: distinct training words."""
+    """What all buckets share. ``customers``, ``tables``: of each kind's restaurant;
+    ``root_customers``, ``root_tables``: of the root."""
 
     customers: np.ndarray
     tables: np.ndarray
@@ -154,14 +250,19 @@ class Totals:
 
 @dataclass(frozen=True)
 class PitmanYorModel:
-    """``counts`` as from ``pair_counts``; ``history``: the totals before each sweep and
-    after the last. ``sampled``: how many of the last sweeps are averaged."""
+    """``counts`` as from ``pair_counts``, with ``rests0``, ``rests1``, ...: the tables of
+    the contexts that a bucket must know before each sweep. ``contexts``: a row per owner
+    with its contexts (hi, lo), their customers, and ``own0``, ...: their tables after each
+    of the sampled sweeps. ``history``: the other totals before each sweep and after the
+    last. ``sampled``: how many of the last sweeps are averaged."""
 
     counts: DataFrame
+    contexts: DataFrame
     buckets: int
     words: int
     train_tokens: int
     discount: float
+    kind_discount: float
     root_discount: float
     strength: float
     history: tuple[Totals, ...]
@@ -209,15 +310,38 @@ def _reseated(customers, new, discount, rng) -> np.ndarray:
 
 
 class Bucket:
-    """The seats of the words of one bucket."""
-
-    def __init__(self, model: PitmanYorModel, bucket: int, pairs: np.ndarray, counts: np.ndarray):
-        self.model, self.bucket, self.pairs, self.counts = model, bucket, pairs, counts
-        self.words, self.word = np.unique(pairs >> BITS, return_inverse=True)
-        self.context = (pairs & np.uint64(15)).astype(np.int64)
-        self.tables = np.ones(len(pairs))
-        self.customers = np.bincount(self.word, self.tables, len(self.words)).astype(np.int64)
-        self.root_tables = np.ones(len(self.words))
+    """The seats of the words of one bucket. ``pairs``: the different (word, kind), with
+    their customers ``counts``, which are the tables below."""
+
+    def __init__(
+        self, model: PitmanYorModel, bucket: int, words: np.ndarray, sizes: np.ndarray, contexts: np.ndarray,
+        occurrences: np.ndarray, rests: list[np.ndarray],
+    ):
+        self.model, self.bucket, self.occurrences = model, bucket, occurrences
+        self.named, self.words, self.contexts = words, words >> BITS, contexts
+        entry_word = np.repeat(np.arange(len(words)), sizes)
+        pairs = self.words[entry_word] << BITS | contexts >> OWN_BITS
+        # Contexts are in order, those of a kind together.
+        first = np.ones(len(pairs), bool)
+        first[1:] = pairs[1:] != pairs[:-1]
+        self.pair = np.cumsum(first) - 1
+        self.pairs, self.word = pairs[first], entry_word[first]
+        self.context = (self.pairs & np.uint64(15)).astype(np.int64)
+        self.seen = np.bincount(entry_word, occurrences, len(words))
+        # One customer has one table, whatever happens elsewhere.
+        self.many = np.flatnonzero(occurrences > 1)
+        self.asked, self.rest = np.unique(contexts[self.many], return_inverse=True)
+        self.order, self.owners, self.at = _by_owner(self.asked, model.buckets)
+        self.rests = rests
+        self.seats = np.ones(len(pairs))
+        self.counts = np.bincount(self.pair, self.seats, len(self.pairs)).astype(np.int64)
+        self.tables = np.ones(len(self.pairs))
+        self.customers = np.bincount(self.word, self.tables, len(words)).astype(np.int64)
+        self.root_tables = np.ones(len(words))
+
+    def entry_words(self) -> np.ndarray:
+        """The word of every entry, by its number."""
+        return self.named[self.word[self.pair]]
 
     def root(self, totals: Totals) -> tuple[np.ndarray, float]:
         """Probability of each word at the root, and of a new one."""
@@ -228,26 +352,39 @@ class Bucket:
 
     def sweep(self, number: int, totals: Totals) -> None:
         m, rng = self.model, np.random.default_rng([self.model.seed, number, self.bucket])
-        parent, _ = self.root(totals)
-        new = (m.strength + m.discount * totals.tables[self.context]) * parent[self.word]
-        self.tables = _reseated(self.counts, new, m.discount, rng)
+        root, _ = self.root(totals)
+        kind = self.probability(self.word, np.arange(len(self.pairs)), self.context, totals)
+        rests = np.empty(len(self.asked))
+        rests[self.order] = self.rests[number]
+        new = (m.strength + m.discount * rests[self.rest]) * kind[self.pair[self.many]]
+        self.seats[self.many] = _reseated(self.occurrences[self.many], new, m.discount, rng)
+        self.counts = np.bincount(self.pair, self.seats, len(self.pairs)).astype(np.int64)
+        new = (m.strength + m.kind_discount * totals.tables[self.context]) * root[self.word]
+        self.tables = _reseated(self.counts, new, m.kind_discount, rng)
         self.customers = np.bincount(self.word, self.tables, len(self.words)).astype(np.int64)
         base = (m.strength + m.root_discount * totals.root_tables) / (m.words + 1)
         base = np.full(len(self.words), base)
         self.root_tables = _reseated(self.customers, base, m.root_discount, rng)
 
     def sums(self) -> np.ndarray:
-        """Tables of each context, then customers and tables of the root."""
+        """Tables of each kind, then customers and tables of the root."""
         tables = np.bincount(self.context, self.tables, CONTEXTS)
         return np.concatenate([tables, [self.customers.sum(), self.root_tables.sum()]])
 
+    def kind_customers(self) -> np.ndarray:
+        return np.bincount(self.context, self.counts, CONTEXTS)
+
+    def asked_tables(self) -> np.ndarray:
+        """Tables here of the contexts asked for that can have more than one, by owner."""
+        return np.bincount(self.rest, self.seats[self.many], len(self.asked))[self.order].astype(np.int64)
+
     def probability(self, word: np.ndarray, entry: np.ndarray, context: np.ndarray, totals: Totals) -> np.ndarray:
-        """Of words after contexts; ``word``, ``entry``: their places here, or -1."""
+        """Of words after kinds; ``word``, ``entry``: their places here, or -1."""
         m = self.model
         root, new = self.root(totals)
         parent = np.where(word >= 0, np.append(root, new)[word], new)
-        own = np.append(self.counts - m.discount * self.tables, 0.0)[entry]
-        rest = m.strength + m.discount * totals.tables[context]
+        own = np.append(self.counts - m.kind_discount * self.tables, 0.0)[entry]
+        rest = m.strength + m.kind_discount * totals.tables[context]
         return (own + rest * parent) / (m.strength + totals.customers[context])
 
 
@@ -255,34 +392,138 @@ def _buckets(model: PitmanYorModel, rows: pa.Table | pa.RecordBatch) -> Iterator
     for row in range(rows.num_rows):
         part = rows.slice(row, 1)
         part = pa.Table.from_batches([part]) if isinstance(part, pa.RecordBatch) else part
+        rests = [_flat(part, f"rests{i}") for i in range(len(model.history)) if f"rests{i}" in part.column_names]
         yield Bucket(
-            model, part.column("bucket")[0].as_py(), _flat(part, "pairs").view(np.uint64), _flat(part, "counts")
-        )
+            model, part.column("bucket")[0].as_py(), _flat(part, "words").view(np.uint64), _flat(part, "sizes"),
+            _whole(part), _flat(part, "counts"), rests,
+        )
 
 
-def _sweep_sums(model: PitmanYorModel) -> Totals:
-    """The totals after all sweeps that the history allows."""
-    names = [f"s{i}" for i in range(CONTEXTS + 2)]
-    light = _light(model)
+def _light(model: PitmanYorModel) -> PitmanYorModel:
+    """The model without its tables, to go into a function."""
+    values = {k: getattr(model, k) for k in model.__dataclass_fields__}
+    return PitmanYorModel(**values | {"counts": None, "contexts": None})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _owners(counts: DataFrame, model: PitmanYorModel) -> DataFrame:
+    """A row per owner: its contexts (hi, lo) with their customers, the tables of words seen
+    once (``singles``) and how many others there are (``many``); the buckets that ask for
+    some (``askers``), how many each (``asked``) and which (``at``); and sums that describe
+    the words of the bucket."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = np.zeros(CONTEXTS + 2)
-            for bucket in _buckets(light, batch):
-                for number, totals in enumerate(light.history):
-                    bucket.sweep(number, totals)
-                sums += bucket.sums()
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names)
+            for b in _buckets(model, batch):
+                n = b.occurrences
+                contexts, at = np.unique(b.contexts, return_inverse=True)
+                order, owners, bounds = _by_owner(contexts, model.buckets)
+                found = {
+                    "customers": np.bincount(at, n, len(contexts)), "singles": np.bincount(at, n == 1, len(contexts)),
+                    "many": np.bincount(at, n > 1, len(contexts)),
+                }
+                sums = [len(b.words), n.sum()]
+                sums += [(x == k).sum() for x in (n, b.counts, b.customers) for k in (1, 2)]
+                sums = np.concatenate([sums, b.kind_customers(), b.sums()[:CONTEXTS]]).astype(float)
+                # The bucket tells itself the sums.
+                halves = _halves(contexts[order])
+                to = len(owners) + 1
+                yield pa.RecordBatch.from_pydict({
+                    "owner": np.append(owners, b.bucket), "asker": np.full(to, b.bucket),
+                    **{k: _lists(v, np.append(bounds, bounds[-1])) for k, v in halves.items()},
+                    **{k: _lists(v[order].astype(np.int64), np.append(bounds, bounds[-1])) for k, v in found.items()},
+                    "sums": _lists(sums, np.append(np.zeros(to), len(sums))),
+                })
+
+    def keep(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("asker")
+        contexts, at = np.unique(_whole(rows), return_inverse=True)
+        many = _flat(rows, "many")
+        totals = {k: np.bincount(at, _flat(rows, k), len(contexts)).astype(np.int64) for k in ("customers", "singles", "many")}
+        sizes = _lengths(rows, "hi")
+        asked = np.bincount(np.repeat(np.arange(rows.num_rows), sizes), many > 0, rows.num_rows).astype(np.int32)
+        some = np.flatnonzero(asked)
+        sums = _flat(rows, "sums")
+        lists = {
+            **_halves(contexts), **totals, "askers": rows.column("asker").to_numpy()[some], "asked": asked[some],
+            "at": at[many > 0].astype(np.int32), "sums": sums,
+        }
+        return pa.table({
+            "bucket": rows.column("owner").slice(0, 1), **{k: _lists(v, np.array([0, len(v)])) for k, v in lists.items()},
+        })
 
-    rows = model.counts.mapInArrow(run, ", ".join(f"{x} double" for x in names))
-    sums = np.array([x or 0.0 for x in rows.agg(*[F.sum(x) for x in names]).first()])
-    return Totals(model.history[0].customers, sums[:CONTEXTS], sums[CONTEXTS], sums[CONTEXTS + 1])
+    three = "hi array<smallint>, lo array<int>, customers array<bigint>, singles array<bigint>, many array<bigint>"
+    told = counts.mapInArrow(tell, f"owner bigint, asker bigint, {three}, sums array<double>")
+    kept = f"bucket bigint, {three}, askers array<bigint>, asked array<int>, at array<int>, sums array<double>"
+    return in_buckets(told.repartition(_tasks(counts), F.col("owner")).groupBy("owner").applyInArrow(keep, kept))
 
 
-def _light(model: PitmanYorModel) -> PitmanYorModel:
-    """The model without its table, to go into a function."""
-    values = {k: getattr(model, k) for k in model.__dataclass_fields__ if k != "counts"}
-    return PitmanYorModel(counts=None, **values)
+def _lengths(rows: pa.Table, column: str) -> np.ndarray:
+    found = rows.column(column).combine_chunks()
+    found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+    return found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+
+
+ANSWERED = "bucket bigint, owner bigint, tables array<bigint>, sums array<double>"
+
+
+def _answered(owner: pa.Table, tables: np.ndarray, sums: np.ndarray) -> pa.Table:
+    """What an owner answers to each bucket, and (owner -1) its tables of all contexts."""
+    number = owner.column("bucket")[0].as_py()
+    to, at = _flat(owner, "askers"), _flat(owner, "at")
+    bounds = np.append(0, np.cumsum(_flat(owner, "asked")))
+    n = len(to)
+    return pa.table({
+        "bucket": np.append(to, number), "owner": np.append(np.full(n, number), -1),
+        "tables": _lists(np.concatenate([tables[at], tables]), np.append(bounds, bounds[-1] + len(tables))),
+        "sums": _lists(sums, np.append(np.zeros(n + 1), len(sums))),
+    })
+
+
+def _with_rests(counts: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    """``counts`` with the answers before each sweep. Nothing is shuffled."""
+    for i, answer in enumerate(answers):
+        lists = F.array_sort(F.collect_list(F.struct("owner", "tables")))
+        rests = F.flatten(F.transform(lists, lambda x: x["tables"])).alias(f"rests{i}")
+        counts = counts.join(answer.where("owner >= 0").groupBy("bucket").agg(rests), "bucket", "left")
+    return counts
+
+
+def _after_sweep(model: PitmanYorModel, owners: DataFrame) -> DataFrame:
+    """The owners' answers after all sweeps that the history allows; their sums are those of
+    the totals."""
+    light = _light(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in _buckets(light, batch):
+                for number, totals in enumerate(light.history):
+                    b.sweep(number, totals)
+                sums, to = np.concatenate([b.kind_customers(), b.sums()]), len(b.owners) + 1
+                yield pa.RecordBatch.from_pydict({
+                    "to": np.append(b.owners, b.bucket), "asker": np.full(to, b.bucket),
+                    "tables": _lists(b.asked_tables(), np.append(b.at, b.at[-1])),
+                    "sums": _lists(sums, np.append(np.zeros(to), len(sums))),
+                })
+
+    def add(owner: pa.Table, told: pa.Table) -> pa.Table:
+        told = told.sort_by("asker")
+        found = _flat(owner, "singles") + np.bincount(
+            _flat(owner, "at"), _flat(told, "tables"), len(_flat(owner, "singles"))
+        ).astype(np.int64)
+        return _answered(owner, found, _flat(told, "sums"))
+
+    told = model.counts.mapInArrow(run, "to bigint, asker bigint, tables array<bigint>, sums array<double>")
+    n = _tasks(owners)
+    answers = owners.groupBy("bucket").cogroup(told.groupBy("to")).applyInArrow(add, ANSWERED)
+    return in_buckets(answers.repartition(n, F.col("bucket")))
+
+
+def _summed(rows: DataFrame, n: int) -> np.ndarray:
+    """The sums of all rows, place by place."""
+    out = np.zeros(n)
+    for at, total in rows.select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x")).collect():
+        out[at] = total
+    return out
 
 
 def _kneser_ney(ones: float, twos: float) -> float:
@@ -303,37 +544,36 @@ def fit_pitman_yor(
     text = F.coalesce(docs[text_column], F.lit(""))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, math.ceil(size / block_bytes))
-    counts = checkpointed(pair_counts(docs.where(training).select(text.alias("text")), buckets))
-    names = ["words", "ones", "twos", "root_ones", "root_twos", *[f"c{i}" for i in range(CONTEXTS)], *[f"t{i}" for i in range(CONTEXTS)]]
+    counts = in_buckets(pair_counts(docs.where(training).select(text.alias("text")), buckets))
+    none = PitmanYorModel(None, None, buckets, 0, 0, 0.0, 0.0, 0.0, strength, (), sampled, seed)
+    owners = _owners(counts, none)
+    sums = _summed(owners, 8 + 2 * CONTEXTS)
+    discounts = [_kneser_ney(ones, twos) for ones, twos in sums[2:8].reshape(3, 2).tolist()]
+    customers, tables = sums[8:].reshape(2, CONTEXTS)
+    # At first every word has one table in each restaurant.
+    history = (Totals(customers, tables, tables.sum(), sums[0]),)
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = np.zeros(len(names))
             for row in range(batch.num_rows):
-                part = pa.Table.from_batches([batch.slice(row, 1)])
-                pairs, n = _flat(part, "pairs").view(np.uint64), _flat(part, "counts")
-                words, contexts = np.unique(pairs >> BITS, return_counts=True)
-                at = (pairs & np.uint64(15)).astype(np.int64)
-                sums += np.concatenate([
-                    [len(words), (n == 1).sum(), (n == 2).sum(), (contexts == 1).sum(), (contexts == 2).sum()],
-                    np.bincount(at, n, CONTEXTS), np.bincount(at, minlength=CONTEXTS),
-                ])
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names)
-
-    found = counts.mapInArrow(describe, ", ".join(f"{x} double" for x in names)).agg(*[F.sum(x) for x in names]).first()
-    sums = dict(zip(names, [x or 0.0 for x in found], strict=True))
-    customers = np.array([sums[f"c{i}"] for i in range(CONTEXTS)])
-    tables = np.array([sums[f"t{i}"] for i in range(CONTEXTS)])
-    # At first every word has one table in each restaurant.
-    start = Totals(customers, tables, tables.sum(), sums["words"])
-    model = PitmanYorModel(
-        counts, buckets, int(sums["words"]), int(customers.sum()), _kneser_ney(sums["ones"], sums["twos"]),
-        _kneser_ney(sums["root_ones"], sums["root_twos"]), strength, (start,), sampled, seed,
-    )
+                owner = pa.Table.from_batches([batch.slice(row, 1)])
+                found = _answered(owner, _flat(owner, "singles") + _flat(owner, "many"), np.zeros(0))
+                yield from found.combine_chunks().to_batches()
+
+    answers = [in_buckets(owners.mapInArrow(first, ANSWERED).repartition(_tasks(docs), F.col("bucket")))]
     for _ in range(burn_in + sampled):
-        values = _light(model).__dict__ | {"counts": counts, "history": (*model.history, _sweep_sums(model))}
-        model = PitmanYorModel(**values)
-    return model
+        known = _with_rests(counts, answers)
+        model = PitmanYorModel(
+            known, None, buckets, int(sums[0]), int(sums[1]), *discounts, strength, history, sampled, seed
+        )
+        answers.append(_after_sweep(model, owners))
+        found = _summed(answers[-1].where("owner = -1"), 2 * CONTEXTS + 2)
+        history = (*history, Totals(found[:CONTEXTS], found[CONTEXTS:-2], found[-2], found[-1]))
+    contexts = owners.select("bucket", F.col("hi").alias("own_hi"), F.col("lo").alias("own_lo"), "customers")
+    for i, answer in enumerate(answers[-sampled:]):
+        own = answer.where("owner = -1").select("bucket", F.col("tables").alias(f"own{i}"))
+        contexts = contexts.join(own, "bucket", "left")
+    return replace(model, contexts=contexts, history=history)
 
 
 def score_texts(
@@ -347,46 +587,82 @@ def score_texts(
     blocks = docs.select(block.alias("block"), key.alias("key"), text.alias("text"))
     light, buckets = _light(model), model.buckets
 
-    def needed(rows: pa.Table) -> np.ndarray:
-        """The different pairs of a block, sorted."""
-        found = [
-            np.unique(tokens(piece.column("text"))[0]) for piece in kernels.pieces(rows.select(["text"]).to_batches())
-        ]
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    def needed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The different pairs of a block."""
+        held = []
+        for piece in kernels.pieces(rows.select(["text"]).to_batches()):
+            words, contexts, _ = tokens(piece.column("text"))
+            _, at = np.unique(_pair(words, contexts), return_index=True)
+            held.append((words[at], contexts[at]))
+        if not held:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        words, contexts = map(np.concatenate, zip(*held, strict=True))
+        _, at = np.unique(_pair(words, contexts), return_index=True)
+        return words[at], contexts[at]
+
+    def grouped(words: np.ndarray, contexts: np.ndarray) -> ByBucket:
+        """All words of a block are asked for as contexts too, and so is what stands before
+        the first."""
+        return _by_bucket(words, contexts, buckets, np.array([BEFORE]))
 
     def ask(rows: pa.Table) -> pa.Table:
-        pairs = needed(rows)
-        order, present, at = _by_bucket(pairs, buckets)
+        words, contexts = needed(rows)
+        by = grouped(words, contexts)
         block = rows.column("block")[0].as_py()
         return pa.table({
-            "bucket": pa.array(present), "block": pa.array(np.full(len(present), block, np.int64)),
-            "pairs": _lists(pairs[order].view(np.int64), at),
+            "bucket": by.present, "block": np.full(len(by.present), block, np.int64), **by.columns(contexts),
         })
 
+    def runs(word: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """Where a new word or kind begins."""
+        kinds = contexts >> OWN_BITS
+        first = np.ones(len(word), bool)
+        first[1:] = (word[1:] != word[:-1]) | (kinds[1:] != kinds[:-1])
+        return first
+
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         if not asked.num_rows:
             return ANSWERS.empty_table()
+        bucket, own = None, [np.zeros(0, np.int64)] * (light.sampled + 1)
+        own_contexts = np.zeros(0, np.uint64)
         if known.num_rows:
             (bucket,) = _buckets(light, known)
-        else:
-            number = asked.column("bucket")[0].as_py()
-            bucket = Bucket(light, number, np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        sizes = np.append(0, np.cumsum(asked.column("pairs").combine_chunks().value_lengths().to_numpy()))
-        pairs, back = np.unique(_flat(asked, "pairs").view(np.uint64), return_inverse=True)
-        word = _places(bucket.words, pairs >> BITS)
-        entry = _places(bucket.pairs, pairs)
-        context = (pairs & np.uint64(15)).astype(np.int64)
-        total = np.zeros(len(pairs))
+            own_contexts = _whole(known, "own_hi", "own_lo")
+            own = [_flat(known, name) for name in ("customers", *(f"own{i}" for i in range(light.sampled)))]
+        words, sizes, contexts = _flat(asked, "words").view(np.uint64), _flat(asked, "sizes"), _whole(asked)
+        entry_word = np.repeat(np.arange(len(words)), sizes)
+        first = runs(entry_word, contexts)
+        kind = (contexts[first] >> OWN_BITS).astype(np.int64)
+        if bucket is None or not len(bucket.words):
+            nothing = np.zeros(0, np.uint64)
+            bucket = Bucket(light, 0, nothing, np.zeros(0, np.int64), nothing, np.zeros(0, np.int64), [np.zeros(0)] * len(light.history))
+        place = _places(bucket.named, words)
+        word = place[entry_word[first]]
+        pair = _places(bucket.pairs, (words >> BITS)[entry_word[first]] << BITS | kind.astype(np.uint64))
+        hashes = _pair(bucket.entry_words(), bucket.contexts)
+        order = np.argsort(hashes)
+        entry = _places(hashes[order], _pair(words[entry_word], contexts))
+        entry = np.append(order, -1)[entry]
+        seats, kinds = np.zeros(len(bucket.seats)), np.zeros(len(kind))
         last = len(light.history) - 1
         for number in range(last):
             bucket.sweep(number, light.history[number])
             if number >= last - light.sampled:
-                total += bucket.probability(word, entry, context, light.history[number + 1])
-        logs = np.log10(total / min(last, light.sampled)).astype(np.float32)
-        seen = np.append(np.bincount(bucket.word, bucket.counts, len(bucket.words)), 0).astype(np.int64)
+                seats += bucket.seats
+                kinds += bucket.probability(word, pair, kind, light.history[number + 1])
+        mine = np.append(bucket.occurrences - light.discount * seats / light.sampled, 0.0)[entry].astype(np.float32)
+        seen = np.append(bucket.seen, 0).astype(np.int64)[place]
+        at = _places(own_contexts, as_context(words))
+        row = np.repeat(np.arange(asked.num_rows), _lengths(asked, "words"))
+        by_word = np.append(0, np.cumsum(_lengths(asked, "words")))
+        by_entry = np.append(0, np.cumsum(_lengths(asked, "hi")))
+        by_run = np.append(0, np.cumsum(np.bincount(row[entry_word[first]], minlength=asked.num_rows)))
         return pa.table({
             "block": asked.column("block"), "bucket": asked.column("bucket"),
-            "logs": _lists(logs[back], sizes), "seen": _lists(seen[word][back], sizes),
+            "mine": _lists(mine, by_entry), "seen": _lists(seen, by_word),
+            "customers": _lists(np.append(own[0], 0)[at], by_word),
+            "kind": _lists((kinds / light.sampled).astype(np.float32), by_run),
+            "tables": _lists(np.append(sum(own[1:]) / light.sampled, 0.0)[at].astype(np.float32), by_word),
         }).cast(ANSWERS)
 
     base = math.log10(model.train_tokens + model.words + 1)
@@ -394,15 +670,26 @@ def score_texts(
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return pa.table({n: pa.array([], t) for n, t in SCORES} | {"key": rows.column("key")})
-        pairs = needed(rows)
-        order, _, _ = _by_bucket(pairs, buckets)
+        words, contexts = needed(rows)
+        by = grouped(words, contexts)
+        words, contexts = words[by.order], contexts[by.order]
         answers = answers.sort_by("bucket")
-        logs, seen = np.empty(len(pairs)), np.empty(len(pairs), np.int64)
-        logs[order], seen[order] = _flat(answers, "logs"), _flat(answers, "seen")
+        entry_word = np.repeat(np.arange(len(by.words)), by.sizes)
+        run = np.cumsum(runs(entry_word, contexts)) - 1
+        names = as_context(by.words)
+        order = np.argsort(names)
+        at = order[np.searchsorted(names[order], contexts)]
+        rest = light.strength + light.discount * _flat(answers, "tables")[at].astype(float)
+        chance = _flat(answers, "mine") + rest * _flat(answers, "kind")[run]
+        logs = np.log10(chance / (light.strength + _flat(answers, "customers")[at]))
+        seen = _flat(answers, "seen")[entry_word]
+        hashes = _pair(words, contexts)
+        order = np.argsort(hashes)
+        hashes = hashes[order]
         out = []
         for piece in kernels.pieces(rows.select(["key", "text"]).to_batches()):
-            found, owner = tokens(piece.column("text"))
-            at, n = np.searchsorted(pairs, found), piece.num_rows
+            *found, owner = tokens(piece.column("text"))
+            at, n = order[np.searchsorted(hashes, _pair(*found))], piece.num_rows
             size = np.bincount(owner, minlength=n)
             known = np.bincount(owner, seen[at] > 0, n).astype(np.int64)
             plain = np.bincount(owner, np.log10(seen[at] + 1.0), n) - size * base
@@ -412,9 +699,12 @@ def score_texts(
             }))
         return pa.concat_tables(out)
 
-    asked = blocks.groupBy("block").applyInArrow(ask, "bucket bigint, block bigint, pairs array<bigint>")
-    answers = asked.groupBy("bucket").cogroup(model.counts.groupBy("bucket")).applyInArrow(
-        answer, "block bigint, bucket bigint, logs array<float>, seen array<bigint>"
+    asked = blocks.groupBy("block").applyInArrow(ask, f"bucket bigint, block bigint, {ENTRIES}")
+    # Every bucket with counts is an owner; both lie in buckets.
+    known = model.contexts.join(model.counts, "bucket", "left")
+    answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(
+        answer, "block bigint, bucket bigint, mine array<float>, seen array<bigint>, customers array<bigint>, "
+        "kind array<float>, tables array<float>",
     )
     kind = blocks.schema["key"].dataType.simpleString()
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
@@ -427,7 +717,8 @@ def score_texts(
 
 
 ANSWERS = pa.schema([
-    ("block", pa.int64()), ("bucket", pa.int64()), ("logs", pa.list_(pa.float32())), ("seen", pa.list_(pa.int64())),
+    ("block", pa.int64()), ("bucket", pa.int64()), ("mine", pa.list_(pa.float32())), ("seen", pa.list_(pa.int64())),
+    ("customers", pa.list_(pa.int64())), ("kind", pa.list_(pa.float32())), ("tables", pa.list_(pa.float32())),
 ])
 SCORES = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 

@@ -103,3 +103,37 @@ def test_empty(spark):
     assert py.score_texts(df, py.fit_pitman_yor(df, F.lit(True))).count() == 0
     some = spark.createDataFrame(ROWS, "doc_id long, text string")
     check(py.score_texts(some, py.fit_pitman_yor(some, F.lit(False))).collect(), ROWS, lambda k: True)
+
+
+def test_contexts_are_preceding_words(spark):
+    """Two words of one ending that are always followed by different ones."""
+    rows = [(i, "ma po " if i % 2 else "ra qu ") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "ma po"), (2, "ma qu"), (3, "ra qu"), (4, "ra po")], "doc_id long, text string")
+    for block_bytes in (50, 1_000_000):
+        model = py.fit_pitman_yor(df, F.lit(True), block_bytes=block_bytes)
+        score = {r["doc_id"]: r["score"] for r in py.score_texts(asked, model).collect()}
+        assert min(score[1], score[3]) > max(score[2], score[4]) + 1
+
+
+def test_every_preceding_word_has_a_restaurant(spark):
+    """Customers and tables of each, put together by their owners, against plain counts."""
+    rows = [(i, t) for i, (_, t) in enumerate(ROWS)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = Counter()
+    for _, text in rows:
+        words = [None, *WORD.findall((text or "").encode().lower())]
+        wanted.update(words)
+    for block_bytes in (100, 10_000_000):
+        model = py.fit_pitman_yor(df, F.lit(True), block_bytes=block_bytes)
+        found = [(c, t) for r in model.contexts.collect() for c, t in zip(r["customers"], r["own1"], strict=True)]
+        assert sorted(c for c, _ in found) == sorted(wanted.values())
+        assert all(1 <= t <= c for c, t in found)
+        assert model.train_tokens == sum(wanted.values())
+
+
+def test_counts_are_not_shuffled_again(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    model = py.fit_pitman_yor(df, F.lit(True), block_bytes=100)
+    plan = model.contexts.select("bucket").join(model.counts, "bucket", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "hashpartitioning" not in plan
