@@ -28,3 +28,11 @@ def test_line_breaks_are_written_by_all_tasks(spark, tables):
     n = spark.read.parquet(f"{folder}/documents.parquet").count()
     assert queries.src_csv_line_breaks(spark, folder).count() == n
     assert files("breaks-*.csv/part-*") == 12
+
+
+def test_parts_of_a_table_are_written_by_all_tasks(spark, tables):
+    folder, files = tables
+    found = {r["flag"]: r["n_rows"] for r in queries.src_file_info(spark, folder).collect()}
+    wanted = spark.read.parquet(f"{folder}/lineitem.parquet").groupBy("l_returnflag").count().collect()
+    assert found == {r["l_returnflag"]: r["count"] for r in wanted}
+    assert files("lineitem-*/l_returnflag=N/part-*") >= 12
