@@ -36,3 +36,10 @@ def test_parts_of_a_table_are_written_by_all_tasks(spark, tables):
     wanted = spark.read.parquet(f"{folder}/lineitem.parquet").groupBy("l_returnflag").count().collect()
     assert found == {r["l_returnflag"]: r["count"] for r in wanted}
     assert files("lineitem-*/l_returnflag=N/part-*") >= 12
+
+
+def test_profiled_files_are_as_many_as_the_scan_has_tasks(spark, tables):
+    folder, files = tables
+    assert queries.profile_of_chunks(spark, folder).count() == len(spark.read.parquet(f"{folder}/lineitem.parquet").columns)
+    assert files("lineitem-*/part-*") == 12
+    assert files("profile-*/chunk=*/part-*") == 3
