@@ -43,3 +43,10 @@ def test_profiled_files_are_as_many_as_the_scan_has_tasks(spark, tables):
     assert queries.profile_of_chunks(spark, folder).count() == len(spark.read.parquet(f"{folder}/lineitem.parquet").columns)
     assert files("lineitem-*/part-*") == 12
     assert files("profile-*/chunk=*/part-*") == 3
+
+
+def test_chunked_files_are_as_many_as_the_scan_has_tasks(spark, tables):
+    folder, files = tables
+    n = spark.read.parquet(f"{folder}/documents.parquet").count()
+    assert queries.src_csv_chunks_text(spark, folder).count() == n
+    assert files("documents-*.csv/part-*") == 12
