@@ -50,3 +50,14 @@ def test_chunked_files_are_as_many_as_the_scan_has_tasks(spark, tables):
     n = spark.read.parquet(f"{folder}/documents.parquet").count()
     assert queries.src_csv_chunks_text(spark, folder).count() == n
     assert files("documents-*.csv/part-*") == 12
+
+
+@pytest.mark.parametrize("name", ["src_json_columns", "src_json_records"])
+def test_json_documents_have_limited_rows(spark, tables, monkeypatch, name):
+    folder, files = tables
+    monkeypatch.setattr(queries, "ROWS_PER_DOCUMENT", 30)
+    wanted = spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey", "c_name", "c_acctbal")
+    found = getattr(queries, name)(spark, folder).select(wanted.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+    kind = name.removeprefix("src_json_")
+    assert files(f"{kind}-*.json/document=*/part-*") == -(-wanted.count() // 30)
