@@ -18,10 +18,12 @@ away. What has no cut even so is cut into lengths of ``LONGEST``. Each step is o
 of an expression without back-tracking. The n-th repetition of a paragraph in a text has
 a digest of its own.
 
-Everything is SQL. A text and what it is compared with are brought together by one shuffle
-of the texts and one of the parts that the comparison needs; the digests are then written
-to the shared folder in buckets, so that cells, which are rows, are built, subtracted and
-peeled inside the bucket of their document, without a shuffle.
+Everything is SQL. A text and what replaces its end are brought together by one shuffle of
+the texts and one of their beginnings; the digests are then written to the shared folder in
+buckets, so that cells, which are rows, are built, subtracted and peeled inside the bucket of
+their document, without a shuffle. Only the digests of the next text are sent there once
+more. Buckets are ``SPLITS`` times the session's shuffle partitions: cells are many times as
+many as digests, and those of a bucket should fit the memory of its task.
 
 Defined cases: a null text counts as empty, which is one empty paragraph; documents
 follow each other by id, nulls first, then by a digest of their text; rows that repeat id
@@ -43,6 +45,7 @@ ROUNDS = 4
 TABLES = 3
 SHORT = 200
 LONGEST = 512
+SPLITS = 4
 
 
 def _every(first: int, last: int, width: int) -> str:
@@ -133,9 +136,9 @@ def _size(cells: int | Column) -> Column:
     return (cells if isinstance(cells, Column) else F.lit(cells)).cast("long") / TABLES
 
 
-def _cell(key: Column, table: int, size: Column) -> Column:
-    size = F.floor(size)
-    return (F.pmod(F.xxhash64(key, F.lit(table)), size) + table * size).cast("int")
+def _cell(key: Column, table: int | Column, size: Column) -> Column:
+    size, table = F.floor(size), table if isinstance(table, Column) else F.lit(table)
+    return (F.pmod(F.xxhash64(key, table), size) + table * size).cast("int")
 
 
 def _held(cell: Column, n: Column, key: Column, check: Column) -> Column:
@@ -154,10 +157,11 @@ def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
 def sketches(keys: DataFrame, by: list[str], cells: int | Column) -> DataFrame:
     """(by..., cell, n, key, check): the sketches of digests (by..., key, n), where n is 1
     for one version and -1 for the version to subtract."""
-    size = _size(cells)
-    key, n = F.col("key"), F.col("n")
-    held = F.array(*[_held(_cell(key, t, size), n, key, _check(key)) for t in range(TABLES)])
-    return _summed(keys.select(*by, F.explode(held).alias("c")).select(*by, "c.*"), by)
+    key, table = F.col("key"), F.col("table")
+    rows = keys.select("*", F.explode(F.array(*map(F.lit, range(TABLES)))).alias("table"))
+    cell = _cell(key, table, _size(cells)).alias("cell")
+    rows = rows.select(*by, cell, F.col("n").cast("long").alias("n"), key, _check(key).alias("check"))
+    return _summed(rows, by)
 
 
 def peeled(state: DataFrame, by: list[str], cells: int | Column) -> DataFrame:
@@ -184,54 +188,65 @@ def peeled(state: DataFrame, by: list[str], cells: int | Column) -> DataFrame:
 
 
 def _tasks(rows: DataFrame) -> int:
-    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return SPLITS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _tagged(keys: Column, name: str, number: int, n: int) -> Column:
-    return F.transform(keys, lambda k: F.struct(F.lit(number).alias(name), F.lit(n).alias("n"), k.alias("key")))
+def _digests(rows: DataFrame, sides: list[tuple[int, int, Column]], name: str, *more: Column) -> DataFrame:
+    """(own, ``name``, n, key, ...): a row per digest of the arrays of ``sides`` (number, n,
+    array)."""
+    each = [F.struct(F.lit(i).alias(name), F.lit(n).alias("n"), keys.alias("keys")) for i, n, keys in sides]
+    rows = rows.select("own", *more, F.explode(F.array(*each)).alias("side"))
+    kept = [c for c in rows.columns if c not in ("own", "side")]
+    return rows.select("own", f"side.{name}", "side.n", *kept, F.explode("side.keys").alias("key"))
 
 
 def in_buckets(rows: DataFrame) -> DataFrame:
     """``rows`` written to the shared folder, by ``own``: what is grouped or joined by it
     later is not shuffled. Only the files stay, no name in the catalog."""
     spark, name = rows.sparkSession, f"sketches_{uuid.uuid4().hex}"
-    to = rows.write.bucketBy(_tasks(rows), "own").format("parquet").option("path", new_path(spark, "sketches"))
-    to.saveAsTable(name)
+    # Digests repeat within a row, if anywhere: no dictionary finds that.
+    how = {"path": new_path(spark, "sketches"), "compression": "zstd", "parquet.enable.dictionary": "false"}
+    rows.write.bucketBy(_tasks(rows), "own").format("parquet").options(**how).saveAsTable(name)
     found = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return found
 
 
-def compared(pairs: DataFrame, columns: dict[str, tuple[str, str]], cells: int = CELLS) -> DataFrame:
-    """(own, likeness...) of ``pairs`` (own, unique, and arrays of digests; from
-    ``in_buckets``): how alike the arrays named by ``columns`` (name -> left, right) are.
-    Sketches have ``cells`` cells, or three for each digest if that is more; larger ones are
-    tried for what these did not resolve."""
-    out, rest, names, growth = None, pairs, list(columns), 1
+def compared(
+    pairs: Callable[..., DataFrame], columns: dict[str, tuple[str, str]], cells: int = CELLS
+) -> DataFrame:
+    """(own, likeness...): how alike the arrays of digests named by ``columns`` (name ->
+    left, right) are. ``pairs`` gives rows (own, unique, and the arrays), partitioned by
+    ``own``: all, or those whose ``own`` a table lists; ``digests=False``: without arrays.
+    Sketches have ``cells`` cells, or
+    three for each digest if that is more; larger ones are tried for what these did not
+    resolve."""
+    out, again, names, growth = None, None, list(columns), 1
     while True:
-        signed = F.concat(*[
-            _tagged(F.col(c), "pair", i, n)
-            for i, name in enumerate(names) for c, n in zip(columns[name], (1, -1), strict=True)
-        ])
+        rest = pairs(again)
+        sides = [
+            (i, n, F.col(c)) for i, name in enumerate(names) for c, n in zip(columns[name], (1, -1), strict=True)
+        ]
         totals = [sum((F.size(c) for c in columns[name]), F.lit(0)).alias(f"total{i}") for i, name in enumerate(names)]
+        keys = _digests(rest, sides, "pair", *totals)
         # Room for all digests of both, since a text and the next differ in nearly all.
-        room = F.get(F.array(*[f"total{i}" for i in range(len(names))]), "pair") * (TABLES * growth)
-        keys = rest.select("own", *totals, F.explode(signed).alias("k"))
-        keys = keys.select("own", "k.*", F.greatest(F.lit(cells * growth), room).alias("cells"))
-        by = ["own", "pair", "cells"]
+        total = F.get(F.array(*[f"total{i}" for i in range(len(names))]), "pair")
+        room = F.greatest(F.lit(cells * growth), total * (TABLES * growth))
+        keys = keys.select("own", "pair", "n", "key", total.alias("total"), room.alias("cells"))
+        by = ["own", "pair", "total", "cells"]
         found = peeled(sketches(keys, by, F.col("cells")), by, F.col("cells"))
-        differing, left = (
-            [F.max(F.when(F.col("pair") == i, F.col(c))).alias(f"{c}{i}") for i in range(len(names))]
-            for c in ("differing", "left")
+        # What has no difference is absent.
+        left, alike = (
+            [F.max(F.when(F.col("pair") == i, x)).alias(f"{c}{i}") for i in range(len(names))]
+            for c, x in (("left", F.col("left")), ("alike", 1 - F.coalesce("differing", F.lit(0)) / F.col("total")))
         )
-        found = found.groupBy("own").agg(*differing, *left)
+        found = found.groupBy("own").agg(*left, *alike)
         likeness = [
-            F.when(
-                F.coalesce(f"left{i}", F.lit(0)) == 0, 1 - F.coalesce(f"differing{i}", F.lit(0)) / F.col(f"total{i}")
-            ).alias(name)
+            F.when(F.coalesce(f"left{i}", F.lit(0)) == 0, F.coalesce(f"alike{i}", F.lit(1.0))).alias(name)
             for i, name in enumerate(names)
         ]
-        tried = checkpointed(rest.select("own", *totals).join(found, "own", "left").select("own", *likeness))
+        every = pairs(again, digests=False)
+        tried = checkpointed(every.join(found, "own", "left").select("own", *likeness))
         failed = F.lit(False)
         for name in names:
             failed |= F.col(name).isNull()
@@ -240,20 +255,15 @@ def compared(pairs: DataFrame, columns: dict[str, tuple[str, str]], cells: int =
         again = tried.where(failed).select("own")
         if again.isEmpty():
             return out
-        rest = pairs.join(again, "own", "left_semi")
         growth *= GROWTH
 
 
-def written(pairs: DataFrame, columns: dict[str, str], cells: int = CELLS) -> DataFrame:
-    """``pairs`` (own, unique; from ``in_buckets``) with the sketches of the digest arrays named by ``columns``
-    (name -> array) in writing: number, count, key and check of every cell in use, by number,
-    in hex, with a colon between them and a comma between cells. Numbers have any width."""
-    names = list(columns)
-    keys = F.concat(*[
-        _tagged(F.col(columns[name]), "text", i, 1)
-        for i, name in enumerate(names)
-    ])
-    rows = pairs.select("own", F.explode(keys).alias("k")).select("own", "k.*")
+def written(pairs: DataFrame, columns: dict[str, Column], cells: int = CELLS) -> DataFrame:
+    """(own, ...): the sketches of the digest arrays of ``columns`` (name -> array) of
+    ``pairs`` (own, unique; from ``in_buckets``) in writing: number, count, key and check of
+    every cell in use, by number, in hex, with a colon between them and a comma between
+    cells. Numbers have any width."""
+    rows = _digests(pairs, [(i, 1, keys) for i, keys in enumerate(columns.values())], "text")
     cell = F.concat_ws(
         ":", F.hex(F.col("cell").cast("long")), F.hex("n"), F.lpad(F.hex("key"), 16, "0"), F.lpad(F.hex("check"), 16, "0")
     )
@@ -262,8 +272,7 @@ def written(pairs: DataFrame, columns: dict[str, str], cells: int = CELLS) -> Da
     def of(i: int) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("text") == i, F.col("c"))))["written"]
 
-    found = found.groupBy("own").agg(*[F.array_join(of(i), ",").alias(name) for i, name in enumerate(names)])
-    return pairs.join(found, "own", "left")
+    return found.groupBy("own").agg(*[F.array_join(of(i), ",").alias(name) for i, name in enumerate(columns)])
 
 
 def in_order(rows: DataFrame) -> DataFrame:
@@ -288,34 +297,52 @@ def edited_fingerprints(
     """One row per row of ``docs``: its text compared with an edited one, whose last
     quarter is replaced by as much of the beginning of the next text, and with that text."""
     key, text = docs[id_column], F.coalesce(docs[text_column], F.lit(""))
-    own = F.sha2(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), text), 256)
+    # 128 bits name a document.
+    own = F.unhex(F.left(F.sha2(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), text), 256), F.lit(32)))
     sizes = docs.select(key.alias("key"), own.alias("own"), F.char_length(text).cast("long").alias("n_chars"))
     sizes = checkpointed(sizes.groupBy("key", "own", "n_chars").agg(F.count(F.lit(1)).alias("copies")))
     ordered = in_order(sizes).join(sizes, "own")
     # What each text gives to the one before it. Both joins read the texts by ``own``
-    # alone, so that one shuffle of them serves both. The number of tasks is that of the
-    # session: adaptive execution would choose it by bytes, but the work is in the cuts.
-    texts = docs.select(own.alias("own"), text.alias("text"), paragraph_digests(text).alias("keys"))
-    texts = texts.repartition(_tasks(docs), "own")
+    # alone, so that one shuffle of them serves both. The number of tasks is fixed:
+    # adaptive execution would choose it by bytes, but the work is in the cuts.
+    tasks = _tasks(docs)
+    texts = docs.select(own.alias("own"), text.alias("text")).repartition(tasks, "own")
     wanted = ordered.select(
         F.col("next").alias("own"), F.col("own").alias("before"), "key", "n_chars", "copies",
         F.floor(F.col("n_chars") / 4).alias("k"),
     )
     given = texts.join(wanted, "own").select(
-        F.col("before").alias("own"), "key", "n_chars", "copies", "k",
-        F.substr("text", F.lit(1), F.col("k").cast("int")).alias("beginning"), F.col("keys").alias("next_keys"),
-    ).dropDuplicates(["own"])
+        F.col("before").alias("own"), F.col("own").alias("next"), "key", "n_chars", "copies", "k",
+        F.substr("text", F.lit(1), F.col("k").cast("int")).alias("beginning"),
+    ).repartition(tasks, "own").dropDuplicates(["own"])
     head = F.substr("text", F.lit(1), (F.col("n_chars") - F.col("k")).cast("int"))
     both = texts.join(given, "own").dropDuplicates(["own"]).select(
-        "own", "key", "n_chars", "copies", "keys", "next_keys", F.concat(head, "beginning").alias("edited")
+        "own", "next", "key", "n_chars", "copies", "text", F.concat(head, "beginning").alias("edited")
+    ).select(
+        "own", "next", "key", "n_chars", "copies", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"),
+        paragraph_digests(F.col("text")).alias("keys"), paragraph_digests(F.col("edited")).alias("edited_keys"),
     )
-    pairs = in_buckets(both.select(
-        "own", "key", "n_chars", "copies", F.sha2("edited", 256).alias("edited_sha256"), "keys", "next_keys",
-        paragraph_digests(F.col("edited")).alias("edited_keys"),
+    # Most digests of a text and of the edited one are the same: they are kept side by side.
+    kept = in_buckets(both.select(
+        "own", "next", "key", "n_chars", "copies", "edited_sha256", F.size("keys").alias("n"),
+        F.concat("keys", "edited_keys").alias("digests"),
     ))
+    keys = F.slice("digests", F.lit(1), F.col("n"))
+    edited_keys = F.slice("digests", F.col("n") + 1, F.size("digests") - F.col("n"))
+
+    def pairs(among: DataFrame | None, digests: bool = True) -> DataFrame:
+        rows = kept if among is None else kept.join(among, "own", "left_semi")
+        if not digests:
+            return rows.select("own")
+        after = rows.select(F.col("next").alias("own"), F.col("own").alias("before")).repartition(tasks, "own")
+        sent = kept.select("own", keys.alias("next_keys")).join(after, "own")
+        sent = sent.select(F.col("before").alias("own"), "next_keys").repartition(tasks, "own")
+        return rows.join(sent, "own").select("own", keys.alias("keys"), edited_keys.alias("edited_keys"), "next_keys")
+
     near = {"near_edited": ("keys", "edited_keys"), "near_next": ("keys", "next_keys")}
-    found = pairs.join(compared(pairs, near, cells), "own")
-    found = written(found, {"fingerprint": "keys", "edited_fingerprint": "edited_keys"}, cells)
+    told = kept.select("own", "key", "n_chars", "copies", F.lower(F.hex("edited_sha256")).alias("edited_sha256"))
+    prints = written(kept, {"fingerprint": keys, "edited_fingerprint": edited_keys}, cells)
+    found = told.join(compared(pairs, near, cells), "own").join(prints, "own")
     found = found.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
     return found.select(
         F.col("key").alias(id_column), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near

@@ -1,6 +1,7 @@
 """Sketches against exact differences of paragraph digests."""
 
 import hashlib
+import pathlib
 import random
 import re
 import string
@@ -173,3 +174,23 @@ def test_cells_stay_in_their_bucket(spark):
     assert cells.count() == 60
     assert "Exchange" not in cells._jdf.queryExecution().executedPlan().toString()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("sketches_")]
+
+
+def test_digests_are_kept_once(spark):
+    """The shared folder holds the digests of the text and of the edited one, which are
+    mostly the same, and not those of the next text."""
+    rows = [(i, "\n".join(f"text {i} line {j}" for j in range(4000))) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).parent
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("sketches-*/*.parquet"))
+    before = size()
+    found = sketches.edited_fingerprints(df).collect()
+    assert [r["near_next"] for r in found] == [0.0] * 8 and all(0.5 < r["near_edited"] < 0.8 for r in found)
+    # 8 bytes are a digest; a quarter of the edited text's are others.
+    assert 8 * 4000 * 8 < size() - before < 8 * 4000 * 16
+
+
+def test_buckets_are_smaller_than_shuffle_partitions(spark):
+    rows = spark.range(50).select(F.col("id").cast("string").alias("own"))
+    assert sketches.in_buckets(rows.repartition(3)).count() == 50
+    assert sketches._tasks(rows) == 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
