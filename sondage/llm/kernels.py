@@ -5,7 +5,8 @@ polynomial modulo 2^64 over a fixed random value per byte, taken from prefix sum
 any span of a batch is hashed in constant time.
 """
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -26,6 +27,43 @@ LOWERED_VALUE = BYTE_VALUE.copy()
 LOWERED_VALUE[ord("A") : ord("Z") + 1] = BYTE_VALUE[ord("a") : ord("z") + 1]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. A worker stays for later stages, beside the
+    JVM, and would hold what its largest group took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidy(function: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """``function`` of one or two tables, after which freed memory is given back."""
+
+    def of_one(rows: pa.Table) -> pa.Table:
+        found = function(rows)
+        give_back()
+        return found
+
+    def of_two(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = function(left, right)
+        give_back()
+        return found
+
+    return of_one if function.__code__.co_argcount == 1 else of_two
+
+
+def tidy_batches(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same for a function of batches, after each batch it gives."""
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in function(batches):
+            give_back()
+            yield batch
+        give_back()
+
+    return of_batches
+
+
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, nulls as empty, and the n + 1 offsets."""
     if isinstance(texts, pa.ChunkedArray):

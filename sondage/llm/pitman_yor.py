@@ -233,8 +233,8 @@ def pair_counts(docs: DataFrame, buckets: int) -> DataFrame:
         return emit(words, contexts, counts)
 
     kind = f"bucket bigint, {ENTRIES}, counts array<bigint>"
-    parts = docs.select("text").mapInArrow(count, kind).repartition(_tasks(docs), F.col("bucket"))
-    return parts.groupBy("bucket").applyInArrow(merge, kind)
+    parts = docs.select("text").mapInArrow(kernels.tidy_batches(count), kind).repartition(_tasks(docs), F.col("bucket"))
+    return parts.groupBy("bucket").applyInArrow(kernels.tidy(merge), kind)
 
 
 @dataclass
@@ -452,9 +452,9 @@ def _owners(counts: DataFrame, model: PitmanYorModel) -> DataFrame:
         })
 
     three = "hi array<smallint>, lo array<int>, customers array<bigint>, singles array<bigint>, many array<bigint>"
-    told = counts.mapInArrow(tell, f"owner bigint, asker bigint, {three}, sums array<double>")
+    told = counts.mapInArrow(kernels.tidy_batches(tell), f"owner bigint, asker bigint, {three}, sums array<double>")
     kept = f"bucket bigint, {three}, askers array<bigint>, asked array<int>, at array<int>, sums array<double>"
-    return in_buckets(told.repartition(_tasks(counts), F.col("owner")).groupBy("owner").applyInArrow(keep, kept))
+    return in_buckets(told.repartition(_tasks(counts), F.col("owner")).groupBy("owner").applyInArrow(kernels.tidy(keep), kept))
 
 
 def _lengths(rows: pa.Table, column: str) -> np.ndarray:
@@ -512,9 +512,9 @@ def _after_sweep(model: PitmanYorModel, owners: DataFrame) -> DataFrame:
         ).astype(np.int64)
         return _answered(owner, found, _flat(told, "sums"))
 
-    told = model.counts.mapInArrow(run, "to bigint, asker bigint, tables array<bigint>, sums array<double>")
+    told = model.counts.mapInArrow(kernels.tidy_batches(run), "to bigint, asker bigint, tables array<bigint>, sums array<double>")
     n = _tasks(owners)
-    answers = owners.groupBy("bucket").cogroup(told.groupBy("to")).applyInArrow(add, ANSWERED)
+    answers = owners.groupBy("bucket").cogroup(told.groupBy("to")).applyInArrow(kernels.tidy(add), ANSWERED)
     return in_buckets(answers.repartition(n, F.col("bucket")))
 
 
@@ -560,7 +560,7 @@ def fit_pitman_yor(
                 found = _answered(owner, _flat(owner, "singles") + _flat(owner, "many"), np.zeros(0))
                 yield from found.combine_chunks().to_batches()
 
-    answers = [in_buckets(owners.mapInArrow(first, ANSWERED).repartition(_tasks(docs), F.col("bucket")))]
+    answers = [in_buckets(owners.mapInArrow(kernels.tidy_batches(first), ANSWERED).repartition(_tasks(docs), F.col("bucket")))]
     for _ in range(burn_in + sampled):
         known = _with_rests(counts, answers)
         model = PitmanYorModel(
@@ -589,16 +589,14 @@ def score_texts(
 
     def needed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """The different pairs of a block."""
-        held = []
+        words = contexts = np.zeros(0, np.uint64)
         for piece in kernels.pieces(rows.select(["text"]).to_batches()):
-            words, contexts, _ = tokens(piece.column("text"))
+            found = tokens(piece.column("text"))[:2]
+            words, contexts = (np.concatenate(x) for x in zip((words, contexts), found, strict=True))
+            del found
             _, at = np.unique(_pair(words, contexts), return_index=True)
-            held.append((words[at], contexts[at]))
-        if not held:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        words, contexts = map(np.concatenate, zip(*held, strict=True))
-        _, at = np.unique(_pair(words, contexts), return_index=True)
-        return words[at], contexts[at]
+            words, contexts = words[at], contexts[at]
+        return words, contexts
 
     def grouped(words: np.ndarray, contexts: np.ndarray) -> ByBucket:
         """All words of a block are asked for as contexts too, and so is what stands before
@@ -674,41 +672,46 @@ def score_texts(
         by = grouped(words, contexts)
         words, contexts = words[by.order], contexts[by.order]
         answers = answers.sort_by("bucket")
-        entry_word = np.repeat(np.arange(len(by.words)), by.sizes)
-        run = np.cumsum(runs(entry_word, contexts)) - 1
+        hashes = _pair(words, contexts)
+        del words
+        entry_word = np.repeat(np.arange(len(by.words), dtype=np.int32), by.sizes)
+        run = np.cumsum(runs(entry_word, contexts), dtype=np.int32) - 1
         names = as_context(by.words)
-        order = np.argsort(names)
+        order = np.argsort(names).astype(np.int32)
         at = order[np.searchsorted(names[order], contexts)]
+        del contexts, by, names
         rest = light.strength + light.discount * _flat(answers, "tables")[at].astype(float)
         chance = _flat(answers, "mine") + rest * _flat(answers, "kind")[run]
+        del rest, run
         logs = np.log10(chance / (light.strength + _flat(answers, "customers")[at]))
-        seen = _flat(answers, "seen")[entry_word]
-        hashes = _pair(words, contexts)
-        order = np.argsort(hashes)
+        del chance, at
+        seen = _flat(answers, "seen")
+        order = np.argsort(hashes).astype(np.int32)
         hashes = hashes[order]
         out = []
         for piece in kernels.pieces(rows.select(["key", "text"]).to_batches()):
             *found, owner = tokens(piece.column("text"))
             at, n = order[np.searchsorted(hashes, _pair(*found))], piece.num_rows
             size = np.bincount(owner, minlength=n)
-            known = np.bincount(owner, seen[at] > 0, n).astype(np.int64)
-            plain = np.bincount(owner, np.log10(seen[at] + 1.0), n) - size * base
+            times = seen[entry_word[at]]
+            known = np.bincount(owner, times > 0, n).astype(np.int64)
+            plain = np.bincount(owner, np.log10(times + 1.0), n) - size * base
             out.append(pa.table({
                 "key": piece.column("key"), "n_tokens": size.astype(np.int64), "n_known": known,
                 "base_score": plain, "score": np.bincount(owner, logs[at], n),
             }))
         return pa.concat_tables(out)
 
-    asked = blocks.groupBy("block").applyInArrow(ask, f"bucket bigint, block bigint, {ENTRIES}")
+    asked = blocks.groupBy("block").applyInArrow(kernels.tidy(ask), f"bucket bigint, block bigint, {ENTRIES}")
     # Every bucket with counts is an owner; both lie in buckets.
     known = model.contexts.join(model.counts, "bucket", "left")
     answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(
-        answer, "block bigint, bucket bigint, mine array<float>, seen array<bigint>, customers array<bigint>, "
+        kernels.tidy(answer), "block bigint, bucket bigint, mine array<float>, seen array<bigint>, customers array<bigint>, "
         "kind array<float>, tables array<float>",
     )
     kind = blocks.schema["key"].dataType.simpleString()
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        score, f"key {kind}, n_tokens bigint, n_known bigint, base_score double, score double"
+        kernels.tidy(score), f"key {kind}, n_tokens bigint, n_known bigint, base_score double, score double"
     )
     return scored.select(
         F.col("key").alias(id_column), "n_tokens", "n_known",

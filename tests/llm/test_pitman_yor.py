@@ -6,9 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sondage.llm import kernels
 from sondage.llm import pitman_yor as py
 from sondage.llm.queries import QUERIES
 
@@ -137,3 +139,24 @@ def test_counts_are_not_shuffled_again(spark):
     model = py.fit_pitman_yor(df, F.lit(True), block_bytes=100)
     plan = model.contexts.select("bucket").join(model.counts, "bucket", "left")._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan and "hashpartitioning" not in plan
+
+
+def test_workers_give_freed_memory_back():
+    """A function's garbage does not stay in the worker, also not below what is still used."""
+
+    def resident():
+        with open("/proc/self/status") as status:
+            return next(int(line.split()[1]) for line in status if line.startswith("VmRSS")) // 1024
+
+    def work(rows: pa.Table) -> pa.Table:
+        # Arrays too small to be mapped one by one, between others that live on.
+        many = [np.ones(12_000) for _ in range(4_000)]
+        kept.extend(many[::100])
+        return rows
+
+    kept, rows = [], pa.table({"x": [1]})
+    kernels.give_back()
+    before = resident()
+    assert kernels.tidy(work)(rows) is rows
+    assert resident() < before + 100  # 384 MB were taken
+    assert list(kernels.tidy_batches(iter)(rows.to_batches())) == rows.to_batches()
