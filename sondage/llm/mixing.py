@@ -70,7 +70,7 @@ def _features(texts: DataFrame) -> DataFrame:
     """``texts`` (with ``text``) with n_tokens and ``tokens`` instead: its different words
     and its shape. The first token is every document's, so that none is lost where only
     features with a weight go on."""
-    words = F.filter(F.split(F.lower("text"), SPACE, -1), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower("text"), SPACE, -1), "")
     rows = texts.withColumn("words", words).withColumn("kinds", F.array_distinct("words"))
     n, size = F.size("words"), F.greatest(F.char_length("text"), F.lit(1))
 

@@ -92,3 +92,11 @@ def test_without_labels_or_rows(spark):
     found = mixing.document_rates(docs, model, {"good": 0.9, "poor": 0.1}).collect()
     assert [(r["p_good"], r["rate"], r["copies"]) for r in found] == [(0.5, 1.0, 1)] * 2
     assert mixing.mixed(docs.limit(0), model, {"good": 0.5, "poor": 0.5}).count() == 0
+
+
+def test_words_are_split_in_compiled_code(spark):
+    """Empty words go without a function called word by word."""
+    rows = [" a  b\ta\n", "", "   ", "x", "A b a B"]
+    found = mixing._features(spark.createDataFrame([(t,) for t in rows], "text string"))
+    assert [r["n_tokens"] for r in found.collect()] == [3, 0, 0, 1, 4]
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
