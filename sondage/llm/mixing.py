@@ -101,7 +101,9 @@ def _features(texts: DataFrame) -> DataFrame:
 
 def _exploded(featured: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, ``at`` and ``feature``: a row per token."""
-    rows = featured.select(*keep, F.posexplode("tokens").alias("at", "token"))
+    # No text is without tokens. Outer, or Spark would first drop those by a filter that
+    # works the tokens out from the text, several times.
+    rows = featured.select(*keep, F.posexplode_outer("tokens").alias("at", "token"))
     hashed = F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int")
     return rows.select(*keep, "at", F.when(F.col("at") == 0, BUCKETS).otherwise(hashed).alias("feature"))
 

@@ -100,3 +100,10 @@ def test_words_are_split_in_compiled_code(spark):
     found = mixing._features(spark.createDataFrame([(t,) for t in rows], "text string"))
     assert [r["n_tokens"] for r in found.collect()] == [3, 0, 0, 1, 4]
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_split_once(spark, model):
+    """No filter before the rows of tokens works the tokens out as well."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for keyed in (mixing.posteriors(docs, model), mixing.posteriors(docs.limit(5), model)):
+        assert keyed._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
