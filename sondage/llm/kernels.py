@@ -6,8 +6,7 @@ any span of a batch is hashed in constant time.
 """
 
 import ctypes
-from collections.abc import Callable, Iterator
-from functools import cache
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,19 +78,20 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut between rows so that a piece holds about PIECE_BYTES of text."""
+def pieces(
+    batches: Iterable[pa.RecordBatch], text: str = "text", size: int = PIECE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batches cut between rows so that a piece holds about ``size`` bytes of text."""
     for batch in batches:
         ends = bytes_of(batch.column(text))[1][1:]
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(ends, before + PIECE_BYTES, "right")))
+            end = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(start, end - start)
             start = end
 
 
-@cache
 def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     def run(base):
         factors = np.full(length, base, np.uint64)
@@ -101,12 +101,18 @@ def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     return run(BASE), run(INVERSE)
 
 
+# The longest powers so far.
+_kept: list[np.ndarray] = []
+
+
 def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse, at least ``length`` of each."""
-    size = max(1 << 21, 1 << max(0, length - 1).bit_length())
-    if size > 1 << 21:  # for one very long text only: not kept
-        return _powers.__wrapped__(size)
-    return _powers(size)
+    if not _kept or length > len(_kept[0]):
+        found = _powers(max(1 << 19, 1 << max(0, length - 1).bit_length()))
+        if len(found[0]) > 1 << 21:  # for one very long text only: not kept
+            return found
+        _kept[:] = found
+    return _kept[0], _kept[1]
 
 
 class Spans:

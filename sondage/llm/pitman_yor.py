@@ -50,6 +50,8 @@ from sondage.session import new_path
 
 # Text of a block, and share of the words of a bucket, in bytes of text. Both fit a task.
 BLOCK_BYTES = 8_000_000
+# Bytes of text whose words are hashed at a time.
+HASHED_BYTES = 500_000
 # Entries that a counting task holds before it passes them on.
 HELD_ENTRIES = 1_500_000
 END = np.uint64(0x5EED_0F_E4D << 4)
@@ -76,7 +78,20 @@ def as_context(words: np.ndarray) -> np.ndarray:
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, context, owner): for every token, end tokens included, its word, the word
-    before it, and the text it belongs to."""
+    before it, and the text it belongs to. Hashing holds some 40 times its text, so it takes
+    less at a time."""
+    found, n = [], 0
+    for piece in kernels.pieces([pa.RecordBatch.from_arrays([texts], ["text"])], size=HASHED_BYTES):
+        words, contexts, owner = _tokens(piece.column("text"))
+        found.append((words, contexts, owner + n))
+        n += piece.num_rows
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    words, contexts, owner = (np.concatenate(x) for x in zip(*found, strict=True))
+    return words, contexts, owner
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = kernels.bytes_of(texts)
     n = len(offsets) - 1
     starts, ends, owner = kernels.word_bounds(data, offsets)
@@ -105,13 +120,36 @@ def _merged(words: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> tupl
     if not len(words):
         return words, contexts, counts
     pairs = _pair(words, contexts)
-    order = np.argsort(pairs)
+    order = np.argsort(pairs).astype(np.int32)
     pairs = pairs[order]
     first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    del pairs
     at = order[first]
     return words[at], contexts[at], np.add.reduceat(counts[order], first)
 
 
+class Held:
+    """Pairs with their counts, collected piece by piece."""
+
+    def __init__(self) -> None:
+        self.parts: tuple[list[np.ndarray], ...] = ([], [], [])
+        self.size = 0
+
+    def add(self, *found: np.ndarray) -> None:
+        for part, x in zip(self.parts, found, strict=True):
+            part.append(x)
+        self.size += len(found[0])
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs, each once. Nothing stays; a column's parts go before the next is joined."""
+        joined = []
+        for part in self.parts:
+            joined.append(np.concatenate(part))
+            part.clear()
+        self.size = 0
+        return _merged(*joined)
+
+
 def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
@@ -213,19 +251,19 @@ def pair_counts(docs: DataFrame, buckets: int) -> DataFrame:
         })
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held = Held()
         for piece in kernels.pieces(batches):
             words, contexts, _ = tokens(piece.column("text"))
-            held.append(_merged(words, contexts, np.ones(len(words), np.int64)))
-            size += len(held[-1][0])
-            if size > HELD_ENTRIES:
-                held = [_merged(*map(np.concatenate, zip(*held, strict=True)))]
-                size = len(held[0][0])
-                if size > HELD_ENTRIES // 2:
-                    yield from emit(*held[0]).to_batches()
-                    held, size = [], 0
-        if held:
-            yield from emit(*_merged(*map(np.concatenate, zip(*held, strict=True)))).to_batches()
+            held.add(*_merged(words, contexts, np.ones(len(words), np.int64)))
+            if held.size > HELD_ENTRIES:
+                found = held.taken()
+                if len(found[0]) > HELD_ENTRIES // 2:
+                    yield from emit(*found).to_batches()
+                else:
+                    held.add(*found)
+                del found
+        if held.size:
+            yield from emit(*held.taken()).to_batches()
 
     def merge(rows: pa.Table) -> pa.Table:
         words = np.repeat(_flat(rows, "words").view(np.uint64), _flat(rows, "sizes"))

@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -160,3 +161,32 @@ def test_workers_give_freed_memory_back():
     assert kernels.tidy(work)(rows) is rows
     assert resident() < before + 100  # 384 MB were taken
     assert list(kernels.tidy_batches(iter)(rows.to_batches())) == rows.to_batches()
+
+
+def test_words_are_hashed_in_parts(monkeypatch):
+    texts = pa.array([*[t for _, t in ROWS], "a b " * 50, "", None, "ab"], pa.string())
+    for some in (texts, texts[:0], texts[2:]):
+        every = py.tokens(some)
+        with monkeypatch.context() as m:
+            m.setattr(py, "HASHED_BYTES", 7)
+            for one, other in zip(every, py.tokens(some), strict=True):
+                assert one.dtype == other.dtype and one.tolist() == other.tolist()
+
+
+def test_counting_holds_little_beside_its_pairs():
+    """Memory of numpy while 2 MB of text become tokens, and while pairs held are merged."""
+    texts = pa.array(["several words of a text " * 40] * 2_000)
+    py.tokens(texts)
+    tracemalloc.start()
+    py.tokens(texts)
+    assert tracemalloc.get_traced_memory()[1] < 30e6
+    tracemalloc.stop()
+    held, n, parts = py.Held(), 100_000, 10
+    tracemalloc.start()
+    for k in range(parts):
+        held.add(np.arange(n, dtype=np.uint64) * 7 + k % 2, np.full(n, 3, np.uint64), np.ones(n, np.int64))
+    words, contexts, counts = held.taken()
+    # Twice the 24 bytes of a pair and count, and less than that besides.
+    assert tracemalloc.get_traced_memory()[1] < 80 * n * parts
+    tracemalloc.stop()
+    assert len(words) == len(contexts) == 2 * n and (counts == parts // 2).all() and held.size == 0
