@@ -79,9 +79,11 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(
-    batches: Iterable[pa.RecordBatch], text: str = "text", size: int = PIECE_BYTES
+    batches: Iterable[pa.RecordBatch], text: str = "text", size: int | None = None
 ) -> Iterator[pa.RecordBatch]:
-    """The batches cut between rows so that a piece holds about ``size`` bytes of text."""
+    """The batches cut between rows so that a piece holds about ``size`` bytes of text, by
+    default PIECE_BYTES."""
+    size = size or PIECE_BYTES
     for batch in batches:
         ends = bytes_of(batch.column(text))[1][1:]
         start = 0
