@@ -21,11 +21,12 @@ replays it from its own random seed, so that lost executors change nothing. Coun
 written once, in buckets, to the shared folder, and are not shuffled again; these files
 stay there.
 
-Texts are scored in blocks: a block asks the buckets for its different (word, context)
-pairs and gets the seats, the parents' probabilities, and the totals of its words as
-contexts, each as a mean over the sampled sweeps, with which probabilities still sum to
-one. Neither vocabulary nor counts are broadcast or collected. A frequent word is one pair per block
-and context, wherever it occurs.
+Texts are scored in blocks, cut where they are read and moved once, as one compressed value
+each. A block asks the buckets for its different (word, context) pairs and gets the
+customers and seats, the parents' probabilities, and the totals of its words as contexts,
+each over the sampled sweeps, with whose means probabilities still sum to one. Neither
+vocabulary nor counts are broadcast or collected. A frequent word is one pair per block and
+context, wherever it occurs. Lists travel as bytes, small numbers in one byte each.
 
 Words are known by 60 bits of a hash of their lower-case (A-Z) bytes, as contexts by 40 of
 these and their kind.
@@ -42,6 +43,8 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,6 +157,39 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
+def _bytes(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The same as bytes, which Spark moves as a whole and not number by number."""
+    offsets = pa.py_buffer((bounds * values.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(rows: pa.Table, column: str, kind: type) -> np.ndarray:
+    found = rows.column(column).combine_chunks()
+    found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+    if not len(found):
+        return np.zeros(0, kind)
+    _, offsets, data = found.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[found.offset : found.offset + len(found) + 1]
+    n = int(bounds[-1] - bounds[0]) // np.dtype(kind).itemsize
+    return np.frombuffer(data, kind, n, int(bounds[0])).copy() if n else np.zeros(0, kind)
+
+
+def _small(name: str, values: np.ndarray, bounds: np.ndarray) -> dict[str, pa.Array]:
+    """Numbers from 0 in a byte each, those above 254 apart."""
+    large = values >= 255
+    more = np.append(0, np.cumsum(large))[bounds]
+    return {
+        name: _bytes(np.where(large, 255, values).astype(np.uint8), bounds),
+        f"{name}_more": _bytes(values[large].astype(np.int64), more),
+    }
+
+
+def _numbers(rows: pa.Table, name: str) -> np.ndarray:
+    found = _values(rows, name, np.uint8).astype(np.int64)
+    found[found == 255] = _values(rows, f"{name}_more", np.int64)
+    return found
+
+
 def _flat(rows: pa.Table, column: str) -> np.ndarray:
     found = rows.column(column).combine_chunks()
     found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
@@ -171,48 +207,95 @@ def _whole(rows: pa.Table, hi: str = "hi", lo: str = "lo") -> np.ndarray:
     return _flat(rows, hi).astype(np.uint64) << np.uint64(32) | low
 
 
+def _context_values(rows: pa.Table) -> np.ndarray:
+    low = _values(rows, "lo", np.uint32).astype(np.uint64)
+    return _values(rows, "hi", np.int16).astype(np.uint64) << np.uint64(32) | low
+
+
+def _heads(ordered: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    first = np.ones(len(ordered), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    return first
+
+
+def _sorted_pairs(word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of two numbers below 2^32 as one number each, in order, and that order."""
+    keys = word.astype(np.uint64) << np.uint64(32) | context.astype(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], order
+
+
 @dataclass
 class ByBucket:
-    """Pairs by bucket of the word, word and context (``order``), as a row per bucket:
-    ``words`` are the different words, ``sizes`` how many contexts each has, ``present``
-    the buckets, ``bounds`` and ``ends`` where their words and pairs begin."""
+    """Pairs by word and context, as a row per bucket: ``words`` are the different words in
+    order, in which those of a bucket lie together, ``sizes`` how many contexts each has,
+    ``contexts`` these, ``present`` the buckets, ``bounds`` and ``ends`` where their words
+    and pairs begin."""
 
-    order: np.ndarray
     words: np.ndarray
     sizes: np.ndarray
+    contexts: np.ndarray
     present: np.ndarray
     bounds: np.ndarray
     ends: np.ndarray
 
-    def columns(self, contexts: np.ndarray) -> dict[str, pa.Array]:
-        halves = _halves(contexts[self.order])
+    def columns(self) -> dict[str, pa.Array]:
         return {
-            "words": _lists(self.words.view(np.int64), self.bounds),
-            "sizes": _lists(self.sizes.astype(np.int32), self.bounds),
-            **{name: _lists(half, self.ends) for name, half in halves.items()},
-        }
-
-
-def _by_bucket(words: np.ndarray, contexts: np.ndarray, buckets: int, more: np.ndarray | None = None) -> ByBucket:
-    """``more``: words without a pair."""
-    n = len(words)
-    every = words if more is None else np.concatenate([words, more])
-    distinct, at = np.unique(every, return_inverse=True)
-    bucket = _owner(as_context(distinct), buckets)
-    by = np.lexsort((distinct, bucket))
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.arange(len(by))
-    at = rank[at[:n]]
-    sizes = np.bincount(at, minlength=len(distinct))
-    present, start = np.unique(bucket[by], return_index=True)
-    bounds = np.append(start, len(distinct))
+            "words": _bytes(self.words, self.bounds), **_small("sizes", self.sizes, self.bounds),
+            **{name: _bytes(half, self.ends) for name, half in _halves(self.contexts).items()},
+        }
+
+
+def _by_bucket(words: np.ndarray, word: np.ndarray, contexts: np.ndarray, buckets: int) -> ByBucket:
+    """``words`` in order, and for each pair, in order too, the place of its word there."""
+    sizes = np.bincount(word, minlength=len(words))
+    bucket = _owner(as_context(words), buckets)
+    start = np.flatnonzero(_heads(bucket))
+    bounds = np.append(start, len(words))
     ends = np.append(0, np.cumsum(sizes))[bounds]
-    return ByBucket(np.lexsort((contexts, at)), distinct[by], sizes, present, bounds, ends)
+    return ByBucket(words, sizes, contexts, bucket[start], bounds, ends)
+
+
+@dataclass
+class Block:
+    """The tokens of some texts: ``words`` are the different ones in order, and what stands
+    before the first; the different pairs are in order of ``word`` and ``contexts``, and
+    ``before`` is a place of the context in ``words``. ``pair``, ``at``, ``owner``: pair,
+    word and text of each token."""
+
+    words: np.ndarray
+    word: np.ndarray
+    before: np.ndarray
+    contexts: np.ndarray
+    pair: np.ndarray
+    at: np.ndarray
+    owner: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> "Block":
+        found, _, owner = tokens(texts)
+        # All words of a block are asked for as contexts too.
+        words, at = np.unique(np.append(found, BEFORE), return_inverse=True)
+        del found
+        previous = np.where(_heads(owner), at[-1], np.roll(at[:-1], 1))
+        at = at[:-1].astype(np.int32)
+        names, place, number = np.unique(as_context(words), return_index=True, return_inverse=True)
+        keys, order = _sorted_pairs(at, number[previous])
+        del previous
+        first = _heads(keys)
+        pair = np.empty(len(order), np.int32)
+        pair[order] = np.cumsum(first) - 1
+        keys = keys[first]
+        number = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        word = (keys >> np.uint64(32)).astype(np.int64)
+        return cls(words, word, place[number], names[number], pair, at, owner)
 
 
 def _owner(contexts: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of a context, which is that of the word itself."""
-    return ((contexts & ((np.uint64(1) << OWN_BITS) - np.uint64(1))) % np.uint64(buckets)).astype(np.int64)
+    """The bucket of a context, which is that of the word itself: a range of words."""
+    low = contexts & ((np.uint64(1) << OWN_BITS) - np.uint64(1))
+    return (low * np.uint64(buckets) >> OWN_BITS).astype(np.int64)
 
 
 def _by_owner(contexts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,17 +321,22 @@ def in_buckets(rows: DataFrame) -> DataFrame:
     return found
 
 
-ENTRIES = "words array<bigint>, sizes array<int>, hi array<smallint>, lo array<int>"
+ENTRIES = "words binary, sizes binary, sizes_more binary, hi binary, lo binary"
 
 
 def pair_counts(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, words, sizes, hi, lo, counts): the training counts, a row per bucket."""
 
     def emit(words: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> pa.Table:
-        by = _by_bucket(words, contexts, buckets)
-        return pa.table({
-            "bucket": by.present, **by.columns(contexts), "counts": _lists(counts[by.order], by.ends),
-        })
+        distinct, word = np.unique(words, return_inverse=True)
+        names, number = np.unique(contexts, return_inverse=True)
+        keys, order = _sorted_pairs(word, number)
+        first = np.flatnonzero(_heads(keys))
+        keys = keys[first]
+        contexts = names[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        by = _by_bucket(distinct, (keys >> np.uint64(32)).astype(np.int64), contexts, buckets)
+        counts = np.add.reduceat(counts[order], first)
+        return pa.table({"bucket": by.present, **by.columns(), **_small("counts", counts, by.ends)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Held()
@@ -266,11 +354,10 @@ def pair_counts(docs: DataFrame, buckets: int) -> DataFrame:
             yield from emit(*held.taken()).to_batches()
 
     def merge(rows: pa.Table) -> pa.Table:
-        words = np.repeat(_flat(rows, "words").view(np.uint64), _flat(rows, "sizes"))
-        words, contexts, counts = _merged(words, _whole(rows), _flat(rows, "counts"))
-        return emit(words, contexts, counts)
+        words = np.repeat(_values(rows, "words", np.uint64), _numbers(rows, "sizes"))
+        return emit(words, _context_values(rows), _numbers(rows, "counts"))
 
-    kind = f"bucket bigint, {ENTRIES}, counts array<bigint>"
+    kind = f"bucket bigint, {ENTRIES}, counts binary, counts_more binary"
     parts = docs.select("text").mapInArrow(kernels.tidy_batches(count), kind).repartition(_tasks(docs), F.col("bucket"))
     return parts.groupBy("bucket").applyInArrow(kernels.tidy(merge), kind)
 
@@ -292,7 +379,8 @@ class PitmanYorModel:
     the contexts that a bucket must know before each sweep. ``contexts``: a row per owner
     with its contexts (hi, lo), their customers, and ``own0``, ...: their tables after each
     of the sampled sweeps. ``history``: the other totals before each sweep and after the
-    last. ``sampled``: how many of the last sweeps are averaged."""
+    last. ``sampled``: how many of the last sweeps are averaged. ``block_bytes``: text of a
+    block that is scored."""
 
     counts: DataFrame
     contexts: DataFrame
@@ -306,6 +394,7 @@ class PitmanYorModel:
     history: tuple[Totals, ...]
     sampled: int
     seed: int
+    block_bytes: int
 
 
 def seated(
@@ -377,10 +466,6 @@ class Bucket:
         self.customers = np.bincount(self.word, self.tables, len(words)).astype(np.int64)
         self.root_tables = np.ones(len(words))
 
-    def entry_words(self) -> np.ndarray:
-        """The word of every entry, by its number."""
-        return self.named[self.word[self.pair]]
-
     def root(self, totals: Totals) -> tuple[np.ndarray, float]:
         """Probability of each word at the root, and of a new one."""
         m = self.model
@@ -432,8 +517,8 @@ def _buckets(model: PitmanYorModel, rows: pa.Table | pa.RecordBatch) -> Iterator
         part = pa.Table.from_batches([part]) if isinstance(part, pa.RecordBatch) else part
         rests = [_flat(part, f"rests{i}") for i in range(len(model.history)) if f"rests{i}" in part.column_names]
         yield Bucket(
-            model, part.column("bucket")[0].as_py(), _flat(part, "words").view(np.uint64), _flat(part, "sizes"),
-            _whole(part), _flat(part, "counts"), rests,
+            model, part.column("bucket")[0].as_py(), _values(part, "words", np.uint64), _numbers(part, "sizes"),
+            _context_values(part), _numbers(part, "counts"), rests,
         )
 
 
@@ -498,7 +583,7 @@ def _owners(counts: DataFrame, model: PitmanYorModel) -> DataFrame:
 def _lengths(rows: pa.Table, column: str) -> np.ndarray:
     found = rows.column(column).combine_chunks()
     found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
-    return found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return pc.fill_null(pc.binary_length(found) if found.type == pa.binary() else pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
 
 
 ANSWERED = "bucket bigint, owner bigint, tables array<bigint>, sums array<double>"
@@ -583,7 +668,7 @@ def fit_pitman_yor(
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, math.ceil(size / block_bytes))
     counts = in_buckets(pair_counts(docs.where(training).select(text.alias("text")), buckets))
-    none = PitmanYorModel(None, None, buckets, 0, 0, 0.0, 0.0, 0.0, strength, (), sampled, seed)
+    none = PitmanYorModel(None, None, buckets, 0, 0, 0.0, 0.0, 0.0, strength, (), sampled, seed, block_bytes)
     owners = _owners(counts, none)
     sums = _summed(owners, 8 + 2 * CONTEXTS)
     discounts = [_kneser_ney(ones, twos) for ones, twos in sums[2:8].reshape(3, 2).tolist()]
@@ -602,7 +687,7 @@ def fit_pitman_yor(
     for _ in range(burn_in + sampled):
         known = _with_rests(counts, answers)
         model = PitmanYorModel(
-            known, None, buckets, int(sums[0]), int(sums[1]), *discounts, strength, history, sampled, seed
+            known, None, buckets, int(sums[0]), int(sums[1]), *discounts, strength, history, sampled, seed, block_bytes
         )
         answers.append(_after_sweep(model, owners))
         found = _summed(answers[-1].where("owner = -1"), 2 * CONTEXTS + 2)
@@ -621,32 +706,39 @@ def score_texts(
     score (log10 probabilities)."""
     text = F.coalesce(docs[text_column], F.lit(""))
     key = docs[id_column]
-    block = F.pmod(F.xxhash64(key, text), F.lit(max(1, model.buckets)))
-    blocks = docs.select(block.alias("block"), key.alias("key"), text.alias("text"))
+    rows = docs.select(key.alias("key"), text.alias("text"))
     light, buckets = _light(model), model.buckets
 
-    def needed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """The different pairs of a block."""
-        words = contexts = np.zeros(0, np.uint64)
-        for piece in kernels.pieces(rows.select(["text"]).to_batches()):
-            found = tokens(piece.column("text"))[:2]
-            words, contexts = (np.concatenate(x) for x in zip((words, contexts), found, strict=True))
-            del found
-            _, at = np.unique(_pair(words, contexts), return_index=True)
-            words, contexts = words[at], contexts[at]
-        return words, contexts
-
-    def grouped(words: np.ndarray, contexts: np.ndarray) -> ByBucket:
-        """All words of a block are asked for as contexts too, and so is what stands before
-        the first."""
-        return _by_bucket(words, contexts, buckets, np.array([BEFORE]))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts become blocks where they are read. A block moves as one compressed value."""
+        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def block() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                for part in held:
+                    to.write_batch(part)
+            return pa.RecordBatch.from_pydict({"block": [task << 32 | number], "body": [sink.getvalue().to_pybytes()]})
+
+        for piece in kernels.pieces(batches, size=max(1, light.block_bytes // 8)):
+            more = int(kernels.bytes_of(piece.column("text"))[1][-1])
+            if held and size + more > light.block_bytes:
+                yield block()
+                number, held, size = number + 1, [], 0
+            held.append(piece)
+            size += more
+        if held:
+            yield block()
+
+    def texts_of(rows: pa.Table) -> pa.Table:
+        return pa.concat_tables(pa.ipc.open_stream(body.as_buffer()).read_all() for body in rows.column("body"))
 
     def ask(rows: pa.Table) -> pa.Table:
-        words, contexts = needed(rows)
-        by = grouped(words, contexts)
-        block = rows.column("block")[0].as_py()
+        block = Block.of(texts_of(rows).column("text").combine_chunks())
+        by = _by_bucket(block.words, block.word, block.contexts, buckets)
+        number = rows.column("block")[0].as_py()
         return pa.table({
-            "bucket": by.present, "block": np.full(len(by.present), block, np.int64), **by.columns(contexts),
+            "bucket": by.present, "block": np.full(len(by.present), number, np.int64), **by.columns(),
         })
 
     def runs(word: np.ndarray, contexts: np.ndarray) -> np.ndarray:
@@ -665,7 +757,7 @@ def score_texts(
             (bucket,) = _buckets(light, known)
             own_contexts = _whole(known, "own_hi", "own_lo")
             own = [_flat(known, name) for name in ("customers", *(f"own{i}" for i in range(light.sampled)))]
-        words, sizes, contexts = _flat(asked, "words").view(np.uint64), _flat(asked, "sizes"), _whole(asked)
+        words, sizes, contexts = _values(asked, "words", np.uint64), _numbers(asked, "sizes"), _context_values(asked)
         entry_word = np.repeat(np.arange(len(words)), sizes)
         first = runs(entry_word, contexts)
         kind = (contexts[first] >> OWN_BITS).astype(np.int64)
@@ -675,10 +767,10 @@ def score_texts(
         place = _places(bucket.named, words)
         word = place[entry_word[first]]
         pair = _places(bucket.pairs, (words >> BITS)[entry_word[first]] << BITS | kind.astype(np.uint64))
-        hashes = _pair(bucket.entry_words(), bucket.contexts)
-        order = np.argsort(hashes)
-        entry = _places(hashes[order], _pair(words[entry_word], contexts))
-        entry = np.append(order, -1)[entry]
+        # Entries by the place of their word and kind, and the rest of the context.
+        run_pair = pair[np.cumsum(first) - 1]
+        entry = _places(_entry_keys(bucket.pair, bucket.contexts), _entry_keys(run_pair, contexts))
+        entry[run_pair < 0] = -1
         seats, kinds = np.zeros(len(bucket.seats)), np.zeros(len(kind))
         last = len(light.history) - 1
         for number in range(last):
@@ -686,68 +778,59 @@ def score_texts(
             if number >= last - light.sampled:
                 seats += bucket.seats
                 kinds += bucket.probability(word, pair, kind, light.history[number + 1])
-        mine = np.append(bucket.occurrences - light.discount * seats / light.sampled, 0.0)[entry].astype(np.float32)
         seen = np.append(bucket.seen, 0).astype(np.int64)[place]
         at = _places(own_contexts, as_context(words))
-        row = np.repeat(np.arange(asked.num_rows), _lengths(asked, "words"))
-        by_word = np.append(0, np.cumsum(_lengths(asked, "words")))
-        by_entry = np.append(0, np.cumsum(_lengths(asked, "hi")))
+        customers = np.append(own[0], 0)[at]
+        row = np.repeat(np.arange(asked.num_rows), _lengths(asked, "words") // 8)
+        by_word = np.append(0, np.cumsum(_lengths(asked, "words") // 8))
+        by_entry = np.append(0, np.cumsum(_lengths(asked, "lo") // 4))
         by_run = np.append(0, np.cumsum(np.bincount(row[entry_word[first]], minlength=asked.num_rows)))
         return pa.table({
             "block": asked.column("block"), "bucket": asked.column("bucket"),
-            "mine": _lists(mine, by_entry), "seen": _lists(seen, by_word),
-            "customers": _lists(np.append(own[0], 0)[at], by_word),
-            "kind": _lists((kinds / light.sampled).astype(np.float32), by_run),
-            "tables": _lists(np.append(sum(own[1:]) / light.sampled, 0.0)[at].astype(np.float32), by_word),
+            **_small("occurrences", np.append(bucket.occurrences, 0)[entry], by_entry),
+            **_small("seats", np.append(seats, 0).astype(np.int64)[entry], by_entry),
+            **_small("seen", seen, by_word),
+            # A word has as many customers as a context, but for collisions, ends and starts.
+            **_small("customers", np.where(customers == seen, 0, customers + 1), by_word),
+            **_small("seated", light.sampled * customers - np.append(sum(own[1:]), 0)[at], by_word),
+            "kind": _bytes((kinds / light.sampled).astype(np.float32), by_run),
         }).cast(ANSWERS)
 
     base = math.log10(model.train_tokens + model.words + 1)
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in SCORES} | {"key": rows.column("key")})
-        words, contexts = needed(rows)
-        by = grouped(words, contexts)
-        words, contexts = words[by.order], contexts[by.order]
+        texts = texts_of(rows)
+        block = Block.of(texts.column("text").combine_chunks())
         answers = answers.sort_by("bucket")
-        hashes = _pair(words, contexts)
-        del words
-        entry_word = np.repeat(np.arange(len(by.words), dtype=np.int32), by.sizes)
-        run = np.cumsum(runs(entry_word, contexts), dtype=np.int32) - 1
-        names = as_context(by.words)
-        order = np.argsort(names).astype(np.int32)
-        at = order[np.searchsorted(names[order], contexts)]
-        del contexts, by, names
-        rest = light.strength + light.discount * _flat(answers, "tables")[at].astype(float)
-        chance = _flat(answers, "mine") + rest * _flat(answers, "kind")[run]
-        del rest, run
-        logs = np.log10(chance / (light.strength + _flat(answers, "customers")[at]))
-        del chance, at
-        seen = _flat(answers, "seen")
-        order = np.argsort(hashes).astype(np.int32)
-        hashes = hashes[order]
-        out = []
-        for piece in kernels.pieces(rows.select(["key", "text"]).to_batches()):
-            *found, owner = tokens(piece.column("text"))
-            at, n = order[np.searchsorted(hashes, _pair(*found))], piece.num_rows
-            size = np.bincount(owner, minlength=n)
-            times = seen[entry_word[at]]
-            known = np.bincount(owner, times > 0, n).astype(np.int64)
-            plain = np.bincount(owner, np.log10(times + 1.0), n) - size * base
-            out.append(pa.table({
-                "key": piece.column("key"), "n_tokens": size.astype(np.int64), "n_known": known,
-                "base_score": plain, "score": np.bincount(owner, logs[at], n),
-            }))
-        return pa.concat_tables(out)
+        seen, customers = _numbers(answers, "seen"), _numbers(answers, "customers")
+        occurrences = _numbers(answers, "occurrences")
+        if len(seen) != len(block.words) or len(occurrences) != len(block.word):
+            raise ValueError("the rows of a block changed while it was scored")
+        customers = np.where(customers == 0, seen, customers - 1)
+        tables = customers - _numbers(answers, "seated") / light.sampled
+        rest = (light.strength + light.discount * tables)[block.before]
+        run = np.cumsum(runs(block.word, block.contexts), dtype=np.int32) - 1
+        mine = occurrences - light.discount / light.sampled * _numbers(answers, "seats")
+        del occurrences
+        logs = np.log10((mine + rest * _values(answers, "kind", np.float32)[run]) / (light.strength + customers)[block.before])
+        del rest, run, mine
+        n, owner = texts.num_rows, block.owner
+        size = np.bincount(owner, minlength=n)
+        return pa.table({
+            "key": texts.column("key"), "n_tokens": size.astype(np.int64),
+            "n_known": np.bincount(owner, (seen > 0)[block.at], n).astype(np.int64),
+            "base_score": np.bincount(owner, np.log10(seen + 1.0)[block.at], n) - size * base,
+            "score": np.bincount(owner, logs[block.pair], n),
+        })
 
+    blocks = rows.mapInArrow(kernels.tidy_batches(cut), "block bigint, body binary")
     asked = blocks.groupBy("block").applyInArrow(kernels.tidy(ask), f"bucket bigint, block bigint, {ENTRIES}")
     # Every bucket with counts is an owner; both lie in buckets.
     known = model.contexts.join(model.counts, "bucket", "left")
     answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(
-        kernels.tidy(answer), "block bigint, bucket bigint, mine array<float>, seen array<bigint>, customers array<bigint>, "
-        "kind array<float>, tables array<float>",
+        kernels.tidy(answer), ", ".join(f"{x.name} {'bigint' if x.type == pa.int64() else 'binary'}" for x in ANSWERS)
     )
-    kind = blocks.schema["key"].dataType.simpleString()
+    kind = rows.schema["key"].dataType.simpleString()
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         kernels.tidy(score), f"key {kind}, n_tokens bigint, n_known bigint, base_score double, score double"
     )
@@ -758,10 +841,15 @@ def score_texts(
 
 
 ANSWERS = pa.schema([
-    ("block", pa.int64()), ("bucket", pa.int64()), ("mine", pa.list_(pa.float32())), ("seen", pa.list_(pa.int64())),
-    ("customers", pa.list_(pa.int64())), ("kind", pa.list_(pa.float32())), ("tables", pa.list_(pa.float32())),
+    ("block", pa.int64()), ("bucket", pa.int64()),
+    *((f"{name}{more}", pa.binary()) for name in ("occurrences", "seats", "seen", "customers", "seated") for more in ("", "_more")),
+    ("kind", pa.binary()),
 ])
-SCORES = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
+
+
+def _entry_keys(pair: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """Places of a word and kind (below 2^24), each with the rest of a context."""
+    return pair.astype(np.uint64) << OWN_BITS | contexts & ((np.uint64(1) << OWN_BITS) - np.uint64(1))
 
 
 def _places(ordered: np.ndarray, wanted: np.ndarray) -> np.ndarray:

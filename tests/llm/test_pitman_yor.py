@@ -190,3 +190,49 @@ def test_counting_holds_little_beside_its_pairs():
     assert tracemalloc.get_traced_memory()[1] < 80 * n * parts
     tracemalloc.stop()
     assert len(words) == len(contexts) == 2 * n and (counts == parts // 2).all() and held.size == 0
+
+
+def test_small_numbers_travel_in_a_byte():
+    values, bounds = np.array([0, 254, 255, 2**40, 1, 1, 300]), np.array([0, 2, 2, 5, 7])
+    rows = pa.table({"x": range(4), **py._small("n", values, bounds), "words": py._bytes(values, bounds)})
+    assert py._numbers(rows, "n").tolist() == py._values(rows, "words", np.int64).tolist() == values.tolist()
+    assert py._numbers(rows.slice(2, 1), "n").tolist() == [255, 2**40, 1]
+    assert py._numbers(rows.slice(1, 1), "n").tolist() == [] == py._numbers(rows.slice(0, 0), "n").tolist()
+    assert py._numbers(rows.take([3, 0]), "n").tolist() == [1, 300, 0, 254]
+    assert sum(rows.column(x).nbytes for x in ("n", "n_more")) < 7 + 3 * 8 + 2 * 5 * 4 + 1
+    assert py._lengths(rows, "n").tolist() == [2, 0, 3, 2]
+
+
+def test_a_block_holds_its_pairs_once():
+    texts = [t for _, t in ROWS]
+    words, contexts, owner = py.tokens(pa.array(texts, pa.string()))
+    block = py.Block.of(pa.array(texts, pa.string()))
+    assert block.words[block.word[block.pair]].tolist() == words.tolist() == block.words[block.at].tolist()
+    assert block.contexts[block.pair].tolist() == contexts.tolist() and block.owner.tolist() == owner.tolist()
+    assert py.as_context(block.words)[block.before].tolist() == block.contexts.tolist()
+    pairs = list(zip(block.word.tolist(), block.contexts.tolist(), strict=True))
+    assert pairs == sorted(set(pairs)) and len(pairs) == len(set(zip(words.tolist(), contexts.tolist(), strict=True)))
+    buckets = py._owner(py.as_context(block.words), 1000)
+    assert (np.diff(buckets) >= 0).all() and len(set(buckets.tolist())) > 5 and buckets.max() < 1000
+
+
+def test_texts_move_once_and_compressed(spark):
+    """Blocks that ask and blocks that are scored are read from one shuffle, without texts in it."""
+    df = spark.createDataFrame([(i, f"some words {i} " * 50) for i in range(300)], "doc_id long, text string")
+    model = py.fit_pitman_yor(df, F.lit(True), block_bytes=20_000)
+    scored = py.score_texts(df, model)
+    assert len(scored.collect()) == 300
+    plan = scored._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange [block" in plan
+    assert plan.count("body#") > 2 and "array<" not in plan.split("Scan parquet")[0]
+
+
+def test_blocks_of_any_cut_give_the_same_scores(spark):
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(ROWS * 3)], "doc_id long, text string").repartition(3)
+    model = py.fit_pitman_yor(df, F.lit(True), block_bytes=2_000)
+    found = [
+        {r["doc_id"]: r["score"] for r in py.score_texts(df, py.replace(model, block_bytes=n)).collect()}
+        for n in (1, 500, 10_000_000)
+    ]
+    assert len(found[0]) == len(ROWS) * 3
+    assert found[0] == pytest.approx(found[1], rel=1e-6) and found[0] == pytest.approx(found[2], rel=1e-6)
