@@ -55,6 +55,8 @@ from sondage.session import new_path
 BLOCK_BYTES = 8_000_000
 # Bytes of text whose words are hashed at a time.
 HASHED_BYTES = 500_000
+# Bytes of text that are counted at a time.
+COUNTED_BYTES = 8_000_000
 # Entries that a counting task holds before it passes them on.
 HELD_ENTRIES = 1_500_000
 END = np.uint64(0x5EED_0F_E4D << 4)
@@ -207,9 +209,16 @@ def _whole(rows: pa.Table, hi: str = "hi", lo: str = "lo") -> np.ndarray:
     return _flat(rows, hi).astype(np.uint64) << np.uint64(32) | low
 
 
+def _context_bytes(contexts: np.ndarray, bounds: np.ndarray) -> dict[str, pa.Array]:
+    """Contexts as their kind, which repeats, and two more parts."""
+    parts = {"kinds": (OWN_BITS, np.uint8), "hi": (np.uint64(32), np.uint8), "lo": (np.uint64(0), np.uint32)}
+    return {name: _bytes((contexts >> shift).astype(kind), bounds) for name, (shift, kind) in parts.items()}
+
+
 def _context_values(rows: pa.Table) -> np.ndarray:
-    low = _values(rows, "lo", np.uint32).astype(np.uint64)
-    return _values(rows, "hi", np.int16).astype(np.uint64) << np.uint64(32) | low
+    found = _values(rows, "kinds", np.uint8).astype(np.uint64) << np.uint64(8)
+    found |= _values(rows, "hi", np.uint8)
+    return found << np.uint64(32) | _values(rows, "lo", np.uint32)
 
 
 def _heads(ordered: np.ndarray) -> np.ndarray:
@@ -243,7 +252,7 @@ class ByBucket:
     def columns(self) -> dict[str, pa.Array]:
         return {
             "words": _bytes(self.words, self.bounds), **_small("sizes", self.sizes, self.bounds),
-            **{name: _bytes(half, self.ends) for name, half in _halves(self.contexts).items()},
+            **_context_bytes(self.contexts, self.ends),
         }
 
 
@@ -314,19 +323,37 @@ def in_buckets(rows: DataFrame) -> DataFrame:
     """``rows`` written to the shared folder by ``bucket``, as they are partitioned: what is
     grouped or joined by it later is not shuffled. No name stays in the catalog."""
     spark, name = rows.sparkSession, f"pitman_yor_{uuid.uuid4().hex}"
-    to = rows.write.bucketBy(_tasks(rows), "bucket").format("parquet").option("path", new_path(spark, "pitman_yor"))
+    to = rows.write.bucketBy(_tasks(rows), "bucket").format("parquet").option("compression", "zstd").option("path", new_path(spark, "pitman_yor"))
     to.saveAsTable(name)
     found = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return found
 
 
-ENTRIES = "words binary, sizes binary, sizes_more binary, hi binary, lo binary"
+ENTRIES = "words binary, sizes binary, sizes_more binary, kinds binary, hi binary, lo binary"
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """The rows in tables of at most about ``size`` bytes of text."""
+    held, total = [], 0
+    for piece in kernels.pieces(batches, size=max(1, size // 16)):
+        more = int(kernels.bytes_of(piece.column("text"))[1][-1])
+        if held and total + more > size:
+            yield pa.Table.from_batches(held)
+            held, total = [], 0
+        held.append(piece)
+        total += more
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def pair_counts(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, words, sizes, hi, lo, counts): the training counts, a row per bucket."""
 
+    def table(words: np.ndarray, word: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> pa.Table:
+        by = _by_bucket(words, word, contexts, buckets)
+        return pa.table({"bucket": by.present, **by.columns(), **_small("counts", counts, by.ends)})
+
     def emit(words: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> pa.Table:
         distinct, word = np.unique(words, return_inverse=True)
         names, number = np.unique(contexts, return_inverse=True)
@@ -334,15 +361,18 @@ def pair_counts(docs: DataFrame, buckets: int) -> DataFrame:
         first = np.flatnonzero(_heads(keys))
         keys = keys[first]
         contexts = names[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        by = _by_bucket(distinct, (keys >> np.uint64(32)).astype(np.int64), contexts, buckets)
-        counts = np.add.reduceat(counts[order], first)
-        return pa.table({"bucket": by.present, **by.columns(), **_small("counts", counts, by.ends)})
+        return table(distinct, (keys >> np.uint64(32)).astype(np.int64), contexts, np.add.reduceat(counts[order], first))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Held()
-        for piece in kernels.pieces(batches):
-            words, contexts, _ = tokens(piece.column("text"))
-            held.add(*_merged(words, contexts, np.ones(len(words), np.int64)))
+        for part in _gathered(batches, COUNTED_BYTES):
+            block = Block.of(part.column("text").combine_chunks())
+            counts, words, pairs = np.bincount(block.pair), block.words, (block.word, block.contexts)
+            del block
+            if len(counts) > HELD_ENTRIES // 2:
+                yield from table(words, *pairs, counts).to_batches()
+                continue
+            held.add(words[pairs[0]], pairs[1], counts)
             if held.size > HELD_ENTRIES:
                 found = held.taken()
                 if len(found[0]) > HELD_ENTRIES // 2:
@@ -404,24 +434,37 @@ def seated(
     customer: a new table with weight ``new``, an old one with its customers less the
     discount."""
     order = np.argsort(-customers, kind="stable")
-    c, a = customers[order], new[order]
+    out, weights = np.empty(len(order)), np.empty(len(order))
+    out[order], weights[order] = _seated(customers[order], new[order], discount, rng)
+    return out, weights
+
+
+def _seated(c: np.ndarray, a: np.ndarray, discount: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The same for dishes with the most customers first."""
     tables, weight, n = np.ones(len(c)), np.zeros(len(c)), 1
     below = -c
+    # Weights of some customers are multiplied before their logarithm is taken.
+    product, open_until = np.ones(len(c)), len(c)
     while len(c) and (k := int(np.searchsorted(below, -n, "left"))):
         group = 1 if n < 64 else n // 8
-        every = n - discount * tables[:k] + a[:k]
+        every = a[:k] - discount * tables[:k]
+        every += n
         share = a[:k] / every
         if group == 1:
             tables[:k] += rng.random(k) < share
-            weight[:k] += np.log(every)
+            product[:k] *= every
+            if n % 8 == 0 or n == 63:
+                weight[:open_until] += np.log(product[:open_until])
+                product[:k] = 1
+                open_until = k
         else:
             m = np.minimum(group, c[:k] - n)
             tables[:k] += rng.binomial(m, share)
             weight[:k] += m * np.log(every)
         n += group
-    out, weights = np.empty_like(tables), np.empty_like(weight)
-    out[order], weights[order] = tables, weight
-    return out, weights
+    if n < 64:
+        weight[:open_until] += np.log(product[:open_until])
+    return tables, weight
 
 
 def _reseated(customers, new, discount, rng) -> np.ndarray:
@@ -429,8 +472,10 @@ def _reseated(customers, new, discount, rng) -> np.ndarray:
     tables = np.ones(len(customers))
     many = np.flatnonzero(customers > 1)
     if len(many):
-        one, w1 = seated(customers[many], new[many], discount, rng)
-        two, w2 = seated(customers[many], new[many], discount, rng)
+        many = many[np.argsort(-customers[many], kind="stable")]
+        c, a = customers[many], new[many]
+        one, w1 = _seated(c, a, discount, rng)
+        two, w2 = _seated(c, a, discount, rng)
         pick = rng.random(len(many)) < 1 / (1 + np.exp(np.clip(w1 - w2, -500, 500)))
         tables[many] = np.where(pick, two, one)
     return tables
@@ -457,6 +502,7 @@ class Bucket:
         self.seen = np.bincount(entry_word, occurrences, len(words))
         # One customer has one table, whatever happens elsewhere.
         self.many = np.flatnonzero(occurrences > 1)
+        self.many = self.many[np.argsort(-occurrences[self.many], kind="stable")]
         self.asked, self.rest = np.unique(contexts[self.many], return_inverse=True)
         self.order, self.owners, self.at = _by_owner(self.asked, model.buckets)
         self.rests = rests
@@ -602,12 +648,22 @@ def _answered(owner: pa.Table, tables: np.ndarray, sums: np.ndarray) -> pa.Table
     })
 
 
+def _gathered_answers(answers: DataFrame) -> DataFrame:
+    """A row per bucket: what all owners answer to it (``rests``, in their order), its own
+    tables as an owner (``own``), and ``sums``. It is put together once, for all sweeps."""
+    lists = F.array_sort(F.collect_list(F.when(F.col("owner") >= 0, F.struct("owner", "tables"))))
+    itself = F.col("owner") == -1
+    rows = answers.repartition(_tasks(answers), F.col("bucket")).groupBy("bucket")
+    return in_buckets(rows.agg(
+        F.flatten(F.transform(lists, lambda x: x["tables"])).alias("rests"),
+        *(F.first(F.when(itself, F.col(x)), True).alias(name) for x, name in (("tables", "own"), ("sums", "sums"))),
+    ))
+
+
 def _with_rests(counts: DataFrame, answers: list[DataFrame]) -> DataFrame:
     """``counts`` with the answers before each sweep. Nothing is shuffled."""
     for i, answer in enumerate(answers):
-        lists = F.array_sort(F.collect_list(F.struct("owner", "tables")))
-        rests = F.flatten(F.transform(lists, lambda x: x["tables"])).alias(f"rests{i}")
-        counts = counts.join(answer.where("owner >= 0").groupBy("bucket").agg(rests), "bucket", "left")
+        counts = counts.join(answer.select("bucket", F.col("rests").alias(f"rests{i}")), "bucket", "left")
     return counts
 
 
@@ -636,9 +692,8 @@ def _after_sweep(model: PitmanYorModel, owners: DataFrame) -> DataFrame:
         return _answered(owner, found, _flat(told, "sums"))
 
     told = model.counts.mapInArrow(kernels.tidy_batches(run), "to bigint, asker bigint, tables array<bigint>, sums array<double>")
-    n = _tasks(owners)
     answers = owners.groupBy("bucket").cogroup(told.groupBy("to")).applyInArrow(kernels.tidy(add), ANSWERED)
-    return in_buckets(answers.repartition(n, F.col("bucket")))
+    return _gathered_answers(answers)
 
 
 def _summed(rows: DataFrame, n: int) -> np.ndarray:
@@ -683,19 +738,18 @@ def fit_pitman_yor(
                 found = _answered(owner, _flat(owner, "singles") + _flat(owner, "many"), np.zeros(0))
                 yield from found.combine_chunks().to_batches()
 
-    answers = [in_buckets(owners.mapInArrow(kernels.tidy_batches(first), ANSWERED).repartition(_tasks(docs), F.col("bucket")))]
+    answers = [_gathered_answers(owners.mapInArrow(kernels.tidy_batches(first), ANSWERED))]
     for _ in range(burn_in + sampled):
         known = _with_rests(counts, answers)
         model = PitmanYorModel(
             known, None, buckets, int(sums[0]), int(sums[1]), *discounts, strength, history, sampled, seed, block_bytes
         )
         answers.append(_after_sweep(model, owners))
-        found = _summed(answers[-1].where("owner = -1"), 2 * CONTEXTS + 2)
+        found = _summed(answers[-1], 2 * CONTEXTS + 2)
         history = (*history, Totals(found[:CONTEXTS], found[CONTEXTS:-2], found[-2], found[-1]))
     contexts = owners.select("bucket", F.col("hi").alias("own_hi"), F.col("lo").alias("own_lo"), "customers")
     for i, answer in enumerate(answers[-sampled:]):
-        own = answer.where("owner = -1").select("bucket", F.col("tables").alias(f"own{i}"))
-        contexts = contexts.join(own, "bucket", "left")
+        contexts = contexts.join(answer.select("bucket", F.col("own").alias(f"own{i}")), "bucket", "left")
     return replace(model, contexts=contexts, history=history)
 
 
@@ -711,24 +765,12 @@ def score_texts(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts become blocks where they are read. A block moves as one compressed value."""
-        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def block() -> pa.RecordBatch:
+        task = TaskContext.get().partitionId()
+        for number, part in enumerate(_gathered(batches, light.block_bytes)):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
-                for part in held:
-                    to.write_batch(part)
-            return pa.RecordBatch.from_pydict({"block": [task << 32 | number], "body": [sink.getvalue().to_pybytes()]})
-
-        for piece in kernels.pieces(batches, size=max(1, light.block_bytes // 8)):
-            more = int(kernels.bytes_of(piece.column("text"))[1][-1])
-            if held and size + more > light.block_bytes:
-                yield block()
-                number, held, size = number + 1, [], 0
-            held.append(piece)
-            size += more
-        if held:
-            yield block()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                to.write_table(part.combine_chunks())
+            yield pa.RecordBatch.from_pydict({"block": [task << 32 | number], "body": [sink.getvalue().to_pybytes()]})
 
     def texts_of(rows: pa.Table) -> pa.Table:
         return pa.concat_tables(pa.ipc.open_stream(body.as_buffer()).read_all() for body in rows.column("body"))
@@ -785,10 +827,14 @@ def score_texts(
         by_word = np.append(0, np.cumsum(_lengths(asked, "words") // 8))
         by_entry = np.append(0, np.cumsum(_lengths(asked, "lo") // 4))
         by_run = np.append(0, np.cumsum(np.bincount(row[entry_word[first]], minlength=asked.num_rows)))
+        occurrences = np.append(bucket.occurrences, 0)[entry]
+        # A single customer has one table in every sweep.
+        many = occurrences > 1
+        by_many = np.append(0, np.cumsum(many))[by_entry]
         return pa.table({
             "block": asked.column("block"), "bucket": asked.column("bucket"),
-            **_small("occurrences", np.append(bucket.occurrences, 0)[entry], by_entry),
-            **_small("seats", np.append(seats, 0).astype(np.int64)[entry], by_entry),
+            **_small("occurrences", occurrences, by_entry),
+            **_small("seats", seats[entry[many]].astype(np.int64), by_many),
             **_small("seen", seen, by_word),
             # A word has as many customers as a context, but for collisions, ends and starts.
             **_small("customers", np.where(customers == seen, 0, customers + 1), by_word),
@@ -810,8 +856,10 @@ def score_texts(
         tables = customers - _numbers(answers, "seated") / light.sampled
         rest = (light.strength + light.discount * tables)[block.before]
         run = np.cumsum(runs(block.word, block.contexts), dtype=np.int32) - 1
-        mine = occurrences - light.discount / light.sampled * _numbers(answers, "seats")
-        del occurrences
+        seats = np.minimum(occurrences, 1) * light.sampled
+        seats[occurrences > 1] = _numbers(answers, "seats")
+        mine = occurrences - light.discount / light.sampled * seats
+        del occurrences, seats
         logs = np.log10((mine + rest * _values(answers, "kind", np.float32)[run]) / (light.strength + customers)[block.before])
         del rest, run, mine
         n, owner = texts.num_rows, block.owner

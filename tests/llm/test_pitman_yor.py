@@ -236,3 +236,18 @@ def test_blocks_of_any_cut_give_the_same_scores(spark):
     ]
     assert len(found[0]) == len(ROWS) * 3
     assert found[0] == pytest.approx(found[1], rel=1e-6) and found[0] == pytest.approx(found[2], rel=1e-6)
+
+
+def test_answers_are_put_together_once(spark):
+    """Not again by every sweep that reads them."""
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    model = py.fit_pitman_yor(df, F.lit(True), block_bytes=100)
+    plan = model.counts._jdf.queryExecution().executedPlan().toString()
+    assert "rests3" in plan and "Aggregate" not in plan
+
+
+def test_weights_of_customers_seated_one_by_one():
+    """Without a discount they follow from the numbers of customers alone."""
+    customers = np.arange(64, 0, -1)
+    _, weights = py.seated(customers, np.full(64, 2.5), 0.0, np.random.default_rng(1))
+    assert weights.tolist() == pytest.approx([sum(math.log(n + 2.5) for n in range(1, c)) for c in customers.tolist()])
