@@ -103,16 +103,13 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = kernels.Spans(data, kernels.LOWERED_VALUE).hashes(starts, ends)
     words = words >> BITS << BITS | (KIND[data[ends - 1]] if len(ends) else np.zeros(0, np.uint64))
     # End tokens stand behind the words of their text.
-    owner = np.concatenate([owner, np.arange(n)])
-    words = np.concatenate([words, np.full(n, END)])
-    order = np.argsort(owner, kind="stable")
-    owner, words = owner[order], words[order]
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    first = np.ones(len(owner), bool)
-    first[1:] = owner[1:] != owner[:-1]
-    before[first] = BEFORE
-    return words, as_context(before), owner
+    every = np.full(len(words) + n, END)
+    every[np.arange(len(words)) + owner] = words
+    owner = np.repeat(np.arange(n), np.bincount(owner, minlength=n) + 1)
+    before = np.empty_like(every)
+    before[1:] = every[:-1]
+    before[_heads(owner)] = BEFORE
+    return every, as_context(before), owner
 
 
 def _pair(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
@@ -283,7 +280,7 @@ class Block:
 
     @classmethod
     def of(cls, texts: pa.Array) -> "Block":
-        found, _, owner = tokens(texts)
+        found, owner = tokens(texts)[::2]
         # All words of a block are asked for as contexts too.
         words, at = np.unique(np.append(found, BEFORE), return_inverse=True)
         del found
@@ -354,8 +351,7 @@ def pair_counts(docs: DataFrame, buckets: int) -> DataFrame:
         by = _by_bucket(words, word, contexts, buckets)
         return pa.table({"bucket": by.present, **by.columns(), **_small("counts", counts, by.ends)})
 
-    def emit(words: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> pa.Table:
-        distinct, word = np.unique(words, return_inverse=True)
+    def emit(distinct: np.ndarray, word: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> pa.Table:
         names, number = np.unique(contexts, return_inverse=True)
         keys, order = _sorted_pairs(word, number)
         first = np.flatnonzero(_heads(keys))
@@ -367,25 +363,28 @@ def pair_counts(docs: DataFrame, buckets: int) -> DataFrame:
         held = Held()
         for part in _gathered(batches, COUNTED_BYTES):
             block = Block.of(part.column("text").combine_chunks())
-            counts, words, pairs = np.bincount(block.pair), block.words, (block.word, block.contexts)
+            counts, words, word, contexts = np.bincount(block.pair), block.words, block.word, block.contexts
             del block
             if len(counts) > HELD_ENTRIES // 2:
-                yield from table(words, *pairs, counts).to_batches()
+                # What stands before the first word is no word.
+                used = np.bincount(word, minlength=len(words)) > 0
+                yield from table(words[used], (np.cumsum(used) - 1)[word], contexts, counts).to_batches()
                 continue
-            held.add(words[pairs[0]], pairs[1], counts)
+            held.add(words[word], contexts, counts)
             if held.size > HELD_ENTRIES:
                 found = held.taken()
                 if len(found[0]) > HELD_ENTRIES // 2:
-                    yield from emit(*found).to_batches()
+                    yield from emit(*np.unique(found[0], return_inverse=True), *found[1:]).to_batches()
                 else:
                     held.add(*found)
                 del found
         if held.size:
-            yield from emit(*held.taken()).to_batches()
+            words, *found = held.taken()
+            yield from emit(*np.unique(words, return_inverse=True), *found).to_batches()
 
     def merge(rows: pa.Table) -> pa.Table:
-        words = np.repeat(_values(rows, "words", np.uint64), _numbers(rows, "sizes"))
-        return emit(words, _context_values(rows), _numbers(rows, "counts"))
+        words, word = np.unique(_values(rows, "words", np.uint64), return_inverse=True)
+        return emit(words, np.repeat(word, _numbers(rows, "sizes")), _context_values(rows), _numbers(rows, "counts"))
 
     kind = f"bucket bigint, {ENTRIES}, counts binary, counts_more binary"
     parts = docs.select("text").mapInArrow(kernels.tidy_batches(count), kind).repartition(_tasks(docs), F.col("bucket"))

@@ -251,3 +251,12 @@ def test_weights_of_customers_seated_one_by_one():
     customers = np.arange(64, 0, -1)
     _, weights = py.seated(customers, np.full(64, 2.5), 0.0, np.random.default_rng(1))
     assert weights.tolist() == pytest.approx([sum(math.log(n + 2.5) for n in range(1, c)) for c in customers.tolist()])
+
+
+@pytest.mark.parametrize("entries", [2, 1_000])
+def test_counts_passed_on_at_once_and_later(spark, monkeypatch, entries):
+    monkeypatch.setattr(py, "HELD_ENTRIES", entries)
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    model = py.fit_pitman_yor(df, F.lit(True))
+    check(py.score_texts(df, model).collect(), ROWS, lambda k: False)
+    assert model.words == len({w for _, t in ROWS for w in WORD.findall((t or "").encode().lower())}) + 1
